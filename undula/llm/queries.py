@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm import bpe, sharding
+from undula.llm import bpe, minhash, sharding
 from undula.llm._store import stash
 
 SHARDS = 16
@@ -34,6 +34,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_read(spark, sf_dir, "documents"), "doc_id", "text", *_vocabulary())
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"), "doc_id", "text", width=4, percent=80)
+
+
 def _vocabulary() -> tuple[str, str]:
     import public_tokenizers
 
@@ -43,6 +47,7 @@ def _vocabulary() -> tuple[str, str]:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_minhash_dedup": op3_minhash_dedup,
 }
 
 ORACLES: dict[str, str] = {}
