@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm import bpe, minhash, sharding
+from undula.llm import bpe, minhash, sharding, warc
 from undula.llm._store import stash
 
 SHARDS = 16
@@ -38,6 +38,11 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), "doc_id", "text", width=4, percent=80)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = stash(warc.write(_read(spark, sf_dir, "pages"), "page_id", "url", "html"), "warc")
+    return warc.read(archives, "page_id", payload=False)
+
+
 def _vocabulary() -> tuple[str, str]:
     import public_tokenizers
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_minhash_dedup": op3_minhash_dedup,
+    "op4_warc": op4_warc,
 }
 
 ORACLES: dict[str, str] = {}
