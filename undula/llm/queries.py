@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm import bpe, minhash, sharding, warc
+from undula.llm import bpe, minhash, quality, sharding, toxicity, warc
 from undula.llm._store import stash
 
 SHARDS = 16
@@ -43,6 +43,21 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(archives, "page_id", payload=False)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    out = toxicity.held_out("doc_id", 4, 2)
+    model = toxicity.fit(*toxicity.sample(docs, labels.filter(~out), "doc_id", "text", "toxic"))
+    return toxicity.scores(docs, model, "doc_id", "text").select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    out = toxicity.held_out("doc_id", 4, 2)
+    stats = stash(quality.measure(docs, "doc_id", "text"), "stats")
+    model = quality.fit(stats, labels.filter(~out), "doc_id", "quality")
+    return quality.scores(stats, model, "doc_id").select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def _vocabulary() -> tuple[str, str]:
     import public_tokenizers
 
@@ -54,6 +69,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op4_warc": op4_warc,
+    "op5_toxicity": op5_toxicity,
+    "op6_quality": op6_quality,
 }
 
 ORACLES: dict[str, str] = {}
