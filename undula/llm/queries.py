@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm import bpe, minhash, quality, sharding, toxicity, warc
+from undula.llm import bpe, language, minhash, quality, sharding, toxicity, warc
 from undula.llm._store import stash
 
 SHARDS = 16
@@ -58,6 +58,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(stats, model, "doc_id").select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    out = toxicity.held_out("doc_id", 3, 1)
+    model = language.fit(*language.sample(docs, "doc_id", "text", "lang", ~out))
+    return language.identify(docs, model, "doc_id", "text").select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def _vocabulary() -> tuple[str, str]:
     import public_tokenizers
 
@@ -71,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {}
