@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm import bpe, language, minhash, quality, sharding, toxicity, warc
+from undula.llm import bpe, flac, language, minhash, quality, sharding, toxicity, warc
 from undula.llm._store import stash
 
 SHARDS = 16
@@ -65,6 +65,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model, "doc_id", "text").select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = flac.load(flac.store(_read(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+    return media.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("pcm").cast("long").alias("payload_bytes"),
+        F.sha2("pcm", 256).alias("payload_sha256"),
+        F.crc32(F.substring("pcm", -flac.UNIT, flac.UNIT)).cast("long").alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def _vocabulary() -> tuple[str, str]:
     import public_tokenizers
 
@@ -78,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
+    "op7_flac_media": op7_flac_media,
     "op10_language_id": op10_language_id,
 }
 
