@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm import bpe, flac, language, minhash, quality, sharding, toxicity, warc
+from undula.llm import bpe, chat, flac, language, minhash, quality, sharding, toxicity, warc
 from undula.llm._store import stash
 
 SHARDS = 16
@@ -79,6 +79,13 @@ def op7_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_windows(rows.unionByName(own), "conv_id", "turn", "role", "text"), "conv_id")
+
+
 def _vocabulary() -> tuple[str, str]:
     import public_tokenizers
 
@@ -93,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
     "op7_flac_media": op7_flac_media,
+    "op8_chat_format": op8_chat_format,
     "op10_language_id": op10_language_id,
 }
 
