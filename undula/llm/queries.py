@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm import bpe, chat, flac, language, minhash, quality, sharding, toxicity, warc
+from undula.llm import bpe, chat, decontaminate, flac, language, minhash, quality, sharding, toxicity, warc
 from undula.llm._store import stash
 
 SHARDS = 16
@@ -86,6 +86,10 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_windows(rows.unionByName(own), "conv_id", "turn", "role", "text"), "conv_id")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+
+
 def _vocabulary() -> tuple[str, str]:
     import public_tokenizers
 
@@ -101,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_flac_media": op7_flac_media,
     "op8_chat_format": op8_chat_format,
+    "op9_decontaminate": op9_decontaminate,
     "op10_language_id": op10_language_id,
 }
 
