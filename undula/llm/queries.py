@@ -13,7 +13,12 @@ from undula.llm._store import stash
 SHARDS = 16
 
 
+#: Rows of an Arrow batch: whole texts of up to some 100 KB fit a worker.
+ARROW_ROWS = 1000
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
