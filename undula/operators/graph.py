@@ -21,13 +21,13 @@ def euclidean(a: str, b: str) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
 
 
-def block_pairs(df: DataFrame, key: str, columns: list[str], kernel: Callable[[list, list, bool], np.ndarray], n: int | None = None) -> DataFrame:
+def block_pairs(df: DataFrame, key: str, columns: list[str], kernel: Callable[[list, list, bool], np.ndarray], n: int | None = None, block: int = BLOCK_POINTS) -> DataFrame:
     """(i, j, dist) with i < j by a kernel over two blocks: ``kernel(left rows, right rows, same)`` gives a matrix.
 
     A point is sent to the ``blocks`` pairs of blocks that hold its block; each pair is one group.
     """
     n = df.count() if n is None else n
-    blocks = max(1, -(-n // BLOCK_POINTS))
+    blocks = max(1, -(-n // block))
     kind = dict(df.dtypes)[key]
     b = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
     dealt = df.withColumn("__b", b).select(

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from undula.functions import manifolds, normalise
-from undula.operators import evaluate, graph
+from undula.operators import cluster, distance, evaluate, graph, smoothing
 from undula.sources import curves as src
+from undula.sources import generators
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -385,3 +387,146 @@ def minibatches(spark, d):
     w = Window.orderBy(F.xxhash64("sample_id", F.lit(0)), "sample_id")
     b = _nodes(spark, d).select(F.floor((F.row_number().over(w) - 1) / 32).alias("batch"))
     return b.agg(F.count_distinct("batch").alias("batches"), F.count(F.lit(1)).alias("n"))
+
+
+# --- distances ------------------------------------------------------------------------------------------------
+
+
+def _metric(name: str):
+    def run(spark, d):
+        return distance.pairwise(_events(spark, d), name).select("i", "j", F.round("dist", 6).alias("dist"))
+
+    return run
+
+
+for _name in distance.METRICS:
+    QUERIES[_name.replace("-", "_")] = _metric(_name)
+
+
+@query("alignment_path")
+def alignment_path(spark, d):
+    return distance.alignment(_events(spark, d), 1, 2)
+
+
+@query("curve_neighbours")
+def curve_neighbours(spark, d):
+    return graph.neighbours(distance.pairwise(_events(spark, d), "fastdtw"), M).select("i", "rank", "j", F.round("dist", 6).alias("dist"))
+
+
+# --- smoothing ------------------------------------------------------------------------------------------------
+
+_FC = f"""{P}, fc AS (SELECT s, f, avg(v) AS a0, {", ".join(f"2 * avg(v * cos(2 * pi() * {k} * t / {STEPS})) AS a{k}, 2 * avg(v * sin(2 * pi() * {k} * t / {STEPS})) AS b{k}" for k in (1, 2, 3))} FROM p GROUP BY s, f)"""
+
+
+@query("fourier_coefs", f"{_FC} SELECT s AS sample_id, f AS feature, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("a0", "a1", "b1", "a2", "b2", "a3", "b3")) + " FROM fc")
+def fourier_coefs(spark, d):
+    c = smoothing.fourier_coefficients(_events(spark, d), 3)
+    return c.select("sample_id", "feature", *(F.round(F.col("c")[k], 6).alias(n) for k, n in enumerate(("a0", "a1", "b1", "a2", "b2", "a3", "b3"))))
+
+
+@query("fourier_eval", f"{_FC} SELECT s AS sample_id, f AS feature, k AS t_idx, round(a0 + a1 * cos(2 * pi() * x) + b1 * sin(2 * pi() * x) + a2 * cos(4 * pi() * x) + b2 * sin(4 * pi() * x) + a3 * cos(6 * pi() * x) + b3 * sin(6 * pi() * x), 6) AS value FROM fc, (SELECT k, k / 9.0::double AS x FROM (SELECT unnest(range(10)) AS k))")
+def fourier_eval(spark, d):
+    fit = smoothing.fourier_series(smoothing.fourier_coefficients(_events(spark, d), 3), 10)
+    return _long(fit.withColumnRenamed("fit", "values"))
+
+
+def _arrays(df: DataFrame, column: str, digits: int = 6) -> DataFrame:
+    return df.select("sample_id", "feature", F.posexplode(column).alias("k", "x")).select("sample_id", "feature", "k", F.round("x", digits).alias("x"))
+
+
+@query("bspline_coefs")
+def bspline_coefs(spark, d):
+    return _arrays(smoothing.bspline_coefficients(_events(spark, d), 10), "c")
+
+
+@query("bspline_penalized")
+def bspline_penalized(spark, d):
+    return _arrays(smoothing.bspline_coefficients(_events(spark, d), 12, 0.3), "c")
+
+
+@query("legendre_projection")
+def legendre_projection(spark, d):
+    return _arrays(smoothing.project(_events(spark, d), "legendre", 6), "c")
+
+
+@query("gcv_bspline")
+def gcv_bspline(spark, d):
+    g = smoothing.gcv_scores(_events(spark, d), smoothing.bspline_grid(STEPS))
+    return g.select("terms", "lam", F.round("df", 6).alias("df"), F.round("gcv", 5).alias("gcv"))
+
+
+@query("gcv_fourier")
+def gcv_fourier(spark, d):
+    g = smoothing.gcv_scores(_events(spark, d), smoothing.fourier_grid(STEPS))
+    return g.select("terms", "lam", F.round("df", 6).alias("df"), F.round("gcv", 5).alias("gcv"))
+
+
+@query(
+    "moving_average_gcv",
+    f"{P}, fi AS (SELECT s, f, t, v, avg(v) OVER (PARTITION BY s, f ORDER BY t ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS y FROM p), df AS (SELECT sum(CASE WHEN t IN (0, {STEPS - 1}) THEN 0.5::double ELSE 1.0::double / 3 END) AS df FROM (SELECT unnest(range({STEPS})) AS t)), r AS (SELECT s, f, sum((v - y) * (v - y)) AS rss FROM fi GROUP BY s, f) SELECT round(max(df), 6) AS df, round({STEPS} * avg(rss) / (({STEPS} - max(df)) * ({STEPS} - max(df))), 5) AS gcv FROM r, df",
+)
+def moving_average_gcv(spark, d):
+    s = np.zeros((STEPS, STEPS))
+    for t in range(STEPS):
+        lo, hi = max(0, t - 1), min(STEPS, t + 2)
+        s[t, lo:hi] = 1 / (hi - lo)
+    return smoothing.gcv_scores(_events(spark, d), [(3, 0.0, s)]).select(F.round("df", 6).alias("df"), F.round("gcv", 5).alias("gcv"))
+
+
+@query("wavelet_denoise")
+def wavelet_denoise(spark, d):
+    return _arrays(smoothing.wavelet_denoise(_events(spark, d)), "fit")
+
+
+@query("gcv_wavelet")
+def gcv_wavelet(spark, d):
+    return smoothing.wavelet_scores(_events(spark, d), most=2).select("level", F.round("tau", 6).alias("tau"), F.round("gcv", 5).alias("gcv"))
+
+
+# --- clustering -----------------------------------------------------------------------------------------------
+
+
+def _groups(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Points and edges of the embeddings' first four axes."""
+    z = _nodes(spark, d).select("sample_id", "label", F.slice("z", 1, 4).alias("z"))
+    return z, graph.edges(graph.neighbours(graph.euclidean_pairs(z), M))
+
+
+@query("homotopy_path")
+def homotopy_path(spark, d):
+    p = cluster.homotopy_path(*_groups(spark, d))
+    return p.groupBy("step").agg(F.round(F.first("lambda"), 8).alias("lambda"), F.count_distinct("cluster").alias("clusters"))
+
+
+@query("convex_clusters")
+def convex_clusters(spark, d):
+    return cluster.convex_clustering(*_groups(spark, d)).select("sample_id", "cluster", "valid")
+
+
+@query("fista_solve")
+def fista_solve(spark, d):
+    u = cluster.fista_solve(*_groups(spark, d), 0.01)
+    return u.select("sample_id", F.posexplode("u").alias("k", "x")).select("sample_id", "k", F.round("x", 5).alias("x"))
+
+
+@query("kmeans")
+def kmeans(spark, d):
+    return cluster.kmeans(_nodes(spark, d), 10, starts=2).groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+
+
+@query("generate_catalog", "SELECT * FROM (VALUES ('hypersphere', 100, 3, 100, 2, 'sphere'), ('hyperbolic', 200, 2, 50, 2, 'poincare'), ('swiss_roll', 300, 2, 200, 4, NULL), ('lorenz', 100, 3, 100, 3, NULL), ('pendulum', 200, 2, 100, 4, NULL)) AS t(name, samples, features, steps, clusters, manifold)")
+def generate_catalog(spark, d):
+    return generators.catalog(spark)
+
+
+def _generated(kind: str):
+    def run(spark, d):
+        g = generators.generate(spark, kind)
+        return g.groupBy("label").agg(F.count_distinct("sample_id").alias("samples"), F.min(F.size("values")).alias("steps"), F.count(F.lit(1)).alias("curves"))
+
+    return run
+
+
+for _name, (_n, _p, _t, _k, _) in generators.CATALOG.items():
+    QUERIES[f"generate_{_name}"] = _generated(_name)
+    ORACLES[f"generate_{_name}"] = f"SELECT least(i * {_k} // {_n}, {_k} - 1) AS label, count(*) AS samples, {_t} AS steps, count(*) * {_p} AS curves FROM (SELECT unnest(range({_n})) AS i) GROUP BY 1"
