@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from undula.functions import manifolds, normalise
-from undula.operators import cluster, distance, evaluate, graph, smoothing
+from undula.operators import autoencoder, baselines, cluster, distance, evaluate, graph, smoothing
+from undula.plans import runner
 from undula.sources import curves as src
 from undula.sources import generators
 
@@ -530,3 +531,41 @@ def _generated(kind: str):
 for _name, (_n, _p, _t, _k, _) in generators.CATALOG.items():
     QUERIES[f"generate_{_name}"] = _generated(_name)
     ORACLES[f"generate_{_name}"] = f"SELECT least(i * {_k} // {_n}, {_k} - 1) AS label, count(*) AS samples, {_t} AS steps, count(*) * {_p} AS curves FROM (SELECT unnest(range({_n})) AS i) GROUP BY 1"
+
+
+# --- networks and whole experiments -----------------------------------------------------------------------------
+
+
+@query("train_encode")
+def train_encode(spark, d):
+    """A small network trained on the event curves; its codes."""
+    c, basis = smoothing.smoothing_features(normalise.rescale(_events(spark, d)), 8, 40)
+    e = graph.edges(graph.neighbours(distance.pairwise(_events(spark, d), "fastdtw"), 5))
+    _, x, edges = runner.gathered(c, e)
+    rows = runner.train_trials(spark, x, edges, basis, basis, [{"lambda_c": 0.0, "latent": 3}], 4, 4).collect()
+    net = runner.loaded(runner.network(x.shape[1], basis, basis, {"lambda_c": 0.0, "latent": 3}), rows)
+    return autoencoder.encode(c, net).select("sample_id", F.posexplode("z").alias("k", "x")).select("sample_id", "k", F.round("x", 4).alias("x"))
+
+
+@query("run_experiment")
+def run_experiment(spark, d):
+    r = runner.run_experiment(spark, "pendulum", fast=True, samples=40, epochs=6, pretrain_epochs=3)["result"]
+    return r.select("dataset", "n_true", F.round("ari", 4).alias("ari"), F.round("ami", 4).alias("ami"), "n_pred")
+
+
+@query("tune")
+def tune(spark, d):
+    g = generators.generate(spark, "pendulum", samples=24)
+    c, basis = smoothing.smoothing_features(normalise.rescale(g), 8, 40)
+    e = graph.edges(graph.neighbours(distance.pairwise(g, "fastdtw"), 4))
+    return runner.optimize(spark, c, e, basis, basis, trials=4, epochs=4, pretrain=2)[1].select("trial", F.round("value", 5).alias("value"))
+
+
+@query("baseline_linear")
+def baseline_linear(spark, d):
+    return baselines.fit_embed(_events(spark, d), "linear", epochs=5).select("sample_id", F.posexplode("z").alias("k", "x")).select("sample_id", "k", F.round("x", 4).alias("x"))
+
+
+@query("baseline_network")
+def baseline_network(spark, d):
+    return baselines.fit_embed(_events(spark, d), "network", epochs=5).select("sample_id", F.posexplode("z").alias("k", "x")).select("sample_id", "k", F.round("x", 4).alias("x"))
