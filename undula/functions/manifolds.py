@@ -21,33 +21,38 @@ def _scale(a: Column, c: Column) -> Column:
     return F.transform(a, lambda x: x * c)
 
 
-def _add(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x + y)
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def sphere_exp(anchor: Column, v: Column, eps: float = EPS) -> Column:
     """The point that the tangent part of ``v`` at ``anchor`` leads to."""
-    tangent = F.zip_with(v, _scale(anchor, dot(anchor, v)), lambda x, y: x - y)
-    n = F.greatest(norm(tangent), F.lit(eps))
-    return _add(_scale(anchor, F.cos(n)), _scale(tangent, F.sin(n) / n))
+
+    def along(tangent, n):
+        return F.zip_with(anchor, tangent, lambda a, t: a * F.cos(n) + t * (F.sin(n) / n))
+
+    tangent = let(dot(anchor, v), lambda c: F.zip_with(v, anchor, lambda x, a: x - a * c))
+    return let(tangent, lambda t: let(F.greatest(norm(t), F.lit(eps)), lambda n: along(t, n)))
 
 
 def sphere_log(anchor: Column, y: Column, eps: float = EPS) -> Column:
     """The tangent vector at ``anchor`` that leads to ``y``, taken to the sphere first."""
-    unit = _scale(y, 1 / F.greatest(norm(y), F.lit(eps)))
-    c = F.greatest(F.least(dot(anchor, unit), F.lit(1 - 1e-7)), F.lit(-1 + 1e-7))
-    u = F.zip_with(unit, _scale(anchor, c), lambda a, b: a - b)
-    return _scale(u, F.acos(c) / F.greatest(norm(u), F.lit(eps)))
+
+    def at(unit, c):
+        u = F.zip_with(unit, anchor, lambda a, b: a - b * c)
+        return let(u, lambda t: let(F.acos(c) / F.greatest(norm(t), F.lit(eps)), lambda k: _scale(t, k)))
+
+    unit = let(1 / F.greatest(norm(y), F.lit(eps)), lambda k: _scale(y, k))
+    return let(unit, lambda u: let(F.greatest(F.least(dot(anchor, u), F.lit(1 - 1e-7)), F.lit(-1 + 1e-7)), lambda c: at(u, c)))
 
 
 def poincare_exp0(v: Column, eps: float = EPS) -> Column:
-    n = F.greatest(norm(v), F.lit(eps))
-    return _scale(v, F.tanh(n) / n)
+    return let(F.greatest(norm(v), F.lit(eps)), lambda n: _scale(v, F.tanh(n) / n))
 
 
 def poincare_log0(y: Column, eps: float = EPS) -> Column:
-    n = F.greatest(F.least(norm(y), F.lit(1 - 1e-6)), F.lit(eps))
-    return _scale(y, F.atanh(n) / n)
+    return let(F.greatest(F.least(norm(y), F.lit(1 - 1e-6)), F.lit(eps)), lambda n: _scale(y, F.atanh(n) / n))
 
 
 def readout(vectors: Column, kind: str | None, anchor: Column | None = None) -> Column:
