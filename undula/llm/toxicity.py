@@ -52,7 +52,7 @@ def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     c[:] = np.where(c < 128, _PLAIN[np.minimum(c, 127).astype(np.intp)], c)
     out, h = [], np.zeros(len(c), np.uint64)
     for n in range(1, max(SIZES) + 1):
-        h[: len(c) - n + 1] += c[n - 1 :] * _MUL[n]
+        h[: max(0, len(c) - n + 1)] += c[n - 1 :] * _MUL[n]
         if n in SIZES:
             b = h ^ (h >> np.uint64(29))
             b *= _MUL[0]
