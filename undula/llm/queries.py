@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm import bpe, chat, decontaminate, flac, language, minhash, quality, sharding, toxicity, warc
+from undula.llm import bpe, chat, decontaminate, flac, language, minhash, oracles, quality, sharding, toxicity, warc
 from undula.llm._store import stash
 
 SHARDS = 16
@@ -114,4 +114,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_sharding": oracles.SHARDING, "op3_minhash_dedup": oracles.NEAR_DUPLICATES, "op4_warc": oracles.WARC}
