@@ -33,6 +33,8 @@ STEPS = 200
 #: A toxic row counts as so many rows in the loss.
 TOXIC_WEIGHT = 4.0
 SLICE_BYTES = 2 << 20
+#: Texts whose n-grams are held at a time while fitting.
+FIT_ROWS = 200
 _MUL = (np.random.default_rng(5).integers(1, 2**62, 16, dtype=np.uint64) * np.uint64(2)) + np.uint64(1)
 #: ASCII characters as features see them: anything but a letter or digit is a blank.
 _PLAIN = np.array([i if chr(i).isalnum() else 32 for i in range(128)], np.uint64)
@@ -84,8 +86,8 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
         share = float(np.clip(labels.mean(), 1e-6, 1 - 1e-6)) if len(labels) else 0.5
         return Model(weight, float(np.log(share / (1 - share))))
     count = np.zeros((2, 1 << BITS))
-    for a in range(0, len(texts), 500):
-        doc, bucket = present(texts[a : a + 500])
+    for a in range(0, len(texts), FIT_ROWS):
+        doc, bucket = present(texts[a : a + FIT_ROWS])
         for y in (0, 1):
             count[y] += np.bincount(bucket[labels[a + doc] == y], minlength=1 << BITS)
     q, p = count + SMOOTHING
@@ -100,18 +102,36 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
     place = np.zeros(1 << BITS, np.int64)
     place[chosen] = np.arange(len(chosen))
     docs, cols = [], []
-    for a in range(0, len(texts), 500):
-        doc, bucket = present(texts[a : a + 500], wanted)
-        docs.append(doc + a), cols.append(place[bucket])
+    for a in range(0, len(texts), FIT_ROWS):
+        doc, bucket = present(texts[a : a + FIT_ROWS], wanted)
+        docs.append((doc + a).astype(np.int32)), cols.append(place[bucket])
     docs, cols = np.concatenate(docs), np.concatenate(cols)
-    x = r[chosen][cols]
+    x = r[chosen].astype(np.float32)[cols]
     n, k = len(texts), len(chosen)
+    rows, starts, sizes = np.unique(docs, return_index=True, return_counts=True)
+    del docs
+
+    def sums(w):
+        """X w, text by text: a text's features are neighbours."""
+        out = np.zeros(n)
+        if len(rows):
+            part = w[cols]
+            part *= x
+            out[rows] = np.add.reduceat(part, starts)
+        return out
+
+    def back(e):
+        """X' e."""
+        part = np.repeat(e[rows], sizes)
+        part *= x
+        return np.bincount(cols, part, k)
+
     w, bias = np.zeros(k), float(np.log(labels.mean() / (1 - labels.mean())))
     # accelerated gradient descent; the step is from the largest eigenvalue of X'X / 4n, by power iteration
     v = np.ones(k + 1)
     for _ in range(12):
-        u = np.bincount(docs, x * v[:-1][cols], n) + v[-1]
-        v = np.append(np.bincount(cols, x * u[docs], k), u.sum())
+        u = sums(v[:-1]) + v[-1]
+        v = np.append(back(u), u.sum())
         top = np.linalg.norm(v)
         v /= top
     step = 1 / (TOXIC_WEIGHT * top / (4 * n) + RIDGE)
@@ -119,9 +139,9 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
     z = np.append(w, bias)
     w = z.copy()
     for i in range(STEPS):
-        s = np.bincount(docs, x * z[:-1][cols], n) + z[-1]
+        s = sums(z[:-1]) + z[-1]
         e = (1 / (1 + np.exp(-s)) - labels) * each / n
-        g = np.append(np.bincount(cols, x * e[docs], k) + RIDGE * z[:-1], e.sum())
+        g = np.append(back(e) + RIDGE * z[:-1], e.sum())
         new = z - step * g
         z = new + i / (i + 3) * (new - w)
         w = new
