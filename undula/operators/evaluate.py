@@ -125,3 +125,13 @@ def adjusted_mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
     emi = cells.agg(F.sum(F.col("ca") * F.col("cb") * F.col("k") / n * F.log(F.lit(float(n)) * F.col("k") / (F.col("ai") * F.col("bj"))) * p).alias("emi"))
     all_ = mi.crossJoin(emi).crossJoin(h(rows, "ai", "ha")).crossJoin(h(cols, "bj", "hb"))  # single rows
     return all_.select(F.coalesce(F.try_divide(F.col("mi") - F.col("emi"), (F.col("ha") + F.col("hb")) / 2 - F.col("emi")), F.lit(1.0)).alias("ami"))
+
+
+def project_2d(points: DataFrame) -> DataFrame:
+    """(sample_id, x, y): the two leading principal components of (sample_id, z)."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    data = points.select("sample_id", array_to_vector("z").alias("v"))
+    out = PCA(k=2, inputCol="v", outputCol="p").fit(data).transform(data).withColumn("p", vector_to_array("p"))
+    return out.select("sample_id", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))

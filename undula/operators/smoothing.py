@@ -132,6 +132,12 @@ def second_stage(curves: DataFrame, m: int, grid: int) -> DataFrame:
     return evaluate(bspline_coefficients(curves, m), bspline_design(np.linspace(0, 1, grid), m))
 
 
+def fit_of_each_label(curves: DataFrame, fits: DataFrame, labels: DataFrame) -> DataFrame:
+    """(label, sample_id, feature, values, fit) of the first sample of each label (sample_id, label)."""
+    first = labels.groupBy("label").agg(F.min("sample_id").alias("sample_id"))
+    return curves.join(first, "sample_id").join(fits, ["sample_id", "feature"]).select("label", "sample_id", "feature", "values", "fit")
+
+
 # --- generalised cross-validation -------------------------------------------------------------------------------
 
 

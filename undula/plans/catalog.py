@@ -474,6 +474,20 @@ def moving_average_gcv(spark, d):
     return smoothing.gcv_scores(_events(spark, d), [(3, 0.0, s)]).select(F.round("df", 6).alias("df"), F.round("gcv", 5).alias("gcv"))
 
 
+@query("fit_of_each_label")
+def fit_of_each_label(spark, d):
+    c = _events(spark, d)
+    labels = c.select("sample_id", (F.col("sample_id") % 3).alias("label")).distinct()
+    fits = smoothing.second_stage(c, 10, STEPS)
+    return smoothing.fit_of_each_label(c, fits, labels).select("label", "sample_id", "feature", F.round(F.col("fit")[0], 6).alias("start"), F.round(normalise.trapezoid("fit", F.lit(1.0) / (STEPS - 1)), 6).alias("area"))
+
+
+@query("principal_components")
+def principal_components(spark, d):
+    p = evaluate.project_2d(_nodes(spark, d))
+    return p.select("sample_id", F.round(F.abs("x"), 5).alias("x"), F.round(F.abs("y"), 5).alias("y"))
+
+
 @query("wavelet_denoise")
 def wavelet_denoise(spark, d):
     return _arrays(smoothing.wavelet_denoise(_events(spark, d)), "fit")
