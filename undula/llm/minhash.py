@@ -5,9 +5,11 @@ A signature is ``CHUNKS`` chunks of four 16-bit minhashes, one long each. Two si
 under each of the four keys that leave one symbol out, so such pairs always meet. At a similarity of 0.8 a pair lies
 beyond that distance about once in 10^6.
 
-No index bucket is expanded into all its pairs: first each member is compared with one centre of its bucket, equal
-sets being one class; components of the confirmed links follow; only pairs across components are then compared, by a
-join whose condition holds the signature distance. Links are confirmed on full shingle sets.
+No index bucket is expanded into all its pairs: first each member is compared with a centre of its bucket, equal
+sets being one class; components of the confirmed links follow, and more centres for large buckets. Only pairs across
+components are then compared, each in the first bucket that it shares: small buckets by a join whose condition holds
+the signature distance, large ones in blocks of bounded size, members outside the bucket's largest component against
+all, where only links leave a block. Links are confirmed on full shingle sets.
 
 Defined results: a null text has no words; texts without words are linked with nothing; a row is judged by its own
 text, rows of one class share a component; a null id is a member of its class but never its representative, and is
@@ -34,6 +36,8 @@ MOST_ERRORS = 2 * CHUNKS - 1
 #: Buckets up to this size go to the pair join at once; larger ones get more centres first.
 SMALL_BUCKET = 64
 STAR_ROUNDS = 3
+#: Members on each side of a block of a large bucket.
+BLOCK_MEMBERS = 512
 _RNG = np.random.default_rng(77)
 _XOR = _RNG.integers(0, 2**63, CHUNKS * LANES, dtype=np.uint64)
 _MUL = _RNG.integers(0, 2**62, CHUNKS * LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -94,13 +98,109 @@ def distance(a: str, b: str) -> Column:
 
 
 def index_keys(reps: DataFrame) -> DataFrame:
-    """(key, id): every chunk under the four keys that leave one of its symbols out."""
+    """(id, pos, key): every chunk under the four keys that leave one of its symbols out."""
     keys = [
         F.xxhash64(F.lit(c * LANES + m), F.col(s).bitwiseAND(F.lit(~(0xFFFF << 16 * m) if m < 3 else 0x0000FFFFFFFFFFFF)))
         for c, s in enumerate(SIG)
         for m in range(LANES)
     ]
-    return reps.select("id", F.explode(F.array(*keys)).alias("key"))
+    return reps.select("id", F.posexplode(F.array(*keys)).alias("pos", "key"))
+
+
+def first_shared(a: str, b: str) -> Column:
+    """The position of the first index key that the signatures of the aliases ``a`` and ``b`` share."""
+    out = F.lit(-1)
+    for c in reversed(range(CHUNKS)):
+        x = F.col(f"{a}.{SIG[c]}").bitwiseXOR(F.col(f"{b}.{SIG[c]}"))
+        for m in reversed(range(LANES)):
+            lane = 0xFFFF << 16 * m if m < 3 else -(1 << 48)
+            out = F.when(x.bitwiseAND(F.lit(~lane)) == 0, c * LANES + m).otherwise(out)
+    return out
+
+
+class _Set:
+    """Disjoint sets of whatever can be hashed."""
+
+    def __init__(self):
+        self.up: dict = {}
+
+    def find(self, x):
+        while self.up.get(x, x) != x:
+            self.up[x] = self.up.get(self.up[x], self.up[x])
+            x = self.up[x]
+        return x
+
+    def join(self, x, y) -> None:
+        self.up[max(self.find(x), self.find(y))] = min(self.find(x), self.find(y))
+
+
+def block_links(pos: int, left: list[tuple], right: list[tuple], percent: int) -> list[tuple]:
+    """Links (id, id) across components between members (id, comp, outside, signature, sorted shingles).
+
+    Only links that join components which no earlier link of the block has joined.
+    """
+    found, joined = [], _Set()
+    sig_l, sig_r = (np.array([m[3] for m in side], np.int64).view(np.uint16).reshape(len(side), CHUNKS, LANES) for side in (left, right))
+    size_r = np.array([len(m[4]) for m in right])
+    id_r = np.array([m[0] for m in right])
+    outside_r = np.array([m[2] for m in right])
+    all_r, off_r = np.concatenate([m[4] for m in right]), np.concatenate(([0], np.cumsum(size_r)))
+    for (own, comp, _, _, shingles), sig in zip(left, sig_l):
+        same = sig_r == sig
+        errors = CHUNKS * LANES - same.sum((1, 2))
+        chunk = same.sum(2) >= LANES - 1
+        first = chunk.argmax(1)
+        lanes = same[np.arange(len(right)), first]
+        at = first * LANES + np.where(lanes.all(1), 0, lanes.argmin(1))
+        n = len(shingles)
+        ok = (errors <= MOST_ERRORS) & chunk.any(1) & (at == pos) & (~outside_r | (id_r > own))
+        ok &= 100 * np.minimum(n, size_r) >= percent * np.maximum(n, size_r)
+        group = joined.find(comp)
+        for i in np.flatnonzero(ok)[np.argsort(errors[ok], kind="stable")]:
+            if joined.find(right[i][1]) == group:
+                continue
+            y = all_r[off_r[i] : off_r[i + 1]]
+            place = np.minimum(np.searchsorted(shingles, y), n - 1)
+            both = int(np.count_nonzero(shingles[place] == y))
+            if 100 * both >= percent * (n + len(y) - both):
+                found.append((own, right[i][0]))
+                joined.join(comp, right[i][1])
+                group = joined.find(comp)
+    return found
+
+
+def large_links(open_: DataFrame, sig: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links across components within buckets (key, pos, id, comp) of any size."""
+    kind = open_.schema["id"].dataType.simpleString()
+    largest = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), F.max("n").alias("in"))
+    blocks = largest.select("key", "top", F.ceil((F.col("all") - F.col("in")) / BLOCK_MEMBERS).cast("int").alias("nl"), F.ceil(F.col("all") / BLOCK_MEMBERS).cast("int").alias("nr"))
+    m = open_.select("key", "pos", "id", "comp").join(blocks, "key").withColumn("outside", F.col("comp") != F.col("top"))
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = m.filter("outside").select("key", "pos", "id", "comp", "outside", F.lit(0).alias("side"), deal("nl").alias("lb"), every("nr").alias("rb"))
+    right = m.select("key", "pos", "id", "comp", "outside", F.lit(1).alias("side"), every("nl").alias("lb"), deal("nr").alias("rb"))
+    full = left.unionByName(right).join(sig, "id").join(shingles, "id")
+    dealt = full.repartition("key", "lb", "rb").sortWithinPartitions("key", "lb", "rb", "side").select("key", "lb", "rb", "side", "pos", "id", "comp", "outside", *SIG, "shingles")
+
+    def run(batches):
+        held, now = ([], []), None
+
+        def done():
+            links = block_links(now[3], *held, percent) if held[0] and held[1] else []
+            return pa.record_batch([pa.array([x for x, _ in links], ids), pa.array([y for _, y in links], ids)], ["a", "b"])
+
+        for batch in batches:
+            ids = batch.schema.field("id").type
+            for r in zip(*(c.to_pylist() for c in batch.columns)):
+                if now is not None and now[:3] != r[:3]:
+                    yield done()
+                    held = ([], [])
+                now = (*r[:3], r[4])
+                held[r[3]].append((r[5], r[6], r[7], r[8 : 8 + CHUNKS], np.frombuffer(r[8 + CHUNKS], np.uint64)))
+        if now is not None:
+            yield done()
+
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def confirm(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
@@ -152,44 +252,47 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     members = stash(keys.join(shared, "key"), "members")
     sig = reps.select("id", *SIG)
 
+    def shingles(of: DataFrame) -> DataFrame:
+        wanted = of.select(F.col("id").alias(key)).distinct()
+        return stash(sets(docs.select(key, text).join(wanted, key, "left_semi"), key, text, width).dropDuplicates(["id"]), "sets")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return confirm(pairs, shingles(pairs.select(F.col("a").alias("id")).union(pairs.select("b"))), percent)
+
     def near(pairs: DataFrame) -> DataFrame:
         x, y = sig.withColumnRenamed("id", "a").alias("x"), sig.withColumnRenamed("id", "b").alias("y")
-        return pairs.join(x, "a").join(y, "b").filter(distance("x", "y") <= MOST_ERRORS).select("a", "b")
+        return stash(pairs.join(x, "a").join(y, "b").filter(distance("x", "y") <= MOST_ERRORS).select("a", "b"), "pairs")
 
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = stash(near(pairs) if name == "star" else pairs, "pairs")
-        wanted = pairs.select(F.col("a").alias(key)).union(pairs.select(F.col("b").alias(key))).distinct()
-        return confirm(pairs, stash(sets(docs.select(key, text).join(wanted, key, "left_semi"), key, text, width).dropDuplicates(["id"]), "sets"), percent)
+    def merged(label: DataFrame, links: DataFrame) -> DataFrame:
+        """Labels with further links, which are written."""
+        if links.isEmpty():
+            return label
+        return components(label.filter("id != comp").select(F.col("comp").alias("a"), F.col("id").alias("b")).union(links))
+
+    def still_open(label: DataFrame, among: DataFrame, turn: int) -> DataFrame:
+        """Members of buckets that hold several components, with the component, and a centre drawn for the bucket."""
+        placed = among.select("key", "pos", "id", "n").join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        draw = F.xxhash64("id", F.lit(turn))
+        split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("id", "comp"), draw).alias("c")).filter("lo != hi")
+        return stash(placed.join(split.select("key", "c"), "key"), "open")
 
     star = members.filter("id != c0").select(F.col("c0").alias("a"), F.col("id").alias("b")).distinct()
-    links = stash(confirmed(star, "star"), "found")
-    label = components(links)
-    tried = star
-    for turn in range(STAR_ROUNDS + 1):
-        placed = members.select("key", "id", "n").join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("c"), F.min_by("comp", F.xxhash64("id", F.lit(turn))).alias("cc")).filter("lo != hi")
-        open_ = stash(placed.join(split.select("key", "c", "cc"), "key"), "open")
-        if turn < STAR_ROUNDS:
-            if open_.filter(F.col("n") > SMALL_BUCKET).isEmpty():
-                continue
-            more = open_.filter((F.col("n") > SMALL_BUCKET) & (F.col("comp") != F.col("cc"))).select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).distinct()
-            name = "star"
-        else:
-            side = open_.select("key", "id", "comp").join(sig, "id")
-            more = (
-                side.alias("x")
-                .join(side.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & (distance("x", "y") <= MOST_ERRORS))
-                .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-                .distinct()
-            )
-            name = "pairs"
-        more = more.join(tried, ["a", "b"], "left_anti")
-        new = stash(confirmed(more, name), "found")
-        if not new.isEmpty():
-            links = stash(label.filter("id != comp").select(F.col("comp").alias("a"), F.col("id").alias("b")).union(new), "links")
-            label = components(links)
-        if name == "star":
-            tried = tried.union(more)
+    label = components(stash(confirmed(near(star)), "found"))
+    for turn in range(STAR_ROUNDS):
+        wide = still_open(label, members.filter(F.col("n") > SMALL_BUCKET), turn)
+        if wide.isEmpty():
+            break
+        pairs = wide.filter(F.col("comp") != F.col("c.comp")).select(F.least("c.id", "id").alias("a"), F.greatest("c.id", "id").alias("b")).distinct()
+        label = merged(label, stash(confirmed(near(pairs)), "found"))
+    open_ = still_open(label, members, STAR_ROUNDS)
+    side = open_.filter(F.col("n") <= SMALL_BUCKET).select("key", "pos", "id", "comp").join(sig, "id")
+    across = (F.col("x.key") == F.col("y.key")) & (F.col("x.pos") == F.col("y.pos")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp"))
+    pairs = side.alias("x").join(side.alias("y"), across & (distance("x", "y") <= MOST_ERRORS) & (first_shared("x", "y") == F.col("x.pos"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    links = [stash(confirmed(stash(pairs, "pairs")), "found")]
+    wide = open_.filter(F.col("n") > SMALL_BUCKET)
+    if not wide.isEmpty():
+        links.append(stash(large_links(wide, sig, shingles(wide), percent), "found"))
+    label = merged(label, links[0].union(links[-1]) if len(links) > 1 else links[0])
     named = signed.select("id", "n_shingles", "f0", "f1").join(reps.select("f0", "f1", F.col("id").alias("rep")), ["f0", "f1"], "left")
     placed = named.join(label.select(F.col("id").alias("rep"), "comp"), "rep", "left")
     comp = F.when(F.col("n_shingles") > 0, F.coalesce("comp", "rep")).otherwise(F.col("id"))
