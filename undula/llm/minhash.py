@@ -36,6 +36,8 @@ MOST_ERRORS = 2 * CHUNKS - 1
 #: Buckets up to this size go to the pair join at once; larger ones get more centres first.
 SMALL_BUCKET = 64
 STAR_ROUNDS = 3
+#: Bits of the bitmap of wanted ids: 1 MB.
+BITMAP_BITS = 1 << 23
 #: Members on each side of a block of a large bucket.
 BLOCK_MEMBERS = 512
 _RNG = np.random.default_rng(77)
@@ -97,6 +99,19 @@ def distance(a: str, b: str) -> Column:
     return total
 
 
+def among(docs: DataFrame, key: str, of: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key may be an id of ``of``: a bitmap of hashed ids, ``BITMAP_BITS`` at most, is broadcast.
+
+    Rows that share a bit pass as well and meet no partner later; texts are not shuffled, however many ids there are.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP_BITS))
+    maps = of.select(bit("id").alias("h")).groupBy(F.bitmap_bucket_number("h").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("__bits"))
+    at = F.bitmap_bit_position("__h")
+    byte = F.conv(F.hex(F.substr(F.col("__bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    with_bits = docs.withColumn("__h", bit(key)).withColumn("__bucket", F.bitmap_bucket_number("__h")).join(F.broadcast(maps), "__bucket")
+    return with_bits.filter(F.getbit(byte, (at % 8).cast("int")) == 1).select(docs.columns)
+
+
 def index_keys(reps: DataFrame) -> DataFrame:
     """(id, pos, key): every chunk under the four keys that leave one of its symbols out."""
     keys = [
@@ -177,10 +192,11 @@ def large_links(open_: DataFrame, sig: DataFrame, shingles: DataFrame, percent:
     m = open_.select("key", "pos", "id", "comp").join(blocks, "key").withColumn("outside", F.col("comp") != F.col("top"))
     deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = m.filter("outside").select("key", "pos", "id", "comp", "outside", F.lit(0).alias("side"), deal("nl").alias("lb"), every("nr").alias("rb"))
-    right = m.select("key", "pos", "id", "comp", "outside", F.lit(1).alias("side"), every("nl").alias("lb"), deal("nr").alias("rb"))
-    full = left.unionByName(right).join(sig, "id").join(shingles, "id")
-    dealt = full.repartition("key", "lb", "rb").sortWithinPartitions("key", "lb", "rb", "side").select("key", "lb", "rb", "side", "pos", "id", "comp", "outside", *SIG, "shingles")
+    m = stash(m.join(sig, "id").join(shingles, "id"), "wide")
+    own = ["pos", "id", "comp", "outside", *SIG, "shingles"]
+    left = m.filter("outside").select("key", deal("nl").alias("lb"), every("nr").alias("rb"), F.lit(0).alias("side"), *own)
+    right = m.select("key", every("nl").alias("lb"), deal("nr").alias("rb"), F.lit(1).alias("side"), *own)
+    dealt = left.unionByName(right).repartition("key", "lb", "rb").sortWithinPartitions("key", "lb", "rb", "side")
 
     def run(batches):
         held, now = ([], []), None
@@ -253,8 +269,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     sig = reps.select("id", *SIG)
 
     def shingles(of: DataFrame) -> DataFrame:
-        wanted = of.select(F.col("id").alias(key)).distinct()
-        return stash(sets(docs.select(key, text).join(wanted, key, "left_semi"), key, text, width).dropDuplicates(["id"]), "sets")
+        return stash(sets(among(docs.select(key, text), key, of), key, text, width), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         return confirm(pairs, shingles(pairs.select(F.col("a").alias("id")).union(pairs.select("b"))), percent)
