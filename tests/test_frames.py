@@ -138,6 +138,19 @@ def test_homotopy_frames(spark):
     assert {q.step for q in cluster.valid_partitions(path).collect()} and path.filter("step = 0").select("cluster").distinct().count() == 24
 
 
+def test_path_queries_see_every_axis(spark, sf):
+    from undula.plans import catalog
+
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    ids, x = [r.vec_id for r in rows], np.array([r.embedding for r in rows], float)
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    np.fill_diagonal(d, np.inf)
+    want = {(min(a, b), max(a, b)) for a in range(len(x)) for b in np.argsort(d[a], kind="stable")[: catalog.M]}
+    e = catalog._groups(spark, sf)[1].collect()
+    assert {(ids.index(r.i), ids.index(r.j)) for r in e} == want
+    assert catalog.fista_solve(spark, sf).groupBy("sample_id").count().agg(F.min("count")).first()[0] == x.shape[1]
+
+
 def test_experiment(spark):
     r = runner.run_experiment(spark, "pendulum", fast=True, samples=24)
     row = r["result"].first()

@@ -111,6 +111,25 @@ def test_homotopy_finds_two_blobs(criterion):
     assert len(set(labels[:12])) == 1 and len(set(labels[12:])) == 1 and labels[0] != labels[12]
 
 
+def test_silhouette_equals_definition_in_bounded_memory():
+    import tracemalloc
+
+    r = np.random.default_rng(4)
+    x, labels = r.normal(3, 1, (601, 64)), np.append(r.integers(0, 9, 600), 9)
+    tracemalloc.start()
+    got = cluster.silhouette(x, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < len(x) ** 2 * 64  # an eighth of the array of all differences
+    each = []
+    for k, v in enumerate(x):
+        d = np.linalg.norm(x - v, axis=1)
+        means = {c: d[(labels == c) & (np.arange(len(x)) != k)].mean() for c in range(10) if ((labels == c) & (np.arange(len(x)) != k)).any()}
+        a, b = means.pop(labels[k], None), min(v for c, v in means.items() if c != labels[k])
+        each.append(0.0 if a is None else (b - a) / max(a, b))
+    assert np.isclose(got, np.mean(each))
+
+
 def test_fista_cannot_be_improved():
     x = blobs(1, 6, 0.3)
     e = knn_edges(x, 4)

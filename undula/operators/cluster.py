@@ -11,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of the distance matrix that a silhouette holds at a time.
+ROWS = 256
+
 
 def fista(x: np.ndarray, i: np.ndarray, j: np.ndarray, w: np.ndarray, lam: float, n: int | None = None, steps: int = 500, tol: float = 1e-7) -> np.ndarray:
     """U of the least (1/n) |X - U|^2 + lam sum w |u_i - u_j|_1, by accelerated projected steps on the dual."""
@@ -125,16 +128,24 @@ def labels_of(members: dict[int, list[int]], n: int) -> np.ndarray:
 
 
 def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
-    k = labels.max() + 1
-    sums = np.stack([d[:, labels == c].sum(1) for c in range(k)], 1)
-    count = np.bincount(labels, minlength=k)
-    own = count[labels]
-    a = sums[np.arange(len(x)), labels] / np.maximum(own - 1, 1)
-    means = sums / np.maximum(count, 1)
-    means[np.arange(len(x)), labels] = np.inf
-    b = means.min(1)
-    return float(np.where(own > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0).mean())
+    """Distances come as rows of ``ROWS`` by Gram products, so memory grows with n, whatever the number of axes."""
+    _, labels, count = np.unique(labels, return_inverse=True, return_counts=True)
+    order, first = np.argsort(labels, kind="stable"), np.cumsum(count) - count
+    x = x - x.mean(0)
+    norm, total = (x * x).sum(1), 0.0
+    for lo in range(0, len(x), ROWS):
+        at = np.arange(lo, min(lo + ROWS, len(x)))
+        here = np.arange(len(at))
+        d = np.sqrt(np.maximum(norm[at, None] + norm - 2 * x[at] @ x.T, 0))
+        d[here, at] = 0
+        sums = np.add.reduceat(d[:, order], first, axis=1)
+        own = count[labels[at]]
+        a = sums[here, labels[at]] / np.maximum(own - 1, 1)
+        means = sums / count
+        means[here, labels[at]] = np.inf
+        b = means.min(1)
+        total += float(np.where(own > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0).sum())
+    return total / len(x)
 
 
 def davies_bouldin(x: np.ndarray, labels: np.ndarray) -> float:

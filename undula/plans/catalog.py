@@ -502,8 +502,8 @@ def gcv_wavelet(spark, d):
 
 
 def _groups(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Points and edges of the embeddings' first four axes."""
-    z = _nodes(spark, d).select("sample_id", "label", F.slice("z", 1, 4).alias("z"))
+    """Points and edges of the embeddings."""
+    z = _nodes(spark, d)
     return z, graph.edges(graph.neighbours(graph.euclidean_pairs(z), M))
 
 
