@@ -108,6 +108,20 @@ def test_karcher_mean(spark):
     assert np.allclose(manifolds.fit_anchor(df, "y"), [1, 0, 0], atol=1e-6)
 
 
+def test_anchor_query_sees_every_axis(spark, sf):
+    from undula.plans import catalog
+
+    got = np.array([r.x for r in catalog.karcher_anchor(spark, sf).orderBy("k").collect()])
+    x = np.array([r.embedding for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()], float) / 10
+    assert len(got) == x.shape[1]
+    x[:, 0] = 0
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    y = np.sin(n) / n * x
+    y[:, 0] = np.cos(n[:, 0])
+    angle = np.arccos(np.clip(y @ got, -1, 1))[:, None]
+    assert np.abs((angle / np.sin(angle) * (y - np.cos(angle) * got)).mean(0)).max() < 1e-5  # no pull is left at the mean
+
+
 def test_generators_keep_to_their_manifolds(spark):
     for kind, test in (("hypersphere", lambda n: np.allclose(n, 1)), ("hyperbolic", lambda n: (n < 1).all())):
         x = np.array([r["values"] for r in generators.generate(spark, kind, samples=6).orderBy("sample_id", "feature").collect()]).reshape(6, -1, generators.CATALOG[kind][2])

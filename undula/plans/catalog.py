@@ -379,7 +379,8 @@ def poincare_log0(spark, d):
 
 @query("karcher_anchor")
 def karcher_anchor(spark, d):
-    on = _tangent(spark, d).select(manifolds.sphere_exp(manifolds.default_anchor(F.col("v")), F.col("v")).alias("y"))
+    v = F.concat(F.array(F.lit(0.0)), F.transform(F.slice("z", F.lit(2), F.size("z") - 1), lambda x: x / 10))
+    on = _nodes(spark, d).select(v.alias("v")).select(manifolds.sphere_exp(manifolds.default_anchor(F.col("v")), F.col("v")).alias("y"))
     return spark.createDataFrame([(k, round(x, 6)) for k, x in enumerate(manifolds.fit_anchor(on, "y"))], "k int, x double")
 
 
