@@ -171,6 +171,18 @@ def test_experiment(spark):
     assert 1 <= row.n_pred <= 24 and row.n_true == 4 and r["log"].count() == 20
 
 
+def test_experiment_queries_run_the_whole_catalog_set(spark, sf, monkeypatch):
+    from undula.plans import catalog
+
+    seen = {}
+    row = spark.createDataFrame([("pendulum", 4, 1.0, 1.0, 4)], "dataset string, n_true int, ari double, ami double, n_pred int")
+    study = spark.createDataFrame([(0, 1.0)], "trial int, value double")
+    monkeypatch.setattr(runner, "run_experiment", lambda _, name, **k: seen.update(k) or {"result": row})
+    monkeypatch.setattr(runner, "optimize", lambda _, coefs, *a, **k: seen.update(k, n=coefs.select("sample_id").distinct().count()) or ({}, study))
+    catalog.run_experiment(spark, sf), catalog.tune(spark, sf)
+    assert seen == {"n": generators.CATALOG["pendulum"][0]}
+
+
 def test_stream_of_points_equals_batch(spark, tmp_path):
     rows = [(s, f, f"2024-01-{d:02d} 00:00:00", float(d)) for s in (1, 2) for f in ("a", "b") for d in range(1, 29)]
     df = spark.createDataFrame(rows, "sample_id long, feature string, ts string, value double").withColumn("ts", F.to_timestamp("ts"))

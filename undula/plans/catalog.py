@@ -564,16 +564,16 @@ def train_encode(spark, d):
 
 @query("run_experiment")
 def run_experiment(spark, d):
-    r = runner.run_experiment(spark, "pendulum", fast=True, samples=40, epochs=6, pretrain_epochs=3)["result"]
+    r = runner.run_experiment(spark, "pendulum")["result"]
     return r.select("dataset", "n_true", F.round("ari", 4).alias("ari"), F.round("ami", 4).alias("ami"), "n_pred")
 
 
 @query("tune")
 def tune(spark, d):
-    g = generators.generate(spark, "pendulum", samples=24)
+    g = generators.generate(spark, "pendulum")
     c, basis = smoothing.smoothing_features(normalise.rescale(g), 8, 40)
     e = graph.edges(graph.neighbours(distance.pairwise(g, "fastdtw"), 4))
-    return runner.optimize(spark, c, e, basis, basis, trials=4, epochs=4, pretrain=2)[1].select("trial", F.round("value", 5).alias("value"))
+    return runner.optimize(spark, c, e, basis, basis)[1].select("trial", F.round("value", 5).alias("value"))
 
 
 @query("baseline_linear")
