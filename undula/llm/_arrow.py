@@ -9,6 +9,8 @@ import pyarrow as pa
 
 #: Text bytes that a worker handles at a time; one longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
+#: Rows of a slice, at most: short texts cost by the row.
+SLICE_ROWS = 20_000
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -25,16 +27,46 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: int = 1, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that the column at ``text`` holds at most ``most`` bytes, or one row."""
+    """The rows of the batches, in order, in slices whose column at ``text`` holds at most ``most`` bytes, or of one row.
+
+    Small batches are put together, large ones are cut.
+    """
+    held: list[pa.RecordBatch] = []
+    size = rows = 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, off = utf8(batch.column(text))
+        off = offsets(batch.column(text))
         start = 0
         while start < batch.num_rows:
-            end = max(start + 1, int(np.searchsorted(off, off[start] + most, "right")) - 1)
-            yield batch.slice(start, end - start)
+            room = max(most - size, 0)
+            end = min(int(np.searchsorted(off, off[start] + room, "right")) - 1, start + SLICE_ROWS - rows)
+            if end <= start:
+                if held:
+                    yield _whole(held)
+                    held, size, rows = [], 0, 0
+                    continue
+                end = start + 1
+            held.append(batch.slice(start, end - start))
+            size += int(off[end] - off[start])
+            rows += end - start
             start = end
+            if size >= most or rows >= SLICE_ROWS:
+                yield _whole(held)
+                held, size, rows = [], 0, 0
+    if held:
+        yield _whole(held)
+
+
+def _whole(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return held[0] if len(held) == 1 else pa.concat_batches(held)
+
+
+def offsets(column: pa.Array) -> np.ndarray:
+    """Where each text of a text or binary column begins, and where the last ends; its bytes are not copied."""
+    large = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    raw = column.buffers()[1]
+    return np.frombuffer(raw, np.int64 if large else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
 
 
 def binary(chunks: list[bytes]) -> pa.Array:
