@@ -89,22 +89,50 @@ def tokenizer():
 def test_bpe_equals_the_library(spark, tokenizer):
     r = random.Random(0)
     chars = "ab '\n\t  \x1c\xa0 é9٣,.$sdSТß你🙂\r\x0b\x85"
-    texts = [t for t in ODD if t is None or len(t) < 6000] + ["a  's b", " 's", "don't we'll  ", "<|endoftext|>", "a" * 300, say(1, 80)]
+    texts = ODD + ["a  's b", " 's", "don't we'll  ", "<|endoftext|>", "a" * 300, say(1, 80)]
     texts += ["".join(r.choice(chars) for _ in range(r.randint(1, 40))) for _ in range(300)]
     got = {x.doc_id: x for x in bpe.encode_decode(frame(spark, texts), "doc_id", "text", *queries._vocabulary()).collect()}
     for i, t in enumerate(texts):
         assert np.frombuffer(got[i].ids, "<u4").tolist() == tokenizer.encode_ordinary(t or "") and bytes(got[i].decoded) == (t or "").encode()
 
 
-def test_long_pieces_and_many_rounds(tokenizer):
+@pytest.mark.parametrize("n", [97, 1000, 20_000, 133_000, 1_000_000])
+def test_long_pieces_equal_the_library(tokenizer, n):
+    c, r = bpe.codec(*queries._vocabulary()), random.Random(n)
+    texts = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=n)), "a" * n]
+    texts += ["".join(r.choices("aehtio", k=n)), "abc" * (n // 3), "é" * (n // 2), "\n " * (n // 2), " " * n] if n < 10**6 else []
+    ids, at = c.encode(*utf8(pa.array(texts)))
+    for i, (t, raw) in enumerate(zip(texts, c.decode(ids, at))):
+        assert ids[at[i] : at[i + 1]].tolist() == tokenizer.encode_ordinary(t) and raw == t.encode()
+
+
+def test_windows_without_a_common_token_are_joined(tokenizer, monkeypatch):
+    monkeypatch.setattr(bpe, "STRIDE", 3)
+    monkeypatch.setattr(bpe, "SHORT_BYTES", 6)
+    monkeypatch.setattr(bpe, "LONG_BYTES", 40)
     c, r = bpe.codec(*queries._vocabulary()), random.Random(1)
-    old = bpe.LONG_BYTES
-    try:
-        bpe.LONG_BYTES = 40
-        for p in ("".join(r.choice("abcdefghij") for _ in range(400)), "ab" * 120, "é" * 90, "zzz" * 60):
-            assert c.encode_pieces([p.encode()])[0].tolist() == tokenizer.encode_ordinary(p)
-    finally:
-        bpe.LONG_BYTES = old
+    for p in ("".join(r.choice("abcdefghij") for _ in range(400)), "ab" * 120, "é" * 90, "zzz" * 60, "abcdefg" * 30):
+        assert c._stitched(p.encode()).tolist() == tokenizer.encode_ordinary(p)
+
+
+def test_blocks_and_dropped_pieces_change_nothing(tokenizer, monkeypatch):
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 50)
+    monkeypatch.setattr(bpe, "DECODE_IDS", 7)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 1000)
+    c, texts = bpe.codec(*queries._vocabulary()), [say(1, 60), "", "x" * 200 + " \u3000 y", " " * 130, None, "é\xa0 b \u2003 c"] * 2
+    ids, at = c.encode(*utf8(pa.array(texts)))
+    for i, (t, raw) in enumerate(zip(texts, c.decode(ids, at))):
+        assert ids[at[i] : at[i + 1]].tolist() == tokenizer.encode_ordinary(t or "") and raw == (t or "").encode()
+
+
+def test_bpe_query(spark, sf, tokenizer):
+    got = queries.op2_byte_bpe(spark, sf).toPandas()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").toPandas().set_index("doc_id").text
+    assert len(got) == len(docs)
+    for r in got.itertuples():
+        ids = tokenizer.encode_ordinary(docs[r.doc_id] or "")
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256((docs[r.doc_id] or "").encode()).hexdigest()
 
 
 def test_decode_by_ids(spark):
@@ -113,7 +141,7 @@ def test_decode_by_ids(spark):
     got = {r.doc_id: r.decoded for r in bpe.decode(ids, "doc_id", "ids", path, pattern).collect()}
     assert bytes(got[0]) == "héllo wörld".encode() and got[1] is None
     with pytest.raises(ValueError):
-        bpe.codec(path, pattern).decode_pieces([np.array([10**6], np.int32)])
+        bpe.codec(path, pattern).decode(np.array([10**6]), np.array([0, 1]))
 
 
 # --- 3 near-duplicates ------------------------------------------------------------------------------------------
@@ -339,7 +367,7 @@ def test_chat_digests_of_odd_rows(spark):
 
 def test_leaks_with_edits_are_found(spark, odd):
     r = random.Random(5)
-    items = [say(1000 + i, 12 + i) for i in range(20)] + ["short", None]
+    items = [say(1000 + i, 12 + i) for i in range(20)] + ["brevity", None]
 
     def edit(t, n):
         t = list(t)
@@ -362,25 +390,64 @@ def test_leaks_with_edits_are_found(spark, odd):
     assert decontaminate.keep(docs.limit(0), bench, "text", "item_id", "text").count() == 0
 
 
-def test_banded_alignment_is_the_edit_distance():
-    r = random.Random(6)
-    item = say(7, 20)
-    index = decontaminate.build([item])
-    plain = item.encode()
-    for n in (0, 3, 9):
-        t = bytearray(plain)
+def brute_edits(text, item):
+    """The fewest edits over all places if they are within the budget, by the plain recurrence over normalised bytes."""
+    plain = lambda t: decontaminate.normalise(raw := np.frombuffer(t.encode(), np.uint8), np.array([0, len(raw)]))[0].tobytes()
+    t, i = plain(text), plain(item).lstrip(b" ")
+    if len(i) < decontaminate.Q:
+        return 0 if i and b" " + i + b" " in b" " + t + b" " else None
+    budget, j = min(len(i) // 10, (len(i) - 8) // 8), np.arange(len(t) + 1)
+    row, chars = np.zeros(len(t) + 1, int), np.frombuffer(t, np.uint8)
+    for n, c in enumerate(i, 1):
+        row = np.minimum.accumulate(np.concatenate(([n], np.minimum(row[:-1] + (chars != c), row[1:] + 1))) - j) + j
+    return int(row.min()) if row.min() <= budget else None
+
+
+@pytest.mark.parametrize("lot", [40, 1 << 18])
+def test_search_equals_all_places(lot, monkeypatch):
+    monkeypatch.setattr(decontaminate, "LOT", lot)
+    monkeypatch.setattr(decontaminate, "HITS", lot)
+    r = random.Random(8)
+
+    def edit(t, n):
+        t = list(t)
         for _ in range(n):
-            t[r.randrange(len(t))] = ord("q")
-        text = b"zz " + bytes(t) + b" yy"
-        row = [0] * (len(text) + 1)
-        for i, c in enumerate(plain, 1):
-            new = [i]
-            for j, d in enumerate(text, 1):
-                new.append(min(row[j - 1] + (c != d), row[j] + 1, new[-1] + 1))
-            row = new
-        chars = np.frombuffer(text, np.uint8)
-        got = decontaminate.align(index, chars, np.array([0]), np.array([3 - int(index.edits[0])]))
-        assert got[0][0] == min(row)
+            at, how = r.randrange(len(t)), r.random()
+            t[at : at + (how < 0.7)] = "q" if how < 0.4 else "zz" if how > 0.7 else ""
+        return "".join(t)
+
+    for trial in range(12):
+        items = [say(100 * trial + i, n) for i, n in enumerate((1, 1, 2, 3, 5, 9, 40, 90))] + ["a", "42", "yes no", "?!", "a" * 30, "ab" * 40, "twenty bytes of text", None]
+        texts = [None, "", "a" * 300, "ab" * 200, "Yes -- no", "42", "x 42y", "all: Twenty bytes, of text!"]
+        for _ in range(14):
+            own = r.choice([i for i in items if i])
+            texts.append(say(r.random(), r.randint(0, 6)) + r.choice([" ", "", "\n- "]) + edit(own, r.randint(0, len(own) // 8 + 1)) + r.choice([" ", "!! "]) + say(r.random(), 3))
+        index = decontaminate.build(items)
+        got = {(t, i): (e, a, b) for t, i, e, a, b in decontaminate.search(index, *utf8(pa.array(texts, pa.string())))}
+        want = {(t, i): e for t, x in enumerate(texts) for i, y in enumerate(items) if (e := brute_edits(x or "", y or "")) is not None}
+        assert {k: v[0] for k, v in got.items()} == want
+        for (t, i), (e, a, b) in got.items():
+            if not e:
+                assert brute_edits(texts[t].encode()[a:b].decode(), items[i]) == 0
+
+
+def test_whole_items_have_the_budget_however_long():
+    item = say(3, 110)
+    for part, found in ((item, True), (item[: len(item) - len(item) // 12], True), (item[:160], False), (item[: len(item) // 2], False)):
+        assert bool(decontaminate.search(decontaminate.build([item]), *utf8(pa.array([say(1, 20) + " " + part + " " + say(2, 20)])))) == found
+
+
+def test_blocks_of_a_benchmark_find_the_same(spark, sf, monkeypatch):
+    bench, docs = spark.read.parquet(f"{sf}/benchmark.parquet"), spark.read.parquet(f"{sf}/documents.parquet")
+    find = lambda: sorted(map(tuple, decontaminate.matches(docs, bench, "doc_id", "text", "item_id", "text").collect()))
+    clean = lambda: sorted(r.doc_id for r in decontaminate.keep(docs, bench, "text", "item_id", "text").collect())
+    one, kept = find(), clean()
+    texts, items = docs.toPandas().set_index("doc_id").text, bench.toPandas().set_index("item_id").text
+    assert one and set(kept) == set(texts.index) - {m[0] for m in one}
+    for d, i, e, _, _ in one:
+        assert brute_edits(texts[d], items[i]) == e
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 2_000)
+    assert len(decontaminate.blocks(bench, "item_id", "text")) > 1 and find() == one and clean() == kept
 
 
 # --- pipeline ---------------------------------------------------------------------------------------------------
