@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from undula.llm import bpe, chat, decontaminate, flac, language, minhash, quality, queries, sharding, stages, toxicity, warc
+from undula.llm import _skew, bpe, chat, decontaminate, flac, language, minhash, quality, queries, sharding, shingles, stages, toxicity, warc
 from undula.llm._arrow import slices, utf8
 from undula.llm.shingles import shingle_sets
 
@@ -187,6 +187,7 @@ def test_shingles_of_words():
 def test_components_equal_brute_force(spark, small, monkeypatch):
     monkeypatch.setattr(minhash, "SMALL_BUCKET", small)
     monkeypatch.setattr(minhash, "BLOCK_MEMBERS", 16)
+    monkeypatch.setattr(_skew, "TOGETHER", 7)
     texts = [t for t in ODD if t is None or len(t) < 100] + variants(1, 60, 60, 6) + variants(2, 20, 120, 3) + [say(s, 50) for s in range(20)] + ["A b C d", "a B c D", "a b"]
     got = minhash.near_duplicates(frame(spark, texts), "doc_id", "text", 4, 80).toPandas().set_index("doc_id")
     comp, size = brute_components(range(len(texts)), texts, 4, 80)
@@ -469,6 +470,41 @@ def test_stages_keep_columns_and_odd_rows(spark, sf):
     assert 11 in kept and 12 not in kept and None in kept
 
 
+def test_near_dedup_keeps_other_texts_of_an_id(spark, sf):
+    a, b, c = say(1, 60), say(2, 60), say(3, 60)
+    rows = [(1, a), (1, b), (2, a), (3, c), (4, c), (4, b), (5, None), (5, ""), (6, b), (1, b), (1, a.upper())]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id, (r.text or "").lower()) for r in stages.near_dedup(spark, docs, sf).collect())
+    assert got == sorted([(1, a), (1, b), (3, c), (5, "")])
+
+
+def test_near_dedup_equals_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = docs.toPandas().set_index("doc_id").text
+    comp, _ = brute_components(list(texts.index), list(texts), 5, 80)
+    assert {r.doc_id for r in stages.near_dedup(spark, docs, sf).collect()} == {i for i, c in comp.items() if i == c}
+
+
+def test_long_texts_in_small_blocks_change_nothing(monkeypatch):
+    texts = [say(1, 300), None, "", "x" * 5000, "a b\nc " * 200, "é ü\u3000" * 90, "end"]
+    model = toxicity.fit([say(i, 30) + " foulword" * (i % 3 == 0) for i in range(60)], np.arange(60) % 3 == 0)
+    names = language.fit([say(i, 30).encode() for i in range(10)] + ["éàçù".encode() * 9] * 10, ["a"] * 10 + ["b"] * 10)
+    tones = [flac.pad((t or "").encode()) for t in texts]
+
+    def all_():
+        u = utf8(pa.array(texts))
+        yield [x.tolist() for x in shingle_sets(*u, 4)]
+        yield quality.statistics(*u).tolist()
+        yield toxicity.score(model, [t or "" for t in texts]).tolist()
+        yield [x.round(5).tolist() for x in language.predict(names, *u)]
+        yield flac.encode(tones), flac.decode(flac.encode(tones)), [flac.feature(t) for t in tones]
+
+    whole = list(all_())
+    for module, name, value in ((shingles, "BLOCK", 37), (quality, "BLOCK", 41), (toxicity, "PART", 50), (language, "BLOCK", 3), (flac, "SLICE_BYTES", 700)):
+        monkeypatch.setattr(module, name, value)
+    assert list(all_()) == whole
+
+
 def test_pipeline_tokens_equal_the_library(spark, sf, tokenizer):
     import corpus_pipeline
 

@@ -5,14 +5,18 @@ several widths slide over them, the largest response of each filter, rectified,
 languages. A text's scores are the softmax of the mean log-probabilities of all its windows.
 
 Only rows with text and a non-null language that ``learn`` names are learnt from: a sample of at most
-``SAMPLE_ROWS`` rows, those with the least hash of their id, of each up to ``SAMPLE_WINDOWS`` windows.
+``SAMPLE_ROWS`` rows and ``SAMPLE_BYTES`` of text, those with the least hash of their id, of each all windows.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; without rows to learn from every text
-is; with one language learnt, every other text has it with score 1; the id is carried along and never an input.
+is; with one language learnt, every other text has it with score 1; equal scores go to the language first by name;
+the id is carried along and never an input; all windows of a text of any length are judged, a block at a time; rows
+that repeat an id are rows of their own, equal ones are learnt from once; an empty table gives an empty table; only
+the named columns are read, so others cannot clash, and ``keep`` returns all as they are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,13 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from undula.llm._arrow import slices, utf8
+from undula.llm._sample import drawn
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBED = 8
-SAMPLE_ROWS = 3000
-SAMPLE_WINDOWS = 8
+SAMPLE_ROWS = 1200
+#: Bytes of text that are learnt from, at most (one row at least).
+SAMPLE_BYTES = 16 << 20
 EPOCHS = 4
 BATCH = 64
 RATE = 3e-3
@@ -44,18 +50,21 @@ class Model:
     params: dict[str, np.ndarray]
 
 
-def windows(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(windows, WINDOW) bytes of all texts, zero-padded, and the text of each; an empty text has none."""
+def windows(raw: np.ndarray, off: np.ndarray, lot: int = 1 << 62) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(windows, WINDOW) bytes of all texts, zero-padded, and the text of each, ``lot`` windows at a time; an empty text has none."""
     n = -(-np.diff(off) // WINDOW)
-    text = np.repeat(np.arange(len(n)), n)
-    k = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-    start = off[text] + k * WINDOW
-    size = np.minimum(WINDOW, off[text + 1] - start)
-    padded = np.concatenate((raw, np.zeros(WINDOW, np.uint8)))
-    out = padded[start[:, None] + np.arange(WINDOW)]
-    short = np.flatnonzero(size < WINDOW)
-    out[short] *= np.arange(WINDOW) < size[short, None]
-    return out, text
+    upto = np.cumsum(n)
+    total = int(upto[-1]) if len(upto) else 0
+    for a in range(0, max(total, 1), lot):
+        w = np.arange(a, min(a + lot, total))
+        text = np.searchsorted(upto, w, "right")
+        start = off[text] + (w - (upto - n)[text]) * WINDOW
+        size = np.minimum(WINDOW, off[text + 1] - start)
+        at = start[:, None] + np.arange(WINDOW)
+        out = raw[np.minimum(at, len(raw) - 1)] if len(raw) else np.empty((0, WINDOW), np.uint8)
+        short = np.flatnonzero(size < WINDOW)
+        out[short] *= np.arange(WINDOW) < size[short, None]
+        yield out, text
 
 
 def start_params(classes: int) -> dict[str, np.ndarray]:
@@ -115,12 +124,9 @@ def fit(texts: list[bytes], names: list[str]) -> Model:
     known = sorted(set(names))
     if len(known) < 2:
         return Model(known, {})
-    x, of = windows(np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts]))))
+    x, of = next(windows(np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))))
     rng = np.random.default_rng(1)
-    order = np.lexsort((rng.random(len(of)), of))
-    rank = np.arange(len(of)) - np.searchsorted(of, of)
-    chosen = order[rank < SAMPLE_WINDOWS]
-    x, y = x[chosen], np.array([known.index(n) for n in names])[of[chosen]]
+    y = np.array([known.index(n) for n in names])[of]
     p = start_params(len(known))
     m = {k: np.zeros_like(v) for k, v in p.items()}
     v = {k: np.zeros_like(a) for k, a in p.items()}
@@ -144,13 +150,12 @@ def predict(model: Model, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray,
     n = len(off) - 1
     if len(model.names) < 2:
         return np.zeros(n, int), np.ones(n)
-    x, of = windows(raw, off)
     total = np.zeros((n, len(model.names)))
-    for a in range(0, len(x), BLOCK):
-        logp = forward(model.params, x[a : a + BLOCK])
+    for x, of in windows(raw, off, BLOCK):
+        logp = forward(model.params, x)
         for c in range(total.shape[1]):
-            total[:, c] += np.bincount(of[a : a + BLOCK], logp[:, c], n)
-    total /= np.maximum(np.bincount(of, minlength=n), 1)[:, None]
+            total[:, c] += np.bincount(of, logp[:, c], n)
+    total /= np.maximum(-(-np.diff(off) // WINDOW), 1)[:, None]
     p = np.exp(total - total.max(1, keepdims=True))
     p /= p.sum(1, keepdims=True)
     return p.argmax(1), p.max(1)
@@ -166,11 +171,11 @@ def judge(model: Model, column: pa.Array) -> tuple[pa.Array, pa.Array]:
     return pa.array(names[np.where(letters, best, len(model.names))].tolist(), pa.string()), pa.array(np.where(letters, score, 0.0))
 
 
-def sample(docs: DataFrame, key: str, text: str, lang: str, learn: Column, rows: int = SAMPLE_ROWS) -> tuple[list[bytes], list[str]]:
+def sample(docs: DataFrame, key: str, text: str, lang: str, learn: Column, rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -> tuple[list[bytes], list[str]]:
     """Texts and languages of at most ``rows`` rows to learn from, those whose ids have the least hash."""
-    ids = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull()).select(key).orderBy(F.xxhash64(key), key).limit(rows).distinct()
-    got = docs.select(key, text, lang).filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).join(F.broadcast(ids), key).orderBy(key).select(text, lang).toPandas()
-    return [t.encode() for t in got[text]], got[lang].tolist()
+    known = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
+    got = drawn(known.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("label")), rows, most)
+    return [t.encode() for t, _ in got], [x for _, x in got]
 
 
 def identify(docs: DataFrame, model: Model, key: str, text: str) -> DataFrame:
@@ -185,8 +190,9 @@ def identify(docs: DataFrame, model: Model, key: str, text: str) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model, text: str, least: float) -> DataFrame:
-    """The rows of ``docs``, all columns, that have a language with a score of at least ``least``."""
-    at = docs.columns.index(text)
+    """The rows of ``docs``, all columns, that have a language whose score lies at least ``least`` of the way from chance, 1 / languages, to 1."""
+    at, chance = docs.columns.index(text), 1 / max(len(model.names), 1)
+    least = chance + least * (1 - chance)
 
     def run(batches):
         for part in slices(batches, at, SLICE_BYTES):

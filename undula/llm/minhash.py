@@ -11,9 +11,13 @@ components are then compared, each in the first bucket that it shares: small buc
 the signature distance, large ones in blocks of bounded size, members outside the bucket's largest component against
 all, where only links leave a block. Links are confirmed on full shingle sets.
 
-Defined results: a null text has no words; texts without words are linked with nothing; a row is judged by its own
-text, rows of one class share a component; a null id is a member of its class but never its representative, and is
-not kept; an empty table gives an empty table; other columns are not read.
+A bucket, a centre, a class or a component may hold a large part of all rows: joins on them deal frequent keys
+(``_skew``), and aggregations combine before their shuffle.
+
+Defined results: a null text has no words; texts without words are linked with nothing; rows that share an id are one
+node, which has the links of all its texts; rows of one class share a component; a null id is a member of its class
+but never its representative, and is not kept; a text of any length is hashed in blocks; an empty table gives an empty
+table; other columns are not read, so they cannot clash.
 """
 
 from __future__ import annotations
@@ -24,8 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from undula.llm._arrow import slices, utf8
+from undula.llm._skew import spread_join
 from undula.llm._store import drop_stash, stash
 from undula.llm.shingles import shingle_sets
 
@@ -38,8 +44,9 @@ SMALL_BUCKET = 64
 STAR_ROUNDS = 3
 #: Bits of the bitmap of wanted ids: 1 MB.
 BITMAP_BITS = 1 << 23
-#: Members on each side of a block of a large bucket.
+#: Members on each side of a block of a large bucket, and bytes of their sets, about.
 BLOCK_MEMBERS = 512
+BLOCK_BYTES = 16 << 20
 _RNG = np.random.default_rng(77)
 _XOR = _RNG.integers(0, 2**63, CHUNKS * LANES, dtype=np.uint64)
 _MUL = _RNG.integers(0, 2**62, CHUNKS * LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -60,20 +67,36 @@ def signatures(flat: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def prints(flat: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """int64 (texts, 2): a 128-bit fingerprint of each set."""
+    return np.frombuffer(b"".join(hashlib.blake2b(flat[a:b].tobytes(), digest_size=16).digest() for a, b in zip(off[:-1], off[1:])), "<i8").reshape(-1, 2)
+
+
 def sign(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """(id, n_shingles, f0, f1: 128-bit fingerprint of the set, s0...: signature) of every row."""
 
     def run(batches):
         for part in slices(batches):
             flat, off = shingle_sets(*utf8(part.column(1)), width)
-            prints = np.frombuffer(b"".join(hashlib.blake2b(flat[a:b].tobytes(), digest_size=16).digest() for a, b in zip(off[:-1], off[1:])), "<i8").reshape(-1, 2)
-            sig = signatures(flat, off)
-            yield pa.record_batch([part.column(0), pa.array(np.diff(off)), *(pa.array(np.ascontiguousarray(c)) for c in (*prints.T, *sig.T))], ["id", "n_shingles", "f0", "f1", *SIG])
+            columns = (*prints(flat, off).T, *signatures(flat, off).T)
+            yield pa.record_batch([part.column(0), pa.array(np.diff(off)), *(pa.array(np.ascontiguousarray(c)) for c in columns)], ["id", "n_shingles", "f0", "f1", *SIG])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"id {kind}, n_shingles long, f0 long, f1 long, " + ", ".join(f"{s} long" for s in SIG))
 
 
+def with_prints(docs: DataFrame, text: str, width: int, names: tuple[str, str]) -> DataFrame:
+    """``docs``, all columns, with the fingerprint of each text's set as the columns ``names``."""
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for part in slices(batches, at):
+            flat, off = shingle_sets(*utf8(part.column(at)), width)
+            yield pa.record_batch([*part.columns, *(pa.array(np.ascontiguousarray(c)) for c in prints(flat, off).T)], [*part.schema.names, *names])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *(StructField(name, LongType()) for name in names)]))
+
+
 def sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """(id, shingles binary: sorted 64-bit hashes) of every row."""
 
@@ -187,12 +210,14 @@ def block_links(pos: int, left: list[tuple], right: list[tuple], percent: int) -
 def large_links(open_: DataFrame, sig: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     """(a, b): links across components within buckets (key, pos, id, comp) of any size."""
     kind = open_.schema["id"].dataType.simpleString()
-    largest = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), F.max("n").alias("in"))
-    blocks = largest.select("key", "top", F.ceil((F.col("all") - F.col("in")) / BLOCK_MEMBERS).cast("int").alias("nl"), F.ceil(F.col("all") / BLOCK_MEMBERS).cast("int").alias("nr"))
-    m = open_.select("key", "pos", "id", "comp").join(blocks, "key").withColumn("outside", F.col("comp") != F.col("top"))
+    m = stash(open_.select("key", "pos", "id", "comp").join(sig, "id").join(shingles, "id"), "wide")
+    weight = F.sum(F.lit(1 / BLOCK_MEMBERS) + F.octet_length("shingles") / BLOCK_BYTES)
+    largest = m.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), weight.alias("w")).groupBy("key")
+    largest = largest.agg(F.max_by(F.struct("comp", "w"), F.struct("n", "comp")).alias("top"), F.sum("w").alias("all"))
+    blocks = largest.select("key", F.col("top.comp").alias("top"), F.greatest(F.ceil(F.col("all") - F.col("top.w")), F.lit(1)).cast("int").alias("nl"), F.ceil("all").cast("int").alias("nr"))
+    m = spread_join(m, blocks, ["key"], "id").withColumn("outside", F.col("comp") != F.col("top"))
     deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    m = stash(m.join(sig, "id").join(shingles, "id"), "wide")
     own = ["pos", "id", "comp", "outside", *SIG, "shingles"]
     left = m.filter("outside").select("key", deal("nl").alias("lb"), every("nr").alias("rb"), F.lit(0).alias("side"), *own)
     right = m.select("key", every("nl").alias("lb"), deal("nr").alias("rb"), F.lit(1).alias("side"), *own)
@@ -220,10 +245,10 @@ def large_links(open_: DataFrame, sig: DataFrame, shingles: DataFrame, percent:
 
 
 def confirm(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those with 100 * intersection >= percent * union."""
+    """Of the pairs (a, b), a written table, those with 100 * intersection >= percent * union."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 2):
             a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             ok = np.zeros(len(a), bool)
             for i, (x, y) in enumerate(zip(a, b)):
@@ -239,7 +264,7 @@ def confirm(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     left = shingles.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     right = shingles.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     kind = pairs.schema["a"].dataType.simpleString()
-    return pairs.join(left, "b").join(right, "a").select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
+    return spread_join(pairs, right, ["a"], "b").join(left, "b").select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -247,11 +272,11 @@ def components(links: DataFrame) -> DataFrame:
     both = stash(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "links")
     label = stash(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("comp")), "label")
     while True:
-        near = both.join(label.select(F.col("id").alias("b"), F.col("comp").alias("m")), "b").groupBy(F.col("a").alias("id")).agg(F.min("m").alias("m"))
-        spread = label.join(near, "id").select("id", "comp", F.least("comp", "m").alias("m"))
+        near = spread_join(both, label.select(F.col("id").alias("b"), F.col("comp").alias("m")), ["b"], "a").groupBy(F.col("a").alias("id")).agg(F.min("m").alias("m"))
+        spread = stash(label.join(near, "id").select("id", "comp", F.least("comp", "m").alias("m")), "spread")
         jump = label.select(F.col("id").alias("m"), F.col("comp").alias("j"))
-        new = stash(spread.join(jump, "m").select("id", F.least("m", "j").alias("comp"), (F.least("m", "j") != F.col("comp")).alias("moved")), "label")
-        drop_stash(label)
+        new = stash(spread_join(spread, jump, ["m"], "id").select("id", F.least("m", "j").alias("comp"), (F.least("m", "j") != F.col("comp")).alias("moved")), "label")
+        drop_stash(label), drop_stash(spread)
         label = new
         if label.filter("moved").isEmpty():
             drop_stash(both)
@@ -259,13 +284,16 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """(key, n_shingles, component_id, kept) of every row: the least id that links of >= ``percent`` similarity reach."""
+    """(key, n_shingles, component_id, kept, f0, f1: fingerprint of the set) of every row.
+
+    The component is the least id that links of >= ``percent`` similarity reach.
+    """
     signed = stash(sign(docs, key, text, width), "signed")
     full = signed.filter("n_shingles > 0 and id is not null")
     reps = stash(full.groupBy("f0", "f1").agg(F.min("id").alias("id"), *(F.min(s).alias(s) for s in SIG)), "reps")
-    keys = index_keys(reps)
+    keys = index_keys(reps)  # from the written table
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("c0")).filter("n > 1")
-    members = stash(keys.join(shared, "key"), "members")
+    members = stash(spread_join(keys, shared, ["key"], "id"), "members")
     sig = reps.select("id", *SIG)
 
     def shingles(of: DataFrame) -> DataFrame:
@@ -275,8 +303,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         return confirm(pairs, shingles(pairs.select(F.col("a").alias("id")).union(pairs.select("b"))), percent)
 
     def near(pairs: DataFrame) -> DataFrame:
-        x, y = sig.withColumnRenamed("id", "a").alias("x"), sig.withColumnRenamed("id", "b").alias("y")
-        return stash(pairs.join(x, "a").join(y, "b").filter(distance("x", "y") <= MOST_ERRORS).select("a", "b"), "pairs")
+        x, y = sig.withColumnRenamed("id", "a"), sig.withColumnRenamed("id", "b")
+        x = x.select("a", F.struct(*SIG).alias("x"))
+        y = y.select("b", F.struct(*SIG).alias("y"))
+        return stash(spread_join(pairs, x, ["a"], "b").join(y, "b").filter(distance("x", "y") <= MOST_ERRORS).select("a", "b"), "pairs")
 
     def merged(label: DataFrame, links: DataFrame) -> DataFrame:
         """Labels with further links, which are written."""
@@ -286,18 +316,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     def still_open(label: DataFrame, among: DataFrame, turn: int) -> DataFrame:
         """Members of buckets that hold several components, with the component, and a centre drawn for the bucket."""
-        placed = among.select("key", "pos", "id", "n").join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        placed = stash(among.select("key", "pos", "id", "n").join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "placed")
         draw = F.xxhash64("id", F.lit(turn))
         split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("id", "comp"), draw).alias("c")).filter("lo != hi")
-        return stash(placed.join(split.select("key", "c"), "key"), "open")
+        return stash(spread_join(placed, split.select("key", "c"), ["key"], "id"), "open")
 
-    star = members.filter("id != c0").select(F.col("c0").alias("a"), F.col("id").alias("b")).distinct()
+    star = stash(members.filter("id != c0").select(F.col("c0").alias("a"), F.col("id").alias("b")).distinct(), "star")
     label = components(stash(confirmed(near(star)), "found"))
     for turn in range(STAR_ROUNDS):
         wide = still_open(label, members.filter(F.col("n") > SMALL_BUCKET), turn)
         if wide.isEmpty():
             break
-        pairs = wide.filter(F.col("comp") != F.col("c.comp")).select(F.least("c.id", "id").alias("a"), F.greatest("c.id", "id").alias("b")).distinct()
+        pairs = stash(wide.filter(F.col("comp") != F.col("c.comp")).select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct(), "centre")
         label = merged(label, stash(confirmed(near(pairs)), "found"))
     open_ = still_open(label, members, STAR_ROUNDS)
     side = open_.filter(F.col("n") <= SMALL_BUCKET).select("key", "pos", "id", "comp").join(sig, "id")
@@ -308,7 +338,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     if not wide.isEmpty():
         links.append(stash(large_links(wide, sig, shingles(wide), percent), "found"))
     label = merged(label, links[0].union(links[-1]) if len(links) > 1 else links[0])
-    named = signed.select("id", "n_shingles", "f0", "f1").join(reps.select("f0", "f1", F.col("id").alias("rep")), ["f0", "f1"], "left")
-    placed = named.join(label.select(F.col("id").alias("rep"), "comp"), "rep", "left")
-    comp = F.when(F.col("n_shingles") > 0, F.coalesce("comp", "rep")).otherwise(F.col("id"))
-    return placed.select(F.col("id").alias(key), "n_shingles", comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(False)).alias("kept"))
+    classes = stash(reps.select("f0", "f1", F.col("id").alias("rep")).join(label.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("f0", "f1", F.coalesce("comp", "rep").alias("comp")), "classes")
+    named = signed.select("id", "n_shingles", "f0", "f1")
+    some, none = named.filter("n_shingles > 0"), named.filter("n_shingles = 0")
+    placed = spread_join(some, classes, ["f0", "f1"], "id", "left").unionByName(none.withColumn("comp", F.col("id")))
+    return placed.select(F.col("id").alias(key), "n_shingles", F.col("comp").alias("component_id"), F.coalesce(F.col("id") == F.col("comp"), F.lit(False)).alias("kept"), "f0", "f1")

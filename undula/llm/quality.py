@@ -6,7 +6,8 @@ labelled. Calibration is isotonic regression over the counts of labels in fixed
 
 Defined results: every text has a score; an empty or null text has statistics of 0; without labels, or with one class
 only, every score is the share of 1 (0.5 without labels); a label row whose id has no document teaches nothing; the id
-is never an input; other columns are not read by ``scores`` and kept as they are by ``keep``.
+is never an input; a text of any length is measured in blocks; other columns are not read by ``measure`` and
+``scores``, so they cannot clash, and are kept as they are by ``keep``; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from undula.llm._arrow import slices, utf8
 from undula.llm._store import stash
-from undula.llm.shingles import words
+from undula.llm.shingles import BLOCK, word_blocks
 
 FEATURES = 256
 #: Width of the kernel, in standard deviations of a statistic, for the distance over all statistics.
@@ -40,29 +41,41 @@ _CLASS[[9, 10, 11, 12, 13, 32]] = 5
 
 
 def statistics(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """(texts, len(STATS)) of whole texts."""
+    """(texts, len(STATS)) of whole texts, block by block."""
     n, size = len(off) - 1, np.diff(off)
-    kind = _CLASS[raw]
-    text = np.repeat(np.arange(n), size)
-    counts = np.bincount(text * 7 + kind, minlength=7 * n).reshape(n, 7).astype(float)
-    lines = np.bincount(text[raw == 10], minlength=n) + (size > 0)
-    h, start, end = words(raw, off)
-    of = np.searchsorted(off, start, "right") - 1
-    total = np.bincount(of, minlength=n).astype(float)
-    length = (end - start).astype(float)
-    mean = np.bincount(of, length, n) / np.maximum(total, 1)
-    spread = np.sqrt(np.maximum(np.bincount(of, length**2, n) / np.maximum(total, 1) - mean**2, 0))
-    signs = np.concatenate(([0], np.cumsum(kind == 3)))
-    uppers = np.concatenate(([0], np.cumsum(kind == 1)))
-    sign_words = np.bincount(of, signs[end] > signs[start], n)
-    upper_words = np.bincount(of, uppers[end] - uppers[start] >= 2, n)
-    again = np.bincount(of[1:], (h[1:] == h[:-1]) & (of[1:] == of[:-1]), n) if len(h) > 1 else np.zeros(n)
-    # distinct words of a text: the first of equal hashes counts, found from one sort of all words
-    order = np.lexsort((h, of))
-    hs, os_ = h[order], of[order]
-    first = np.ones(len(h), bool)
-    first[1:] = (hs[1:] != hs[:-1]) | (os_[1:] != os_[:-1])
-    distinct = np.bincount(os_[first], minlength=n)
+    counts, lines = np.zeros((n, 7)), (size > 0).astype(float)
+    for a in range(0, len(raw), BLOCK):
+        some = raw[a : a + BLOCK]
+        lo, hi = np.searchsorted(off, (a, a + len(some) - 1), "right") - 1
+        text = np.repeat(np.arange(hi - lo + 1, dtype=np.int32), np.diff(np.clip(off[lo : hi + 2], a, a + len(some))))
+        counts[lo : hi + 1] += np.bincount(text * 7 + _CLASS[some], minlength=7 * (hi - lo + 1)).reshape(-1, 7)
+        lines[lo : hi + 1] += np.bincount(text[some == 10], minlength=hi - lo + 1)
+    total, length, squares, sign_words, upper_words = np.zeros((5, n))
+    hashes, many = [np.empty(0, np.uint64)], np.zeros(n, np.int64)
+    for h, start, end in word_blocks(raw, off):
+        if not len(h):
+            continue
+        of = np.searchsorted(off, start, "right") - 1
+        k = (end - start).astype(float)
+        kind = _CLASS[raw[start[0] : end[-1]]]
+        ends = np.column_stack((start - start[0], end - start[0])).ravel()[:-1]
+        signs, uppers = (np.add.reduceat(kind == c, ends, dtype=np.int32)[::2] for c in (3, 1))
+        length += np.bincount(of, k, n)
+        squares += np.bincount(of, k * k, n)
+        sign_words += np.bincount(of, signs > 0, n)
+        upper_words += np.bincount(of, uppers >= 2, n)
+        many += np.bincount(of, minlength=n)
+        hashes.append(h)
+    h = np.concatenate(hashes)
+    total = many.astype(float)
+    mean = length / np.maximum(total, 1)
+    spread = np.sqrt(np.maximum(squares / np.maximum(total, 1) - mean**2, 0))
+    again, distinct, first = np.zeros(n), np.zeros(n), np.concatenate(([0], np.cumsum(many)))
+    for t in np.flatnonzero(many):
+        own = h[first[t] : first[t + 1]]
+        again[t] = np.count_nonzero(own[1:] == own[:-1])
+        own.sort()
+        distinct[t] = 1 + np.count_nonzero(own[1:] != own[:-1])
     b, w = np.maximum(size, 1), np.maximum(total, 1)
     share = counts / b[:, None]
     return np.column_stack([

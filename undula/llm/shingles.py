@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 _RNG = np.random.default_rng(20240607)
@@ -13,6 +15,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 _POWERS = np.ones(1, np.uint64)
+#: Bytes that are hashed at a time.
+BLOCK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -50,41 +54,73 @@ def _unpowers(n: int) -> np.ndarray:
     return _UNBASE_POWERS[:n]
 
 
+def word_blocks(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hash, start byte, end byte) of each maximal run of non-white bytes, ``BLOCK`` bytes at a time; runs end where a text ends.
+
+    A run that goes on into the next block is carried: its hash so far, its length and its start.
+    """
+    so_far, length, begun = np.uint64(0), 0, -1
+    for a in range(0, len(raw), BLOCK):
+        r = raw[a : a + BLOCK]
+        n = len(r)
+        white = _WHITE[r]
+        edge = np.zeros(n + 1, bool)
+        x, y = np.searchsorted(off, (a, a + n + 1))
+        edge[off[x:y] - a] = True
+        near = np.empty(n, bool)
+        near[0], near[1:] = not a or _WHITE[raw[a - 1]], white[:-1]
+        start = np.flatnonzero(~white & (near | edge[:-1]))
+        near[-1], near[:-1] = a + n == len(raw) or _WHITE[raw[a + n]], white[1:]
+        end = np.flatnonzero(~white & (near | edge[1:])) + 1
+        total = np.empty(n + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(_BYTE[r] * _powers(n), out=total[1:])
+        first = []
+        if begun >= 0:
+            at = int(end[0]) if len(end) else n
+            so_far = so_far + total[at : at + 1] * np.uint64(pow(int(_BASE), length, 1 << 64))
+            length += at
+            if not len(end):
+                continue
+            first, end = [(so_far + np.uint64(length) * _WORD[15 : 16], begun, a + at)], end[1:]
+            begun = -1
+        if len(start) > len(end):
+            at = int(start[-1])
+            so_far, length, begun = (total[n:] - total[at : at + 1]) * _unpowers(n)[at], n - at, a + at
+            start = start[:-1]
+        h = (total[end] - total[start]) * _unpowers(n)[start] + (end - start).astype(np.uint64) * _WORD[15]
+        start, end = start + a, end + a
+        for g, s, e in first:
+            h, start, end = np.concatenate((g, h)), np.append(s, start), np.append(e, end)
+        yield mix(h), start, end
+
+
 def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start byte, end byte) of each maximal run of non-white bytes; runs end where a text ends."""
-    if not len(raw):
+    blocks = list(word_blocks(raw, off))
+    if not blocks:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    white = _WHITE[raw]
-    edge = np.zeros(len(raw) + 1, bool)
-    edge[off] = True
-    before = np.empty(len(raw), bool)
-    before[0], before[1:] = True, white[:-1]
-    start = np.flatnonzero(~white & (before | edge[:-1]))
-    after = np.empty(len(raw), bool)
-    after[-1], after[:-1] = True, white[1:]
-    end = np.flatnonzero(~white & (after | edge[1:])) + 1
-    total = np.empty(len(raw) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_BYTE[raw] * _powers(len(raw)), out=total[1:])
-    h = (total[end] - total[start]) * _unpowers(len(raw))[start]
-    return mix(h + (end - start).astype(np.uint64) * _WORD[15]), start, end
+    return tuple(np.concatenate(x) for x in zip(*blocks))
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct shingle hashes of all texts, one after the other; offsets). Fewer words than ``width``: one shingle."""
-    h, start, _ = words(raw, off)
-    first = np.searchsorted(start, off)
+    hashes, first = [np.empty(0, np.uint64)], np.zeros(len(off), np.int64)
+    for h, start, _ in word_blocks(raw, off):
+        hashes.append(h)
+        first += np.searchsorted(start, off)
+    h = np.concatenate(hashes)
+    del hashes
     n = np.diff(first)
-    flat = np.zeros(len(h) + width, np.uint64)
-    flat[: len(h)] = h
-    whole = flat[: len(h)] * _WORD[0]
+    whole = h * _WORD[0]
     for j in range(1, width):
-        whole = whole + flat[j : len(h) + j] * _WORD[j]
+        whole[: max(len(h) - j, 0)] += h[j:] * _WORD[j]
     whole = mix(whole)
     sets = []
     for a, b, k in zip(first[:-1].tolist(), first[1:].tolist(), n.tolist()):
         if k >= width:
-            s = np.sort(whole[a : b - width + 1])
+            s = whole[a : b - width + 1]
+            s.sort()
             sets.append(s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) > 1 else s)
         elif k:
             sets.append(mix((h[a:b] * _WORD[:k]).sum(keepdims=True) + np.uint64(k)))

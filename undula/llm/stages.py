@@ -1,7 +1,8 @@
 """The stages of corpus_pipeline.py: each takes (spark, docs, sf_dir), and all but the last return the columns of documents.
 
 Defined results: rows with a null doc_id are judged by their text where a stage needs no id, and pass the near-dedup
-stage as they are; of rows that repeat a doc_id, near-dedup keeps one; an empty table passes every stage as it is.
+stage as they are; rows that repeat a doc_id are one node of near-dedup, but rows of their own: one row of each of its
+texts (sets of shingles) that nothing with a lesser id holds stays; an empty table passes every stage as it is.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from undula.llm._store import stash
 from undula.llm.queries import _read, _vocabulary
 
 LEAST_QUALITY = 0.7
-#: Documents with a less certain language are rejected.
-LEAST_LANGUAGE = 0.3
+#: Documents whose language's probability lies less than this share of the way from chance to 1 are rejected.
+LEAST_LANGUAGE = 0.15
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +31,16 @@ def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = stash(minhash.near_duplicates(docs, "doc_id", "text", width=5, percent=80).filter("kept").select("doc_id"), "kept")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    judged = stash(minhash.near_duplicates(docs, "doc_id", "text", width=5, percent=80).filter("doc_id is not null"), "judged")
+    kept = judged.filter("kept").select("doc_id", F.col("f0").alias("__f0"), F.col("f1").alias("__f1"))
+    again = stash(judged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "again")
+    null = docs.filter(F.col("doc_id").isNull())
+    if again.isEmpty():
+        return docs.join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(null)
+    once = docs.join(kept.join(again, "doc_id", "left_anti"), "doc_id", "left_semi").select(docs.columns)
+    rows = stash(minhash.with_prints(docs.join(again, "doc_id", "left_semi"), "text", 5, ("__f0", "__f1")), "rows")
+    rows = rows.join(kept.distinct(), ["doc_id", "__f0", "__f1"], "left_semi").dropDuplicates(["doc_id", "__f0", "__f1"])
+    return once.unionByName(rows.select(docs.columns)).unionByName(null)
 
 
 def decontaminate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,15 +3,19 @@
 A text's features are the hashed n-grams of its lower-case characters, between two blanks and with blanks for ASCII
 signs, that it holds at least once, each worth ``r = log((p / |p|) / (q / |q|))``, the ratio of its smoothed document counts in the two classes.
 The weights of the features with the largest ``|r| * sqrt(count)`` are fitted by logistic regression. Only labelled
-rows are learnt from: a sample of at most ``SAMPLE_ROWS``, those with the least hash of their id.
+rows are learnt from: a sample of at most ``SAMPLE_ROWS`` rows and ``SAMPLE_BYTES`` of text, those with the least hash
+of their id, so the fit is of one size whatever the table's.
 
 Defined results: every text has a score, an empty or null one that of no features; repeated n-grams count once; if
-the labels hold fewer than two classes, every score is their share of 1, 0.5 without labels; the id is carried along
-and never an input; other columns are not read.
+the labels hold fewer than two classes, every score is their share of 1, 0.5 without labels; of several labels of an
+id the largest holds; rows that repeat an id are rows of their own, equal ones are learnt from once; a text of any
+length is read in overlapping parts; the id is carried along and never an input; an empty table gives an empty table;
+only the named columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from undula.llm._arrow import slices
+from undula.llm._sample import drawn
 
 SIZES = (5, 7, 9)
 BITS = 20
@@ -29,10 +34,17 @@ FEATURES = 20_000
 LEAST_DOCS = 4
 SMOOTHING = 1.0
 RIDGE = 0.001
-STEPS = 200
+#: Steps of the fit at most, the share of the first gradient that ends it, and steps that it remembers.
+STEPS = 60
+TOLERANCE = 1e-3
+MEMORY = 8
 #: A toxic row counts as so many rows in the loss.
 TOXIC_WEIGHT = 4.0
 SLICE_BYTES = 2 << 20
+#: Bytes of text that are learnt from, at most (one row at least).
+SAMPLE_BYTES = 32 << 20
+#: Characters whose n-grams are held at a time.
+PART = 1 << 19
 #: Texts whose n-grams are held at a time while fitting.
 FIT_ROWS = 200
 _MUL = (np.random.default_rng(5).integers(1, 2**62, 16, dtype=np.uint64) * np.uint64(2)) + np.uint64(1)
@@ -46,11 +58,10 @@ class Model:
     bias: float
 
 
-def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each n-gram size the bucket at every character, and the offsets; buckets of n-grams that leave a text are 0."""
-    low = [f" {t.lower()} " for t in texts]
-    off = np.concatenate(([0], np.cumsum([len(t) for t in low])))
-    c = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+def grams(parts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each n-gram size the bucket at every character, and the offsets; buckets of n-grams that leave a part are 0."""
+    off = np.concatenate(([0], np.cumsum([len(t) for t in parts])))
+    c = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     c[:] = np.where(c < 128, _PLAIN[np.minimum(c, 127).astype(np.intp)], c)
     out, h = [], np.zeros(len(c), np.uint64)
     for n in range(1, max(SIZES) + 1):
@@ -60,22 +71,47 @@ def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
             b *= _MUL[0]
             b = (b >> np.uint64(64 - BITS)).astype(np.int32)
             b[b == 0] = 1
-            for k in range(1, n):  # the last n - 1 characters of each text
+            for k in range(1, n):  # the last n - 1 characters of each part
                 at = off[1:] - k
                 b[at[at >= off[:-1]]] = 0
             out.append(b)
     return out, off
 
 
+def _lots(texts: list[str]) -> Iterator[tuple[list[str], list[int]]]:
+    """(parts, the text of each) of the lower-case texts between blanks, about ``PART`` characters a lot.
+
+    Parts of one text overlap by all but one character of the longest n-gram, so they hold all its n-grams.
+    """
+    parts, of, size = [], [], 0
+    for i, t in enumerate(texts):
+        low = f" {t.lower()} "
+        for a in range(0, max(len(low) - max(SIZES) + 1, 1), PART):
+            parts.append(low[a : a + PART + max(SIZES) - 1])
+            of.append(i)
+            size += len(parts[-1])
+            if size >= PART:
+                yield parts, of
+                parts, of, size = [], [], 0
+    if parts:
+        yield parts, of
+
+
 def present(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bucket) of each distinct n-gram, of those ``wanted`` (bool for each bucket) if given."""
-    found, off = grams(texts)
-    pairs = []
-    for b in found:
-        at = np.flatnonzero(b if wanted is None else wanted[b])
-        text = np.searchsorted(off, at, "right") - 1
-        pairs.append(text << BITS | b[at])
-    pairs = np.unique(np.concatenate(pairs))
+    """(text, bucket) of each distinct n-gram, of those ``wanted`` (bool for each bucket) if given, text by text."""
+    found, last = [np.empty(0, np.int64)], np.empty(0, np.int64)
+    for parts, of in _lots(texts):
+        buckets, off = grams(parts)
+        of = np.array(of, np.int64)
+        pairs = []
+        for b in buckets:
+            at = np.flatnonzero(b if wanted is None else wanted[b])
+            pairs.append(of[np.searchsorted(off, at, "right") - 1] << BITS | b[at])
+        pairs = np.unique(np.concatenate((last, *pairs)))
+        cut = np.searchsorted(pairs, of[-1] << BITS)  # the last text may go on in the next lot
+        found.append(pairs[:cut])
+        last = pairs[cut:]
+    pairs = np.concatenate((*found, last))
     return pairs >> BITS, pairs & (1 << BITS) - 1
 
 
@@ -126,29 +162,49 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
         part *= x
         return np.bincount(cols, part, k)
 
-    w, bias = np.zeros(k), float(np.log(labels.mean() / (1 - labels.mean())))
-    # accelerated gradient descent; the step is from the largest eigenvalue of X'X / 4n, by power iteration
-    v = np.ones(k + 1)
-    for _ in range(12):
-        u = sums(v[:-1]) + v[-1]
-        v = np.append(back(u), u.sum())
-        top = np.linalg.norm(v)
-        v /= top
-    step = 1 / (TOXIC_WEIGHT * top / (4 * n) + RIDGE)
-    each = np.where(labels > 0.5, TOXIC_WEIGHT, 1.0)
-    z = np.append(w, bias)
-    w = z.copy()
-    for i in range(STEPS):
-        s = sums(z[:-1]) + z[-1]
-        e = (1 / (1 + np.exp(-s)) - labels) * each / n
-        g = np.append(back(e) + RIDGE * z[:-1], e.sum())
-        new = z - step * g
-        z = new + i / (i + 3) * (new - w)
-        w = new
+    each = np.where(labels > 0.5, TOXIC_WEIGHT, 1.0) / n
+
+    def loss(w):
+        """The weighted mean logistic loss with its ridge, and the gradient."""
+        s = sums(w[:-1]) + w[-1]
+        e = (1 / (1 + np.exp(-np.clip(s, -50, 50))) - labels) * each
+        value = float((each * (np.logaddexp(0, s) - labels * s)).sum() + RIDGE / 2 * w[:-1] @ w[:-1])
+        return value, np.append(back(e) + RIDGE * w[:-1], e.sum())
+
+    w = minimise(loss, np.append(np.zeros(k), np.log(labels.mean() / (1 - labels.mean()))))
     weight[chosen] = (w[:-1] * r[chosen]).astype(np.float32)
     return Model(weight, float(w[-1]))
 
 
+def minimise(loss, w: np.ndarray) -> np.ndarray:
+    """Limited-memory quasi-Newton steps with halving, until the gradient is a thousandth of the first or ``STEPS`` are done."""
+    value, g = loss(w)
+    first, past = np.linalg.norm(g), []
+    for _ in range(STEPS):
+        if np.linalg.norm(g) <= TOLERANCE * first:
+            break
+        d, share = -g, []
+        for s, y in reversed(past):
+            share.append((s @ d) / (s @ y))
+            d = d - share[-1] * y
+        if past:
+            s, y = past[-1]
+            d = d * (s @ y) / (y @ y)
+        for (s, y), a in zip(past, reversed(share)):
+            d = d + (a - (y @ d) / (s @ y)) * s
+        slope, step = g @ d, 1.0 if past else 1 / max(first, 1.0)
+        while True:
+            new, g_new = loss(w + step * d)
+            if new <= value + 1e-4 * step * slope or step < 1e-8:
+                break
+            step /= 2
+        s, y = step * d, g_new - g
+        if s @ y > 1e-12 * (y @ y):
+            past = [*past, (s, y)][-MEMORY:]
+        w, value, g = w + s, new, g_new
+    return w
+
+
 def score(model: Model, texts: list[str]) -> np.ndarray:
     doc, bucket = present(texts, model.weight != 0)
     s = np.bincount(doc, model.weight[bucket], len(texts)) + model.bias
@@ -160,12 +216,12 @@ def held_out(key: str, parts: int, part: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % parts == part
 
 
-def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
+def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -> tuple[list[str], np.ndarray]:
     """Texts and labels of at most ``rows`` labelled rows, those whose ids have the least hash."""
-    known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("__label"))
-    ids = known.orderBy(F.xxhash64(key), key).limit(rows)
-    got = docs.select(key, text).join(F.broadcast(ids), key).select(key, text, "__label").orderBy(key).toPandas()
-    return [t or "" for t in got[text].tolist()], got["__label"].to_numpy(float)
+    known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).alias("label"))
+    ids = known.orderBy(F.xxhash64("key"), "key").limit(rows)
+    got = drawn(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(ids), "key"), rows, most)
+    return [t or "" for t, _ in got], np.array([x for _, x in got], float)
 
 
 def scores(docs: DataFrame, model: Model, key: str, text: str) -> DataFrame:
