@@ -227,6 +227,23 @@ def test_warc_round_trip(spark):
     assert warc.read(warc.write(pages.limit(0), "page_id", "url", "html"), "page_id").count() == 0
 
 
+def test_warc_of_frequent_pages_and_clashing_columns(spark, monkeypatch, tmp_path):
+    import gzip
+
+    monkeypatch.setattr(_skew, "TOGETHER", 5)
+    big = [("y" if i % 3 else "z") * 1500 for i in range(60)] + ["w" * 2000, None, "s"]
+    pages = spark.createDataFrame([(i, "u", h, "c", "d") for i, h in enumerate(big)], "page_id long, url string, html string, archive string, payload_digest string")
+    archives = warc.write(pages, "page_id", "url", "html").cache()
+    got = warc.read(archives, "page_id").toPandas().set_index("page_id")
+    last = {h: max(i for i, x in enumerate(big) if x == h) for h in set(big)}
+    for i, h in enumerate(big):
+        want = last[h] if h and len(h) >= 1000 and last[h] != i else None
+        assert (got.loc[i].record_type, None if got.loc[i].refers_to != got.loc[i].refers_to else got.loc[i].refers_to) == (("revisit", want) if want is not None else ("response", None))
+    name = archives.first().archive
+    warc.export(archives, name, str(tmp_path / "a.warc.gz"))
+    assert gzip.open(tmp_path / "a.warc.gz").read().count(b"WARC/1.1\r\n") == warc.read(archives.filter(F.col("archive") == name), "page_id").count()
+
+
 def test_warc_is_gzip_and_notices_damage():
     import gzip
 
@@ -363,6 +380,29 @@ def test_chat_digests_of_odd_rows(spark):
     assert chat.read_back(chat.format_windows(df.limit(0), "conv_id", "turn", "role", "text"), "conv_id").count() == 0
 
 
+def test_chat_keeps_other_types_of_ids_and_large_system_turns(spark):
+    rows = [("a", 0, "system", "word " * 3000), ("a", 1, "user", "hi"), ("a", 2, "assistant", "yo"), (None, 0, "assistant", "x")]
+    made = chat.format_windows(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string"), "conv_id", "turn", "role", "text")
+    assert sum(len(r.formatted) for r in made.collect()) < 20_000
+    got = {r.conv_id: r for r in chat.read_back(made, "conv_id").collect()}
+    assert got["a"].n_turns == 3 and got[None].loss_chars == 1 and got["a"].loss_sha256 == hashlib.sha256(b"yo").hexdigest()
+
+
+def test_chat_query(spark, sf):
+    got = queries.op8_chat_format(spark, sf).toPandas().set_index("conv_id")
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").toPandas()
+    said = "</s>[INST] ok [/INST]"
+    turns = {c: [(r.role or "", r.text or "") for r in g.sort_values("turn", kind="stable").itertuples()] for c, g in rows.groupby("conv_id")}
+    turns[-1] = [("user", said), ("assistant", said)]
+    assert set(got.index) == set(turns)
+    for c, own in turns.items():
+        loss = "".join(t for role, t in own if role == "assistant")
+        r = got.loc[c]
+        assert (r.n_turns, r.loss_chars) == (len(own), len(loss)) and r.formatted_chars > sum(len(t) for _, t in own)
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{t}\n" for a, t in own).encode()).hexdigest()
+        assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+
+
 # --- 9 decontamination ------------------------------------------------------------------------------------------
 
 

@@ -2,14 +2,17 @@
 
 A window holds the system turn, the last turns before it that fit ``history`` tokens, repeated and without loss, and
 as many new turns as prefix sums of their tokens allow within ``budget``; a turn longer than that is a window of its
-own. Control strings inside roles and texts are escaped reversibly: a backslash is doubled, and one is put behind the
+own. A system turn that leaves less than ``history`` tokens for new turns is not repeated, so that the output stays in
+proportion to the input. Control strings inside roles and texts are escaped reversibly: a backslash is doubled, and one is put behind the
 first character of every control string, so no text can end its turn or open another.
 
 Rows of a conversation are sorted (spilling if need be) and streamed, so a conversation of any length takes bounded
 memory; a conversation's digest is a sequence, so one conversation is one task's work.
 
 Defined results: a null text or role is empty; turns go by (turn, role, text), nulls first; repeated rows are turns
-of their own; a system turn that isn't first is a turn like any other; null conversation ids are one conversation.
+of their own; a system turn that isn't first is a turn like any other; null conversation ids are one conversation;
+ids keep their type; a text of any length is one turn, which a worker holds a few times; an empty table gives an empty
+table; only the named columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Strings that are escaped inside texts (fixed values).
@@ -92,6 +96,9 @@ def windows(turns: Iterable[tuple[str, str]], budget: int = BUDGET, history: int
     turns = iter(turns)
     held = list(itertools.islice(turns, BLOCK_TURNS))
     system = held[:1] if held and held[0][0] == "system" else []
+    begins = len(system)
+    if system and count(system[0][1]) > budget - 2 * history:
+        system = []
     room = max(1, budget - history - sum(count(t) for _, t in system))
     past: list[tuple[str, str]] = []
     first = True
@@ -104,7 +111,7 @@ def windows(turns: Iterable[tuple[str, str]], budget: int = BUDGET, history: int
             again = _tail(past, history, count)
             kept = [] if first else system
             yield render([*kept, *again, *held[a:b]], len(kept) + len(again))
-            past = [*past, *held[a:b][len(system) if first else 0 :]][-max(1, history // TURN_TOKENS) :]
+            past = [*past, *held[a:b][begins if first else 0 :]][-max(1, history // TURN_TOKENS) :]
             first, done = False, b
         held = held[done:] + more
 
@@ -162,21 +169,24 @@ def _out(rows: Iterable[tuple], names: list[str], types: list[pa.DataType]) -> I
 def format_windows(df: DataFrame, key: str, turn: str, role: str, text: str, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """(key, window, formatted, repeated, loss array<struct<start, end>>) of all conversations, in order within a task."""
 
+    kind = df.schema[key].dataType
+
     def run(batches):
         def rows():
             for own, group in _conversations(batches):
                 for n, w in enumerate(windows(((r or "", t or "") for _, r, t in group), budget, history)):
                     yield own, n, w.text, w.repeated, [{"start": a, "end": b} for a, b in w.loss]
 
-        yield from _out(rows(), ["key", "window", "formatted", "repeated", "loss"], [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))])
+        yield from _out(rows(), ["key", "window", "formatted", "repeated", "loss"], [to_arrow_type(kind), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))])
 
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
+    rows = df.select(F.col(key).alias("key"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     ordered = rows.repartition("key").sortWithinPartitions("key", "turn", "role", "text").select("key", "role", "text")
-    return ordered.mapInArrow(run, "key long, window int, formatted string, repeated int, loss array<struct<start int, end int>>").withColumnRenamed("key", key)
+    return ordered.mapInArrow(run, f"key {kind.simpleString()}, window int, formatted string, repeated int, loss array<struct<start int, end int>>").withColumnRenamed("key", key)
 
 
 def read_back(windows_: DataFrame, key: str) -> DataFrame:
     """Digests of each conversation from the rows of ``format_windows``, which must follow it without a shuffle."""
+    kind = windows_.schema[key].dataType
 
     def run(batches):
         def rows():
@@ -194,7 +204,7 @@ def read_back(windows_: DataFrame, key: str) -> DataFrame:
                 yield own, n, turns.hexdigest(), chars, loss.hexdigest(), size
 
         names = ["key", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-        yield from _out(rows(), names, [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()])
+        yield from _out(rows(), names, [to_arrow_type(kind), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()])
 
-    out = "key long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    out = f"key {kind.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     return windows_.select(key, "formatted", "repeated", "loss").mapInArrow(run, out).withColumnRenamed("key", key)

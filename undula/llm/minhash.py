@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from undula.llm._arrow import slices, utf8
-from undula.llm._skew import spread_join
+from undula.llm._skew import bitmap, bucket, has_bit, spread_join
 from undula.llm._store import drop_stash, stash
 from undula.llm.shingles import shingle_sets
 
@@ -42,8 +42,6 @@ MOST_ERRORS = 2 * CHUNKS - 1
 #: Buckets up to this size go to the pair join at once; larger ones get more centres first.
 SMALL_BUCKET = 64
 STAR_ROUNDS = 3
-#: Bits of the bitmap of wanted ids: 1 MB.
-BITMAP_BITS = 1 << 23
 #: Members on each side of a block of a large bucket, and bytes of their sets, about.
 BLOCK_MEMBERS = 512
 BLOCK_BYTES = 16 << 20
@@ -123,16 +121,8 @@ def distance(a: str, b: str) -> Column:
 
 
 def among(docs: DataFrame, key: str, of: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose key may be an id of ``of``: a bitmap of hashed ids, ``BITMAP_BITS`` at most, is broadcast.
-
-    Rows that share a bit pass as well and meet no partner later; texts are not shuffled, however many ids there are.
-    """
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP_BITS))
-    maps = of.select(bit("id").alias("h")).groupBy(F.bitmap_bucket_number("h").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("__bits"))
-    at = F.bitmap_bit_position("__h")
-    byte = F.conv(F.hex(F.substr(F.col("__bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    with_bits = docs.withColumn("__h", bit(key)).withColumn("__bucket", F.bitmap_bucket_number("__h")).join(F.broadcast(maps), "__bucket")
-    return with_bits.filter(F.getbit(byte, (at % 8).cast("int")) == 1).select(docs.columns)
+    """The rows of ``docs`` whose key may be an id of ``of``; rows that share a bit with one pass as well and meet no partner later."""
+    return docs.filter(F.col(key).isNotNull()).join(F.broadcast(bitmap(of.select("id"))), bucket(key)).filter(has_bit(key)).select(docs.columns)
 
 
 def index_keys(reps: DataFrame) -> DataFrame:

@@ -5,10 +5,12 @@ folder, so a lost executor's archive is written again, and any store that Spark
 the same bytes as a .warc.gz file. Records that Spark wrote are read with bounded memory: compressed bytes are fed
 to zlib piece by piece, the header block ends at an empty line, and Content-Length frames the payload.
 
-Defined results: a null payload is empty; payloads of at least ``least`` bytes that are equal (SHA-256 and length)
-share one response, that with the largest id, and the others are revisits that name it; smaller payloads are
-responses; a null id groups with its equals but never is the largest; an empty table gives an empty archive; a
-digest or a length that doesn't match raises ``WarcError``.
+Defined results: a null payload is empty; payloads of at least ``least`` bytes that are equal (SHA-256) share one
+response, that with the largest id, and the others are revisits that name it; of rows that repeat that id each is a
+response; smaller payloads are responses; a null id groups with its equals but never is the largest; an id that is no
+whole number raises an error; a payload of any length is a record, which a worker holds a few times; an empty table
+gives an empty archive; only the named columns are read, so others cannot clash; a digest or a length that doesn't
+match raises ``WarcError``.
 """
 
 from __future__ import annotations
@@ -23,6 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from undula.llm._skew import bitmap, bucket, has_bit, spread_join
+from undula.llm._store import stash
+
 #: Bytes of an archive's block, and of compressed input that the reader inflates at a time.
 BLOCK_BYTES = 1 << 20
 FEED_BYTES = 64 << 10
@@ -168,17 +173,20 @@ def page_of(record_id: str | None) -> int | None:
 def choose(pages: DataFrame, key: str, payload: str, least: int = LEAST_BYTES) -> DataFrame:
     """``pages`` (key, uri, payload) with ``refers_to``: of equal payloads, the largest id, null on that one itself.
 
-    The largest is found by an aggregation with partial sums, so a payload that a third of the pages share is no
-    hot group; it joins back on the digest, where a skewed key can be split.
+    The largest is found by an aggregation with partial sums. Digests that repeat are written; a bitmap of them is
+    broadcast, and only pages whose digest may be among them, which hold at least ``least`` bytes, are shuffled, those
+    of a frequent payload in parts.
     """
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     p = pages.withColumn("__digest", F.when(F.octet_length(body) >= least, F.sha2(body, 256)))
-    top = p.filter("__digest is not null").groupBy("__digest").agg(F.max(key).alias("__top"), F.count(F.lit(1)).alias("__n")).filter("__n > 1")
-    return (
-        p.join(top, "__digest", "left")
-        .withColumn("refers_to", F.when(~F.col("__top").eqNullSafe(F.col(key)), F.col("__top")))
-        .drop("__digest", "__top", "__n")
-    )
+    top = p.filter("__digest is not null").groupBy("__digest").agg(F.max(key).alias("__top"), F.count(F.lit(1)).alias("__n"))
+    top = stash(top.filter("__n > 1").select("__digest", "__top"), "copies")
+    flagged = p.join(F.broadcast(bitmap(top.select("__digest"))), bucket("__digest"), "left").withColumn("__maybe", F.coalesce(has_bit("__digest"), F.lit(False))).drop("__bucket", "__bits")
+    light = flagged.filter("__maybe").select("__digest")
+    joined = spread_join(flagged.filter("__maybe"), top, ["__digest"], key, "left", light)
+    refers = F.when(~F.col("__top").eqNullSafe(F.col(key)), F.col("__top"))
+    alone = flagged.filter("not __maybe").withColumn("refers_to", F.lit(None).cast(pages.schema[key].dataType))
+    return joined.withColumn("refers_to", refers).select(*pages.columns, "refers_to").unionByName(alone.select(*pages.columns, "refers_to"))
 
 
 def write(pages: DataFrame, key: str, uri: str, payload: str, least: int = LEAST_BYTES) -> DataFrame:
