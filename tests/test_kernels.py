@@ -8,15 +8,16 @@ from undula.operators.autoencoder import Network, train
 from undula.operators.tape import backward
 
 
-def srvf(x):
+def velocities(x):
     g = np.gradient(x, 1 / (x.shape[-1] - 1), axis=-1)
     return g / np.sqrt(np.linalg.norm(g, axis=-2, keepdims=True) + 1e-16)
 
 
-def family(t, power):
+def bumps(t, bend, shift=0.0):
+    """A plane curve with three bumps, run through at a speed that ``bend`` changes."""
     s = np.linspace(0, 1, t)
-    f = lambda u: np.stack([np.sin(2 * np.pi * u) + 0.3 * u, np.cos(2 * np.pi * u)])
-    return srvf(f(s)), srvf(f(s**power)), srvf(np.stack([np.sin(4 * np.pi * s), np.cos(2 * np.pi * s) + 0.5]))
+    u = s + bend * s * (1 - s)
+    return velocities(np.stack([np.exp(-40 * (u - 0.3 - shift) ** 2) - u**2, u * np.cos(5 * u + 9 * shift)]))
 
 
 def slow_elastic(a, b, band=-1):
@@ -42,37 +43,97 @@ def test_elastic_equals_definition(band):
     assert np.allclose(distance.elastic(a, b, band), [slow_elastic(x, y, band) for x, y in zip(a, b)], atol=1e-10)
 
 
-def test_elastic_ignores_warping():
-    base, warped, other = family(80, 1.7)
-    d = distance.elastic(np.stack([base, base]), np.stack([warped, other]))
-    assert d[0] < 0.2 * d[1]
+def test_elastic_ignores_speed():
+    base, slowed, other = bumps(70, 0), bumps(70, 0.6), bumps(70, 0, 0.35)
+    near, far = distance.elastic(np.stack([base, base]), np.stack([slowed, other]))
+    plain = np.sqrt(((base - slowed) ** 2).sum() / 69)
+    assert near < far / 4 and near < plain / 2
 
 
-def test_wide_band_is_no_band():
-    base, warped, _ = family(80, 1.4)
-    assert abs(distance.elastic(base[None], warped[None], 79)[0] - distance.elastic(base[None], warped[None])[0]) < 1e-8
+@pytest.mark.parametrize("t,band", [(18, 1), (23, 5), (45, 11), (64, 40)])
+def test_banded_equals_definition(t, band):
+    r = np.random.default_rng(t)
+    a, b = r.normal(size=(2, 2, 3, t)).cumsum(-1)
+    want = np.array([slow_elastic(x, y, band) for x, y in zip(a, b)])
+    got = distance.banded(a, b, band)
+    assert np.allclose(got, np.where(np.isfinite(want), want, -1), atol=1e-9)
 
 
-def test_two_passes_bound_from_above():
-    base, warped, other = family(200, 1.4)
-    for x in (warped, other):
+def test_a_narrow_band_falls_back():
+    a, b = bumps(40, 0)[None], bumps(40, 0.5)[None]
+    center = np.where(np.arange(40) < 20, 0, 2)[None]  # a band that misses the corner
+    assert distance.banded(a, b, 3, center)[0] == -1
+    assert distance.elastic(a, b, 3, center)[0] == pytest.approx(distance.elastic(a, b)[0], abs=1e-12)
+
+
+def test_band_around_a_path_equals_the_whole_lattice_there():
+    a, b = bumps(50, 0)[None], bumps(50, 0.8)[None]
+    whole, taken = distance.elastic_lattice(a, b, track=True)
+    path = np.array(distance.alignment_path(taken[0]))
+    center = np.rint(np.interp(np.arange(50), path[:, 0], path[:, 1])).astype(int)[None]
+    assert distance.banded(a, b, 4, center)[0] == pytest.approx(whole[0], abs=1e-12)
+    assert (path[1:] - path[:-1] >= 1).all() and tuple(path[0]) == (0, 0) and tuple(path[-1]) == (49, 49)
+    assert len({tuple(x) for x in path[1:] - path[:-1]} - set(distance.MOVES)) == 0
+
+
+def test_two_passes_are_never_below_the_full_search():
+    base = bumps(160, 0)
+    for x in (bumps(160, 0.5), bumps(160, -0.4), bumps(160, 0.2, 0.1)):
         full, fast = distance.elastic(base[None], x[None])[0], distance.elastic_fast(base[None], x[None])[0]
-        assert full - 1e-9 <= fast <= 1.05 * full + 1e-6
+        assert full <= fast + 1e-12 <= 1.1 * full + 1e-6
+
+
+def slow_dtw(a, b, lo=None, hi=None):
+    """(distance, path) cell by cell."""
+    ta, tb = len(a), len(b)
+    d = np.full((ta + 1, tb + 1), np.inf)
+    d[0, 0] = 0
+    for i in range(ta):
+        for j in range(0 if lo is None else lo[i], tb if hi is None else hi[i] + 1):
+            d[i + 1, j + 1] = np.linalg.norm(a[i] - b[j]) + min(d[i, j], d[i, j + 1], d[i + 1, j])
+    path, i, j = [], ta, tb
+    while i and j:
+        path.append((i - 1, j - 1))
+        step = int(np.argmin([d[i - 1, j - 1], d[i - 1, j], d[i, j - 1]]))
+        i, j = i - (step < 2), j - (step != 1)
+    return d[ta, tb], path
+
+
+def slow_fast_dtw(a, b, radius, least=16):
+    if min(len(a), len(b)) <= least:
+        return slow_dtw(a, b)
+    half = lambda x: np.array([(x[2 * k] + x[2 * k + 1]) / 2 for k in range(len(x) // 2)])
+    cells = {(2 * i + p + x, 2 * j + q + y) for i, j in slow_fast_dtw(half(a), half(b), radius, least)[1] for p in (0, 1) for q in (0, 1) for x in range(-radius, radius + 1) for y in range(-radius, radius + 1)}
+    lo, hi = [len(b)] * len(a), [-1] * len(a)
+    for i, j in cells:
+        if 0 <= i < len(a):
+            lo[i], hi[i] = min(lo[i], max(j, 0)), max(hi[i], min(j, len(b) - 1))
+    return slow_dtw(a, b, lo, hi)
 
 
 def test_warping_family():
     r = np.random.default_rng(1)
-    a, b = r.normal(size=(4, 30, 2)), r.normal(size=(4, 30, 2))
-    full = [distance.dtw_path(x, y)[0] for x, y in zip(a, b)]
-    assert np.allclose(distance.dtw(a, b), full)
-    assert all(v >= f - 1e-9 for v, f in zip(distance.dtw(a, b, 5), full))
-    assert np.allclose([distance.fast_dtw(x, y, 40)[0] for x, y in zip(a, b)], full)
-    path = distance.dtw_path(a[0], b[0])[1]
-    assert path[0] == (0, 0) and path[-1] == (29, 29)
+    a, b = r.normal(size=(2, 5, 30, 2))
+    want = [slow_dtw(x, y) for x, y in zip(a, b)]
+    full, rows, cols = distance.dtw_path(a, b)
+    assert np.allclose(full, [w[0] for w in want]) and np.allclose(distance.dtw(a, b), full)
+    assert [[c for c in zip(x, y) if c[0] >= 0] for x, y in zip(rows.tolist(), cols.tolist())] == [w[1] for w in want]
+    lo, hi = zip(*[(max(0, i - 5), min(29, i + 5)) for i in range(30)])
+    assert np.allclose(distance.dtw(a, b, 5), [slow_dtw(x, y, lo, hi)[0] for x, y in zip(a, b)])
+    assert np.allclose(distance.fast_dtw(a, b, 40)[0], full)
+
+
+@pytest.mark.parametrize("t,radius", [(17, 1), (40, 2), (75, 1), (75, 5)])
+def test_resolutions_equal_definition(t, radius):
+    a, b = np.random.default_rng(t).integers(0, 3, (2, 6, t, 2)).astype(float)  # with many ties
+    want = [slow_fast_dtw(x, y, radius) for x, y in zip(a, b)]
+    got, rows, cols = distance.fast_dtw(a, b, radius)
+    assert np.allclose(got, [w[0] for w in want])
+    assert [[c for c in zip(x, y) if c[0] >= 0] for x, y in zip(rows.tolist(), cols.tolist())] == [w[1] for w in want]
 
 
 def test_alignment_path_of_equal_curves_is_the_diagonal():
-    base, _, _ = family(40, 1.0)
+    base = bumps(40, 0)
     taken = distance.elastic_lattice(base[None], base[None], track=True)[1][0]
     assert all(i == j for i, j in distance.alignment_path(taken))
 
@@ -92,9 +153,10 @@ def test_wavelets_reconstruct(name, n):
     assert np.allclose(smoothing.recompose(smoothing.decompose(x, name, 3), name)[:n], x)
 
 
-def blobs(seed, n, spread):
-    r = np.random.default_rng(seed)
-    return np.vstack([r.normal(0, spread, (n, 2)), r.normal(6, spread, (n, 2))])
+def heaps(seed, sizes, spread=0.2):
+    """Points around the corners of a polygon, as many at each as ``sizes`` says."""
+    r, turn = np.random.default_rng(seed), 2 * np.pi / len(sizes)
+    return np.vstack([r.uniform(-spread, spread, (n, 2)) + 5 * np.array([np.cos(k * turn), np.sin(k * turn)]) for k, n in enumerate(sizes)])
 
 
 def knn_edges(x, m):
@@ -105,10 +167,17 @@ def knn_edges(x, m):
 
 
 @pytest.mark.parametrize("criterion", ["silhouette", "davies_bouldin"])
-def test_homotopy_finds_two_blobs(criterion):
-    x = blobs(0, 12, 0.25)
-    labels = cluster.convex_clusters(x, *knn_edges(x, 4), criterion)
-    assert len(set(labels[:12])) == 1 and len(set(labels[12:])) == 1 and labels[0] != labels[12]
+def test_homotopy_finds_heaps(criterion):
+    sizes = (9, 7, 8)
+    labels = cluster.convex_clusters(heaps(5, sizes), *knn_edges(heaps(5, sizes), 5), criterion)
+    assert labels.tolist() == np.repeat(labels[[0, 9, 16]], sizes).tolist() and len(set(labels)) == 3
+
+
+def test_silhouettes_of_a_path_equal_those_of_its_partitions():
+    x = heaps(3, (10, 12))
+    _, path = cluster.homotopy(x, *knn_edges(x, 5))
+    some = [p for p in path if 2 <= p.max() + 1 < len(x)]
+    assert np.allclose(cluster.silhouettes(x, some), [cluster.silhouette(x, p) for p in some])
 
 
 def test_silhouette_equals_definition_in_bounded_memory():
@@ -131,7 +200,7 @@ def test_silhouette_equals_definition_in_bounded_memory():
 
 
 def test_fista_cannot_be_improved():
-    x = blobs(1, 6, 0.3)
+    x = heaps(1, (6, 5))
     e = knn_edges(x, 4)
     u = cluster.fista(x, *e, 0.3, steps=4000, tol=1e-12)
     best = cluster.objective(x, u, *e, 0.3)

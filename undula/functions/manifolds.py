@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,18 +83,33 @@ def default_anchor(like: Column) -> Column:
 
 
 def fit_anchor(df: DataFrame, column: str, steps: int = 50) -> list[float]:
-    """The Karcher mean on the sphere: steps to the mean logarithm, each one aggregation of a few numbers; stops once still."""
-    data = df.select(column)
-    mean = data.select(F.posexplode(column).alias("j", "v")).groupBy("j").agg(F.avg("v")).orderBy("j").collect()
-    a = np.array([r[1] for r in mean])
+    """The Karcher mean on the sphere: steps to the mean logarithm; stops once still.
+
+    The vectors are kept, and a step sums them as arrays within each task, so it moves one array a task.
+    """
+    data = df.select(F.col(column).alias("y")).persist()
+
+    def mean(vectors: DataFrame) -> np.ndarray:
+        def run(batches):
+            total, n = None, 0
+            for b in batches:
+                if b.num_rows:
+                    x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                    total, n = x.sum(0) + (0 if total is None else total), n + len(x)
+            if n:
+                yield pa.record_batch([pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([n], pa.int64())], ["s", "n"])
+
+        rows = vectors.mapInArrow(run, "s array<double>, n long").collect()  # a row a task
+        return np.sum([r.s for r in rows], axis=0) / sum(r.n for r in rows)
+
+    a = mean(data)
     a = a / max(np.linalg.norm(a), EPS)
     for _ in range(steps):
-        anchor = F.array(*(F.lit(float(x)) for x in a))
-        logs = data.select(F.posexplode(sphere_log(anchor, F.col(column))).alias("j", "v")).groupBy("j").agg(F.avg("v")).orderBy("j").collect()
-        v = np.array([r[1] for r in logs])
+        v = mean(data.select(sphere_log(F.array(*(F.lit(float(x)) for x in a)), F.col("y")).alias("v")))
         n = np.linalg.norm(v)
         if n < 1e-10:
             break
         a = np.cos(n) * a + np.sin(n) * v / n
         a /= np.linalg.norm(a)
+    data.unpersist()
     return a.tolist()

@@ -54,67 +54,69 @@ def objective(x: np.ndarray, u: np.ndarray, i: np.ndarray, j: np.ndarray, w: np.
 def homotopy(x: np.ndarray, i: np.ndarray, j: np.ndarray, w: np.ndarray, directed: set[tuple[int, int]] | None = None) -> tuple[list[float], list[np.ndarray]]:
     """(pull strengths of the merges, labels before the first and after each).
 
-    Affinities of clusters are kept as a sparse table of sums and merged along with the clusters, so a merge costs
-    what its clusters have as neighbours. ``directed`` (i, j) restricts, between two clusters, to the listed
+    Affinities of clusters are kept as sorted arrays of edges and merged along with the clusters; differences of
+    centres move along lines between two merges, so they are stepped, not gathered. ``directed`` (i, j) restricts, between two clusters, to the listed
     neighbours of the smaller one, the first of equals; without it every edge counts.
     """
     n = len(x)
     weight = {(min(a, b), max(a, b)): float(s) for a, b, s in zip(i, j, w)}
     members = {k: [k] for k in range(n)}
-    near: dict[int, set[int]] = {k: set() for k in range(n)}
-    table: dict[tuple[int, int], float] = {}
+    table: dict[tuple[int, int], float] = dict(weight)
 
     def listed(k, v):
         small, large = (members[k], members[v]) if len(members[k]) <= len(members[v]) else (members[v], members[k])
         inside = set(large)
         return sum(weight.get((min(a, b), max(a, b)), 0.0) for a in small for b in inside if (a, b) in directed)
 
-    for (a, b), s in weight.items():
-        near[a].add(b), near[b].add(a)
-        table[a, b] = s
     center, size = np.array(x, float), np.ones(n)
-    active = np.ones(n, bool)
+    active, axes = np.ones(n, bool), np.arange(x.shape[1])
     lam, lams, path = 0.0, [], [labels_of(members, n)]
-    while active.sum() > 1:
-        pairs = sorted(p for p, s in table.items())
+    k, v = np.array(sorted(table)).reshape(-1, 2).T
+    aff = np.array([table[p] for p in zip(k.tolist(), v.tolist())])
+    d0 = center[k] - center[v]
+    while active.sum() > 1 and len(k):
         if directed is not None:
-            scored = [(p, listed(*p)) for p in pairs]
-            pairs, aff = [p for p, s in scored if s > 0], np.array([s for _, s in scored if s > 0])
+            now = np.array([listed(*p) for p in zip(k.tolist(), v.tolist())])
+            pulls = now > 0
         else:
-            aff = np.array([table[p] for p in pairs])
-        if not len(pairs):
+            now, pulls = aff, np.ones(len(k), bool)
+        if not pulls.any():
             break
-        k, v = np.array(pairs).T
-        d0 = center[k] - center[v]
         length = np.linalg.norm(d0, axis=1)
-        pull = d0 * np.where(length > 1e-12, aff / np.maximum(length, 1e-12), 0)[:, None]
-        move = np.zeros_like(center)
-        np.subtract.at(move, k, pull)
-        np.add.at(move, v, pull)
+        pull = d0 * np.where(pulls & (length > 1e-12), now / np.maximum(length, 1e-12), 0)[:, None]
+        at = lambda ends: (ends[:, None] * len(axes) + axes).ravel()
+        move = (np.bincount(at(v), pull.ravel(), center.size) - np.bincount(at(k), pull.ravel(), center.size)).reshape(center.shape)
         move *= (n / (2 * size))[:, None]
         db = move[k] - move[v]
         den = (db * db).sum(1)
-        tau = np.where(den >= 1e-18, -(d0 * db).sum(1) / np.maximum(den, 1e-18), -1)
+        tau = np.where(pulls & (den >= 1e-18), -(d0 * db).sum(1) / np.maximum(den, 1e-18), -1)
         ok = tau > 1e-12
-        exact = ok & (np.linalg.norm(d0 + tau[:, None] * db, axis=1) < 1e-6 * (length + 1e-9))
+        exact = ok.copy()
+        exact[ok] = np.linalg.norm(d0[ok] + tau[ok, None] * db[ok], axis=1) < 1e-6 * (length[ok] + 1e-9)
         among = np.flatnonzero(exact if exact.any() else ok)
         if not len(among):
             break
         hit = among[np.argmin(tau[among])]
         lam += float(tau[hit])
         center[active] += tau[hit] * move[active]
+        d0 += tau[hit] * db
         a, b = int(k[hit]), int(v[hit])
         center[a] = (size[a] * center[a] + size[b] * center[b]) / (size[a] + size[b])
         size[a] += size[b]
         members[a] = members[a] + members.pop(b)
         active[b] = False
-        for o in near.pop(b):
-            s = table.pop((min(b, o), max(b, o)))
-            near[o].discard(b)
-            if o != a:
-                key = min(a, o), max(a, o)
-                table[key] = table.get(key, 0.0) + s
-                near[a].add(o), near[o].add(a)
+        # the edges of both become edges of ``a``, sums where both had one, in their place by (lesser, greater) end
+        touched = (k == a) | (v == a) | (k == b) | (v == b)
+        ends = np.where((k[touched] == a) | (k[touched] == b), v[touched], k[touched])
+        inner = (ends == a) | (ends == b)
+        others, place = np.unique(ends[~inner], return_inverse=True)
+        sums = np.bincount(place, aff[touched][~inner], len(others))
+        lo, hi = np.minimum(a, others), np.maximum(a, others)
+        rest = ~touched
+        k, v, aff = np.concatenate((k[rest], lo)), np.concatenate((v[rest], hi)), np.concatenate((aff[rest], sums))
+        d0 = np.concatenate((d0[rest], center[lo] - center[hi]))
+        order = np.lexsort((v, k))
+        k, v, aff, d0 = k[order], v[order], aff[order], d0[order]
         lams.append(lam)
         path.append(labels_of(members, n))
     return lams, path
@@ -127,27 +129,42 @@ def labels_of(members: dict[int, list[int]], n: int) -> np.ndarray:
     return out
 
 
-def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
-    """Distances come as rows of ``ROWS`` by Gram products, so memory grows with n, whatever the number of axes."""
-    _, labels, count = np.unique(labels, return_inverse=True, return_counts=True)
-    order, first = np.argsort(labels, kind="stable"), np.cumsum(count) - count
+def silhouettes(x: np.ndarray, partitions: list[np.ndarray]) -> np.ndarray:
+    """The mean silhouette of each of the partitions, of which each joins clusters of the one before.
+
+    Distances come once, as rows of ``ROWS`` by Gram products, so memory grows with n, whatever the number of axes;
+    a row's sums over the clusters of a partition are sums of those of the one before.
+    """
     x = x - x.mean(0)
-    norm, total = (x * x).sum(1), 0.0
+    norm, total = (x * x).sum(1), np.zeros(len(partitions))
+    coded = [np.unique(p, return_inverse=True, return_counts=True)[1:] for p in partitions]
+    joins, before = [], np.arange(len(x))  # of each partition: the order of the clusters before it, and where each new one begins
+    for labels, _ in coded:
+        first = np.unique(before, return_index=True)[1]
+        into = labels[first]
+        order = np.argsort(into, kind="stable")
+        joins.append((order, np.searchsorted(into[order], np.arange(labels.max() + 1))))
+        before = labels
     for lo in range(0, len(x), ROWS):
         at = np.arange(lo, min(lo + ROWS, len(x)))
         here = np.arange(len(at))
-        d = np.sqrt(np.maximum(norm[at, None] + norm - 2 * x[at] @ x.T, 0))
-        d[here, at] = 0
-        sums = np.add.reduceat(d[:, order], first, axis=1)
-        own = count[labels[at]]
-        a = sums[here, labels[at]] / np.maximum(own - 1, 1)
-        means = sums / count
-        means[here, labels[at]] = np.inf
-        b = means.min(1)
-        total += float(np.where(own > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0).sum())
+        sums = np.sqrt(np.maximum(norm[at, None] + norm - 2 * x[at] @ x.T, 0))
+        sums[here, at] = 0
+        for n, ((labels, count), (order, first)) in enumerate(zip(coded, joins)):
+            sums = np.add.reduceat(sums[:, order], first, axis=1)
+            own = count[labels[at]]
+            a = sums[here, labels[at]] / np.maximum(own - 1, 1)
+            means = sums / count
+            means[here, labels[at]] = np.inf
+            b = means.min(1)
+            total[n] += float(np.where(own > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0).sum())
     return total / len(x)
 
 
+def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
+    return float(silhouettes(x, [labels])[0])
+
+
 def davies_bouldin(x: np.ndarray, labels: np.ndarray) -> float:
     k = labels.max() + 1
     c = np.stack([x[labels == g].mean(0) for g in range(k)])
@@ -160,16 +177,13 @@ def davies_bouldin(x: np.ndarray, labels: np.ndarray) -> float:
 
 def select(x: np.ndarray, lams: list[float], path: list[np.ndarray], criterion: str = "silhouette") -> tuple[np.ndarray, float, bool]:
     """(labels, strength, valid) of the best partition of 2 to n - 1 clusters of two or more; the last one if there is none."""
-    best = None
-    for step, labels in enumerate(path):
-        k = labels.max() + 1
-        if 2 <= k < len(x) and np.bincount(labels).min() >= 2:
-            score = -davies_bouldin(x, labels) if criterion == "davies_bouldin" else silhouette(x, labels)
-            if best is None or score > best[0]:
-                best = score, labels, lams[step - 1] if step else 0.0
-    if best is None:
+    steps = [n for n, labels in enumerate(path) if 2 <= labels.max() + 1 < len(x) and np.bincount(labels).min() >= 2]
+    if not steps:
         return path[-1], lams[-1] if lams else 0.0, False
-    return best[1], best[2], True
+    some = [path[n] for n in steps]
+    scores = [-davies_bouldin(x, labels) for labels in some] if criterion == "davies_bouldin" else silhouettes(x, some)
+    best = steps[int(np.argmax(scores))]
+    return path[best], lams[best - 1] if best else 0.0, True
 
 
 def convex_clusters(x: np.ndarray, i: np.ndarray, j: np.ndarray, w: np.ndarray, criterion: str = "silhouette", directed: set | None = None) -> np.ndarray:
@@ -241,11 +255,11 @@ def kmeans(points: DataFrame, k: int, starts: int = 10, seed: int = 0) -> DataFr
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    data = points.select("sample_id", array_to_vector("z").alias("features")).cache()
+    data = points.select("sample_id", array_to_vector("z").alias("features")).persist()
     fits = [KMeans(k=k, seed=seed + s, maxIter=50).fit(data) for s in range(starts)]
     best = min(fits, key=lambda f: f.summary.trainingCost)
-    out = best.transform(data).select("sample_id", F.col("prediction").alias("cluster"))
-    return out
+    data.unpersist()
+    return best.transform(data).select("sample_id", F.col("prediction").alias("cluster"))
 
 
 def kmeans_sweep(points: DataFrame, low: int, high: int, starts: int = 3) -> DataFrame:
@@ -257,4 +271,5 @@ def kmeans_sweep(points: DataFrame, low: int, high: int, starts: int = 3) -> Dat
     for k in range(low, high):
         labelled = points.select("sample_id", "z").join(kmeans(points, k, starts), "sample_id").withColumnRenamed("cluster", "label")
         rows.append((k, evaluate.silhouette(labelled, pairs).first()[0]))
+    pairs.unpersist()
     return points.sparkSession.createDataFrame(rows, "k int, silhouette double")

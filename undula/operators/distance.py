@@ -18,8 +18,9 @@ from undula.operators.graph import block_pairs
 #: Moves (rows, columns) of the elastic lattice, in the order in which ties are decided (fixed values).
 MOVES = ((1, 1), (1, 2), (2, 1), (1, 3), (3, 1), (2, 3), (3, 2), (1, 4), (4, 1), (3, 4), (4, 3))
 METRICS = ("elastic", "elastic-fast", "fastdtw", "ultrafast")
-#: Lattice cells of a batch of pairs.
+#: Lattice cells of a batch of pairs, and rows of the lattice whose costs are one product.
 BATCH_CELLS = 400_000
+ROWS = 20
 
 
 def default_band(steps: int) -> int:
@@ -33,8 +34,11 @@ def _interpolate(q: np.ndarray, at: np.ndarray) -> np.ndarray:
     return q[..., lo] * (1 - w) + q[..., lo + 1] * w
 
 
-def move_costs(q1: np.ndarray, q2: np.ndarray, di: int, dj: int) -> np.ndarray:
-    """(pairs, T, T): the integral of |q1 - sqrt(slope) q2(warped)|^2 over the move that ends in each cell."""
+def _factors(q1: np.ndarray, q2: np.ndarray, di: int, dj: int) -> tuple[np.ndarray, np.ndarray]:
+    """(held (pairs, T - di, K), warped (pairs, K, T - dj)), whose product is the cost of a move by the cell it ends in.
+
+    The cost is the integral of |q1 - sqrt(slope) q2(warped)|^2 over the move: its squares are two of the K terms.
+    """
     t = q1.shape[2]
     slope, h, j = dj / di, 1 / (t - 1), np.arange(t)
     share = np.full(di + 1, h)
@@ -42,22 +46,82 @@ def move_costs(q1: np.ndarray, q2: np.ndarray, di: int, dj: int) -> np.ndarray:
     root = np.sqrt(share)
     held = np.concatenate([q1[:, :, s : t - di + s] * root[s] for s in range(di + 1)], axis=1)
     warped = np.concatenate([_interpolate(q2, j - dj + s * slope) * (np.sqrt(slope) * root[s]) for s in range(di + 1)], axis=1)[:, :, dj:]
+    one = lambda x: np.ones((len(x), 1, x.shape[2]))
+    held = np.concatenate([held, (held**2).sum(1, keepdims=True), one(held)], axis=1)
+    warped = np.concatenate([-2 * warped, one(warped), (warped**2).sum(1, keepdims=True)], axis=1)
+    return held.transpose(0, 2, 1), warped
+
+
+def move_costs(q1: np.ndarray, q2: np.ndarray, di: int, dj: int) -> np.ndarray:
+    """(pairs, T, T): the cost of the move that ends in each cell, infinite where it would start outside."""
+    t = q1.shape[2]
     out = np.full((len(q1), t, t), np.inf)
-    cost = np.matmul(held.transpose(0, 2, 1), -2 * warped)
-    cost += (held**2).sum(1)[:, :, None]
-    cost += (warped**2).sum(1)[:, None, :]
-    np.maximum(cost, 0, out=out[:, di:, dj:])
+    np.maximum(np.matmul(*_factors(q1, q2, di, dj)), 0, out=out[:, di:, dj:])
     return out
 
 
-def elastic_lattice(q1: np.ndarray, q2: np.ndarray, band: int = -1, center: np.ndarray | None = None, track: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-    """(distance of each pair, -1 where the corner isn't reached; moves taken) for q1, q2 (pairs, features, T)."""
+def band_costs(q1: np.ndarray, q2: np.ndarray, di: int, dj: int, band: int, center: np.ndarray | None) -> np.ndarray:
+    """(T, pairs, 2 band + 1): ``move_costs`` of the cells from column ``center - band`` on (the diagonal's without a center)."""
+    n, _, t = q1.shape
+    width = 2 * band + 1
+    held, warped = _factors(q1, q2, di, dj)
+    out = np.full((t, n, width), np.inf)
+    if center is not None:
+        j = center[:, di:, None] - band + np.arange(width) - dj
+        near = warped.transpose(0, 2, 1)[np.arange(n)[:, None, None], np.clip(j, 0, t - dj - 1)]
+        cost = np.matmul(near, held[:, :, :, None])[..., 0]
+        out[di:] = np.where((j >= 0) & (j < t - dj), np.maximum(cost, 0), np.inf).transpose(1, 0, 2)
+        return out
+    for lo in range(di, t, ROWS):
+        hi = min(lo + ROWS, t)
+        a, b = max(lo - band - dj, 0), min(hi + band - dj, t - dj)
+        if a >= b:
+            continue
+        block = np.full((n, hi - lo, hi - lo + width), np.inf)  # its column 0 is column lo - band
+        at = a + dj - (lo - band)
+        np.maximum(np.matmul(held[:, lo - di : hi - di], warped[:, :, a:b]), 0, out=block[:, :, at : at + b - a])
+        x, y, z = block.strides
+        out[lo:hi] = np.lib.stride_tricks.as_strided(block, (hi - lo, n, width), (y + z, x, z))
+    return out
+
+
+def banded(q1: np.ndarray, q2: np.ndarray, band: int, center: np.ndarray | None = None) -> np.ndarray:
+    """Distance of each pair, -1 where the corner isn't reached, over the cells within ``band`` columns of the center alone."""
+    n, _, t = q1.shape
+    width = 2 * band + 1
+    center = None if center is None else np.concatenate([np.zeros((n, 1), int), center[:, 1:].astype(int)], axis=1)
+    costs = [band_costs(q1, q2, di, dj, band, center) for di, dj in MOVES]
+    e = np.full((t, n, width), np.inf)
+    e[0, :, band] = 0
+    o = np.arange(width)
+    for i in range(1, t):
+        best = e[i]
+        for m, (di, dj) in enumerate(MOVES):
+            if di > i:
+                continue
+            if center is None:
+                shift = di - dj
+                own, past = slice(max(0, -shift), width - max(0, shift)), slice(max(0, shift), width + min(0, shift))
+                if own.start < own.stop:
+                    np.minimum(best[:, own], e[i - di][:, past] + costs[m][i][:, own], out=best[:, own])
+            else:
+                at = o + (center[:, i] - center[:, i - di] - dj)[:, None]
+                value = np.take_along_axis(e[i - di], np.clip(at, 0, width - 1), 1) + costs[m][i]
+                np.minimum(best, np.where((at >= 0) & (at < width), value, np.inf), out=best)
+        j = (i if center is None else center[:, i, None]) - band + o
+        best[np.broadcast_to((j < 1) | (j >= t), best.shape)] = np.inf
+    at = np.full(n, band) if center is None else t - 1 - center[:, -1] + band
+    last = np.where((at >= 0) & (at < width), e[-1][np.arange(n), np.clip(at, 0, width - 1)], np.inf)
+    return np.where(np.isfinite(last), np.sqrt(np.where(np.isfinite(last), last, 0)), -1.0)
+
+
+def elastic_lattice(q1: np.ndarray, q2: np.ndarray, track: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """(distance of each pair, moves taken) over all cells, for q1, q2 (pairs, features, T)."""
     n, _, t = q1.shape
     costs = [move_costs(q1, q2, di, dj) for di, dj in MOVES]
     e = np.full((n, t, t), np.inf)
     e[:, 0, 0] = 0
     taken = np.full((n, t, t), -1, np.int8) if track else None
-    j = np.arange(t)
     for i in range(1, t):
         best, which = np.full((n, t), np.inf), np.full((n, t), -1, np.int8) if track else None
         for m, (di, dj) in enumerate(MOVES):
@@ -67,12 +131,6 @@ def elastic_lattice(q1: np.ndarray, q2: np.ndarray, band: int = -1, center: np.n
             if track:
                 which[:, dj:][value < best[:, dj:]] = m
             np.minimum(best[:, dj:], value, out=best[:, dj:])
-        if band >= 0:
-            c = np.full(n, i) if center is None else center[:, i].astype(int)
-            off = (j < np.maximum(1, c - band)[:, None]) | (j > (c + band)[:, None])
-            best[off] = np.inf
-            if track:
-                which[off] = -1
         best[:, 0] = np.inf
         e[:, i] = best
         if track:
@@ -84,12 +142,15 @@ def elastic_lattice(q1: np.ndarray, q2: np.ndarray, band: int = -1, center: np.n
 def elastic(q1: np.ndarray, q2: np.ndarray, band: int = -1, center: np.ndarray | None = None) -> np.ndarray:
     """Distances; pairs whose corner the band cuts off are tried in a wider band, then without one."""
     t = q1.shape[2]
-    out, _ = elastic_lattice(q1, q2, band, center)
+    if band < 0 or (center is None and 2 * band + 1 >= t):
+        return elastic_lattice(q1, q2)[0]
+    out = banded(q1, q2, band, center)
     for wider in (max(2 * band, t // 4), -1):
         again = np.flatnonzero(out < 0)
-        if band < 0 or not len(again):
+        if not len(again):
             break
-        out[again], _ = elastic_lattice(q1[again], q2[again], wider, None if center is None else center[again])
+        c = None if center is None else center[again]
+        out[again] = elastic_lattice(q1[again], q2[again])[0] if wider < 0 else banded(q1[again], q2[again], wider, c)
     return out
 
 
@@ -111,7 +172,7 @@ def elastic_fast(q1: np.ndarray, q2: np.ndarray, factor: int = 2, radius: int =
     if short >= t or t <= 64:
         return elastic(q1, q2, max(12, t // 8))
     at = np.linspace(0, t - 1, short)
-    _, taken = elastic_lattice(_interpolate(q1, at), _interpolate(q2, at), track=True)
+    taken = elastic_lattice(_interpolate(q1, at), _interpolate(q2, at), track=True)[1]
     scale, center = (t - 1) / (short - 1), np.empty((n, t))
     for k in range(n):
         path = np.array(alignment_path(taken[k]), float) * scale
@@ -143,37 +204,69 @@ def dtw(a: np.ndarray, b: np.ndarray, radius: int | None = None) -> np.ndarray:
     return row[:, tb]
 
 
-def dtw_path(a: np.ndarray, b: np.ndarray, window: list[tuple[int, int]] | None = None) -> tuple[float, list[tuple[int, int]]]:
-    """(distance, path) of one pair (T, features); ``window`` gives each row's first and last column."""
-    ta, tb = len(a), len(b)
-    cost = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2)).tolist()
-    inf = float("inf")
-    d = [[inf] * (tb + 1) for _ in range(ta + 1)]
-    d[0][0] = 0.0
+def dtw_path(a: np.ndarray, b: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distance of each pair (pairs, T, features), rows, columns of its path from the end, -1 behind its start).
+
+    ``lo`` and ``hi`` (pairs, rows) are each row's first and last column; all without them. Cells are visited by row and
+    offset, all pairs at once; equal ways go diagonally, then up.
+    """
+    n, ta, tb = len(a), a.shape[1], b.shape[1]
+    if lo is None:
+        lo, hi = np.zeros((n, ta), int), np.full((n, ta), tb - 1)
+    width = int((hi - lo).max()) + 1
+    at = np.arange(n)
+    d = np.full((ta + 1, n, width + 2), np.inf)  # column lo + o is at o + 1; row 0 stands for the start
+    start = np.concatenate([lo[:, :1], lo], axis=1).T
+    begin = -start[0]  # the start is the cell before column 0
+    d[0, at, np.clip(begin, 0, width + 1)] = np.where(begin >= 0, 0.0, np.inf)
     for i in range(ta):
-        lo, hi = (0, tb - 1) if window is None else window[i]
         up, own = d[i], d[i + 1]
-        for j in range(lo, hi + 1):
-            own[j + 1] = cost[i][j] + min(up[j + 1], own[j], up[j])
-    path, i, j = [], ta, tb
-    while i and j:
-        path.append((i - 1, j - 1))
-        step = min((d[i - 1][j - 1], 0), (d[i - 1][j], 1), (d[i][j - 1], 2))[1]
-        i, j = i - (step < 2), j - (step != 1)
-    return d[ta][tb], path[::-1]
-
-
-def fast_dtw(a: np.ndarray, b: np.ndarray, radius: int = 1, least: int = 16) -> tuple[float, list[tuple[int, int]]]:
-    """(distance, path) by resolutions: the path of the halved curves, widened by ``radius``, bounds the search."""
-    if min(len(a), len(b)) <= least:
+        shift = start[i + 1] - start[i]
+        size = hi[:, i] - lo[:, i] + 1
+        some = np.argsort(-size, kind="stable")
+        left = np.searchsorted(-size[some], -np.arange(1, size.max(initial=0) + 1), "right")  # pairs that have an offset
+        for o, live in enumerate(left.tolist()):
+            k = some[:live]
+            cost = np.sqrt(((a[k, i] - b[k, lo[k, i] + o]) ** 2).sum(1))
+            p = o + 1 + shift[k]  # the place of the column in the row above
+            above = np.where(p < width + 2, up[k, np.minimum(p, width + 1)], np.inf)
+            across = np.where((p >= 1) & (p <= width + 2), up[k, np.clip(p - 1, 0, width + 1)], np.inf)
+            own[k, o + 1] = cost + np.minimum(np.minimum(np.where(p >= 0, above, np.inf), own[k, o]), across)
+
+    def cell(i, j):  # the sum at row i and column j, of the grid with a border
+        p = j - 1 - start[i, at] + 1
+        return np.where((p >= 0) & (p < width + 2), d[i, at, np.clip(p, 0, width + 1)], np.inf)
+
+    i, j = np.full(n, ta), np.full(n, tb)
+    total = cell(i, j)
+    rows, cols = [], []
+    while (live := (i > 0) & (j > 0)).any():
+        rows.append(np.where(live, i - 1, -1)), cols.append(np.where(live, j - 1, -1))
+        back, up = np.maximum(i - 1, 0), np.maximum(j - 1, 0)
+        step = np.argmin([cell(back, up), cell(back, j), cell(i, up)], axis=0)
+        i, j = np.where(live & (step < 2), i - 1, i), np.where(live & (step != 1), j - 1, j)
+    return total, np.array(rows).T, np.array(cols).T
+
+
+def dilate(rows: np.ndarray, cols: np.ndarray, ta: int, tb: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last column of each row of a grid of ta x tb) of paths on the halved grid, widened by ``radius``; no column: tb, -1."""
+    lo, hi = np.full((len(rows), ta), tb), np.full((len(rows), ta), -1)
+    at = np.broadcast_to(np.arange(len(rows))[:, None], rows.shape)
+    for off in range(-radius, 2 + radius):
+        r = 2 * rows + off
+        ok = (rows >= 0) & (r >= 0) & (r < ta)
+        np.minimum.at(lo, (at[ok], r[ok]), np.maximum(0, 2 * cols[ok] - radius))
+        np.maximum.at(hi, (at[ok], r[ok]), np.minimum(tb - 1, 2 * cols[ok] + 1 + radius))
+    return lo, hi
+
+
+def fast_dtw(a: np.ndarray, b: np.ndarray, radius: int = 1, least: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``dtw_path`` by resolutions: the paths of the halved curves, widened by ``radius``, bound the search."""
+    if min(a.shape[1], b.shape[1]) <= least:
         return dtw_path(a, b)
-    half = lambda x: x[: len(x) // 2 * 2].reshape(len(x) // 2, 2, -1).mean(1)
-    _, rough = fast_dtw(half(a), half(b), radius, least)
-    lo, hi = [len(b)] * len(a), [-1] * len(a)
-    for i, j in rough:
-        for r in range(max(0, 2 * i - radius), min(len(a), 2 * i + 2 + radius)):
-            lo[r], hi[r] = min(lo[r], max(0, 2 * j - radius)), max(hi[r], min(len(b) - 1, 2 * j + 1 + radius))
-    return dtw_path(a, b, list(zip(lo, hi)))
+    half = lambda x: x[:, : x.shape[1] // 2 * 2].reshape(len(x), x.shape[1] // 2, 2, -1).mean(2)
+    _, rows, cols = fast_dtw(half(a), half(b), radius, least)
+    return dtw_path(a, b, *dilate(rows, cols, a.shape[1], b.shape[1], radius))
 
 
 def prepared(curves: DataFrame, metric: str) -> DataFrame:
@@ -207,9 +300,7 @@ def aligned(p: np.ndarray, q: np.ndarray, metric: str, band: int | None = None,
     """Distances of p[k] to q[k], both (pairs, features, T) as ``prepared`` gives them."""
     t = p.shape[2]
     r = default_band(t) if band is None else band
-    if metric == "ultrafast":
-        return np.array([fast_dtw(u.T, v.T, max(1, max(1, r) // 6))[0] for u, v in zip(p, q)])
-    size = max(1, BATCH_CELLS // (t * t)) if metric.startswith("elastic") else 512
+    size = max(1, BATCH_CELLS // (t * t)) if metric.startswith("elastic") else 1024
     out = np.empty(len(p))
     for k in range(0, len(p), size):
         a, b = p[k : k + size], q[k : k + size]
@@ -217,6 +308,8 @@ def aligned(p: np.ndarray, q: np.ndarray, metric: str, band: int | None = None,
             out[k : k + size] = elastic(a, b, r)
         elif metric == "elastic-fast":
             out[k : k + size] = elastic_fast(a, b, factor, max(1, r))
+        elif metric == "ultrafast":
+            out[k : k + size] = fast_dtw(a.transpose(0, 2, 1), b.transpose(0, 2, 1), max(1, max(1, r) // 6))[0]
         else:
             out[k : k + size] = dtw(a.transpose(0, 2, 1), b.transpose(0, 2, 1), max(1, r))
     return out

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from undula.operators.graph import euclidean, euclidean_pairs, symmetric
@@ -95,10 +96,23 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     return r.select(F.coalesce(F.try_divide(F.col("c") - e, (F.col("ra") + F.col("rb")) / 2 - e), F.lit(1.0)).alias("ari"))
 
 
+def log_gamma(x: Column) -> Column:
+    """ln Gamma of x >= 1 by Stirling's series at x + 8, less the logarithm of x (x + 1) ... (x + 7)."""
+    y = x + 8
+    z = 1 / (y * y)
+    series = (F.lit(1 / 12) - z * (F.lit(1 / 360) - z * (F.lit(1 / 1260) - z * (F.lit(1 / 1680) - z / 1188)))) / y
+    rise = x
+    for k in range(1, 8):
+        rise = rise * (x + k)
+    return (y - 0.5) * F.log(y) - y + 0.5 * float(np.log(2 * np.pi)) + series - F.log(rise)
+
+
 def adjusted_mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
     """(ami) with the arithmetic normaliser; the expectation is over the hypergeometric model.
 
-    Log-factorials are running sums of logarithms up to n, one row each, joined by value.
+    For two classes of sizes a and b the count k in both lies around its mean a b / n, and beyond 6 sqrt(min(a, b)) of
+    it with a probability of at most 2 exp(-72) (Hoeffding), which no double sum of logarithms up to ln n can show: the
+    sum over k is an array of that length beside its row, one row a pair of distinct class sizes.
     """
     spark = df.sparkSession
     t = contingency(df, a, b)
@@ -109,22 +123,23 @@ def adjusted_mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
     cols = t.groupBy("b").agg(F.sum("n").alias("bj"))
     mi = t.join(rows, "a").join(cols, "b").agg(F.sum(F.col("n") / n * F.log(F.lit(float(n)) * F.col("n") / (F.col("ai") * F.col("bj")))).alias("mi"))
     h = lambda d, c, name: d.agg((-F.sum(F.col(c) / n * F.log(F.col(c) / n))).alias(name))
-    w = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    fact = spark.range(n + 1).select(F.col("id").alias("k")).withColumn("lf", F.sum(F.when(F.col("k") > 1, F.log("k")).otherwise(0.0)).over(w))
-    ra = rows.groupBy("ai").agg(F.count(F.lit(1)).alias("ca"))
-    rb = cols.groupBy("bj").agg(F.count(F.lit(1)).alias("cb"))
-    lo = F.greatest(F.lit(1).cast("long"), F.col("ai") + F.col("bj") - n)
-    cells = ra.crossJoin(rb).withColumn("hi", F.least("ai", "bj")).filter(lo <= F.col("hi")).withColumn("k", F.explode(F.sequence(lo, F.col("hi"))))  # distinct class sizes
-    f = lambda x, name: fact.select(F.col("k").alias(x), F.col("lf").alias(name))
-    cells = cells.withColumns({"x1": F.col("ai") - F.col("k"), "x2": F.col("bj") - F.col("k"), "x3": n - F.col("ai") - F.col("bj") + F.col("k"), "x4": n - F.col("ai"), "x5": n - F.col("bj")})
-    for x, name in (("k", "fk"), ("ai", "fa"), ("bj", "fb"), ("x1", "f1"), ("x2", "f2"), ("x3", "f3"), ("x4", "f4"), ("x5", "f5")):
-        cells = cells.join(f(x, name), x)
-    fn = fact.filter(F.col("k") == n).select(F.col("lf").alias("fn"))
-    cells = cells.crossJoin(fn)  # one row
-    p = F.exp(F.col("fa") + F.col("fb") + F.col("f4") + F.col("f5") - F.col("fn") - F.col("fk") - F.col("f1") - F.col("f2") - F.col("f3"))
-    emi = cells.agg(F.sum(F.col("ca") * F.col("cb") * F.col("k") / n * F.log(F.lit(float(n)) * F.col("k") / (F.col("ai") * F.col("bj"))) * p).alias("emi"))
-    all_ = mi.crossJoin(emi).crossJoin(h(rows, "ai", "ha")).crossJoin(h(cols, "bj", "hb"))  # single rows
-    return all_.select(F.coalesce(F.try_divide(F.col("mi") - F.col("emi"), (F.col("ha") + F.col("hb")) / 2 - F.col("emi")), F.lit(1.0)).alias("ami"))
+    ra = rows.groupBy(F.col("ai").cast("double").alias("x")).agg(F.count(F.lit(1)).alias("cx"))
+    rb = cols.groupBy(F.col("bj").cast("double").alias("y")).agg(F.count(F.lit(1)).alias("cy"))
+    all_ = float(n)
+    least, most = F.greatest(F.lit(1.0), F.col("x") + F.col("y") - all_), F.least("x", "y")
+    mean, reach = F.col("x") * F.col("y") / all_, 6 * F.sqrt(F.least("x", "y")) + 1
+    lo, hi = F.greatest(least, F.floor(mean - reach)).cast("long"), F.least(most, F.ceil(mean + reach)).cast("long")
+    fixed = log_gamma(F.col("x") + 1) + log_gamma(F.col("y") + 1) + log_gamma(all_ - F.col("x") + 1) + log_gamma(all_ - F.col("y") + 1) - log_gamma(F.lit(all_) + 1)
+    cells = ra.crossJoin(rb).select("x", "y", "cx", "cy", lo.alias("lo"), hi.alias("hi"), fixed.alias("c")).filter("lo <= hi")  # distinct class sizes
+
+    def term(total, k):
+        k = k.cast("double")
+        p = F.exp(F.col("c") - log_gamma(k + 1) - log_gamma(F.col("x") - k + 1) - log_gamma(F.col("y") - k + 1) - log_gamma(all_ - F.col("x") - F.col("y") + k + 1))
+        return total + k / all_ * F.log(all_ * k / (F.col("x") * F.col("y"))) * p
+
+    emi = cells.agg(F.sum(F.col("cx") * F.col("cy") * F.aggregate(F.sequence("lo", "hi"), F.lit(0.0), term)).alias("emi"))
+    one = mi.crossJoin(emi).crossJoin(h(rows, "ai", "ha")).crossJoin(h(cols, "bj", "hb"))  # single rows
+    return one.select(F.coalesce(F.try_divide(F.col("mi") - F.col("emi"), (F.col("ha") + F.col("hb")) / 2 - F.col("emi")), F.lit(1.0)).alias("ami"))
 
 
 def project_2d(points: DataFrame) -> DataFrame:

@@ -21,10 +21,11 @@ def euclidean(a: str, b: str) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
 
 
-def block_pairs(df: DataFrame, key: str, columns: list[str], kernel: Callable[[list, list, bool], np.ndarray], n: int | None = None, block: int = BLOCK_POINTS) -> DataFrame:
+def block_pairs(df: DataFrame, key: str, columns: list[str], kernel: Callable[[list, list, bool], np.ndarray], n: int | None = None, block: int = BLOCK_POINTS, nearest: int | None = None) -> DataFrame:
     """(i, j, dist) with i < j by a kernel over two blocks: ``kernel(left rows, right rows, same)`` gives a matrix.
 
-    A point is sent to the ``blocks`` pairs of blocks that hold its block; each pair is one group.
+    A point is sent to the ``blocks`` pairs of blocks that hold its block; each pair is one group. With ``nearest``
+    a group gives, for each of its points, the rows (point, other, dist) of so many nearest others in the other block.
     """
     n = df.count() if n is None else n
     blocks = max(1, -(-n // block))
@@ -45,24 +46,61 @@ def block_pairs(df: DataFrame, key: str, columns: list[str], kernel: Callable[[l
         a, b_ = np.indices(d.shape)
         keep = a < b_ if x == y else np.ones(d.shape, bool)
         ids_l, ids_r = np.array([r[key] for r in left]), np.array([r[key] for r in right])
+        if nearest is not None:
+            if x == y:
+                d = np.where(keep, d, d.T)
+                np.fill_diagonal(d, np.inf)
+            i, j, dist = (np.concatenate(c) for c in zip(_nearest(d, ids_l, ids_r, nearest), *([_nearest(d.T, ids_r, ids_l, nearest)] if x != y else [])))
+            return pa.table({"i": i, "j": j, "dist": dist})
         i, j = ids_l[a[keep]], ids_r[b_[keep]]
         return pa.table({"i": np.minimum(i, j), "j": np.maximum(i, j), "dist": d[keep]})
 
-    return dealt.select(F.col("__g.x").alias("__x"), F.col("__g.y").alias("__y"), "__b", key, *columns).groupBy("__x", "__y").applyInArrow(run, f"i {kind}, j {kind}, dist double")
+    # few bytes can mean much work: a count of its own keeps the groups from being put into one task
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(blocks * (blocks + 1) // 2, 8 * spark.sparkContext.defaultParallelism))
+    dealt = dealt.select(F.col("__g.x").alias("__x"), F.col("__g.y").alias("__y"), "__b", key, *columns).repartition(parts, "__x", "__y")
+    return dealt.groupBy("__x", "__y").applyInArrow(run, f"i {kind}, j {kind}, dist double")
+
+
+def _nearest(d: np.ndarray, own: np.ndarray, other: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(own, other, dist) of the m least finite entries of each row, the lesser other first; ``other`` ascends."""
+    at = np.argsort(d, axis=1, kind="stable")[:, :m]
+    dist = np.take_along_axis(d, at, 1)
+    good = np.isfinite(dist)
+    return np.repeat(own, at.shape[1])[good.ravel()], other[at][good], dist[good]
+
+
+def _exact(left, right, same):
+    """Distances from exact differences, some rows at a time."""
+    a, b = (np.array([r[0] for r in side], float) for side in (left, right))
+    return np.concatenate([np.sqrt(((a[k : k + 32, None] - b[None]) ** 2).sum(2)) for k in range(0, len(a), 32)])
 
 
 def euclidean_pairs(points: DataFrame, key: str = "sample_id", vector: str = "z") -> DataFrame:
     """All pairs by blocks, each block pair one matrix of exact differences."""
+    return block_pairs(points, key, [vector], _exact)
+
+
+def nearest_points(points: DataFrame, m: int, key: str = "sample_id", vector: str = "z") -> DataFrame:
+    """(i, rank, j, dist) of the m nearest others of each point; blocks send on m candidates a point, not all pairs."""
+    return ranked(block_pairs(points, key, [vector], _exact, nearest=m), m)
+
+
+def ranked(directed: DataFrame, m: int | None) -> DataFrame:
+    """(i, rank, j, dist): the m nearest of each i, the lesser id first among equals; all with None."""
+    w = Window.partitionBy("i").orderBy("dist", "j")
+    out = directed.withColumn("rank", F.row_number().over(w))
+    return (out if m is None else out.filter(F.col("rank") <= m)).select("i", "rank", "j", "dist")
 
-    def kernel(left, right, same):
-        a, b = (np.array([r[0] for r in side], float) for side in (left, right))
-        return np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
 
-    return block_pairs(points, key, [vector], kernel)
+def both_ways(edge: DataFrame, *columns: str) -> DataFrame:
+    """(i, j, columns) of every row and of its swap, in one pass over the input."""
+    way = lambda a, b: F.struct(F.col(a).alias("i"), F.col(b).alias("j"))
+    return edge.select(F.explode(F.array(way("i", "j"), way("j", "i"))).alias("__w"), *columns).select("__w.i", "__w.j", *columns)
 
 
 def symmetric(pairs: DataFrame) -> DataFrame:
-    return pairs.select("i", "j", "dist").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "dist"))
+    return both_ways(pairs, "dist")
 
 
 def check_pairs(pairs: DataFrame) -> int:
@@ -91,9 +129,27 @@ def extremes(pairs: DataFrame, curves: DataFrame) -> DataFrame:
 
 def neighbours(pairs: DataFrame, m: int | None = None) -> DataFrame:
     """(i, rank, j, dist): the m nearest others of each point, the lesser id first among equals; all with None."""
-    w = Window.partitionBy("i").orderBy("dist", "j")
-    ranked = symmetric(pairs).withColumn("rank", F.row_number().over(w))
-    return (ranked if m is None else ranked.filter(F.col("rank") <= m)).select("i", "rank", "j", "dist")
+    return ranked(symmetric(pairs), m)
+
+
+def nearest_neighbours(pairs: DataFrame, m: int | None = None) -> DataFrame:
+    """``neighbours`` with m chosen behind the largest jump of the mean distance where it isn't given."""
+    return neighbours(pairs, optimal_m(pairs, "avg_distance") if m is None else m)
+
+
+def reorder_by_class(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(row, col, dist): the full matrix with samples in the order of (label, sample_id), zeros on its diagonal.
+
+    Places come from counts by label and a numbering within each label.
+    """
+    w = Window.partitionBy("label").orderBy("sample_id")
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.alias("a").join(F.broadcast(sizes).alias("b"), F.col("b.label") < F.col("a.label"), "left")  # a row a class
+    offset = before.groupBy(F.col("a.label").alias("label")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("offset"))
+    place = labels.join(F.broadcast(offset), "label").select("sample_id", (F.col("offset") + F.row_number().over(w) - 1).cast("int").alias("place"))
+    x, y = (place.select(F.col("sample_id").alias(c), F.col("place").alias(name)) for c, name in (("i", "row"), ("j", "col")))
+    off = symmetric(pairs).join(x, "i").join(y, "j").select("row", "col", "dist")
+    return off.unionByName(place.select(F.col("place").alias("row"), F.col("place").alias("col"), F.lit(0.0).alias("dist")))
 
 
 def average_mth_distance(knn: DataFrame, max_m: int | None = None) -> DataFrame:
@@ -150,8 +206,9 @@ def components_by_m(knn: DataFrame, max_m: int | None = None) -> DataFrame:
 
     batch_type = pa.int64()
     e = edges.select(F.col("a").cast("long"), F.col("b").cast("long"), F.col("m").cast("int"))
-    local = e.mapInArrow(run, "a long, b long, m int")
-    tree = local.coalesce(1).mapInArrow(run, "a long, b long, m int")
+    tree, parts = e.mapInArrow(run, "a long, b long, m int"), 64
+    while parts:  # forests meet in fewer and fewer tasks; each holds n - 1 edges at most
+        tree, parts = tree.repartition(parts, F.spark_partition_id() % parts).mapInArrow(run, "a long, b long, m int"), parts // 8
     n = k.select("i").distinct().count()
     top = k.agg(F.max("rank")).first()[0] or 0
     counts = tree.groupBy("m").agg(F.count(F.lit(1)).alias("joins"))
@@ -181,8 +238,7 @@ def similarity(pairs: DataFrame, knn: DataFrame | None = None, method: str = "ne
     if method == "distance":
         return symmetric(pairs).select("i", "j", F.exp(-F.col("dist")).alias("w"))
     if method == "neighbors":
-        e = edges(knn)
-        return e.unionByName(e.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
+        return both_ways(edges(knn), "w")
     raise ValueError(f"unknown method {method!r}")
 
 
@@ -211,6 +267,7 @@ def difference(edge: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def divergence(values: DataFrame) -> DataFrame:
     """(sample_id, z): the transpose, edge values d summed onto i and, negated, onto j; sums are partial before the shuffle."""
-    both = values.select(F.col("i").alias("sample_id"), "d").unionByName(values.select(F.col("j").alias("sample_id"), F.transform("d", lambda x: -x).alias("d")))
+    ends = F.array(F.struct(F.col("i").alias("id"), F.col("d").alias("d")), F.struct(F.col("j").alias("id"), F.transform("d", lambda x: -x).alias("d")))
+    both = values.select(F.explode(ends).alias("e")).select(F.col("e.id").alias("sample_id"), F.col("e.d").alias("d"))
     sums = both.select("sample_id", F.posexplode("d").alias("k", "v")).groupBy("sample_id", "k").agg(F.sum("v").alias("v"))
     return sums.groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("z"))

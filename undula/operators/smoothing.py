@@ -52,7 +52,9 @@ def fourier_basis(x: np.ndarray, count: int) -> np.ndarray:
 
 
 def orthogonal_basis(kind: str, n: int, steps: int) -> np.ndarray:
-    """(steps, n): Legendre polynomials on [-1, 1], or scaled sines and cosines on [0, 1]."""
+    """(steps, n): clamped cubic B-splines on [0, 1], Legendre polynomials on [-1, 1], or scaled sines and cosines on [0, 1]."""
+    if kind == "bspline":
+        return bspline_design(np.linspace(0, 1, steps), n)
     if kind == "legendre":
         return np.polynomial.legendre.legvander(np.linspace(-1, 1, steps), n - 1)
     if kind == "fourier":
@@ -162,7 +164,7 @@ def gcv_scores(curves: DataFrame, grid: list[tuple[int, float, np.ndarray]]) ->
     def run(batches):
         total, count = np.zeros(len(grid)), 0
         for batch in batches:
-            y = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            y = _matrix(batch.column(0))
             total += [((y @ r.T) ** 2).sum() for r in residual]
             count += len(y)
         if count:
@@ -189,29 +191,41 @@ def _filters(name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return low, high, low[::-1], high[::-1]
 
 
+def _convolve(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
+    """Full convolution along the last axis."""
+    out = np.zeros((*x.shape[:-1], x.shape[-1] + len(taps) - 1))
+    for k, c in enumerate(taps):
+        out[..., k : k + x.shape[-1]] += c * x
+    return out
+
+
 def analyse(x: np.ndarray, name: str) -> tuple[np.ndarray, np.ndarray]:
-    """One level: (approximation, detail), the signal mirrored at its ends."""
+    """One level of each curve (..., steps): (approximation, detail), the signal mirrored at its ends."""
     low, high, _, _ = _filters(name)
-    n, w = len(x), len(low) - 1
+    n, w = x.shape[-1], len(low) - 1
     place = np.arange(-w, n + w) % (2 * n)
-    ext = x[np.where(place < n, place, 2 * n - 1 - place)]
-    return np.convolve(ext, low, "valid")[1::2], np.convolve(ext, high, "valid")[1::2]
+    ext = x[..., np.where(place < n, place, 2 * n - 1 - place)]
+    valid = slice(w, w + n + w)
+    return _convolve(ext, low)[..., valid][..., 1::2], _convolve(ext, high)[..., valid][..., 1::2]
 
 
 def synthesise(a: np.ndarray, d: np.ndarray, name: str) -> np.ndarray:
     _, _, low, high = _filters(name)
-    up = np.zeros((2, 2 * len(d)))
-    up[0, ::2], up[1, ::2] = a[: len(d)], d
-    z = np.convolve(up[0], low) + np.convolve(up[1], high)
-    return z[len(low) - 2 : 2 * len(d)]
+    up = np.zeros((2, *d.shape[:-1], 2 * d.shape[-1]))
+    up[0, ..., ::2], up[1, ..., ::2] = a[..., : d.shape[-1]], d
+    return (_convolve(up[0], low) + _convolve(up[1], high))[..., len(low) - 2 : 2 * d.shape[-1]]
 
 
-def decompose(x: np.ndarray, name: str = "db4", level: int = 4) -> list[np.ndarray]:
-    """Approximation, then details from coarse to fine; no level beyond what the filter's length allows."""
+def greatest_level(steps: int, name: str) -> int:
+    """No level beyond what the filter's length allows."""
     width = len(LOW[name])
-    level = max(0, min(level, int(np.log2(len(x) / (width - 1))) if len(x) >= width else 0))
+    return max(0, int(np.log2(steps / (width - 1)))) if steps >= width else 0
+
+
+def decompose(x: np.ndarray, name: str = "db4", level: int = 4) -> list[np.ndarray]:
+    """Approximation, then details from coarse to fine, of curves (..., steps)."""
     out = []
-    for _ in range(level):
+    for _ in range(max(0, min(level, greatest_level(x.shape[-1], name)))):
         x, d = analyse(x, name)
         out.append(d)
     return [x, *out[::-1]]
@@ -224,51 +238,66 @@ def recompose(parts: list[np.ndarray], name: str = "db4") -> np.ndarray:
     return x
 
 
-def mad(d: np.ndarray) -> float:
-    return float(np.median(np.abs(d - np.median(d))) / 0.6745 + 1e-12)
+def mad(d: np.ndarray) -> np.ndarray:
+    return np.median(np.abs(d - np.median(d, axis=-1, keepdims=True)), axis=-1) / 0.6745 + 1e-12
 
 
-def soft(parts: list[np.ndarray], tau: float) -> list[np.ndarray]:
-    """All levels, the approximation too, shrunk towards 0 by ``tau``."""
+def soft(parts: list[np.ndarray], tau) -> list[np.ndarray]:
+    """All levels, the approximation too, shrunk towards 0 by ``tau``, a number or one a curve."""
+    tau = np.asarray(tau)[..., None]
     return [np.sign(c) * np.maximum(np.abs(c) - tau, 0) for c in parts]
 
 
-def nonzero(parts: list[np.ndarray], eps: float = 1e-12) -> int:
-    return int(sum((np.abs(c) > eps).sum() for c in parts))
+def nonzero(parts: list[np.ndarray]) -> np.ndarray:
+    return sum(np.count_nonzero(c, axis=-1) for c in parts)
 
 
 def denoise(x: np.ndarray, name: str = "db4", level: int = 4, tau: float | None = None) -> np.ndarray:
     parts = decompose(x, name, level)
-    return recompose(soft(parts, 2 * mad(parts[-1]) if tau is None else tau), name)[: len(x)]
+    return recompose(soft(parts, 2 * mad(parts[-1]) if tau is None else tau), name)[..., : x.shape[-1]]
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _arrays(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
 
 
 def wavelet_denoise(curves: DataFrame, name: str = "db4", level: int = 4, tau: float | None = None) -> DataFrame:
+    """(sample_id, feature, fit) of curves on one grid, a batch at a time."""
+
     def run(batches):
         for b in batches:
-            fit = [denoise(np.array(v, float), name, level, tau) for v in b.column(2).to_pylist()]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([f.tolist() for f in fit], pa.list_(pa.float64()))], ["sample_id", "feature", "fit"])
+            if b.num_rows:
+                yield pa.record_batch([b.column(0), b.column(1), _arrays(denoise(_matrix(b.column(2)), name, level, tau))], ["sample_id", "feature", "fit"])
 
     kinds = dict(curves.dtypes)
     return curves.select("sample_id", "feature", "values").mapInArrow(run, f"sample_id {kinds['sample_id']}, feature {kinds['feature']}, fit array<double>")
 
 
 def wavelet_scores(curves: DataFrame, name: str = "db4", most: int = 6) -> DataFrame:
-    """(level, tau, gcv): the mean over curves; tau in eight steps of the noise scale of the first curve."""
+    """(level, tau, gcv): the mean over curves; tau in eight steps of the noise scale of the first curve.
+
+    Levels end with the greatest that the grid allows; a curve keeps as many terms as coefficients that aren't 0.
+    """
     first = np.array(curves.orderBy("sample_id", "feature").select("values").first()[0], float)
-    sigma = mad(decompose(first, name, 1)[-1])
-    grid = [(lv, float(t)) for lv in range(1, most + 1) for t in np.linspace(0.5, 3.5, 8) * sigma]
+    sigma = float(mad(decompose(first, name, 1)[-1]))
+    grid = [(lv, float(t)) for lv in range(1, min(most, greatest_level(len(first), name)) + 1) for t in np.linspace(0.5, 3.5, 8) * sigma]
 
     def run(batches):
         total, n = np.zeros(len(grid)), 0
         for b in batches:
-            for v in b.column(0).to_pylist():
-                x = np.array(v, float)
-                parts = {lv: decompose(x, name, lv) for lv in range(1, most + 1)}
-                for g, (lv, t) in enumerate(grid):
-                    cut = soft(parts[lv], t)
-                    rss = ((x - recompose(cut, name)[: len(x)]) ** 2).sum()
-                    total[g] += len(x) * rss / max(1e-12, len(x) - min(nonzero(cut), len(x) - 1)) ** 2
-                n += 1
+            if not b.num_rows:
+                continue
+            x = _matrix(b.column(0))
+            parts = {lv: decompose(x, name, lv) for lv in {lv for lv, _ in grid}}
+            for g, (lv, t) in enumerate(grid):
+                cut = soft(parts[lv], t)
+                rss = ((x - recompose(cut, name)[:, : x.shape[1]]) ** 2).sum(1)
+                total[g] += (x.shape[1] * rss / np.maximum(1e-12, x.shape[1] - nonzero(cut)) ** 2).sum()
+            n += len(x)
         if n:
             yield pa.record_batch([pa.array([g[0] for g in grid], pa.int32()), pa.array([g[1] for g in grid]), pa.array(total), pa.array([n] * len(grid), pa.int64())], ["level", "tau", "s", "n"])
 

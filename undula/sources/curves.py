@@ -2,47 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def from_events(spark: SparkSession, sf_dir: str, days: int = 30) -> DataFrame:
+def within(t, steps) -> Column:
+    """``t``; a cell outside the grid of ``steps`` raises an error, so that none is lost without a word."""
+    return F.when((t >= 0) & (t < steps), t).otherwise(F.raise_error(F.concat(F.lit("a cell lies outside the grid: step "), t.cast("string"))).cast("int"))
+
+
+def from_events(spark: SparkSession, sf_dir: str, days: int | None = None) -> DataFrame:
     """(sample_id, feature, values): daily sums of each user's events by type, zero where there are none.
 
+    The grid runs from the first event's day to the last one's, or over ``days``, beyond which an event is an error.
+
     One shuffle: cells are summed by (user, type, day) with partial sums, then gathered into one map a user,
     whose size types x days bounds. Types are coded in sorted order from the small set of distinct names.
     """
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", "ts", "value")
     types = events.select("event_type").distinct().agg(F.array_sort(F.collect_list("event_type")).alias("types"), F.lit(1).alias("one"))
-    first = events.agg(F.min(F.to_date("ts")).alias("d0"))
+    last = F.lit(days) if days is not None else F.date_diff(F.max(F.to_date("ts")), F.min(F.to_date("ts"))) + 1
+    first = events.agg(F.min(F.to_date("ts")).alias("d0"), last.alias("days"))
     cells = (
         events.crossJoin(F.broadcast(first))  # one row
-        .select(F.col("user_id").alias("sample_id"), "event_type", F.date_diff(F.to_date("ts"), "d0").alias("t_idx"), "value")
+        .select(F.col("user_id").alias("sample_id"), "event_type", within(F.date_diff(F.to_date("ts"), "d0"), F.col("days")).alias("t_idx"), "value")
         .groupBy("sample_id", "event_type", "t_idx")
         .agg(F.sum("value").alias("value"))
     )
     users = cells.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "event_type", "t_idx"), "value"))).alias("cells"))
-    grid = F.sequence(F.lit(0), F.lit(days - 1))
+    grid = F.sequence(F.lit(0), F.col("days") - 1)
     return (
-        users.crossJoin(F.broadcast(types))  # one row
+        users.crossJoin(F.broadcast(types.crossJoin(first.select("days"))))  # one row
         .select("sample_id", F.posexplode(F.transform("types", lambda name: F.transform(grid, lambda t: F.coalesce(F.try_element_at("cells", F.concat_ws("|", name, t.cast("string"))), F.lit(0.0))))).alias("feature", "values"))
     )
 
 
-def from_lineitem(spark: SparkSession, sf_dir: str, months: int = 83) -> DataFrame:
-    """(sample_id, feature, values): monthly revenue of each supplier by return flag, 1995-01 the first month."""
+def from_lineitem(spark: SparkSession, sf_dir: str, months: int | None = None) -> DataFrame:
+    """(sample_id, feature, values): monthly revenue of each supplier by return flag.
+
+    The grid runs from the first month of the table to the last one, or over ``months``, beyond which a row is an error.
+    """
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_returnflag", "l_shipdate", "l_extendedprice", "l_discount")
     flags = li.select("l_returnflag").distinct().agg(F.array_sort(F.collect_list("l_returnflag")).alias("flags"))
-    month = ((F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1).alias("t_idx")
+    month = F.year("l_shipdate") * 12 + F.month("l_shipdate")
+    last = F.lit(months) if months is not None else F.max(month) - F.min(month) + 1
+    span = li.agg(F.min(month).alias("m0"), last.alias("months"))
     cells = (
-        li.select(F.col("l_suppkey").alias("sample_id"), "l_returnflag", month, (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v"))
+        li.crossJoin(F.broadcast(span))  # one row
+        .select(F.col("l_suppkey").alias("sample_id"), "l_returnflag", within(month - F.col("m0"), F.col("months")).alias("t_idx"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v"))
         .groupBy("sample_id", "l_returnflag", "t_idx")
         .agg(F.sum("v").alias("value"))
     )
     suppliers = cells.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "l_returnflag", "t_idx"), "value"))).alias("cells"))
-    grid = F.sequence(F.lit(0), F.lit(months - 1))
+    grid = F.sequence(F.lit(0), F.col("months") - 1)
     return (
-        suppliers.crossJoin(F.broadcast(flags))  # one row
+        suppliers.crossJoin(F.broadcast(flags.crossJoin(span.select("months"))))  # one row
         .select("sample_id", F.posexplode(F.transform("flags", lambda name: F.transform(grid, lambda t: F.coalesce(F.try_element_at("cells", F.concat_ws("|", name, t.cast("string"))), F.lit(0.0))))).alias("feature", "values"))
     )
 
@@ -147,13 +161,12 @@ def load_arff(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     low = curves.groupBy("feature").agg(F.min(F.array_min("values")).alias("lo"), F.max(F.array_max("values")).alias("hi"))
     scaled = curves.join(low, "feature").select("sample_id", "feature", F.transform("values", lambda v: F.coalesce(F.try_divide(v - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.5)) * 2 - 1).alias("values"))
     codes = parsed.groupBy("raw").agg(F.min("sample_id").alias("first"))
-    ranked = {r[0]: i for i, r in enumerate(codes.orderBy("first").collect())}
-    code = F.create_map(*(F.lit(x) for kv in ranked.items() for x in kv))[F.col("raw")]
-    return scaled, parsed.select("sample_id", code.cast("int").alias("label"))
+    ranked = codes.select("raw", (F.row_number().over(Window.orderBy("first")) - 1).cast("int").alias("label"))  # a row a class
+    return scaled, parsed.join(ranked, "raw").select("sample_id", "label")
 
 
 def load_ts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(curves, raw labels) of a local .ts file: dimensions between colons, values between commas, the class last."""
+    """(curves, raw labels) of a .ts file: dimensions between colons, values between commas, the class last."""
     lines = numbered(spark.read.text(path)).filter(F.trim("value") != "").filter(~F.trim("value").rlike("^[#@]"))
     parts = F.split(F.trim("value"), ":")
     rows = lines.select("sample_id", F.slice(parts, F.lit(1), F.size(parts) - 1).alias("dims"), F.element_at(parts, -1).alias("label"))
