@@ -136,3 +136,8 @@ def rolling_mean(df: DataFrame, value: str, order: str, window: int, by: list[st
         .filter(F.col("__n") >= window)
         .select(*by, order, "mean")
     )
+
+
+def rolling_window(n: int) -> int:
+    """The window for a curve of n values: a tenth of them, between 1 and 10."""
+    return min(10, max(1, n // 10))

@@ -112,7 +112,7 @@ def adjusted_mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
 
     For two classes of sizes a and b the count k in both lies around its mean a b / n, and beyond 6 sqrt(min(a, b)) of
     it with a probability of at most 2 exp(-72) (Hoeffding), which no double sum of logarithms up to ln n can show: the
-    sum over k is an array of that length beside its row, one row a pair of distinct class sizes.
+    sum over k runs over that many whole numbers, away from the most likely one, in one row a pair of distinct class sizes.
     """
     spark = df.sparkSession
     t = contingency(df, a, b)
@@ -129,15 +129,27 @@ def adjusted_mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
     least, most = F.greatest(F.lit(1.0), F.col("x") + F.col("y") - all_), F.least("x", "y")
     mean, reach = F.col("x") * F.col("y") / all_, 6 * F.sqrt(F.least("x", "y")) + 1
     lo, hi = F.greatest(least, F.floor(mean - reach)).cast("long"), F.least(most, F.ceil(mean + reach)).cast("long")
-    fixed = log_gamma(F.col("x") + 1) + log_gamma(F.col("y") + 1) + log_gamma(all_ - F.col("x") + 1) + log_gamma(all_ - F.col("y") + 1) - log_gamma(F.lit(all_) + 1)
-    cells = ra.crossJoin(rb).select("x", "y", "cx", "cy", lo.alias("lo"), hi.alias("hi"), fixed.alias("c")).filter("lo <= hi")  # distinct class sizes
-
-    def term(total, k):
-        k = k.cast("double")
-        p = F.exp(F.col("c") - log_gamma(k + 1) - log_gamma(F.col("x") - k + 1) - log_gamma(F.col("y") - k + 1) - log_gamma(all_ - F.col("x") - F.col("y") + k + 1))
-        return total + k / all_ * F.log(all_ * k / (F.col("x") * F.col("y"))) * p
-
-    emi = cells.agg(F.sum(F.col("cx") * F.col("cy") * F.aggregate(F.sequence("lo", "hi"), F.lit(0.0), term)).alias("emi"))
+    mode = F.greatest(lo, F.least(hi, F.floor((F.col("x") + 1) * (F.col("y") + 1) / (all_ + 2)).cast("long")))
+    cells = ra.crossJoin(rb).select("x", "y", "cx", "cy", lo.alias("lo"), hi.alias("hi"), mode.alias("mode")).filter("lo <= hi")  # distinct class sizes
+    k, x, y = F.col("mode").cast("double"), F.col("x"), F.col("y")
+    log_p = log_gamma(x + 1) + log_gamma(y + 1) + log_gamma(all_ - x + 1) + log_gamma(all_ - y + 1) - log_gamma(F.lit(all_) + 1)
+    log_p = log_p - log_gamma(k + 1) - log_gamma(x - k + 1) - log_gamma(y - k + 1) - log_gamma(all_ - x - y + k + 1)
+    cells = cells.withColumn("p", F.exp(log_p))
+
+    def walk(steps, up: bool):
+        """The sum over ``steps``, away from the mode: each probability is a ratio times the one before."""
+
+        def step(acc, i):
+            j = i.cast("double")
+            p = acc["p"] if up else acc["p"] * (j + 1) * (all_ - x - y + j + 1) / ((x - j) * (y - j))
+            then = p * (x - j) * (y - j) / ((j + 1) * (all_ - x - y + j + 1)) if up else p
+            return F.struct((acc["s"] + j / all_ * F.log(all_ * j / (x * y)) * p).alias("s"), then.alias("p"))
+
+        return F.aggregate(steps, F.struct(F.lit(0.0).alias("s"), F.col("p").alias("p")), step)["s"]
+
+    above = walk(F.sequence("mode", "hi"), True)
+    below = F.when(F.col("mode") > F.col("lo"), walk(F.sequence(F.col("mode") - 1, F.col("lo"), F.lit(-1).cast("long")), False)).otherwise(0.0)
+    emi = cells.agg(F.sum(F.col("cx") * F.col("cy") * (above + below)).alias("emi"))
     one = mi.crossJoin(emi).crossJoin(h(rows, "ai", "ha")).crossJoin(h(cols, "bj", "hb"))  # single rows
     return one.select(F.coalesce(F.try_divide(F.col("mi") - F.col("emi"), (F.col("ha") + F.col("hb")) / 2 - F.col("emi")), F.lit(1.0)).alias("ami"))
 

@@ -217,12 +217,33 @@ def components_by_m(knn: DataFrame, max_m: int | None = None) -> DataFrame:
     return grid.join(counts, "m", "left").select("m", (F.lit(n) - F.sum(F.coalesce("joins", F.lit(0))).over(w)).alias("components"))
 
 
+def components_of_points(points: DataFrame, key: str = "sample_id", vector: str = "z", first: int = 16) -> DataFrame:
+    """(m, components) for every m below the number of points.
+
+    Ranks are looked at ``first`` at a time, then eight times as many, until there is one component: a larger m only
+    adds edges, so it stays one. Blocks send on that many neighbours a point, not all pairs.
+    """
+    n, m = points.count(), first
+    while True:
+        found = components_by_m(nearest_points(points, min(m, n - 1), key, vector)).collect() if n > 1 else []  # a row for each m so far
+        if m >= n - 1 or found[-1].components == 1:
+            break
+        m *= 8
+    rows = [(r.m, r.components) for r in found]
+    least = points.sparkSession.createDataFrame(rows, "m int, components long")
+    return least.unionByName(points.sparkSession.range(len(rows) + 1, max(n, len(rows) + 1)).select(F.col("id").cast("int").alias("m"), F.lit(1).cast("long").alias("components")))
+
+
+def first_connected(components: DataFrame) -> int:
+    """The first m with one component, else the last."""
+    r = components.agg(F.min(F.when(F.col("components") == 1, F.col("m"))).alias("one"), F.max("m").alias("last")).first()
+    return r.one if r.one is not None else r.last
+
+
 def optimal_m(pairs: DataFrame, method: str = "connectivity", max_m: int | None = None) -> int:
     """connectivity: the first m with one component, else the last; avg_distance: behind the largest jump."""
     if method == "connectivity":
-        by = components_by_m(neighbours(pairs, max_m), max_m)
-        one = by.filter("components = 1").agg(F.min("m")).first()[0]
-        return one if one is not None else by.agg(F.max("m")).first()[0]
+        return first_connected(components_by_m(neighbours(pairs, max_m), max_m))
     if method == "avg_distance":
         knn = neighbours(pairs)
         return largest_jump(average_mth_distance(knn, max_m), knn.select("i").distinct().count())

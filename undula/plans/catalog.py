@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from undula.functions import manifolds, normalise
 from undula.operators import autoencoder, baselines, cluster, distance, evaluate, graph, smoothing
-from undula.plans import runner
+from undula.plans import runner, sql
 from undula.sources import curves as src
 from undula.sources import generators
 
@@ -147,21 +149,79 @@ def rolling_mean(spark, d):
     return normalise.rolling_mean(src.points(_events(spark, d)), "value", "t_idx", 5, ["sample_id", "feature"]).select("sample_id", "feature", "t_idx", F.round("mean", 6).alias("mean"))
 
 
+_W = normalise.rolling_window(STEPS)
+
+
+@query("rolling_mean_by_rule", f"{P}, r AS (SELECT s, f, t, avg(v) OVER (PARTITION BY s, f ORDER BY t ROWS {_W - 1} PRECEDING) AS m, row_number() OVER (PARTITION BY s, f ORDER BY t) AS n FROM p) SELECT s AS sample_id, f AS feature, t AS t_idx, round(m, 6) AS mean FROM r WHERE n >= least(10, greatest(1, {STEPS} // 10))")
+def rolling_mean_by_rule(spark, d):
+    return normalise.rolling_mean(src.points(_events(spark, d)), "value", "t_idx", _W, ["sample_id", "feature"]).select("sample_id", "feature", "t_idx", F.round("mean", 6).alias("mean"))
+
+
 @query("mad_sigma", f"{P}, m AS (SELECT s, f, median(v) AS m FROM p GROUP BY s, f) SELECT s AS sample_id, f AS feature, round(median(abs(v - m)) / 0.6745 + 1e-12, 6) AS sigma FROM p JOIN m USING (s, f) GROUP BY s, f")
 def mad_sigma(spark, d):
     return normalise.mad_sigma(src.points(_events(spark, d)), "value", ["sample_id", "feature"]).select("sample_id", "feature", F.round("sigma", 6).alias("sigma"))
 
 
+_WIDE = [f"f{f}_t{t}" for f in range(5) for t in range(STEPS)]
+
+
+@query("wide_pivot", f"{P} SELECT s AS sample_id, " + ", ".join(f"round(max(CASE WHEN f = {f} AND t = {t} THEN v END), 6) AS f{f}_t{t}" for f in range(5) for t in range(STEPS)) + " FROM p GROUP BY s")
+def wide_pivot(spark, d):
+    return src.wide(_events(spark, d)).select("sample_id", *(F.round(n, 6).alias(n) for n in _WIDE))
+
+
+def _written(spark, name: str) -> str:
+    """A folder for files that a query writes and reads back: in the cluster's shared folder, else a temporary one."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    return f"{(where or 'file://' + tempfile.gettempdir()).rstrip('/')}/undula-{name}-{uuid.uuid4().hex}"
+
+
+#: Curves whose samples are numbered by the order of their ids, with a label.
+_NUMBERED = f"{P}, nu AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS i FROM (SELECT DISTINCT s FROM p))"
+
+
+@query("csv_round_trip", f"{_NUMBERED} SELECT i AS sample_id, f AS feature, t AS t_idx, round(v, 6) AS value, (s % 3)::varchar AS label FROM p JOIN nu USING (s)")
+def csv_round_trip(spark, d):
+    c, path = _events(spark, d), _written(spark, "csv")
+    src.save_wide(c, c.select("sample_id", (F.col("sample_id") % 3).alias("label")).distinct(), path)
+    back, labels = src.load_wide(spark, path, 5, STEPS)
+    return _long(back).join(labels, "sample_id")
+
+
+def _text_file(spark, name: str, lines: DataFrame) -> str:
+    """``lines`` (n, value) as one text file, in the order of n."""
+    path = _written(spark, name)
+    lines.orderBy("n").select("value").coalesce(1).write.text(path)
+    return path
+
+
+@query("ts_round_trip", f"{_NUMBERED} SELECT i + 1 AS row_id, f AS feature, t AS t_idx, round(v, 6) AS value, 'u' || s % 3 AS label FROM p JOIN nu USING (s)")
+def ts_round_trip(spark, d):
+    rows = _events(spark, d).groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("feature", "values"))).alias("x"))
+    line = F.concat_ws(":", F.transform("x", lambda f: F.concat_ws(",", f["values"].cast("array<string>"))), F.concat(F.lit("u"), F.col("sample_id") % 3))
+    lines = rows.select(F.col("sample_id").alias("n"), line.alias("value")).unionByName(spark.createDataFrame([(-1, "@problemName events")], "n long, value string"))
+    curves, labels = src.load_ts(spark, _text_file(spark, "ts", lines))
+    return src.points(curves).join(labels, "sample_id").select(F.col("sample_id").alias("row_id"), "feature", "t_idx", F.round("value", 6).alias("value"), "label")
+
+
 @query(
-    "wide_pivot",
-    f"{P} SELECT s AS sample_id, " + ", ".join(f"round(max(CASE WHEN f = {f} AND t = {t} THEN v END), 6) AS f{f}_t{t}" for f in range(5) for t in (0, 14, 29)) + " FROM p GROUP BY s",
+    "arff_round_trip",
+    f"{_NUMBERED}, q AS (SELECT *, min(v) OVER () AS lo, max(v) OVER () AS hi FROM p WHERE f = 0), la AS (SELECT s % 3 AS c, row_number() OVER (ORDER BY min(s)) - 1 AS label FROM nu GROUP BY 1) SELECT i + 3 AS row_id, t AS t_idx, round(coalesce((v - lo) / nullif(hi - lo, 0), 0.5) * 2 - 1, 6) AS value, label FROM q JOIN nu USING (s) JOIN la ON c = s % 3",
 )
-def wide_pivot(spark, d):
-    names = [f"f{f}_t{t}" for f in range(5) for t in (0, 14, 29)]
-    return src.wide(_events(spark, d)).select("sample_id", *(F.round(n, 6).alias(n) for n in names))
+def arff_round_trip(spark, d):
+    rows = _events(spark, d).filter("feature = 0").select(F.col("sample_id").alias("n"), F.concat_ws(",", F.col("values").cast("array<string>"), F.concat(F.lit("u"), F.col("sample_id") % 3)).alias("value"))
+    head = spark.createDataFrame([(-3, "@relation events"), (-2, "% a comment"), (-1, "@data")], "n long, value string")
+    curves, labels = src.load_arff(spark, _text_file(spark, "arff", rows.unionByName(head)))
+    return src.points(curves).join(labels, "sample_id").select(F.col("sample_id").alias("row_id"), "t_idx", F.round("value", 6).alias("value"), "label")
+
 
+@query("numeric_labels", "SELECT o_orderkey, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS text_code, o_custkey % 7 AS number_code FROM orders")
+def numeric_labels(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderpriority", (F.col("o_custkey") % 7).alias("digit"))
+    return normalise.numeric_labels(normalise.numeric_labels(o, "o_orderpriority", "text_code"), "digit", "number_code").select("o_orderkey", "text_code", "number_code")
 
-@query("supplier_curves", "WITH fl AS (SELECT l_returnflag, row_number() OVER (ORDER BY l_returnflag) - 1 AS f FROM (SELECT DISTINCT l_returnflag FROM lineitem)), ce AS (SELECT l_suppkey AS s, f, (year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS t, sum(l_extendedprice * (1 - l_discount)) AS v FROM lineitem JOIN fl USING (l_returnflag) GROUP BY ALL), gr AS (SELECT s, f, t FROM (SELECT DISTINCT l_suppkey AS s FROM lineitem), (SELECT f FROM fl), (SELECT unnest(range(83)) AS t)) SELECT s AS sample_id, f AS feature, t AS t_idx, round(coalesce(v, 0), 4) AS value FROM gr LEFT JOIN ce USING (s, f, t)")
+
+@query("supplier_curves", "WITH fl AS (SELECT l_returnflag, row_number() OVER (ORDER BY l_returnflag) - 1 AS f FROM (SELECT DISTINCT l_returnflag FROM lineitem)), mo AS (SELECT min(year(l_shipdate) * 12 + month(l_shipdate)) AS m0, max(year(l_shipdate) * 12 + month(l_shipdate)) AS m1 FROM lineitem), ce AS (SELECT l_suppkey AS s, f, year(l_shipdate) * 12 + month(l_shipdate) - m0 AS t, sum(l_extendedprice * (1 - l_discount)) AS v FROM lineitem JOIN fl USING (l_returnflag), mo GROUP BY ALL), gr AS (SELECT s, f, t FROM (SELECT DISTINCT l_suppkey AS s FROM lineitem), (SELECT f FROM fl), (SELECT unnest(range((SELECT m1 - m0 + 1 FROM mo))) AS t)) SELECT s AS sample_id, f AS feature, t AS t_idx, round(coalesce(v, 0), 4) AS value FROM gr LEFT JOIN ce USING (s, f, t)")
 def supplier_curves(spark, d):
     return _long(src.from_lineitem(spark, d), digits=4)
 
@@ -174,7 +234,7 @@ def _pairs(spark, d) -> DataFrame:
 
 
 def _knn(spark, d, m: int | None = M) -> DataFrame:
-    return graph.neighbours(_pairs(spark, d), m)
+    return graph.nearest_points(_nodes(spark, d), m) if m else graph.neighbours(_pairs(spark, d))
 
 
 def _nodes(spark, d) -> DataFrame:
@@ -206,9 +266,9 @@ def knn(spark, d):
     return _knn(spark, d).select("i", "rank", "j", F.round("dist", 6).alias("dist"))
 
 
-@query("avg_mth_distance", f"{E} SELECT r AS m, round(avg(dist), 6) AS avg_dist FROM kn WHERE r <= 50 GROUP BY r")
+@query("avg_mth_distance", f"{E} SELECT r AS m, round(avg(dist), 6) AS avg_dist FROM kn GROUP BY r")
 def avg_mth_distance(spark, d):
-    return graph.average_mth_distance(_knn(spark, d, 50)).select("m", F.round("avg_dist", 6).alias("avg_dist"))
+    return graph.average_mth_distance(_knn(spark, d, None)).select("m", F.round("avg_dist", 6).alias("avg_dist"))
 
 
 @query(
@@ -245,13 +305,39 @@ def intra_inter(spark, d):
     return r.select(F.round("intra", 6).alias("intra"), F.round("inter", 6).alias("inter"))
 
 
-@query(
-    "components_at_m",
-    f"{E}, ed AS (SELECT r, i, j FROM kn WHERE r <= 4), un AS (SELECT r AS m, i, j FROM (SELECT m.r AS r, ed.i, ed.j FROM ed JOIN (SELECT unnest(range(1, 5)) AS r) m ON ed.r <= m.r) UNION SELECT m.r, ed.j, ed.i FROM ed JOIN (SELECT unnest(range(1, 5)) AS r) m ON ed.r <= m.r), "
-    "re AS (SELECT * FROM (WITH RECURSIVE re(m, i, c) AS (SELECT m.r, vec_id, vec_id FROM embeddings, (SELECT unnest(range(1, 5)) AS r) m UNION SELECT re.m, un.j, re.c FROM re JOIN un ON un.m = re.m AND un.i = re.i WHERE re.c < un.j) SELECT m, i, min(c) AS c FROM re GROUP BY m, i)) SELECT m, count(*) FILTER (WHERE c = i) AS components FROM re GROUP BY m",
+#: Components of the graphs of the first ranks; once there is one, there is one for every larger m.
+_RANKS = 16
+_CM = (
+    f"{E}, ed AS (SELECT r, i, j FROM kn WHERE r <= {_RANKS}), ms AS (SELECT unnest(range(1, {_RANKS + 1})) AS m), un AS (SELECT m, i, j FROM ed JOIN ms ON r <= m UNION SELECT m, j, i FROM ed JOIN ms ON r <= m), "
+    "re AS (SELECT * FROM (WITH RECURSIVE re(m, i, c) AS (SELECT m, vec_id, vec_id FROM embeddings, ms UNION SELECT re.m, un.j, re.c FROM re JOIN un ON un.m = re.m AND un.i = re.i WHERE re.c < un.j) SELECT m, i, min(c) AS c FROM re GROUP BY m, i)), "
+    f"cm AS (SELECT m, count(*) FILTER (WHERE c = i) AS components FROM re GROUP BY m UNION ALL SELECT k, (SELECT CASE WHEN count(*) FILTER (WHERE c = i) = 1 THEN 1 END FROM re WHERE m = {_RANKS}) FROM (SELECT unnest(range({_RANKS + 1}, (SELECT count(*) FROM embeddings))) AS k))"
 )
+
+
+@query("components_at_m", f"{_CM} SELECT m, components FROM cm")
 def components_at_m(spark, d):
-    return graph.components_by_m(_knn(spark, d, 4))
+    return graph.components_of_points(_nodes(spark, d))
+
+
+@query("optimal_m_connectivity", f"{_CM} SELECT min(m) AS m, greatest(5, least(min(m), (SELECT count(*) FROM embeddings) // 5)) AS capped FROM cm WHERE components = 1")
+def optimal_m_connectivity(spark, d):
+    m = graph.first_connected(graph.components_of_points(_nodes(spark, d)))
+    return spark.createDataFrame([(m, graph.capped_m(m, _nodes(spark, d).count()))], "m int, capped int")
+
+
+@query("knn_default_m", f"{E}, c AS (SELECT r AS m, avg(dist) AS a FROM kn GROUP BY r), n AS (SELECT count(*) AS n FROM embeddings), s AS (SELECT m, (lead(a) OVER (ORDER BY m) - a) / (a + 1e-12) AS jump FROM c), o AS (SELECT m + 1 AS m FROM s, n WHERE jump IS NOT NULL AND m <= greatest(2, least(n.n - 2, n.n // 4)) ORDER BY jump DESC, s.m LIMIT 1) SELECT i, r AS rank, j, round(dist, 6) AS dist FROM kn, o WHERE r <= o.m")
+def knn_default_m(spark, d):
+    return graph.nearest_neighbours(_pairs(spark, d)).select("i", "rank", "j", F.round("dist", 6).alias("dist"))
+
+
+@query("matrix_check", "SELECT count(*) AS points FROM embeddings")
+def matrix_check(spark, d):
+    return spark.createDataFrame([(graph.check_pairs(_pairs(spark, d)),)], "points int")
+
+
+@query("class_sorted_matrix", f"{E}, pl AS (SELECT vec_id, row_number() OVER (ORDER BY label, vec_id) - 1 AS o FROM embeddings) SELECT a.o AS row, b.o AS col, round(dist, 6) AS dist FROM sy JOIN pl a ON a.vec_id = sy.i JOIN pl b ON b.vec_id = sy.j UNION ALL SELECT o, o, 0.0 FROM pl")
+def class_sorted_matrix(spark, d):
+    return graph.reorder_by_class(_pairs(spark, d), _nodes(spark, d).select("sample_id", "label")).select("row", "col", F.round("dist", 6).alias("dist"))
 
 
 @query("edge_differences", f"{E}, k AS (SELECT DISTINCT least(i, j) AS i, greatest(i, j) AS j FROM kn WHERE r <= {M}) SELECT k.i, k.j, round(sum(abs(a.x - b.x)), 5) AS l1 FROM k JOIN e a ON a.i = k.i JOIN e b ON b.i = k.j AND a.k = b.k GROUP BY k.i, k.j")
@@ -284,6 +370,17 @@ def clustering_loss(spark, d):
     return evaluate.clustering_loss(_nodes(spark, d)).select(F.round("loss", 6).alias("loss"))
 
 
+_FROZEN = "WITH e AS (SELECT vec_id, label, unnest(range(len(embedding))) AS k, unnest(embedding)::double AS x FROM embeddings), c AS (SELECT label, k, avg(x) AS c FROM e WHERE vec_id % 2 = 0 GROUP BY label, k), g AS (SELECT k, avg(x) AS g FROM e WHERE vec_id % 2 = 0 GROUP BY k)"
+
+
+@query("clustering_loss_cached", f"{_FROZEN} SELECT round((2 * sum((x - c) * (x - c)) - sum((x - g) * (x - g))) / count(*), 6) AS loss FROM e JOIN c USING (label, k) JOIN g USING (k)")
+def clustering_loss_cached(spark, d):
+    """All points against centroids that were computed before, from every second one."""
+    n = _nodes(spark, d)
+    old = n.filter("sample_id % 2 = 0")
+    return evaluate.clustering_loss(n, evaluate.centroid_vectors(old), evaluate.global_mean(old)).select(F.round("loss", 6).alias("loss"))
+
+
 @query("cluster_sizes", "SELECT label, count(*) AS size FROM embeddings GROUP BY label")
 def cluster_sizes(spark, d):
     return evaluate.cluster_sizes(_nodes(spark, d))
@@ -344,12 +441,12 @@ def ami(spark, d):
 # --- manifolds ------------------------------------------------------------------------------------------------
 
 #: Embeddings as tangent vectors at the first axis: the first coordinate 0, a tenth of the rest.
-_V = "WITH v AS (SELECT vec_id AS i, unnest(range(8)) AS k, unnest([0.0::double] || list_transform(embedding[2:8], lambda x: x::double / 10)) AS x FROM embeddings), n AS (SELECT i, greatest(sqrt(sum(x * x)), 1e-8) AS n FROM v GROUP BY i)"
+_V = "WITH v AS (SELECT vec_id AS i, unnest(range(len(embedding))) AS k, unnest([0.0::double] || list_transform(embedding[2:], lambda x: x::double / 10)) AS x FROM embeddings), n AS (SELECT i, greatest(sqrt(sum(x * x)), 1e-8) AS n FROM v GROUP BY i)"
 
 
 def _tangent(spark, d) -> DataFrame:
     z = src.latent(spark, d)
-    return z.select("sample_id", F.concat(F.array(F.lit(0.0)), F.transform(F.slice("z", 2, 7), lambda x: x / 10)).alias("v"))
+    return z.select("sample_id", F.concat(F.array(F.lit(0.0)), F.transform(F.slice("z", F.lit(2), F.size("z") - 1), lambda x: x / 10)).alias("v"))
 
 
 def _vectors(df: DataFrame, column) -> DataFrame:
@@ -377,18 +474,33 @@ def poincare_log0(spark, d):
     return _vectors(_tangent(spark, d).select("sample_id", manifolds.poincare_exp0(F.col("v")).alias("y")), manifolds.to_tangent(F.col("y"), "poincare"))
 
 
-@query("karcher_anchor")
+_KA = f"""{_V}, y AS (SELECT i, k, cos(n) * CASE WHEN k = 0 THEN 1 ELSE 0 END + sin(n) / n * x AS x FROM v JOIN n USING (i)),
+pt AS (SELECT i, list(x ORDER BY k) AS y FROM y GROUP BY i), yy AS (SELECT list(y) AS ys FROM pt), m0 AS (SELECT list(x ORDER BY k) AS a FROM (SELECT k, avg(x) AS x FROM y GROUP BY k)),
+st(q, a, still) AS (SELECT 0, list_transform(a, lambda x: x / greatest(sqrt(list_inner_product(a, a)), 1e-8)), false FROM m0
+UNION ALL SELECT q + 1, CASE WHEN nn < 1e-10 THEN a ELSE list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) END, nn < 1e-10
+FROM (SELECT q, a, nn, list_transform(a, lambda x, k: cos(nn) * x + sin(nn) * g[k] / nn) AS w FROM (SELECT q, a, g, sqrt(list_inner_product(g, g)) AS nn
+FROM (SELECT q, a, (SELECT list(s ORDER BY k) FROM (SELECT k, avg(l) AS s FROM (SELECT unnest(range(len(u))) AS k, unnest(u) AS l FROM (SELECT list_transform(u, lambda x: acos(c) * x / greatest(sqrt(list_inner_product(u, u)), 1e-8)) AS u FROM (SELECT list_transform(y, lambda x, k: x - c * a[k]) AS u, c FROM (SELECT y, greatest(least(list_inner_product(y, a), 1 - 1e-7), -1 + 1e-7) AS c FROM (SELECT unnest(ys) AS y FROM yy))))) GROUP BY k)) AS g FROM st WHERE q < 50 AND NOT still))))"""
+
+
+@query("karcher_anchor", f"{_KA.replace('WITH v', 'WITH RECURSIVE v', 1)} SELECT unnest(range(len(a))) AS k, round(unnest(a), 5) AS x FROM (SELECT a FROM st ORDER BY q DESC LIMIT 1)")
 def karcher_anchor(spark, d):
-    v = F.concat(F.array(F.lit(0.0)), F.transform(F.slice("z", F.lit(2), F.size("z") - 1), lambda x: x / 10))
-    on = _nodes(spark, d).select(v.alias("v")).select(manifolds.sphere_exp(manifolds.default_anchor(F.col("v")), F.col("v")).alias("y"))
-    return spark.createDataFrame([(k, round(x, 6)) for k, x in enumerate(manifolds.fit_anchor(on, "y"))], "k int, x double")
+    on = _tangent(spark, d).select(manifolds.sphere_exp(manifolds.default_anchor(F.col("v")), F.col("v")).alias("y"))
+    return spark.createDataFrame([(k, round(x, 5)) for k, x in enumerate(manifolds.fit_anchor(on, "y"))], "k int, x double")
+
 
+_BA = "WITH o AS (SELECT vec_id, row_number() OVER (ORDER BY md5('0|' || vec_id), vec_id) - 1 AS n FROM embeddings)"
 
-@query("minibatches", "SELECT (count(*) + 31) // 32 AS batches, count(*) AS n FROM embeddings")
+
+@query("minibatches", f"{_BA} SELECT n // 32 AS batch, n % 32 AS place, vec_id AS sample_id FROM o")
 def minibatches(spark, d):
-    w = Window.orderBy(F.xxhash64("sample_id", F.lit(0)), "sample_id")
-    b = _nodes(spark, d).select(F.floor((F.row_number().over(w) - 1) / 32).alias("batch"))
-    return b.agg(F.count_distinct("batch").alias("batches"), F.count(F.lit(1)).alias("n"))
+    return autoencoder.minibatches(_nodes(spark, d).select("sample_id"), 32).select("batch", "place", "sample_id")
+
+
+@query("minibatch_gather", f"{_BA} SELECT n // 32 AS batch, k, round(sum(x), 5) AS total, count(DISTINCT label) AS labels FROM o JOIN (SELECT vec_id, label, unnest(range(len(embedding))) AS k, unnest(embedding)::double AS x FROM embeddings) USING (vec_id) GROUP BY ALL")
+def minibatch_gather(spark, d):
+    n = _nodes(spark, d)
+    g = autoencoder.gather(autoencoder.minibatches(n.select("sample_id"), 32), n)
+    return g.select("batch", "label", F.posexplode("z").alias("k", "x")).groupBy("batch", "k").agg(F.round(F.sum("x"), 5).alias("total"), F.count_distinct("label").alias("labels"))
 
 
 # --- distances ------------------------------------------------------------------------------------------------
@@ -396,13 +508,30 @@ def minibatches(spark, d):
 
 def _metric(name: str):
     def run(spark, d):
-        return distance.pairwise(_events(spark, d), name).select("i", "j", F.round("dist", 6).alias("dist"))
+        return distance.pairwise(_events(spark, d), name).select("i", "j", F.round("dist", 5).alias("dist"))
 
     return run
 
 
+def _warped(band: int | None) -> str:
+    """Time warping of all pairs of z-scored curves: rows of the lattice by recursion, the way along a row by a running minimum."""
+    inside = f"abs(c.i - c.j) <= {band}" if band is not None else "true"
+    return f"""{Q.replace('WITH ty', 'WITH RECURSIVE ty', 1)}, zl AS (SELECT s, t, list(v ORDER BY f) AS x FROM z GROUP BY s, t),
+ct AS (SELECT a.s AS a, b.s AS b, a.t AS i, b.t AS j, list_distance(a.x, b.x) AS c FROM zl a JOIN zl b ON a.s < b.s),
+dw(i, a, b, j, d) AS (SELECT -1, a.s, b.s, -1, 0.0::double FROM (SELECT DISTINCT s FROM z) a JOIN (SELECT DISTINCT s FROM z) b ON a.s < b.s
+UNION ALL SELECT i, a, b, j, s + min(e - (s - c)) OVER (PARTITION BY a, b ORDER BY j) FROM (
+SELECT c.i, c.a, c.b, c.j, c.c, sum(c.c) OVER (PARTITION BY c.a, c.b ORDER BY c.j) AS s, least(coalesce(u.d, 'infinity'::double), coalesce(g.d, 'infinity'::double)) AS e
+FROM (SELECT DISTINCT i FROM dw) w JOIN ct c ON c.i = w.i + 1 AND {inside} LEFT JOIN dw u ON u.a = c.a AND u.b = c.b AND u.j = c.j LEFT JOIN dw g ON g.a = c.a AND g.b = c.b AND g.j = c.j - 1)),
+dt AS (SELECT a AS i, b AS j, d AS dist FROM dw WHERE dw.i = {STEPS - 1} AND dw.j = {STEPS - 1})"""
+
+
 for _name in distance.METRICS:
-    QUERIES[_name.replace("-", "_")] = _metric(_name)
+    query(_name.replace("-", "_"), f"{_warped(distance.default_band(STEPS))} SELECT i, j, round(dist, 5) AS dist FROM dt" if _name == "fastdtw" else None)(_metric(_name))
+
+
+@query("dtw_full", f"{_warped(None)} SELECT i, j, round(dist, 5) AS dist FROM dt")
+def dtw_full(spark, d):
+    return distance.pairwise(_events(spark, d), "fastdtw", band=STEPS).select("i", "j", F.round("dist", 5).alias("dist"))
 
 
 @query("alignment_path")
@@ -410,9 +539,16 @@ def alignment_path(spark, d):
     return distance.alignment(_events(spark, d), 1, 2)
 
 
-@query("curve_neighbours")
+@query("curve_neighbours", f"{_warped(distance.default_band(STEPS))}, kn AS (SELECT i, j, dist, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS rank FROM (SELECT * FROM dt UNION ALL SELECT j, i, dist FROM dt)) SELECT i, rank, j, round(dist, 5) AS dist FROM kn WHERE rank <= {M}")
 def curve_neighbours(spark, d):
-    return graph.neighbours(distance.pairwise(_events(spark, d), "fastdtw"), M).select("i", "rank", "j", F.round("dist", 6).alias("dist"))
+    return graph.neighbours(distance.pairwise(_events(spark, d), "fastdtw"), M).select("i", "rank", "j", F.round("dist", 5).alias("dist"))
+
+
+@query("extremes", f"{_warped(distance.default_band(STEPS))}, ex AS (SELECT 'similar' AS which, unnest([i, j]) AS s FROM (SELECT i, j FROM dt ORDER BY dt.dist, i, j LIMIT 1) UNION ALL SELECT 'different', unnest([i, j]) FROM (SELECT i, j FROM dt ORDER BY dt.dist DESC, i, j LIMIT 1)) SELECT which, s AS sample_id, f AS feature, t AS t_idx, round(v, 6) AS value FROM ex JOIN p USING (s)")
+def extremes(spark, d):
+    c = _events(spark, d)
+    e = graph.extremes(distance.pairwise(c, "fastdtw"), c)
+    return e.select("which", "sample_id", "feature", F.posexplode("values").alias("t_idx", "value")).withColumn("value", F.round("value", 6))
 
 
 # --- smoothing ------------------------------------------------------------------------------------------------
@@ -436,31 +572,103 @@ def _arrays(df: DataFrame, column: str, digits: int = 6) -> DataFrame:
     return df.select("sample_id", "feature", F.posexplode(column).alias("k", "x")).select("sample_id", "feature", "k", F.round("x", digits).alias("x"))
 
 
-@query("bspline_coefs")
+def _recursive(*parts: str) -> str:
+    """The curves p and further tables, some of which recur."""
+    return ", ".join((P.replace("WITH ty", "WITH RECURSIVE ty", 1), *parts))
+
+
+_COEFS = " SELECT s AS sample_id, f AS feature, k, round(c, 4) AS x FROM co"
+_P10 = _recursive(sql.splines([10], STEPS), sql.projector(), sql.COEFFICIENTS)
+
+
+@query("bspline_coefs", f"{_P10} {_COEFS}")
 def bspline_coefs(spark, d):
-    return _arrays(smoothing.bspline_coefficients(_events(spark, d), 10), "c")
+    return _arrays(smoothing.bspline_coefficients(_events(spark, d), 10), "c", 4)
 
 
-@query("bspline_penalized")
+@query("bspline_penalized", _recursive(sql.splines([12], STEPS), sql.projector("(SELECT 12 AS n, 0.3::double AS lam)", sql.DIFFERENCES), sql.COEFFICIENTS) + _COEFS)
 def bspline_penalized(spark, d):
-    return _arrays(smoothing.bspline_coefficients(_events(spark, d), 12, 0.3), "c")
+    return _arrays(smoothing.bspline_coefficients(_events(spark, d), 12, 0.3), "c", 4)
 
 
-@query("legendre_projection")
+@query("legendre_projection", _recursive(sql.legendre(6, STEPS), sql.projector(), sql.COEFFICIENTS) + _COEFS)
 def legendre_projection(spark, d):
-    return _arrays(smoothing.project(_events(spark, d), "legendre", 6), "c")
+    return _arrays(smoothing.project(_events(spark, d), "legendre", 6), "c", 4)
+
+
+@query("bspline_projection", _P10 + _COEFS)
+def bspline_projection(spark, d):
+    return _arrays(smoothing.project(_events(spark, d), "bspline", 10), "c", 4)
+
+
+def _basis(spark, phi: np.ndarray) -> DataFrame:
+    return spark.createDataFrame([(t, k, round(float(v), 6) + 0.0) for t, row in enumerate(phi) for k, v in enumerate(row)], "t int, k int, v double")
+
+
+_ONE = " SELECT t, k, round(v, 6) + 0.0 AS v FROM b"
+
+
+@query("bspline_basis", "WITH RECURSIVE " + sql.splines([9], 40) + _ONE)
+def bspline_basis(spark, d):
+    return _basis(spark, smoothing.bspline_design(np.linspace(0, 1, 40), 9))
+
+
+@query("fourier_basis_cos_sin", "WITH " + sql.fourier(4, 40) + _ONE)
+def fourier_basis_cos_sin(spark, d):
+    return _basis(spark, smoothing.fourier_design(np.linspace(0, 1, 40), 4))
+
+
+@query("fourier_basis_sin_cos", "WITH " + sql.fourier(4, 40, "sin") + _ONE)
+def fourier_basis_sin_cos(spark, d):
+    return _basis(spark, smoothing.fourier_basis(np.linspace(0, 1, 40), 9))
+
+
+@query("legendre_basis", "WITH RECURSIVE " + sql.legendre(7, 40) + _ONE)
+def legendre_basis(spark, d):
+    return _basis(spark, smoothing.orthogonal_basis("legendre", 7, 40))
+
+
+@query("half_wave_basis", "WITH b AS (SELECT t, k, CASE WHEN k = 0 THEN 1.0::double WHEN k % 2 = 1 THEN sqrt(2) * sin((k + 1) * pi() * t / 39) ELSE sqrt(2) * cos(k * pi() * t / 39) END AS v FROM (SELECT unnest(range(40)) AS t), (SELECT unnest(range(6)) AS k))" + _ONE)
+def half_wave_basis(spark, d):
+    return _basis(spark, smoothing.orthogonal_basis("fourier", 6, 40))
+
+
+@query("gram_matrix", "WITH RECURSIVE " + sql.splines([9], 40) + " SELECT x.k AS i, y.k AS j, round(sum(x.v * y.v) / 39, 8) AS v FROM b x JOIN b y USING (t) GROUP BY ALL")
+def gram_matrix(spark, d):
+    g = smoothing.gram(smoothing.orthogonal_basis("bspline", 9, 40))
+    return spark.createDataFrame([(i, j, round(float(v), 8)) for i, row in enumerate(g) for j, v in enumerate(row)], "i int, j int, v double")
+
+
+@query("smoothing_features_bspline", _recursive(f"st AS (SELECT f, t, avg(v) AS mu, sqrt(var_pop(v)) + 1e-8 AS sd FROM p GROUP BY f, t), pz AS (SELECT s, f, t, (v - mu) / sd AS v FROM p JOIN st USING (f, t))", sql.splines([8], STEPS), sql.projector(), sql.COEFFICIENTS.replace("FROM p JOIN", "FROM pz p JOIN")) + _COEFS)
+def smoothing_features_bspline(spark, d):
+    return _arrays(smoothing.smoothing_features(_events(spark, d), 8, 40, standardize=True)[0], "c", 4)
+
+
+@query("smoothing_features_fourier", f"{_FC} SELECT s AS sample_id, f AS feature, k, round(x, 4) AS x FROM (SELECT s, f, unnest(range(7)) AS k, unnest([a0, a1, b1, a2, b2, a3, b3]) AS x FROM fc)")
+def smoothing_features_fourier(spark, d):
+    return _arrays(smoothing.smoothing_features(_events(spark, d), 7, 40, "fourier")[0], "c", 4)
+
+
+def _scored(spark, d, grid: list) -> DataFrame:
+    g = smoothing.gcv_scores(_events(spark, d), grid)
+    return g.select("terms", "lam", F.round("df", 6).alias("df"), F.round("gcv", 3).alias("gcv"))
+
 
+def _grid(grid: list) -> str:
+    return sql.values(((int(k), float(lam)) for k, lam, _ in grid), "n, lam")
 
-@query("gcv_bspline")
+
+_BG, _FG = smoothing.bspline_grid(STEPS), smoothing.fourier_grid(STEPS)
+
+
+@query("gcv_bspline", _recursive(sql.splines(sorted({k for k, _, _ in _BG}), STEPS), sql.projector(_grid(_BG), sql.DIFFERENCES)) + sql.scores(STEPS))
 def gcv_bspline(spark, d):
-    g = smoothing.gcv_scores(_events(spark, d), smoothing.bspline_grid(STEPS))
-    return g.select("terms", "lam", F.round("df", 6).alias("df"), F.round("gcv", 5).alias("gcv"))
+    return _scored(spark, d, _BG)
 
 
-@query("gcv_fourier")
+@query("gcv_fourier", _recursive(sql.fourier(_FG[0][0], STEPS), sql.projector(_grid(_FG), sql.CURVATURES)) + sql.scores(STEPS))
 def gcv_fourier(spark, d):
-    g = smoothing.gcv_scores(_events(spark, d), smoothing.fourier_grid(STEPS))
-    return g.select("terms", "lam", F.round("df", 6).alias("df"), F.round("gcv", 5).alias("gcv"))
+    return _scored(spark, d, _FG)
 
 
 @query(
@@ -475,12 +683,16 @@ def moving_average_gcv(spark, d):
     return smoothing.gcv_scores(_events(spark, d), [(3, 0.0, s)]).select(F.round("df", 6).alias("df"), F.round("gcv", 5).alias("gcv"))
 
 
-@query("fit_of_each_label")
+@query(
+    "fit_of_each_label",
+    f"{_P10}, la AS (SELECT s % 3 AS label, min(s) AS s FROM p GROUP BY 1), fi AS (SELECT label, s, f, b.t, sum(b.v * c) AS v FROM co JOIN la USING (s) JOIN b USING (k) GROUP BY ALL) SELECT label, s AS sample_id, f AS feature, t AS t_idx, round(fi.v, 4) AS fit, round(any_value(p.v), 6) AS value FROM fi JOIN p USING (s, f, t) GROUP BY ALL",
+)
 def fit_of_each_label(spark, d):
     c = _events(spark, d)
     labels = c.select("sample_id", (F.col("sample_id") % 3).alias("label")).distinct()
     fits = smoothing.second_stage(c, 10, STEPS)
-    return smoothing.fit_of_each_label(c, fits, labels).select("label", "sample_id", "feature", F.round(F.col("fit")[0], 6).alias("start"), F.round(normalise.trapezoid("fit", F.lit(1.0) / (STEPS - 1)), 6).alias("area"))
+    both = smoothing.fit_of_each_label(c, fits, labels).select("label", "sample_id", "feature", F.posexplode(F.arrays_zip("fit", "values")).alias("t_idx", "x"))
+    return both.select("label", "sample_id", "feature", "t_idx", F.round("x.fit", 4).alias("fit"), F.round("x.values", 6).alias("value"))
 
 
 @query("principal_components")
@@ -489,14 +701,47 @@ def principal_components(spark, d):
     return p.select("sample_id", F.round(F.abs("x"), 5).alias("x"), F.round(F.abs("y"), 5).alias("y"))
 
 
-@query("wavelet_denoise")
+_LOW, _LEVELS = smoothing.LOW["db4"], smoothing.greatest_level(STEPS, "db4")
+_WA = f"{P}, {sql.wavelet(_LEVELS, STEPS, _LOW)}"
+
+
+def _shrunk(tau: str) -> str:
+    return f"CASE WHEN abs(v) > {tau} THEN sign(v) * (abs(v) - {tau}) ELSE 0 END"
+
+
+_CUT = " UNION ALL ".join(f"SELECT s, f, {lv} AS level, k, {_shrunk('tau')} AS d, NULL::double AS a FROM d{lv} JOIN mt USING (s, f)" for lv in range(1, _LEVELS + 1)) + f" UNION ALL SELECT s, f, {_LEVELS}, k, NULL, {_shrunk('tau')} FROM a{_LEVELS} JOIN mt USING (s, f)"
+_MAD = "SELECT s, f, median(abs(v - m)) / 0.6745 + 1e-12 AS sigma FROM d1 JOIN (SELECT s, f, median(v) AS m FROM d1 GROUP BY s, f) USING (s, f) GROUP BY s, f"
+
+
+def _back(key: str) -> str:
+    """Signals from the shrunk levels cu."""
+    merged = f"cm AS (SELECT {key}, level, k, max(d) AS d, max(a) AS a FROM cu GROUP BY ALL)"
+    return f"{merged}, {sql.unwavelet(_LEVELS, STEPS, _LOW, 'cm', key)}"
+
+
+@query("wavelet_denoise", f"{_WA}, mt AS (SELECT s, f, 2 * sigma AS tau FROM ({_MAD.replace('d1', f'd{1}')})), cu AS ({_CUT}), {_back('s, f')} SELECT s AS sample_id, f AS feature, k, round(v, 4) AS x FROM z0 WHERE k < {STEPS}")
 def wavelet_denoise(spark, d):
-    return _arrays(smoothing.wavelet_denoise(_events(spark, d)), "fit")
+    return _arrays(smoothing.wavelet_denoise(_events(spark, d)), "fit", 4)
+
 
+def _wavelet_gcv() -> str:
+    """Scores of every level up to the greatest one and of eight thresholds."""
+    parts = [_WA, f"sg AS (SELECT sigma FROM ({_MAD}) ORDER BY s, f LIMIT 1)", "mt0 AS (SELECT g, (0.5 + g * 3.0::double / 7) * sigma AS tau FROM sg, (SELECT unnest(range(8)) AS g))"]
+    found = []
+    for top in range(1, _LEVELS + 1):
+        cut = " UNION ALL ".join(f"SELECT s, f, g, tau, {lv} AS level, k, {_shrunk('tau')} AS d, NULL::double AS a FROM d{lv}, mt0" for lv in range(1, top + 1)) + f" UNION ALL SELECT s, f, g, tau, {top}, k, NULL, {_shrunk('tau')} FROM a{top}, mt0"
+        own = sql.unwavelet(top, STEPS, _LOW, f"cm{top}", "s, f, g")
+        for lv in range(top + 1):
+            own = own.replace(f"z{lv} ", f"z{top}_{lv} ").replace(f"z{lv})", f"z{top}_{lv})")
+        parts += [f"cu{top} AS ({cut})", f"cm{top} AS (SELECT s, f, g, level, k, max(d) AS d, max(a) AS a FROM cu{top} GROUP BY ALL)", own.replace("ts AS", f"ts{top} AS").replace(", ts ", f", ts{top} ")]
+        parts += [f"kp{top} AS (SELECT s, f, g, tau, count(*) FILTER (WHERE coalesce(d, a) <> 0) AS kept FROM cu{top} GROUP BY ALL)", f"rs{top} AS (SELECT s, f, g, sum((p.v - z.v) * (p.v - z.v)) AS rss FROM z{top}_0 z JOIN p USING (s, f) WHERE z.k = p.t GROUP BY ALL)"]
+        found.append(f"SELECT {top} AS level, round(tau, 6) AS tau, round(ln(avg({STEPS} * rss / pow(greatest(1e-12, {STEPS} - kept), 2))), 6) AS log_gcv FROM rs{top} JOIN kp{top} USING (s, f, g) GROUP BY tau")
+    return ", ".join(parts) + " " + " UNION ALL ".join(found)
 
-@query("gcv_wavelet")
+
+@query("gcv_wavelet", _wavelet_gcv())
 def gcv_wavelet(spark, d):
-    return smoothing.wavelet_scores(_events(spark, d), most=2).select("level", F.round("tau", 6).alias("tau"), F.round("gcv", 5).alias("gcv"))
+    return smoothing.wavelet_scores(_events(spark, d)).select("level", F.round("tau", 6).alias("tau"), F.round(F.log("gcv"), 6).alias("log_gcv"))
 
 
 # --- clustering -----------------------------------------------------------------------------------------------
@@ -510,8 +755,12 @@ def _groups(spark, d) -> tuple[DataFrame, DataFrame]:
 
 @query("homotopy_path")
 def homotopy_path(spark, d):
-    p = cluster.homotopy_path(*_groups(spark, d))
-    return p.groupBy("step").agg(F.round(F.first("lambda"), 8).alias("lambda"), F.count_distinct("cluster").alias("clusters"))
+    return cluster.homotopy_path(*_groups(spark, d)).withColumn("lambda", F.round("lambda", 8))
+
+
+@query("valid_partitions")
+def valid_partitions(spark, d):
+    return cluster.valid_partitions(cluster.homotopy_path(*_groups(spark, d)))
 
 
 @query("convex_clusters")
@@ -527,7 +776,12 @@ def fista_solve(spark, d):
 
 @query("kmeans")
 def kmeans(spark, d):
-    return cluster.kmeans(_nodes(spark, d), 10, starts=2).groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    return cluster.kmeans(_nodes(spark, d), 10, starts=2)
+
+
+@query("kmeans_sweep")
+def kmeans_sweep(spark, d):
+    return cluster.kmeans_sweep(_nodes(spark, d), 9, 12, starts=1).withColumn("silhouette", F.round("silhouette", 5))
 
 
 @query("generate_catalog", "SELECT * FROM (VALUES ('hypersphere', 100, 3, 100, 2, 'sphere'), ('hyperbolic', 200, 2, 50, 2, 'poincare'), ('swiss_roll', 300, 2, 200, 4, NULL), ('lorenz', 100, 3, 100, 3, NULL), ('pendulum', 200, 2, 100, 4, NULL)) AS t(name, samples, features, steps, clusters, manifold)")
@@ -538,14 +792,63 @@ def generate_catalog(spark, d):
 def _generated(kind: str):
     def run(spark, d):
         g = generators.generate(spark, kind)
-        return g.groupBy("label").agg(F.count_distinct("sample_id").alias("samples"), F.min(F.size("values")).alias("steps"), F.count(F.lit(1)).alias("curves"))
+        return g.select("sample_id", "label", "feature", F.posexplode("values").alias("t_idx", "value")).withColumn("value", F.round("value", 6))
 
     return run
 
 
-for _name, (_n, _p, _t, _k, _) in generators.CATALOG.items():
+for _name in generators.CATALOG:
     QUERIES[f"generate_{_name}"] = _generated(_name)
-    ORACLES[f"generate_{_name}"] = f"SELECT least(i * {_k} // {_n}, {_k} - 1) AS label, count(*) AS samples, {_t} AS steps, count(*) * {_p} AS curves FROM (SELECT unnest(range({_n})) AS i) GROUP BY 1"
+
+#: Starts of paths, made from the suppliers' keys.
+_START = {
+    "hypersphere": (["0.02 + k % 5 / 50", "cos(k)", "sin(k)", "0", "0", "0", "1"], 3),
+    "hyperbolic": (["1 + k % 4 / 3", "cos(k)", "sin(k)"], 2),
+    "swiss_roll": (["k % 10", "1.5 * pi() + k % 7 / 5"], 3),
+    "lorenz": (["14 + k % 15", "k % 19 - 9", "k % 17 - 8", "k % 13 - 6"], 3),
+    "pendulum": (["k % 11 / 10 - 0.5", "k % 7 - 0.3"], 3),
+}
+_LENGTH = 60
+
+
+def _starts(spark, d, kind: str) -> DataFrame:
+    k = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("sample_id"), F.col("s_suppkey").cast("double").alias("k"))
+    return k.select("sample_id", F.array(*(F.expr(e).cast("double") for e in _START[kind][0])).alias("start"))
+
+
+def _path_sql(kind: str) -> str:
+    a = [f"({e})::double" for e in _START[kind][0]]
+    k = "SELECT s_suppkey AS s, s_suppkey::double AS k FROM supplier"
+    t, n = f"(SELECT unnest(range({_LENGTH})) AS t)", _LENGTH - 1
+    if kind == "pendulum":
+        turned = "CASE WHEN a > pi() THEN a - 2 * pi() WHEN a < -pi() THEN a + 2 * pi() ELSE a END"
+        steps = f"st(s, t, a, w) AS (SELECT s, 0, {a[0]}, {a[1]} FROM ({k}) UNION ALL SELECT s, t + 1, {turned}, w FROM (SELECT s, t, a + 0.02::double * w AS a, w - 0.02::double * 9.81::double * sin(a) AS w FROM st WHERE t < {n}))"
+        x = ["cos(a)", "sin(a)", "w"]
+    elif kind == "lorenz":
+        h = "0.01::double"
+        steps = f"st(s, t, r, x, y, z) AS (SELECT s, 0, {', '.join(a)} FROM ({k}) UNION ALL SELECT s, t + 1, r, x + {h} * (10 * (y - x)), y + {h} * (x * (r - z) - y), z + {h} * (x * y - 8 / 3::double * z) FROM st WHERE t < {n})"
+        x = ["x", "y", "z"]
+    elif kind == "swiss_roll":
+        steps = f"st AS (SELECT s, t, {a[0]} AS h, {a[1]} + 1.5 * pi() * t / {n} AS g FROM ({k}), {t})"
+        x = ["g * cos(g)", "h", "g * sin(g)"]
+    elif kind == "hyperbolic":
+        steps = f"st AS (SELECT s, t, {a[0]} * t / {n} AS g, {a[1]} AS x, {a[2]} AS y FROM ({k}), {t})"
+        x = [f"(exp(g) - exp(-g)) / 2 / (1 + (exp(g) + exp(-g)) / 2) * {c}" for c in ("x", "y")]
+    else:
+        steps = f"st AS (SELECT s, t, {a[0]} * t AS g, {', '.join(f'{v} AS a{i}' for i, v in enumerate(a[1:]))} FROM ({k}), {t})"
+        x = [f"cos(g) * a{i} + sin(g) * a{i + 3}" for i in range(3)]
+    return f"WITH RECURSIVE {steps} SELECT s AS sample_id, unnest(range({len(x)})) AS feature, t AS t_idx, round(unnest([{', '.join(x)}]), 5) + 0.0 AS value FROM st"
+
+
+def _path_query(kind: str):
+    def run(spark, d):
+        return src.points(generators.trajectories(_starts(spark, d, kind), kind, _LENGTH)).withColumn("value", F.round("value", 5) + 0.0)
+
+    return run
+
+
+for _name in generators.CATALOG:
+    query(f"trajectory_{_name}", _path_sql(_name))(_path_query(_name))
 
 
 # --- networks and whole experiments -----------------------------------------------------------------------------
@@ -562,6 +865,12 @@ def train_encode(spark, d):
     return autoencoder.encode(c, net).select("sample_id", F.posexplode("z").alias("k", "x")).select("sample_id", "k", F.round("x", 4).alias("x"))
 
 
+@query("last_losses", "SELECT trial, round(avg(value), 6) AS value FROM (SELECT user_id AS trial, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n <= 5 GROUP BY trial")
+def last_losses(spark, d):
+    log = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("trial"), F.col("event_id").alias("epoch"), F.col("value").alias("loss"))
+    return runner.last_losses(log).withColumn("value", F.round("value", 6))
+
+
 @query("run_experiment")
 def run_experiment(spark, d):
     r = runner.run_experiment(spark, "pendulum")["result"]

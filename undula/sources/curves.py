@@ -126,15 +126,16 @@ def load_wide(spark: SparkSession, path: str, n_features: int, n_steps: int) ->
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """``df`` with sample_id: the rows' numbers in file order, gapless, without a shuffle of the rows."""
-    part = df.withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
-    counts = {r[0]: r[1] for r in part.groupBy("__p").count().collect()}
-    before, total = [], 0
-    for p in sorted(counts):
-        before += [F.lit(p), F.lit(total)]
-        total += counts[p]
-    base = F.create_map(*before)[F.col("__p")] if before else F.lit(0)
-    return part.select((base + F.col("__m") - F.shiftleft(F.col("__p").cast("long"), 33)).cast("long").alias("sample_id"), *df.columns)
+    """``df``, read from files, with sample_id: the rows' numbers in the files' order, gapless, without a shuffle of the rows.
+
+    Counts of the files' blocks, one row each, give the offsets.
+    """
+    names = df.columns
+    part = df.select("*", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b")).withColumn("__m", F.monotonically_increasing_id())
+    blocks = part.groupBy("__f", "__b").agg(F.count(F.lit(1)).alias("__n"), F.min("__m").alias("__first"))
+    w = Window.orderBy("__f", "__b").rowsBetween(Window.unboundedPreceding, -1)
+    before = blocks.select("__f", "__b", "__first", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__o"))
+    return part.join(F.broadcast(before), ["__f", "__b"]).select((F.col("__o") + F.col("__m") - F.col("__first")).alias("sample_id"), *names)
 
 
 def load_arff(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
