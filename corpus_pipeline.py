@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from undula.llm import stages
-from undula.llm._store import stash
+from undula.llm._store import drop_stash, stash
 
 STAGES = [
     ("quality", stages.quality_filter),
@@ -15,13 +15,15 @@ STAGES = [
     ("byte_bpe", stages.encode),
 ]
 
-#: SQL can express none of the trained stages; the tests hold the pipeline against brute force.
+#: SQL can express none of the trained stages; tests/llm/test_queries.py holds all rows against plain stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each stage over ``documents``, written as Parquet and read again in between."""
+    """Each stage over ``documents``, written as Parquet and read again in between; what the next stage has read is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), name)
+        kept = stash(stage(spark, docs, sf_dir), name)
+        drop_stash(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
