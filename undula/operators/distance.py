@@ -276,11 +276,15 @@ def prepared(curves: DataFrame, metric: str) -> DataFrame:
     return z.groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", "values"))), lambda f: f["values"]).alias("x"))
 
 
-def pairwise(curves: DataFrame, metric: str = "elastic", band: int | None = None, factor: int = 2) -> DataFrame:
-    """(i, j, dist) with i < j; the lesser id's curve is held and the other one warped, as elastic lattices are one-sided."""
+def pairwise(curves: DataFrame, metric: str = "elastic", band: int | None = None, factor: int = 2, only: DataFrame | None = None) -> DataFrame:
+    """(i, j, dist) with i < j; the lesser id's curve is held and the other one warped, as elastic lattices are one-sided.
+
+    All curves give the scale; ``only`` (sample_id) names those whose pairs are wanted.
+    """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}; one of {METRICS}")
     x = prepared(curves, metric)
+    x = x if only is None else x.join(only, "sample_id", "left_semi")
     n = x.count()
     block = max(4, min(256, int(np.ceil(n / 12))))
 

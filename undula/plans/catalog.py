@@ -534,11 +534,33 @@ def dtw_full(spark, d):
     return distance.pairwise(_events(spark, d), "fastdtw", band=STEPS).select("i", "j", F.round("dist", 5).alias("dist"))
 
 
-@query("alignment_path")
+_MV = sql.values(((m, di, dj) for m, (di, dj) in enumerate(distance.MOVES)), "m, di, dj")
+#: The elastic lattice of the curves 1 (held) and 2 (warped): costs of moves by their integrals, rows by recursion, which
+#: carries the last four, then the way back.
+_ELASTIC = f"""{Q.replace('WITH ty', 'WITH RECURSIVE ty', 1)}, ab AS (SELECT f, t, max(CASE WHEN s = 1 THEN v END) AS a, max(CASE WHEN s = 2 THEN v END) AS b FROM q WHERE s IN (1, 2) GROUP BY f, t),
+mv AS {_MV}, pt AS (SELECT m, di, dj, i, j, i - di + x AS ta, CASE WHEN x IN (0, di) THEN 0.5::double ELSE 1.0::double END AS w, j - dj + x * dj::double / di AS p
+FROM mv, (SELECT unnest(range({STEPS})) AS i), (SELECT unnest(range({STEPS})) AS j), (SELECT unnest(range(5)) AS x) WHERE i >= di AND j >= dj AND x <= di),
+ct AS (SELECT m, di, dj, i, j, sum(w * pow(h.a - sqrt(dj::double / di) * (l.b * (1 - p + l.t) + u.b * (p - l.t)), 2)) / {STEPS - 1} AS c
+FROM pt JOIN ab h ON h.t = ta JOIN ab l ON l.f = h.f AND l.t = least(floor(p), {STEPS - 2}) JOIN ab u ON u.f = h.f AND u.t = l.t + 1 GROUP BY ALL),
+el(n, i, j, v, m) AS (SELECT 0, 0, 0, 0.0::double, -1 UNION ALL
+SELECT n + 1, i, j, v, m FROM (SELECT n, i, j, v, m FROM el WHERE i >= n - 2 UNION ALL
+SELECT n, n + 1, j, b.v, b.m FROM (SELECT e.n, c.j, min({{'v': e.v + c.c, 'm': c.m}}) AS b FROM el e JOIN ct c ON c.i = e.n + 1 AND e.i = c.i - c.di AND e.j = c.j - c.dj GROUP BY e.n, c.j)) WHERE n < {STEPS - 1}),
+tk AS (SELECT i, j, v, el.m, di, dj FROM el LEFT JOIN mv USING (m) WHERE n = i),
+bk(q, i, j) AS (SELECT 0, {STEPS - 1}, {STEPS - 1} UNION ALL SELECT bk.q + 1, bk.i - di, bk.j - dj FROM bk JOIN tk ON tk.i = bk.i AND tk.j = bk.j WHERE tk.m >= 0)"""
+
+
+@query("alignment_path", f"{_ELASTIC} SELECT (SELECT max(q) FROM bk) - q AS step, i, j FROM bk")
 def alignment_path(spark, d):
     return distance.alignment(_events(spark, d), 1, 2)
 
 
+@query("elastic_pair", f"{_ELASTIC} SELECT round(sqrt(v), 5) AS dist FROM tk WHERE i = {STEPS - 1} AND j = {STEPS - 1}")
+def elastic_pair(spark, d):
+    """The whole lattice for two curves."""
+    two = _events(spark, d).filter(F.col("sample_id").isin(1, 2))
+    return distance.pairwise(_events(spark, d), "elastic", band=STEPS, only=two.select("sample_id").distinct()).select(F.round("dist", 5).alias("dist"))
+
+
 @query("curve_neighbours", f"{_warped(distance.default_band(STEPS))}, kn AS (SELECT i, j, dist, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS rank FROM (SELECT * FROM dt UNION ALL SELECT j, i, dist FROM dt)) SELECT i, rank, j, round(dist, 5) AS dist FROM kn WHERE rank <= {M}")
 def curve_neighbours(spark, d):
     return graph.neighbours(distance.pairwise(_events(spark, d), "fastdtw"), M).select("i", "rank", "j", F.round("dist", 5).alias("dist"))
@@ -854,6 +876,107 @@ for _name in generators.CATALOG:
 # --- networks and whole experiments -----------------------------------------------------------------------------
 
 
+#: A network whose weights are sines of their places, so that SQL can make them as well.
+_NET = {"layers": [6, 5, 3, 5, 6, 4, 4], "features": 5, "terms": 7, "terms_in": 5}
+_WEIGHTS = {
+    "wfn": (6, 5, 5), "bfn": (6,), "enc0.w": (6, 5), "enc0.b": (5,), "enc1.w": (5, 3), "enc1.b": (3,), "dec0.w": (3, 5), "dec0.b": (5,), "dec1.w": (5, 6), "dec1.b": (6,),
+    "wfn1": (6, 4, 7), "bfn1": (4, 7), "wfn2": (4, 4, 7), "bfn2": (4,), "wfn3": (4, 5, 7),
+    **{f"{n}.{k}": (o,) for n, o in (("enc0", 5), ("enc1", 3), ("dec0", 5), ("dec1", 6)) for k in ("scale", "shift", "mean", "var")},
+}
+
+
+def _pitch(name: str) -> float:
+    return 0.3 + 0.17 * list(_WEIGHTS).index(name)
+
+
+def _network() -> autoencoder.Network:
+    grid = np.linspace(0, 1, STEPS)
+    net = autoencoder.Network(5, _NET["layers"], smoothing.fourier_design(grid, 3).T, smoothing.fourier_design(grid, 2).T)
+    for name, shape in _WEIGHTS.items():
+        w = np.sin(_pitch(name) * (np.arange(np.prod(shape)) + 1)).reshape(shape) / 2 + (1.5 if name.endswith((".scale", ".var")) else 0)
+        (net.stats if name.endswith((".mean", ".var")) else net.params)[name] = w
+    return net
+
+
+def _weights(name: str) -> str:
+    """(a, b, c: places, v) of a weight array."""
+    shape = (*_WEIGHTS[name], 1, 1)[:3]
+    more = 1.5 if name.endswith((".scale", ".var")) else 0.0
+    return f"(SELECT a, b, c, sin({_pitch(name)!r}::double * ((a * {shape[1]} + b) * {shape[2]} + c + 1)) / 2 + {more}::double AS v FROM (SELECT unnest(range({shape[0]})) AS a), (SELECT unnest(range({shape[1]})) AS b), (SELECT unnest(range({shape[2]})) AS c))"
+
+
+def _elu(x: str) -> str:
+    return f"CASE WHEN {x} > 0 THEN {x} ELSE exp({x}) - 1 END"
+
+
+def _dense(at: str, source: str, out: str) -> str:
+    w, b, scale, shift, mean, var = (_weights(f"{at}.{k}") for k in ("w", "b", "scale", "shift", "mean", "var"))
+    normed = "(u.v + b.v - mu.v) / sqrt(va.v + 1e-5) * sc.v + sh.v"
+    return f"{out} AS (SELECT s, k, {_elu('v')} AS v FROM (SELECT u.s, u.k, {normed} AS v FROM (SELECT x.s, w.b AS k, sum(x.v * w.v) AS v FROM {source} x JOIN {w} w ON w.a = x.k GROUP BY ALL) u JOIN {b} b ON b.a = u.k JOIN {mean} mu ON mu.a = u.k JOIN {var} va ON va.a = u.k JOIN {scale} sc ON sc.a = u.k JOIN {shift} sh ON sh.a = u.k))"
+
+
+_CODES = ", ".join((
+    _FC, sql.fourier(3, STEPS), sql.fourier(2, STEPS, name="bi"),
+    "x AS (SELECT s, f AS p, unnest(range(7)) AS m, unnest([a0, a1, b1, a2, b2, a3, b3]) / 100 AS v FROM fc)",
+    f"ai AS (SELECT b.k AS m, bi.k AS l, sum(b.v * bi.v) / {STEPS} AS v FROM b JOIN bi USING (t) GROUP BY ALL)",
+    "xi AS (SELECT s, p, l, sum(x.v * ai.v) AS v FROM x JOIN ai USING (m) GROUP BY ALL)",
+    f"e0 AS (SELECT s, u.k, greatest(u.v + b.v, 0) AS v FROM (SELECT s, w.a AS k, sum(xi.v * w.v) AS v FROM xi JOIN {_weights('wfn')} w ON w.b = p AND w.c = l GROUP BY ALL) u JOIN {_weights('bfn')} b ON b.a = u.k)",
+    _dense("enc0", "e0", "e1"), _dense("enc1", "e1", "z"),
+))
+_CURVES = ", ".join((
+    _CODES, _dense("dec0", "z", "d1"), _dense("dec1", "d1", "d2"),
+    f"cc AS (SELECT s, z, m, u.v + b.v AS v FROM (SELECT s, w.b AS z, w.c AS m, sum(d2.v * w.v) AS v FROM d2 JOIN {_weights('wfn1')} w ON w.a = d2.k GROUP BY ALL) u JOIN {_weights('bfn1')} b ON b.a = z AND b.b = m)",
+    f"g1 AS (SELECT s, z, t, {_elu('v')} AS v FROM (SELECT s, z, t, sum(cc.v * b.v) AS v FROM cc JOIN b ON b.k = m GROUP BY ALL))",
+    f"w2 AS (SELECT w.a AS z, w.b AS y, t, sum(w.v * b.v) AS v FROM {_weights('wfn2')} w JOIN b ON b.k = w.c GROUP BY ALL)",
+    f"g2 AS (SELECT s, y, t, {_elu('v')} AS v FROM (SELECT s, u.y, u.t, u.v + b.v AS v FROM (SELECT s, y, t, sum(g1.v * w2.v) AS v FROM g1 JOIN w2 USING (z, t) GROUP BY ALL) u JOIN {_weights('bfn2')} b ON b.a = u.y))",
+    f"w3 AS (SELECT w.a AS y, w.b AS p, t, sum(w.v * b.v) AS v FROM {_weights('wfn3')} w JOIN b ON b.k = w.c GROUP BY ALL)",
+    "ou AS (SELECT s, p, t, sum(g2.v * w3.v) AS v FROM g2 JOIN w3 USING (y, t) GROUP BY ALL)",
+))
+
+
+def _bend(name: str, groups: str, place: str) -> str:
+    return f"(SELECT avg(abs(v - 2 * n + o)) FROM (SELECT v, lead(v) OVER w AS n, lead(v, 2) OVER w AS o FROM {_weights(name)} WINDOW w AS (PARTITION BY {groups} ORDER BY {place})) WHERE o IS NOT NULL)"
+
+
+_LOSSES = (
+    f"{_CURVES}, fx AS (SELECT s, p, t, sum(x.v * b.v) AS v FROM x JOIN b ON b.k = m GROUP BY ALL), wi AS {_weights('wfn')}, bb AS (SELECT x.k AS l, y.k AS k, sum(x.v * y.v) / {STEPS} AS v FROM bi x JOIN bi y USING (t) GROUP BY ALL), "
+    "oc AS (SELECT x.a AS q, y.a AS r, sum(x.v * bb.v * y.v) AS v FROM wi x JOIN bb ON bb.l = x.c JOIN wi y ON y.b = x.b AND y.c = bb.k GROUP BY ALL), "
+    "zl AS (SELECT s, k, v, s % 2 AS label FROM z), mk AS (SELECT label, k, avg(v) AS c FROM zl GROUP BY ALL), gk AS (SELECT k, avg(v) AS g FROM z GROUP BY k), "
+    "lo AS (SELECT (SELECT avg(pow(ou.v - fx.v, 2)) FROM ou JOIN fx USING (s, p, t)) AS reconstruction, (SELECT sum(CASE WHEN q <> r THEN v * v END) / 15 + sum(CASE WHEN q = r THEN (v - 1) * (v - 1) END) / 6 FROM oc) AS orthogonality, "
+    f"{_bend('wfn1', 'a, b', 'c')} + {_bend('wfn2', 'a, b', 'c')} + {_bend('wfn3', 'a, b', 'c')} + {_bend('bfn1', 'a', 'b')} + (SELECT avg(abs(v)) FROM {_weights('bfn2')}) AS roughness, "
+    "(SELECT (2 * sum(pow(v - c, 2)) - sum(pow(v - g, 2))) / count(*) FROM zl JOIN mk USING (label, k) JOIN gk USING (k)) AS clustering)"
+)
+
+
+def _coefs(spark, d) -> DataFrame:
+    return smoothing.fourier_coefficients(_events(spark, d), 3).withColumn("c", F.transform("c", lambda x: x / 100))
+
+
+@query("network_codes", f"{_CODES} SELECT s AS sample_id, k, round(v, 6) AS x FROM z")
+def network_codes(spark, d):
+    return autoencoder.encode(_coefs(spark, d), _network()).select("sample_id", F.posexplode("z").alias("k", "x")).withColumn("x", F.round("x", 6))
+
+
+@query("network_curves", f"{_CURVES} SELECT s AS sample_id, p AS feature, t AS t_idx, round(v, 6) AS value FROM ou")
+def network_curves(spark, d):
+    return _long(autoencoder.reconstruct(_coefs(spark, d), _network()))
+
+
+@query("network_losses", f"{_LOSSES} SELECT round(reconstruction, 6) AS reconstruction, round(orthogonality, 6) AS orthogonality, round(roughness, 6) AS roughness, round(clustering, 6) AS clustering, round(reconstruction + 0.5 * orthogonality + 0.05 * roughness + 0.5 * clustering, 6) AS total FROM lo")
+def network_losses(spark, d):
+    c, net = _coefs(spark, d), _network()
+    z = autoencoder.encode(c, net).withColumn("label", F.col("sample_id") % 2)
+    means = {r.label: np.array(r.c) for r in evaluate.centroid_vectors(z).collect()}
+    mean = np.array([r.c for r in evaluate.global_mean(z).orderBy("k").collect()])
+    out = autoencoder.losses(c, z.select("sample_id", "label"), net, means, mean)
+    return out.select(*(F.round(k, 6).alias(k) for k in out.columns))
+
+
+@query("model_summary", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {int(np.prod(v))})" for k, v in _WEIGHTS.items() if not k.endswith((".mean", ".var"))) + ") AS t(name, weights)")
+def model_summary(spark, d):
+    return spark.createDataFrame([(k, n) for k, _, n in _network().summary()], "name string, weights int")
+
+
 @query("train_encode")
 def train_encode(spark, d):
     """A small network trained on the event curves; its codes."""
