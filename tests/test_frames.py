@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from undula.functions import manifolds, normalise
-from undula.operators import cluster, distance, evaluate, graph
+from undula.operators import autoencoder, cluster, distance, evaluate, graph
 from undula.plans import runner
 from undula.sources import curves, generators
 from undula.streaming import ingest
@@ -192,3 +192,62 @@ def test_stream_of_points_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     batch = df.groupBy(F.window("ts", "7 days").alias("window"), "sample_id", "feature").agg(F.sum("value").alias("value"))
     assert spark.table("w").agg(F.sum("value"), F.count("*")).first()[:] == batch.agg(F.sum("value"), F.count("*")).first()[:]
+
+
+def test_cells_outside_a_given_grid_raise(spark, sf):
+    with pytest.raises(Exception, match="outside the grid"):
+        curves.from_events(spark, sf, days=10).collect()
+    with pytest.raises(Exception, match="outside the grid"):
+        curves.from_lineitem(spark, sf, months=20).collect()
+    assert curves.check_dense(curves.from_events(spark, sf)) == 30
+
+
+def test_rows_are_numbered_in_the_order_of_many_files(spark, tmp_path):
+    sizes = (3, 400, 0, 1, 90)
+    for n, size in enumerate(sizes):
+        (tmp_path / f"part-{n}.txt").write_text("".join(f"{n}:{i}\n" for i in range(size)))
+    got = [r.value for r in curves.numbered(spark.read.text(str(tmp_path))).orderBy("sample_id").collect()]
+    ids = [r.sample_id for r in curves.numbered(spark.read.text(str(tmp_path))).orderBy("sample_id").collect()]
+    assert got == [f"{n}:{i}" for n, size in enumerate(sizes) for i in range(size)] and ids == list(range(len(got)))
+
+
+def test_nearest_points_and_components_equal_brute_force(spark, monkeypatch):
+    x = np.random.default_rng(3).integers(0, 4, (41, 2)).astype(float)  # with many ties
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "sample_id long, z array<double>")
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    near = {i: sorted((d[i, j], j) for j in range(41) if j != i) for i in range(41)}
+    directed = graph.ranked(graph.block_pairs(points, "sample_id", ["z"], graph._exact, block=9, nearest=7), 7)
+    for out in (directed, graph.nearest_points(points, 7)):
+        got = {(r.i, r["rank"]): (r.dist, r.j) for r in out.collect()}
+        assert got == {(i, k + 1): near[i][k] for i in range(41) for k in range(7)}
+    comps = {r.m: r.components for r in graph.components_of_points(points, first=2).collect()}
+    for m in range(1, 41):
+        up = list(range(41))
+        for _ in range(41):
+            for i in range(41):
+                for _, j in near[i][:m]:
+                    up[i] = up[j] = min(up[i], up[j])
+        assert comps[m] == len(set(up))
+
+
+def test_batches_hold_each_row_once(spark):
+    got = autoencoder.minibatches(spark.range(1000).withColumnRenamed("id", "sample_id"), 64, seed=3).toPandas().sort_values(["batch", "place"])
+    assert got.batch.value_counts().sort_index().tolist() == [64] * 15 + [40] and sorted(got.sample_id) == list(range(1000))
+    assert not (got.sample_id.diff().dropna() > 0).all()
+    other = autoencoder.minibatches(spark.range(1000).withColumnRenamed("id", "sample_id"), 64, seed=4).toPandas().sort_values(["batch", "place"])
+    assert got.sample_id.tolist() != other.sample_id.tolist()
+
+
+def test_mutual_information_of_many_rows_equals_the_whole_sum(spark):
+    from math import exp, lgamma, log
+
+    r = np.random.default_rng(0)
+    a, b = r.integers(0, 3, 3000), np.minimum(r.integers(0, 40, 3000), 5)
+    df = spark.createDataFrame(list(zip(a.tolist(), b.tolist())), "a int, b int")
+    t = np.array([[((a == i) & (b == j)).sum() for j in range(6)] for i in range(3)])
+    n, ra, rb = 3000, t.sum(1), t.sum(0)
+    mi = sum(v / n * log(n * v / (ra[i] * rb[j])) for (i, j), v in np.ndenumerate(t) if v)
+    lf = lambda v: lgamma(v + 1)
+    emi = sum(k / n * log(n * k / (x * y)) * exp(lf(x) + lf(y) + lf(n - x) + lf(n - y) - lf(n) - lf(k) - lf(x - k) - lf(y - k) - lf(n - x - y + k)) for x in ra for y in rb for k in range(max(1, x + y - n), min(x, y) + 1))
+    h = [-sum(v / n * log(v / n) for v in s) for s in (ra, rb)]
+    assert evaluate.adjusted_mutual_information(df, "a", "b").first()[0] == pytest.approx((mi - emi) / (sum(h) / 2 - emi), abs=1e-9)
