@@ -177,7 +177,7 @@ def test_experiment_queries_run_the_whole_catalog_set(spark, sf, monkeypatch):
     seen = {}
     row = spark.createDataFrame([("pendulum", 4, 1.0, 1.0, 4)], "dataset string, n_true int, ari double, ami double, n_pred int")
     study = spark.createDataFrame([(0, 1.0)], "trial int, value double")
-    monkeypatch.setattr(runner, "run_experiment", lambda _, name, **k: seen.update(k) or {"result": row})
+    monkeypatch.setattr(runner, "run_experiment", lambda _, name, **k: seen.update(k) or {"result": row, "release": lambda: None})
     monkeypatch.setattr(runner, "optimize", lambda _, coefs, *a, **k: seen.update(k, n=coefs.select("sample_id").distinct().count()) or ({}, study))
     catalog.run_experiment(spark, sf), catalog.tune(spark, sf)
     assert seen == {"n": generators.CATALOG["pendulum"][0]}

@@ -482,10 +482,10 @@ FROM (SELECT q, a, nn, list_transform(a, lambda x, k: cos(nn) * x + sin(nn) * g[
 FROM (SELECT q, a, (SELECT list(s ORDER BY k) FROM (SELECT k, avg(l) AS s FROM (SELECT unnest(range(len(u))) AS k, unnest(u) AS l FROM (SELECT list_transform(u, lambda x: acos(c) * x / greatest(sqrt(list_inner_product(u, u)), 1e-8)) AS u FROM (SELECT list_transform(y, lambda x, k: x - c * a[k]) AS u, c FROM (SELECT y, greatest(least(list_inner_product(y, a), 1 - 1e-7), -1 + 1e-7) AS c FROM (SELECT unnest(ys) AS y FROM yy))))) GROUP BY k)) AS g FROM st WHERE q < 50 AND NOT still))))"""
 
 
-@query("karcher_anchor", f"{_KA.replace('WITH v', 'WITH RECURSIVE v', 1)} SELECT unnest(range(len(a))) AS k, round(unnest(a), 5) AS x FROM (SELECT a FROM st ORDER BY q DESC LIMIT 1)")
+@query("karcher_anchor", f"{_KA.replace('WITH v', 'WITH RECURSIVE v', 1)} SELECT unnest(range(len(a))) AS k, round(unnest(a), 6) AS x FROM (SELECT a FROM st ORDER BY q DESC LIMIT 1)")
 def karcher_anchor(spark, d):
     on = _tangent(spark, d).select(manifolds.sphere_exp(manifolds.default_anchor(F.col("v")), F.col("v")).alias("y"))
-    return spark.createDataFrame([(k, round(x, 5)) for k, x in enumerate(manifolds.fit_anchor(on, "y"))], "k int, x double")
+    return spark.createDataFrame([(k, round(x, 6)) for k, x in enumerate(manifolds.fit_anchor(on, "y"))], "k int, x double")
 
 
 _BA = "WITH o AS (SELECT vec_id, row_number() OVER (ORDER BY md5('0|' || vec_id), vec_id) - 1 AS n FROM embeddings)"
