@@ -500,6 +500,19 @@ def test_slices_keep_all_rows():
     assert pa.Table.from_batches(parts).num_rows == 55
 
 
+def test_samples_are_bounded_and_the_least_by_hash(spark):
+    from undula.llm._sample import drawn
+
+    rows = spark.range(3000).selectExpr("id % 500 as key", "if(id < 1500, concat('t', id % 500), 'same') as text", "cast(id % 2 as int) as label")
+    order = [r.key for r in rows.select("key").distinct().orderBy(F.xxhash64("key")).collect()]
+    kinds = {(f"t{k}", k % 2) for k in range(500)} | {("same", 0), ("same", 1)}
+    for most in (1, 7, 40, 5000):
+        got = drawn(rows, most, 1 << 20)
+        assert len(got) == min(most, 1000) and set(got) <= kinds
+        assert {t for t, _ in got if t != "same"} >= {f"t{k}" for k in order[: most // 2]} and not {t for t, _ in got} - {"same", *(f"t{k}" for k in order[: most // 2 + 1])}
+    assert len(drawn(rows, 100, 10)) < 5 and len(drawn(rows, 100, 0)) == 1 and drawn(rows.limit(0), 5, 5) == []
+
+
 def test_stages_keep_columns_and_odd_rows(spark, sf):
     docs = frame(spark, ODD + [say(1, 60), say(1, 60)], extra=False).union(frame(spark, ["null id"], extra=False).withColumn("doc_id", F.lit(None).cast("long")))
     for stage in (stages.quality_filter, stages.language_filter, stages.near_dedup, stages.decontaminate_filter):

@@ -2,16 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Text bytes that a worker handles at a time; one longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Rows of a slice, at most: short texts cost by the row.
 SLICE_ROWS = 20_000
 
+#: What a worker keeps from one task to the next: by operator, a key and a value.
+_KEPT: dict[str, tuple[Hashable, object]] = {}
+
+
+def kept(operator: str, key: Hashable, make: Callable[[], object]) -> object:
+    """This worker's value of an operator; another key drops the one before."""
+    if operator not in _KEPT or _KEPT[operator][0] != key:
+        _KEPT.pop(operator, None)
+        _KEPT[operator] = key, make()
+    return _KEPT[operator][1]
+
+
+def release(operator: str | None = None) -> None:
+    """Drop what other operators keep: workers are used again, and one may go on with another operator's tasks."""
+    others = [k for k in _KEPT if k != operator]
+    for k in others:
+        del _KEPT[k]
+    if others:
+        trim()
+
+
+def trim() -> None:
+    """Give memory that is free back to the system: workers stay, while other stages need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column and its offsets (rows + 1); a null is empty."""
@@ -26,11 +56,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: int = 1, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], text: int = 1, most: int = SLICE_BYTES, operator: str | None = None) -> Iterator[pa.RecordBatch]:
     """The rows of the batches, in order, in slices whose column at ``text`` holds at most ``most`` bytes, or of one row.
 
-    Small batches are put together, large ones are cut.
+    Small batches are put together, large ones are cut. What operators but ``operator`` keep in this worker is dropped.
     """
+    release(operator)
     held: list[pa.RecordBatch] = []
     size = rows = 0
     for batch in batches:
@@ -56,6 +87,8 @@ def slices(batches: Iterable[pa.RecordBatch], text: int = 1, most: int = SLICE_B
                 held, size, rows = [], 0, 0
     if held:
         yield _whole(held)
+    held.clear()
+    trim()
 
 
 def _whole(held: list[pa.RecordBatch]) -> pa.RecordBatch:

@@ -27,31 +27,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undula.llm._arrow import slices, utf8
+from undula.llm._arrow import kept, slices, trim, utf8
 
 #: Bytes of segments, pieces and their ids that a worker keeps from one slice to the next; all are dropped beyond that.
-CACHE_BYTES = 128 << 20
-#: What a kept entry takes beside its own bytes.
-ENTRY_BYTES = 200
-#: Longer segments and pieces are not kept.
-KEEP_BYTES = 256
+CACHE_BYTES = 24 << 20
 #: Longer pieces are encoded as windows of twice ``STRIDE`` that start ``STRIDE`` bytes apart.
 SHORT_BYTES = 96
 STRIDE = 32
-#: Pieces encoded by one recursive query.
+#: Segments that are cut, and pieces encoded by one recursive query, at a time.
 QUERY_PIECES = 20_000
 #: The recursive query keeps the ids of every round: at most so many squared bytes of pieces in one query.
-QUERY_SQUARES = 10_000_000
+QUERY_SQUARES = 2_000_000
 #: Longer windows take the query that contracts many pairs a round.
 LONG_BYTES = 2_048
 #: Rows that the query for long windows accumulates before it starts again.
 LONG_ROWS = 8_000_000
 #: Texts' bytes handled at a time, and ids decoded by one query.
-SLICE_BYTES = 6 << 20
-DECODE_IDS = 1 << 20
+SLICE_BYTES = 1 << 20
+DECODE_IDS = 1 << 17
 #: White space as Unicode defines it (fixed values).
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -108,6 +105,31 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+class Kept:
+    """Byte strings and their ids, as arrays: a few times smaller than a dictionary of Python objects."""
+
+    def __init__(self):
+        self.keys = pa.array([], pa.large_binary())
+        self.flat, self.start, self.bytes = np.empty(0, np.int32), np.zeros(1, np.int64), 0
+
+    def find(self, keys: pa.LargeBinaryArray) -> np.ndarray:
+        """The row of each key, -1 for those that are not here."""
+        return pc.fill_null(pc.index_in(keys, value_set=self.keys), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def add(self, keys: pa.LargeBinaryArray, ids: list[np.ndarray]) -> np.ndarray:
+        """The rows of new keys."""
+        n = len(self.keys)
+        if len(keys):
+            self.keys = pa.concat_arrays([self.keys, keys])
+            self.flat = np.concatenate([self.flat, *ids]).astype(np.int32, copy=False)
+            self.start = np.concatenate((self.start, self.start[-1] + np.cumsum([len(x) for x in ids])))
+            self.bytes = self.keys.nbytes + self.flat.nbytes + self.start.nbytes
+        return np.arange(n, len(self.keys))
+
+    def ids(self, row: int) -> np.ndarray:
+        return self.flat[self.start[row] : self.start[row + 1]]
+
+
 class Codec:
     """A worker's encoder and decoder over one vocabulary; its DuckDB connection is in memory."""
 
@@ -118,7 +140,7 @@ class Codec:
         self.ranks = read_ranks(path)
         self.find = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]")).findall
         self.first = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "allocator_flush_threshold": "8MB"})
         left, right, new = [], [], []
         for token, rank in self.ranks.items():
             for i in range(1, len(token)):
@@ -135,8 +157,7 @@ class Codec:
         size = np.zeros(len(self.known), np.int64)
         size[list(self.ranks.values())] = [len(t) for t in self.ranks]
         self.size = size
-        self.kept: dict[bytes, bytes] = {}  # ids of segments and of pieces; a piece alone is cut into itself
-        self.kept_bytes = 0
+        self.kept = Kept()  # segments and pieces; a piece alone is cut into itself
 
     def _table(self, name: str, **columns: pa.Array) -> None:
         self.con.register("incoming", pa.table(columns))
@@ -171,7 +192,7 @@ class Codec:
             flat = self.first[np.frombuffer(b"".join(pieces[i] for i in some), np.uint8)]
             off = np.cumsum([0] + [len(pieces[i]) for i in some]).astype(np.int32)
             self._table("seed", w=pa.array(np.array(some, np.int32)), ids=pa.ListArray.from_arrays(pa.array(off), pa.array(flat)))
-            got = self.con.sql(ENCODE).to_arrow_table().combine_chunks()
+            got = self.con.sql(ENCODE).to_arrow_table()
             for w, ids in zip(got["w"].to_pylist(), _lists(got["ids"])):
                 out[w] = ids
         for i in (i for i, p in enumerate(pieces) if len(p) > LONG_BYTES):
@@ -236,35 +257,30 @@ class Codec:
                 out[w].append(raw)
         return [x[0] if len(x) == 1 else b"".join(x) for x in out]
 
-    def _learn(self, segments: list[bytes]) -> list[bytes]:
-        """The ids of each of the distinct segments, as little-endian 32-bit integers."""
+    def _places(self, segments: pa.LargeBinaryArray) -> np.ndarray:
+        """The rows of ``kept`` that hold the distinct segments, which are encoded where they are new."""
+        if self.kept.bytes > CACHE_BYTES:
+            self.kept = Kept()
         kept = self.kept
-        out = [kept.get(s) for s in segments]
-        new = [i for i, x in enumerate(out) if x is None]
-        if not new:
-            return out
-        if self.kept_bytes > CACHE_BYTES:
-            self.kept_bytes = 0
-            kept.clear()
-        found = [self.find(segments[i].decode("utf-8", "replace")) for i in new]
-        ids: dict[str, bytes] = {}
-        unknown = []
-        for p in {p for ps in found for p in ps}:
-            raw = p.encode()
-            if (k := kept.get(raw)) is not None:
-                ids[p] = k
-            else:
-                unknown.append((p, raw))
-        for (p, raw), x in zip(unknown, self.encode_pieces([raw for _, raw in unknown])):
-            ids[p] = x = x.astype("<i4", copy=False).tobytes()
-            if len(raw) <= KEEP_BYTES:
-                kept[raw] = x
-                self.kept_bytes += len(raw) + len(x) + ENTRY_BYTES
-        for i, ps in zip(new, found):
-            out[i] = ids[ps[0]] if len(ps) == 1 else b"".join([ids[p] for p in ps])
-            if len(ps) > 1 and len(segments[i]) <= KEEP_BYTES:
-                kept[segments[i]] = out[i]
-                self.kept_bytes += len(segments[i]) + len(out[i]) + ENTRY_BYTES
+        out = kept.find(segments)
+        new = np.flatnonzero(out < 0)
+        for a in range(0, len(new), QUERY_PIECES):
+            at = new[a : a + QUERY_PIECES]
+            own = segments.take(pa.array(at))
+            found = [self.find(x.decode("utf-8", "replace")) for x in own.to_pylist()]
+            n = np.array([len(x) for x in found])
+            number = {p: k for k, p in enumerate(dict.fromkeys(p for x in found for p in x))}
+            pieces = pa.array([p.encode() for p in number], pa.large_binary())
+            rows = kept.find(pieces)
+            unknown = np.flatnonzero(rows < 0)
+            some = pieces.take(pa.array(unknown))
+            rows[unknown] = kept.add(some, self.encode_pieces(some.to_pylist()))
+            rows = rows[np.fromiter((number[p] for x in found for p in x), np.int64, int(n.sum()))]
+            start = np.cumsum(n) - n
+            out[at] = rows[start]  # a segment of one piece is that piece
+            many = np.flatnonzero(n > 1)
+            if len(many):
+                out[at[many]] = kept.add(own.take(pa.array(many)), [np.concatenate([kept.ids(r) for r in rows[b : b + k]]) for b, k in zip(start[many].tolist(), n[many].tolist())])
         return out
 
     def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -274,15 +290,19 @@ class Codec:
             data = pa.py_buffer(np.ascontiguousarray(raw[start:end]))
             places = pa.py_buffer(np.append(cuts, end) - start)
             coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts), [None, places, data]).dictionary_encode()
-            own = self._learn(coded.dictionary.to_pylist())
-            size = np.array([len(x) for x in own], np.int64) // 4
-            flat, first = np.frombuffer(b"".join(own), "<i4"), np.cumsum(size) - size
+            rows = self._places(coded.dictionary)
+            flat, first = self.kept.flat, self.kept.start[rows]
+            size = (self.kept.start[rows + 1] - first).astype(np.int32)
+            first = first.astype(np.int32)
             which = coded.indices.to_numpy()
             n = size[which]
-            after = np.cumsum(n)
-            parts.append(flat[np.repeat(first[which] - (after - n), n) + np.arange(int(after[-1]))])
+            after = np.cumsum(n, dtype=np.int32)  # a block has fewer ids than bytes
+            place = np.repeat(first[which] - (after - n), n)
+            place += np.arange(len(place), dtype=np.int32)
+            parts.append(flat[place])
+            del coded, rows, which, n, place
             a, b = np.searchsorted(off, (start, end), "left")  # texts that begin in this block
-            at[a:b] = total + np.concatenate(([0], after))[np.searchsorted(cuts, off[a:b])]
+            at[a:b] = total + np.concatenate(([0], after)).astype(np.int64)[np.searchsorted(cuts, off[a:b])]
             total += int(after[-1])
         at[np.searchsorted(off, off[-1], "left") :] = total
         return (np.concatenate(parts) if parts else np.empty(0, np.int32)).astype(np.int32, copy=False), at
@@ -329,14 +349,9 @@ def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
     return out
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
     """This process's codec: workers that are used again keep their pieces."""
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(path, pattern)
-    return _CODECS[path, pattern]
+    return kept("bpe", (path, pattern), lambda: Codec(path, pattern))
 
 
 def encode_decode(df: DataFrame, key: str, text: str, path: str, pattern: str) -> DataFrame:
@@ -344,11 +359,13 @@ def encode_decode(df: DataFrame, key: str, text: str, path: str, pattern: str) -
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches):
-        c = codec(path, pattern)
-        for part in slices(batches, 1, SLICE_BYTES):
+        for part in slices(batches, 1, SLICE_BYTES, "bpe"):
+            c = codec(path, pattern)
             ids, at = c.encode(*utf8(part.column(1)))
             coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(4 * at), pa.py_buffer(ids.astype("<i4"))])
             yield pa.record_batch([part.column(0), coded.cast(pa.binary()), pa.array(c.decode(ids, at), pa.binary())], ["key", "ids", "decoded"])
+            del ids, coded
+            trim()
 
     return df.select(key, text).mapInArrow(run, f"key {kind}, ids binary, decoded binary").withColumnRenamed("key", key)
 
@@ -368,12 +385,11 @@ def decode(df: DataFrame, key: str, ids: str, path: str, pattern: str) -> DataFr
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches):
-        c = codec(path, pattern)
-        for part in slices(batches, 1, SLICE_BYTES // 4):
+        for part in slices(batches, 1, SLICE_BYTES // 4, "bpe"):
             raw, off = utf8(part.column(1))
             if (off % 4).any():
                 raise ValueError("ids are not whole 32-bit integers")
-            got = c.decode(np.frombuffer(raw.tobytes(), "<u4").astype(np.int64), off // 4)
+            got = codec(path, pattern).decode(np.frombuffer(raw.tobytes(), "<u4").astype(np.int64), off // 4)
             null = part.column(1).is_null().to_pylist()
             yield pa.record_batch([part.column(0), pa.array([None if x else g for x, g in zip(null, got)], pa.binary())], ["key", "decoded"])
 

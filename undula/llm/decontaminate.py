@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undula.llm._arrow import slices, utf8
+from undula.llm._arrow import kept, slices, utf8
 from undula.llm._store import stash
 
 Q = 8
@@ -289,15 +289,9 @@ def blocks(benchmark: DataFrame, key: str, text: str) -> list[tuple[str, Broadca
     return out
 
 
-_INDEX: dict[str, Index] = {}
-
-
 def _index(name: str, block: Broadcast) -> Index:
     """This worker's index of a block; the last one is kept."""
-    if name not in _INDEX:
-        _INDEX.clear()
-        _INDEX[name] = build(block.value[1])
-    return _INDEX[name]
+    return kept("decontaminate", name, lambda: build(block.value[1]))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str) -> DataFrame:
@@ -308,12 +302,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: st
     for name, block in blocks(benchmark, item, item_text):
 
         def run(batches, name=name, block=block):
-            index, ids = _index(name, block), pa.array(block.value[0])
-            for part in slices(batches, 1, SLICE_BYTES):
-                got = search(index, *utf8(part.column(1)))
+            for part in slices(batches, 1, SLICE_BYTES, "decontaminate"):
+                got = search(_index(name, block), *utf8(part.column(1)))
                 if got:
                     rows, items, edits, start, end = map(list, zip(*got))
-                    yield pa.record_batch([part.column(0).take(pa.array(rows)), ids.take(pa.array(items)), pa.array(edits, pa.int32()), pa.array(start), pa.array(end)], ["key", "item", "edits", "start", "end"])
+                    yield pa.record_batch([part.column(0).take(pa.array(rows)), pa.array([block.value[0][i] for i in items]), pa.array(edits, pa.int32()), pa.array(start), pa.array(end)], ["key", "item", "edits", "start", "end"])
 
         one = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
         out = one if out is None else out.unionByName(one)
@@ -328,10 +321,9 @@ def keep(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text:
     for name, block in blocks(benchmark, item, item_text):
 
         def run(batches, name=name, block=block):
-            index = _index(name, block)
-            for part in slices(batches, at, SLICE_BYTES):
+            for part in slices(batches, at, SLICE_BYTES, "decontaminate"):
                 clean = np.ones(part.num_rows, bool)
-                clean[[m[0] for m in search(index, *utf8(part.column(at)))]] = False
+                clean[[m[0] for m in search(_index(name, block), *utf8(part.column(at)))]] = False
                 yield part.filter(pa.array(clean))
 
         docs = (docs if first else stash(docs, "clean")).mapInArrow(run, docs.schema)

@@ -39,7 +39,7 @@ EPOCHS = 4
 BATCH = 64
 RATE = 3e-3
 #: Windows that go through the network at a time.
-BLOCK = 1024
+BLOCK = 512
 UNKNOWN = "und"
 SLICE_BYTES = 2 << 20
 

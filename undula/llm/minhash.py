@@ -23,6 +23,7 @@ table; other columns are not read, so they cannot clash.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -198,14 +199,14 @@ def block_links(pos: int, left: list[tuple], right: list[tuple], percent: int) -
 
 
 def large_links(open_: DataFrame, sig: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links across components within buckets (key, pos, id, comp) of any size."""
+    """(a, b), written: links across components within buckets (key, pos, id, comp) of any size."""
     kind = open_.schema["id"].dataType.simpleString()
-    m = stash(open_.select("key", "pos", "id", "comp").join(sig, "id").join(shingles, "id"), "wide")
+    members = stash(open_.select("key", "pos", "id", "comp").join(sig, "id").join(shingles, "id"), "wide")
     weight = F.sum(F.lit(1 / BLOCK_MEMBERS) + F.octet_length("shingles") / BLOCK_BYTES)
-    largest = m.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), weight.alias("w")).groupBy("key")
+    largest = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), weight.alias("w")).groupBy("key")
     largest = largest.agg(F.max_by(F.struct("comp", "w"), F.struct("n", "comp")).alias("top"), F.sum("w").alias("all"))
     blocks = largest.select("key", F.col("top.comp").alias("top"), F.greatest(F.ceil(F.col("all") - F.col("top.w")), F.lit(1)).cast("int").alias("nl"), F.ceil("all").cast("int").alias("nr"))
-    m = spread_join(m, blocks, ["key"], "id").withColumn("outside", F.col("comp") != F.col("top"))
+    m = spread_join(members, blocks, ["key"], "id").withColumn("outside", F.col("comp") != F.col("top"))
     deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = ["pos", "id", "comp", "outside", *SIG, "shingles"]
@@ -231,7 +232,9 @@ def large_links(open_: DataFrame, sig: DataFrame, shingles: DataFrame, percent:
         if now is not None:
             yield done()
 
-    return dealt.mapInArrow(run, f"a {kind}, b {kind}")
+    out = stash(dealt.mapInArrow(run, f"a {kind}, b {kind}"), "found")
+    drop_stash(members)
+    return out
 
 
 def confirm(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
@@ -270,7 +273,9 @@ def components(links: DataFrame) -> DataFrame:
         label = new
         if label.filter("moved").isEmpty():
             drop_stash(both)
-            return label.select("id", "comp")
+            out = label.select("id", "comp")
+            out._undula_path = label._undula_path
+            return out
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -289,46 +294,69 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     def shingles(of: DataFrame) -> DataFrame:
         return stash(sets(among(docs.select(key, text), key, of), key, text, width), "sets")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        return confirm(pairs, shingles(pairs.select(F.col("a").alias("id")).union(pairs.select("b"))), percent)
+    def found(pairs: DataFrame) -> DataFrame:
+        """The links among written pairs, written; the pairs are dropped."""
+        own = shingles(pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
+        links = stash(confirm(pairs, own, percent), "found")
+        drop_stash(own), drop_stash(pairs)
+        return links
 
     def near(pairs: DataFrame) -> DataFrame:
+        """Of written pairs, which are dropped, those under the distance, written."""
         x, y = sig.withColumnRenamed("id", "a"), sig.withColumnRenamed("id", "b")
         x = x.select("a", F.struct(*SIG).alias("x"))
         y = y.select("b", F.struct(*SIG).alias("y"))
-        return stash(spread_join(pairs, x, ["a"], "b").join(y, "b").filter(distance("x", "y") <= MOST_ERRORS).select("a", "b"), "pairs")
-
-    def merged(label: DataFrame, links: DataFrame) -> DataFrame:
-        """Labels with further links, which are written."""
-        if links.isEmpty():
-            return label
-        return components(label.filter("id != comp").select(F.col("comp").alias("a"), F.col("id").alias("b")).union(links))
+        out = stash(spread_join(pairs, x, ["a"], "b").join(y, "b").filter(distance("x", "y") <= MOST_ERRORS).select("a", "b"), "pairs")
+        drop_stash(pairs)
+        return out
+
+    def merged(label: DataFrame, links: list[DataFrame]) -> DataFrame:
+        """Labels with further links, both written; both are dropped."""
+        every = reduce(DataFrame.union, links)
+        out = label
+        if not every.isEmpty():
+            out = components(label.filter("id != comp").select(F.col("comp").alias("a"), F.col("id").alias("b")).union(every))
+            drop_stash(label)
+        for x in links:
+            drop_stash(x)
+        return out
 
     def still_open(label: DataFrame, among: DataFrame, turn: int) -> DataFrame:
         """Members of buckets that hold several components, with the component, and a centre drawn for the bucket."""
         placed = stash(among.select("key", "pos", "id", "n").join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "placed")
         draw = F.xxhash64("id", F.lit(turn))
         split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("id", "comp"), draw).alias("c")).filter("lo != hi")
-        return stash(spread_join(placed, split.select("key", "c"), ["key"], "id"), "open")
+        out = stash(spread_join(placed, split.select("key", "c"), ["key"], "id"), "open")
+        drop_stash(placed)
+        return out
 
     star = stash(members.filter("id != c0").select(F.col("c0").alias("a"), F.col("id").alias("b")).distinct(), "star")
-    label = components(stash(confirmed(near(star)), "found"))
+    links = found(near(star))
+    label = components(links)
+    drop_stash(links)
     for turn in range(STAR_ROUNDS):
         wide = still_open(label, members.filter(F.col("n") > SMALL_BUCKET), turn)
         if wide.isEmpty():
+            drop_stash(wide)
             break
         pairs = stash(wide.filter(F.col("comp") != F.col("c.comp")).select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct(), "centre")
-        label = merged(label, stash(confirmed(near(pairs)), "found"))
+        drop_stash(wide)
+        label = merged(label, [found(near(pairs))])
     open_ = still_open(label, members, STAR_ROUNDS)
+    drop_stash(members)
     side = open_.filter(F.col("n") <= SMALL_BUCKET).select("key", "pos", "id", "comp").join(sig, "id")
     across = (F.col("x.key") == F.col("y.key")) & (F.col("x.pos") == F.col("y.pos")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp"))
     pairs = side.alias("x").join(side.alias("y"), across & (distance("x", "y") <= MOST_ERRORS) & (first_shared("x", "y") == F.col("x.pos"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    links = [stash(confirmed(stash(pairs, "pairs")), "found")]
+    links = [found(stash(pairs, "pairs"))]
     wide = open_.filter(F.col("n") > SMALL_BUCKET)
     if not wide.isEmpty():
-        links.append(stash(large_links(wide, sig, shingles(wide), percent), "found"))
-    label = merged(label, links[0].union(links[-1]) if len(links) > 1 else links[0])
+        own = shingles(wide)
+        links.append(large_links(wide, sig, own, percent))
+        drop_stash(own)
+    label = merged(label, links)
     classes = stash(reps.select("f0", "f1", F.col("id").alias("rep")).join(label.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("f0", "f1", F.coalesce("comp", "rep").alias("comp")), "classes")
+    for x in (open_, label, reps):
+        drop_stash(x)
     named = signed.select("id", "n_shingles", "f0", "f1")
     some, none = named.filter("n_shingles > 0"), named.filter("n_shingles = 0")
     placed = spread_join(some, classes, ["f0", "f1"], "id", "left").unionByName(none.withColumn("comp", F.col("id")))

@@ -13,12 +13,12 @@ from undula.llm._store import stash
 SHARDS = 16
 
 
-#: Rows of an Arrow batch: whole texts of up to some 100 KB fit a worker.
-ARROW_ROWS = 1000
+#: Bytes of an Arrow batch on its way to a worker; Spark's own bound, which holds for other callers, is 64 MB.
+ARROW_BYTES = 2 << 20
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -40,7 +40,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_read(spark, sf_dir, "documents"), "doc_id", "text", width=4, percent=80)
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"), "doc_id", "text", width=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,6 +78,14 @@ def grams(parts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     return out, off
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values of ``x``, which is sorted in place: much faster here than by hashing."""
+    x.sort()
+    first = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=first[1:])
+    return x[first]
+
+
 def _lots(texts: list[str]) -> Iterator[tuple[list[str], list[int]]]:
     """(parts, the text of each) of the lower-case texts between blanks, about ``PART`` characters a lot.
 
@@ -107,7 +115,7 @@ def present(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndar
         for b in buckets:
             at = np.flatnonzero(b if wanted is None else wanted[b])
             pairs.append(of[np.searchsorted(off, at, "right") - 1] << BITS | b[at])
-        pairs = np.unique(np.concatenate((last, *pairs)))
+        pairs = _distinct(np.concatenate((last, *pairs)))
         cut = np.searchsorted(pairs, of[-1] << BITS)  # the last text may go on in the next lot
         found.append(pairs[:cut])
         last = pairs[cut:]
