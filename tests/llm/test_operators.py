@@ -118,8 +118,8 @@ def test_windows_without_a_common_token_are_joined(tokenizer, monkeypatch):
 def test_blocks_and_dropped_pieces_change_nothing(tokenizer, monkeypatch):
     monkeypatch.setattr(bpe, "SLICE_BYTES", 50)
     monkeypatch.setattr(bpe, "DECODE_IDS", 7)
-    monkeypatch.setattr(bpe, "CACHE_BYTES", 1000)
     c, texts = bpe.codec(*queries._vocabulary()), [say(1, 60), "", "x" * 200 + " \u3000 y", " " * 130, None, "é\xa0 b \u2003 c"] * 2
+    monkeypatch.setattr(c, "most", 1000)
     ids, at = c.encode(*utf8(pa.array(texts)))
     for i, (t, raw) in enumerate(zip(texts, c.decode(ids, at))):
         assert ids[at[i] : at[i + 1]].tolist() == tokenizer.encode_ordinary(t or "") and raw == (t or "").encode()

@@ -33,21 +33,21 @@ from pyspark.sql import functions as F
 
 from undula.llm._arrow import kept, slices, trim, utf8
 
-#: Bytes of segments, pieces and their ids that a worker keeps from one slice to the next; all are dropped beyond that.
-CACHE_BYTES = 24 << 20
+#: A worker keeps segments, pieces and their ids from one slice to the next, up to so many times the bytes of a slice; then all are dropped.
+CACHE_SLICES = 16
 #: Longer pieces are encoded as windows of twice ``STRIDE`` that start ``STRIDE`` bytes apart.
 SHORT_BYTES = 96
 STRIDE = 32
 #: Segments that are cut, and pieces encoded by one recursive query, at a time.
 QUERY_PIECES = 20_000
 #: The recursive query keeps the ids of every round: at most so many squared bytes of pieces in one query.
-QUERY_SQUARES = 2_000_000
+QUERY_SQUARES = 4_000_000
 #: Longer windows take the query that contracts many pairs a round.
 LONG_BYTES = 2_048
 #: Rows that the query for long windows accumulates before it starts again.
 LONG_ROWS = 8_000_000
-#: Texts' bytes handled at a time, and ids decoded by one query.
-SLICE_BYTES = 1 << 20
+#: Texts' bytes handled at a time, and ids decoded by one query. Larger slices meet fewer new words, smaller ones take less memory.
+SLICE_BYTES = 6 << 20
 DECODE_IDS = 1 << 17
 #: White space as Unicode defines it (fixed values).
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -158,6 +158,7 @@ class Codec:
         size[list(self.ranks.values())] = [len(t) for t in self.ranks]
         self.size = size
         self.kept = Kept()  # segments and pieces; a piece alone is cut into itself
+        self.most = CACHE_SLICES * SLICE_BYTES
 
     def _table(self, name: str, **columns: pa.Array) -> None:
         self.con.register("incoming", pa.table(columns))
@@ -259,7 +260,7 @@ class Codec:
 
     def _places(self, segments: pa.LargeBinaryArray) -> np.ndarray:
         """The rows of ``kept`` that hold the distinct segments, which are encoded where they are new."""
-        if self.kept.bytes > CACHE_BYTES:
+        if self.kept.bytes > self.most:
             self.kept = Kept()
         kept = self.kept
         out = kept.find(segments)
@@ -354,13 +355,14 @@ def codec(path: str, pattern: str) -> Codec:
     return kept("bpe", (path, pattern), lambda: Codec(path, pattern))
 
 
-def encode_decode(df: DataFrame, key: str, text: str, path: str, pattern: str) -> DataFrame:
-    """(key, ids binary: little-endian unsigned 32-bit, decoded binary) of every row."""
+def encode_decode(df: DataFrame, key: str, text: str, path: str, pattern: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """(key, ids binary: little-endian unsigned 32-bit, decoded binary) of every row; ``slice_bytes`` of texts at a time."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches):
-        for part in slices(batches, 1, SLICE_BYTES, "bpe"):
+        for part in slices(batches, 1, slice_bytes, "bpe"):
             c = codec(path, pattern)
+            c.most = CACHE_SLICES * slice_bytes
             ids, at = c.encode(*utf8(part.column(1)))
             coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(4 * at), pa.py_buffer(ids.astype("<i4"))])
             yield pa.record_batch([part.column(0), coded.cast(pa.binary()), pa.array(c.decode(ids, at), pa.binary())], ["key", "ids", "decoded"])
@@ -370,9 +372,9 @@ def encode_decode(df: DataFrame, key: str, text: str, path: str, pattern: str) -
     return df.select(key, text).mapInArrow(run, f"key {kind}, ids binary, decoded binary").withColumnRenamed("key", key)
 
 
-def digests(df: DataFrame, key: str, text: str, path: str, pattern: str) -> DataFrame:
+def digests(df: DataFrame, key: str, text: str, path: str, pattern: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) of every row, from ``encode_decode``."""
-    return encode_decode(df, key, text, path, pattern).select(
+    return encode_decode(df, key, text, path, pattern, slice_bytes).select(
         key,
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -15,6 +15,8 @@ from undula.llm._store import stash
 from undula.llm.queries import _read, _vocabulary
 
 LEAST_QUALITY = 0.7
+#: Texts' bytes that the encoder handles at a time: by then the stages before it have grown an executor's own memory.
+SLICE_BYTES = 2 << 20
 #: Documents whose language's probability lies less than this share of the way from chance to 1 are rejected.
 LEAST_LANGUAGE = 0.15
 
@@ -48,4 +50,4 @@ def decontaminate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.digests(docs, "doc_id", "text", *_vocabulary())
+    return bpe.digests(docs, "doc_id", "text", *_vocabulary(), slice_bytes=SLICE_BYTES)
