@@ -273,6 +273,13 @@ def test_toxicity_learns_marked_words(spark, odd):
     assert toxicity.scores(odd.limit(0), m, "doc_id", "text").count() == 0
 
 
+def test_labels_without_a_document_take_no_place_in_the_sample(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([*((i, i % 2) for i in range(40)), *((i, 1) for i in range(1000, 5000))], "doc_id long, toxic int")
+    texts, marks = toxicity.sample(docs, labels, "doc_id", "text", "toxic", rows=30)
+    assert len(texts) == 30 and all(int(t.split()[1]) % 2 == m for t, m in zip(texts, marks))
+
+
 def test_quality_learns_signs_from_text(spark, odd):
     texts = [say(i, 40) if i % 2 else say(i, 40).replace(" ", "$$$ ") for i in range(120)]
     docs, labels = frame(spark, texts), spark.createDataFrame([(i, i % 2) for i in range(120)] + [(5000, 1)], "doc_id long, quality int")
@@ -362,12 +369,14 @@ def test_windows_hold_each_turn_once(block, monkeypatch):
     for _ in range(60):
         turns = [(r.choice(["user", "assistant", "system"]), say(r.random(), r.randint(0, 12))) for _ in range(r.randint(0, 30))]
         got, loss = [], ""
-        for w in chat.windows(turns, 60, 20):
+        system = turns[0][1] if turns and turns[0][0] == "system" else None
+        for n, w in enumerate(chat.windows(turns, 60, 20)):
             own = chat.parse(w.text)
+            assert system is None or own[0][:2] == ("system", system) and (not n or w.repeated)
             got += [(role, t) for role, t, _, _ in own[w.repeated :]]
             loss += "".join(chat.unescape(w.text[a:b]) for a, b in w.loss)
             if len(own) - w.repeated > 1:
-                assert sum(chat.tokens(t) for _, t, _, _ in own) <= 60 + (turns[0][0] == "system") * 0
+                assert sum(chat.tokens(t) for _, t, _, _ in own) <= max(60, 40 + (0 if system is None else chat.tokens(system)))
         assert got == turns and loss == "".join(t for role, t in turns if role == "assistant")
 
 
@@ -383,11 +392,23 @@ def test_chat_digests_of_odd_rows(spark):
 def test_chat_keeps_other_types_of_ids_and_large_system_turns(spark):
     rows = [("a", 0, "system", "word " * 3000), ("a", 1, "user", "hi"), ("a", 2, "assistant", "yo"), (None, 0, "assistant", "x")]
     made = chat.format_windows(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string"), "conv_id", "turn", "role", "text")
-    assert sum(len(r.formatted) for r in made.collect()) < 20_000
+    assert all(r.formatted.count("word ") == 3000 for r in made.collect() if r.conv_id == "a")
     got = {r.conv_id: r for r in chat.read_back(made, "conv_id").collect()}
     assert got["a"].n_turns == 3 and got[None].loss_chars == 1 and got["a"].loss_sha256 == hashlib.sha256(b"yo").hexdigest()
 
 
+@pytest.mark.parametrize("size", [100, 700, 768, 800, 1100, 5000])
+def test_every_window_holds_the_system_turn(spark, size):
+    turns = [(0, "system", "word " * size), *((n, "user" if n % 2 else "assistant", say(n, 40)) for n in range(1, 60))]
+    df = spark.createDataFrame([(1, *t) for t in turns], "conv_id long, turn int, role string, text string")
+    made = chat.format_windows(df, "conv_id", "turn", "role", "text")
+    windows = [chat.parse(r.formatted) for r in made.collect()]
+    assert len(windows) > 2 and all(w[0][:2] == ("system", "word " * size) for w in windows)
+    assert all(sum(chat.tokens(t) for _, t, _, _ in w) <= max(chat.BUDGET, size + chat.TURN_TOKENS + 2 * chat.HISTORY) for w in windows)
+    got = chat.read_back(made, "conv_id").first()
+    assert got.n_turns == 60 and got.loss_sha256 == hashlib.sha256("".join(t for _, r, t in turns if r == "assistant").encode()).hexdigest()
+
+
 def test_chat_query(spark, sf):
     got = queries.op8_chat_format(spark, sf).toPandas().set_index("conv_id")
     rows = spark.read.parquet(f"{sf}/conversations.parquet").toPandas()

@@ -2,8 +2,9 @@
 
 A window holds the system turn, the last turns before it that fit ``history`` tokens, repeated and without loss, and
 as many new turns as prefix sums of their tokens allow within ``budget``; a turn longer than that is a window of its
-own. A system turn that leaves less than ``history`` tokens for new turns is not repeated, so that the output stays in
-proportion to the input. Control strings inside roles and texts are escaped reversibly: a backslash is doubled, and one is put behind the
+own. The system turn is in every window, whatever its size: where it leaves less than ``history`` tokens for new turns,
+windows hold that many all the same and go over the budget by what it needs, so the output grows with the system turn's
+size times the conversation's. Control strings inside roles and texts are escaped reversibly: a backslash is doubled, and one is put behind the
 first character of every control string, so no text can end its turn or open another.
 
 Rows of a conversation are sorted (spilling if need be) and streamed, so a conversation of any length takes bounded
@@ -97,9 +98,7 @@ def windows(turns: Iterable[tuple[str, str]], budget: int = BUDGET, history: int
     held = list(itertools.islice(turns, BLOCK_TURNS))
     system = held[:1] if held and held[0][0] == "system" else []
     begins = len(system)
-    if system and count(system[0][1]) > budget - 2 * history:
-        system = []
-    room = max(1, budget - history - sum(count(t) for _, t in system))
+    room = max(1, budget - history - sum(count(t) for _, t in system), min(history, budget - history))
     past: list[tuple[str, str]] = []
     first = True
     while held:

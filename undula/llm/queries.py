@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm import bpe, chat, decontaminate, flac, language, minhash, oracles, quality, sharding, toxicity, warc
+from undula.llm import bpe, chat, decontaminate, flac, infill, language, minhash, oracles, quality, sharding, tokencount, toxicity, warc, whitening
 from undula.llm._store import stash
 
 SHARDS = 16
@@ -95,6 +95,27 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors, "embedding")
+    error = whitening.identity_error(vectors, model, "embedding")
+    each = whitening.whiten(vectors, model, "vec_id", "embedding").select("vec_id", "deviation", F.posexplode("whitened").alias("place", "whitened"))
+    explained = F.element_at(F.array(*map(F.lit, model.explained or [0.0])), F.col("place") + 1)
+    return each.select("vec_id", (F.col("place") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", explained.alias("explained"), F.lit(error).alias("identity_error"))
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = infill.transform(_read(spark, sf_dir, "documents"), "doc_id", "text")
+    cut = cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output", F.sha2("output", 256).alias("output_sha256"))
+    return infill.restore(cut).select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokencount.counts(_read(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"))
+
+
 def _vocabulary() -> tuple[str, str]:
     import public_tokenizers
 
@@ -112,6 +133,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_decontaminate": op9_decontaminate,
     "op10_language_id": op10_language_id,
+    "op11_whitening": op11_whitening,
+    "op12_infill": op12_infill,
+    "op13_token_counts": op13_token_counts,
 }
 
-ORACLES: dict[str, str] = {"op1_sharding": oracles.SHARDING, "op3_minhash_dedup": oracles.NEAR_DUPLICATES, "op4_warc": oracles.WARC}
+ORACLES: dict[str, str] = {"op1_sharding": oracles.SHARDING, "op3_minhash_dedup": oracles.NEAR_DUPLICATES, "op4_warc": oracles.WARC, "op12_infill": oracles.INFILL}

@@ -225,8 +225,9 @@ def held_out(key: str, parts: int, part: int) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most ``rows`` labelled rows, those whose ids have the least hash."""
+    """Texts and labels of at most ``rows`` labelled rows that have a document, those whose ids have the least hash."""
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).alias("label"))
+    known = known.join(docs.select(F.col(key).alias("key")).distinct(), "key", "left_semi")
     ids = known.orderBy(F.xxhash64("key"), "key").limit(rows)
     got = drawn(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(ids), "key"), rows, most)
     return [t or "" for t, _ in got], np.array([x for _, x in got], float)
