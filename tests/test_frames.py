@@ -149,7 +149,7 @@ def test_homotopy_frames(spark):
     got = {q.sample_id: q.cluster for q in cluster.convex_clustering(p, e).collect()}
     assert len({got[i] for i in range(12)}) == 1 and got[0] != got[12]
     path = cluster.homotopy_path(p, e)
-    assert {q.step for q in cluster.valid_partitions(path).collect()} and path.filter("step = 0").select("cluster").distinct().count() == 24
+    assert {q.step for q in cluster.valid_partitions(path, 24).collect()} and cluster.labels_at(p, path, 0).select("label").distinct().count() == 24
 
 
 def test_path_queries_see_every_axis(spark, sf):

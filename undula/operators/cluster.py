@@ -1,16 +1,27 @@
-"""Convex clustering: FISTA on the dual, the agglomerative homotopy path, and k-means sweeps.
+"""Convex clustering: FISTA on the dual, the agglomerative homotopy path as a log of merges, and k-means sweeps.
 
-A path is sequential: one task follows it over the edges and points of one group (a few thousand points), and
-groups, datasets or trials, run side by side.
+A merge path is sequential within a component of the graph and nothing else: components pull on themselves alone, so
+each is one group, and all run side by side. Directions are taken anew at a component's own merges, so a component's
+path is the one it has by itself, whatever else is in the table; the pull strengths order the merges of all of them.
+The path is a row a merge, not a row a point and step: labels, sizes and scores of any step are derived from that log.
+
+FISTA goes by blocks of nodes: a block holds the edges of its nodes, and every round sends the sums of its border nodes
+to the blocks that share an edge with them.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from undula.functions import normalise
+from undula.operators import graph
+from undula.sources.shared import dropped, written
+
 #: Rows of the distance matrix that a silhouette holds at a time.
 ROWS = 256
 
@@ -28,19 +39,15 @@ def fista(x: np.ndarray, i: np.ndarray, j: np.ndarray, w: np.ndarray, lam: float
         np.subtract.at(out, j, z)
         return out
 
-    v = np.random.default_rng(0).normal(size=(len(i), 1)) * np.ones((1, x.shape[1]))
-    for _ in range(100):
-        v = forward(back(v))
-        v /= np.linalg.norm(v) or 1
-    top = np.linalg.norm(forward(back(v)))
-    step, box = 1 / (n / 2 * top), (lam * w)[:, None]
+    degree = np.bincount(np.concatenate((i, j)))
+    step, box = 1 / (n / 2 * (degree[i] + degree[j]).max()), (lam * w)[:, None]
     z = np.zeros((len(i), x.shape[1]))
     y, t = z, 1.0
     for _ in range(steps):
         new = np.clip(y + step * forward(x - n / 2 * back(y)), -box, box)
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y = new + (t - 1) / t_new * (new - z)
-        still = np.linalg.norm(new - z) <= tol * max(1.0, np.linalg.norm(z))
+        still = np.linalg.norm(new - z) <= tol * (np.linalg.norm(z) + 1e-12)
         z, t = new, t_new
         if still:
             break
@@ -51,16 +58,16 @@ def objective(x: np.ndarray, u: np.ndarray, i: np.ndarray, j: np.ndarray, w: np.
     return float(((x - u) ** 2).sum() / len(x) + lam * (w[:, None] * np.abs(u[i] - u[j])).sum())
 
 
-def homotopy(x: np.ndarray, i: np.ndarray, j: np.ndarray, w: np.ndarray, directed: set[tuple[int, int]] | None = None) -> tuple[list[float], list[np.ndarray]]:
-    """(pull strengths of the merges, labels before the first and after each).
+def merges(x: np.ndarray, i: np.ndarray, j: np.ndarray, w: np.ndarray, directed: set[tuple[int, int]] | None = None, of: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pull strength, kept, absorbed) of each merge: a cluster is named by its least member. ``of`` is the number of all points.
 
     Affinities of clusters are kept as sorted arrays of edges and merged along with the clusters; differences of
     centres move along lines between two merges, so they are stepped, not gathered. ``directed`` (i, j) restricts, between two clusters, to the listed
     neighbours of the smaller one, the first of equals; without it every edge counts.
     """
-    n = len(x)
+    n = len(x) if of is None else of
     weight = {(min(a, b), max(a, b)): float(s) for a, b, s in zip(i, j, w)}
-    members = {k: [k] for k in range(n)}
+    members = {k: [k] for k in range(len(x))}
     table: dict[tuple[int, int], float] = dict(weight)
 
     def listed(k, v):
@@ -68,9 +75,9 @@ def homotopy(x: np.ndarray, i: np.ndarray, j: np.ndarray, w: np.ndarray, directe
         inside = set(large)
         return sum(weight.get((min(a, b), max(a, b)), 0.0) for a in small for b in inside if (a, b) in directed)
 
-    center, size = np.array(x, float), np.ones(n)
-    active, axes = np.ones(n, bool), np.arange(x.shape[1])
-    lam, lams, path = 0.0, [], [labels_of(members, n)]
+    center, size = np.array(x, float), np.ones(len(x))
+    active, axes = np.ones(len(x), bool), np.arange(x.shape[1])
+    lam, log = 0.0, []
     k, v = np.array(sorted(table)).reshape(-1, 2).T
     aff = np.array([table[p] for p in zip(k.tolist(), v.tolist())])
     d0 = center[k] - center[v]
@@ -117,16 +124,21 @@ def homotopy(x: np.ndarray, i: np.ndarray, j: np.ndarray, w: np.ndarray, directe
         d0 = np.concatenate((d0[rest], center[lo] - center[hi]))
         order = np.lexsort((v, k))
         k, v, aff, d0 = k[order], v[order], aff[order], d0[order]
-        lams.append(lam)
-        path.append(labels_of(members, n))
-    return lams, path
+        log.append((lam, a, b))
+    lams, kept, absorbed = zip(*log) if log else ((), (), ())
+    return np.array(lams, float), np.array(kept, int), np.array(absorbed, int)
+
+
+def homotopy(x: np.ndarray, i: np.ndarray, j: np.ndarray, w: np.ndarray, directed: set[tuple[int, int]] | None = None) -> tuple[list[float], list[np.ndarray]]:
+    """(pull strengths of the merges, labels before the first and after each), all on one clock."""
+    lams, kept, absorbed = merges(x, i, j, w, directed)
+    at, path = np.arange(len(x)), [np.arange(len(x))]
+    for a, b in zip(kept, absorbed):
+        at = np.where(at == b, a, at)
+        path.append(np.unique(at, return_inverse=True)[1])
+    return lams.tolist(), path
 
 
-def labels_of(members: dict[int, list[int]], n: int) -> np.ndarray:
-    out = np.empty(n, int)
-    for new, (_, own) in enumerate(sorted(members.items())):
-        out[own] = new
-    return out
 
 
 def silhouettes(x: np.ndarray, partitions: list[np.ndarray]) -> np.ndarray:
@@ -191,63 +203,356 @@ def convex_clusters(x: np.ndarray, i: np.ndarray, j: np.ndarray, w: np.ndarray,
     return select(x, *homotopy(x, i, j, w, directed), criterion)[0]
 
 
-def _per_group(points: DataFrame, edges: DataFrame, run, schema: str) -> DataFrame:
-    """``run(ids, x, i, j, w)`` over (sample_id, z) and (i, j, w), one task a column ``group``, which both may have."""
-    group = "group" in points.columns
-    p = points if group else points.withColumn("group", F.lit(0))
-    e = edges if group else edges.withColumn("group", F.lit(0))
-
-    def both(left, right):
-        rows = sorted(zip(left["sample_id"].to_pylist(), left["z"].to_pylist()))
-        place = {s: k for k, (s, _) in enumerate(rows)}
-        i, j = (np.array([place[v] for v in right[c].to_pylist()], int) for c in ("i", "j"))
-        out = run([s for s, _ in rows], np.array([z for _, z in rows], float), i, j, right["w"].to_numpy())
-        return pa.table({"group": pa.array([left["group"][0].as_py()] * len(next(iter(out.values()))), left.schema.field("group").type), **out})
-
-    kind = dict(p.dtypes)["group"]
-    out = p.select("group", "sample_id", "z").groupBy("group").cogroup(e.select("group", "i", "j", "w").groupBy("group")).applyInArrow(both, f"group {kind}, {schema}")
-    return out if group else out.drop("group")
-
+#: Clusters of the first partition that may be chosen: merges beyond it are sent to every task.
+MOST_CLUSTERS = 1 << 20
+#: Bytes of centres that are sent to every task.
+MOST_BYTES = 256 << 20
 
-def homotopy_path(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """(step, lambda, sample_id, cluster) of the whole path."""
 
-    def run(ids, x, i, j, w):
-        lams, path = homotopy(x, i, j, w)
-        lams = [0.0, *lams]
-        return {
-            "step": pa.array(np.repeat(np.arange(len(path)), len(ids)), pa.int32()),
-            "lambda": pa.array(np.repeat(lams, len(ids))),
-            "sample_id": pa.array(ids * len(path), pa.int64()),
-            "cluster": pa.array(np.concatenate(path), pa.int32()),
-        }
+def homotopy_path(points: DataFrame, edges: DataFrame, held: list | None = None) -> DataFrame:
+    """(step, lambda, component, kept, absorbed, kept_size, absorbed_size, kept_since, absorbed_since): a row a merge.
 
-    return _per_group(points, edges, run, "step int, lambda double, sample_id long, cluster int")
+    ``points`` are (sample_id, z), ``edges`` (i, j, w), i < j, each once. Clusters are named by their least member;
+    ``since`` is the step that made the merged cluster, 0 for a single point. Points without an edge never merge.
+    Written; ``held`` gets the tables to drop when the path is no longer read.
+    """
+    own: list = []
+    n = points.count()
+    edges = written(edges.select("i", "j", "w"), "edges")
+    parts = written(graph.components(edges, own), "components")
+    own.append(parts)
+    of = lambda c: parts.select(F.col("sample_id").alias(c), F.col("component").alias("component"))
+    e, p = edges.join(of("i"), "i"), points.select("sample_id", "z").join(of("sample_id"), "sample_id")
+
+    def run(left, right):
+        rows = sorted(zip(left["sample_id"].to_pylist(), left["z"].to_pylist()))
+        ids = np.array([s for s, _ in rows])
+        i, j = (np.searchsorted(ids, right[c].to_numpy()) for c in ("i", "j"))
+        lams, kept, absorbed = merges(np.array([z for _, z in rows], float), i, j, right["w"].to_numpy(), of=n)
+        size, since = np.ones(len(ids), int), np.zeros(len(ids), int)
+        facts = np.zeros((len(lams), 4), int)
+        for k, (a, b) in enumerate(zip(kept, absorbed)):
+            facts[k] = size[a], size[b], since[a], since[b]
+            size[a] += size[b]
+            since[a] = k + 1
+        whole = lambda v: pa.array(v, pa.int64())
+        return pa.table(
+            {"component": whole(np.full(len(lams), left["component"][0].as_py() if len(lams) else 0)), "nth": whole(np.arange(1, len(lams) + 1)), "lambda": pa.array(lams), "kept": whole(ids[kept]), "absorbed": whole(ids[absorbed]),
+             "kept_size": whole(facts[:, 0]), "absorbed_size": whole(facts[:, 1]), "kept_nth": whole(facts[:, 2]), "absorbed_nth": whole(facts[:, 3])}
+        )
+
+    schema = "component long, nth long, lambda double, kept long, absorbed long, kept_size long, absorbed_size long, kept_nth long, absorbed_nth long"
+    log = p.groupBy("component").cogroup(e.groupBy("component")).applyInArrow(run, schema)
+    log = graph.numbered(log, ["lambda", "component", "nth"], "step")
+    step = log.select("component", "nth", "step")
+    for c in ("kept", "absorbed"):
+        log = log.join(step.select("component", F.col("nth").alias(f"{c}_nth"), F.col("step").alias(f"{c}_since")), ["component", f"{c}_nth"], "left")
+    path = written(log.select("step", "lambda", "component", "kept", "absorbed", "kept_size", "absorbed_size", *(F.coalesce(f"{c}_since", F.lit(0)).alias(f"{c}_since") for c in ("kept", "absorbed"))), "path")
+    dropped(edges, step, *own)
+    if held is not None:
+        held.append(path)
+    return path
+
+
+def labels_at(points: DataFrame, path: DataFrame, step: int) -> DataFrame:
+    """(sample_id, label): each point's cluster after ``step`` merges, named by its least member; components go side by side."""
+
+    def run(table):
+        rows = sorted(zip(*(table[c].to_pylist() for c in ("step", "kept", "absorbed"))), reverse=True)
+        root: dict = {}
+        for _, a, b in rows:  # later merges first: the root of the one that keeps is known
+            root[b] = root.get(a, a)
+        return pa.table({"sample_id": pa.array(list(root), pa.int64()), "label": pa.array(list(root.values()), pa.int64())})
+
+    moved = path.filter(F.col("step") <= step).select("component", "step", "kept", "absorbed").groupBy("component").applyInArrow(run, "sample_id long, label long")
+    return points.select("sample_id").join(moved, "sample_id", "left").select("sample_id", F.coalesce("label", "sample_id").alias("label"))
+
+
+def first_valid(path: DataFrame, n: int) -> tuple[int, int] | None:
+    """(first, last) step of the partitions of 2 to n - 1 clusters of two or more, which are all in between; None if there are none."""
+    single = F.when(F.col("kept_size") == 1, 1).otherwise(0) + F.when(F.col("absorbed_size") == 1, 1).otherwise(0)
+    r = path.agg(F.sum(single).alias("singles"), F.max(F.when(single > 0, F.col("step"))).alias("first"), F.max("step").alias("last")).first()
+    last = min(r["last"] or 0, n - 2)
+    return (r["first"], last) if r["singles"] == n and r["first"] <= last else None
+
+
+def valid_partitions(path: DataFrame, n: int) -> DataFrame:
+    """(step, clusters, least) of the partitions that may be chosen: 2 to n - 1 clusters of two members or more.
+
+    A cluster lives from the step that made it to the one that merges it. Its life is cut into the blocks of a binary
+    tree over the steps, two a level at most; blocks keep their least size, and a step looks at the blocks above it:
+    n log n rows where clusters by steps would be n^2.
+    """
+    spark = path.sparkSession
+    span = first_valid(path, n)
+    if span is None:
+        return spark.createDataFrame([], "step long, clusters long, least long")
+    first, last = span
+    end = last + 1
+    ended = path.select(F.explode(F.array(*(F.struct(F.col(f"{c}_since").alias("born"), F.col("step").alias("dead"), F.col(f"{c}_size").alias("size")) for c in ("kept", "absorbed")))).alias("l")).select("l.*")
+    since = path.select(F.explode(F.array("kept_since", "absorbed_since")).alias("step")).filter("step > 0")
+    alive = path.join(since, "step", "left_anti").select(F.col("step").alias("born"), F.lit(end).cast("long").alias("dead"), (F.col("kept_size") + F.col("absorbed_size")).alias("size"))
+    life = ended.unionByName(alive).select(F.greatest("born", F.lit(first)).alias("b"), F.least("dead", F.lit(end)).alias("d"), "size").filter("b < d")
+    levels = F.sequence(F.lit(0), F.lit(max(1, end.bit_length())))
+    ends = F.transform(levels, lambda l: F.struct(l.alias("level"), F.ceil(F.col("b") / F.pow(F.lit(2.0), l)).cast("long").alias("lo"), F.floor(F.col("d") / F.pow(F.lit(2.0), l)).cast("long").alias("hi")))
+    blocks = F.flatten(F.transform(F.filter(ends, lambda e: e["lo"] < e["hi"]), lambda e: F.concat(
+        F.when(e["lo"] % 2 == 1, F.array(F.struct(e["level"].alias("level"), e["lo"].alias("block")))).otherwise(F.array().cast("array<struct<level:int,block:bigint>>")),
+        F.when(e["hi"] % 2 == 1, F.array(F.struct(e["level"].alias("level"), (e["hi"] - 1).alias("block")))).otherwise(F.array().cast("array<struct<level:int,block:bigint>>")),
+    )))
+    least = life.select(F.explode(blocks).alias("k"), "size").groupBy("k.level", "k.block").agg(F.min("size").alias("least"))
+    steps = spark.range(first, end).select(F.col("id").alias("step"), F.explode(F.transform(levels, lambda l: F.struct(l.alias("level"), F.floor(F.col("id") / F.pow(F.lit(2.0), l)).cast("long").alias("block")))).alias("k"))
+    found = steps.select("step", "k.level", "k.block").join(least, ["level", "block"]).groupBy("step").agg(F.min("least").alias("least"))
+    return found.select("step", (F.lit(n) - F.col("step")).alias("clusters"), "least")
+
+
+def _later(path: DataFrame, first: int, last: int) -> list:
+    """(kept, absorbed) of the merges that follow the first partition that may be chosen."""
+    if last - first > MOST_CLUSTERS:
+        raise ValueError("too many partitions of clusters of two or more to score them")
+    rows = path.filter(F.col("step").between(first + 1, last)).orderBy("step").select("kept", "absorbed").collect()  # MOST_CLUSTERS at most
+    return [(r["kept"], r["absorbed"]) for r in rows]
+
+
+def silhouette_steps(points: DataFrame, path: DataFrame, first: int, last: int) -> DataFrame:
+    """(step, score): mean silhouettes of the partitions from ``first`` to ``last``.
+
+    Distances are summed once, by point and cluster of the first one, within pairs of blocks; later sums are sums of
+    those, merged in the order of the log, some hundred points at a time.
+    """
+    later = _later(path, first, last)
+    base = written(points.select("sample_id", "z").join(labels_at(points, path, first), "sample_id"), "base")
+    size = {r["label"]: r["n"] for r in base.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a cluster
+    names = np.array(sorted(size))
+    counts = np.array([size[c] for c in names], float)
+    pairs = np.searchsorted(names, np.array(later, int).reshape(-1, 2))
+    each = graph.label_sums(base).groupBy("i", "label").agg(F.sum("sum").alias("sum"), F.max("own").alias("own"))
+    rows = each.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("label", "sum"))).alias("s"), F.max(F.when(F.col("own"), F.col("label"))).alias("own"))
+
+    def run(batches):
+        total, seen = np.zeros(len(pairs) + 1), 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                s = part.column(0).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1).copy()
+                own, n = np.searchsorted(names, part.column(1).to_numpy()), counts.copy()
+                here = np.arange(part.num_rows)
+                means = s / n
+                for k in range(len(pairs) + 1):
+                    if k:
+                        a, b = pairs[k - 1]
+                        s[:, a] += s[:, b]
+                        n[a] += n[b]
+                        own[own == b] = a
+                        means[:, a], means[:, b] = s[:, a] / n[a], np.inf
+                    inner = s[here, own] / (n[own] - 1)
+                    mine = means[here, own]
+                    means[here, own] = np.inf
+                    outer = means.min(1)
+                    means[here, own] = mine
+                    total[k] += ((outer - inner) / np.maximum(np.maximum(inner, outer), 1e-300)).sum()
+                seen += part.num_rows
+        if seen:
+            yield pa.record_batch([pa.array(np.arange(len(total)) + first, pa.int64()), pa.array(total), pa.array(np.full(len(total), seen), pa.int64())], ["step", "s", "n"])
+
+    sums = rows.select(F.transform("s", lambda x: x["sum"]).alias("s"), "own").mapInArrow(run, "step long, s double, n long")
+    return sums.groupBy("step").agg((F.sum("s") / F.sum("n")).alias("score"))
+
+
+def davies_bouldin_steps(points: DataFrame, path: DataFrame, first: int, last: int) -> DataFrame:
+    """(step, score): minus the Davies-Bouldin index of the partitions from ``first`` to ``last``.
+
+    A cluster that a merge makes keeps its centre and spread while it lives: both are summed once a cluster, a point
+    going to every cluster that will hold it; then each step is a row of its own.
+    """
+    spark = points.sparkSession
+    later = _later(path, first, last)
+    base = written(points.select("sample_id", "z").join(labels_at(points, path, first), "sample_id"), "base")
+    if (base.select("label").distinct().count() + len(later)) * len(points.select("z").first()["z"]) * 8 > MOST_BYTES:
+        raise ValueError("too many clusters of too many axes to score them by Davies-Bouldin")
+    sums = base.select("label", F.posexplode("z").alias("k", "v")).groupBy("label", "k").agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("n"))
+    rows = sums.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("v"), F.first("n").alias("n")).orderBy("label").collect()  # MOST_BYTES at most
+    place = {r["label"]: k for k, r in enumerate(rows)}
+    total, size = [np.array(r["v"]) for r in rows], [r["n"] for r in rows]
+    now, up, lives = dict(place), {}, {k: [0, len(later) + 1] for k in place.values()}
+    for step, (a, b) in enumerate(later, 1):
+        x, y, new = now[a], now.pop(b), len(total)
+        total.append(total[x] + total[y])
+        size.append(size[x] + size[y])
+        for old in (x, y):
+            up[old] = new
+            lives[old][1] = step
+        lives[new] = [step, len(later) + 1]
+        now[a] = new
+    centre = np.array(total) / np.array(size)[:, None]
+    born, dead = np.array([lives[k] for k in range(len(total))]).T
+
+    def spread(batches):
+        far, n = np.zeros(len(centre)), np.zeros(len(centre), np.int64)
+        for batch in batches:
+            z = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            at = np.array([place[v] for v in batch.column(1).to_pylist()], int)
+            rest = np.arange(len(at))
+            while len(rest):
+                np.add.at(far, at[rest], np.linalg.norm(z[rest] - centre[at[rest]], axis=1))
+                np.add.at(n, at[rest], 1)
+                rest = rest[[int(a) in up for a in at[rest]]]
+                at[rest] = [up[int(a)] for a in at[rest]]
+        live = np.flatnonzero(n)
+        yield pa.record_batch([pa.array(live), pa.array(far[live]), pa.array(n[live])], ["c", "far", "n"])
+
+    got = base.select("z", "label").mapInArrow(spread, "c long, far double, n long").groupBy("c").agg((F.sum("far") / F.sum("n")).alias("s")).orderBy("c").collect()  # a row a cluster
+    s = np.array([r["s"] for r in got])
+
+    def score(batches):
+        for batch in batches:
+            out = []
+            for step in batch.column(0).to_pylist():
+                k = np.flatnonzero((born <= step - first) & (dead > step - first))
+                worst = np.zeros(len(k))
+                for at in range(0, len(k), ROWS):
+                    m = np.linalg.norm(centre[k[at : at + ROWS], None] - centre[None, k], axis=2)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        worst[at : at + ROWS] = np.where(m > 0, (s[k[at : at + ROWS], None] + s[k]) / m, 0).max(1)
+                out.append(-worst.mean())
+            yield pa.record_batch([batch.column(0), pa.array(out, pa.float64())], ["step", "score"])
+
+    parts = max(1, min(last - first + 1, spark.sparkContext.defaultParallelism))
+    return spark.range(first, last + 1, numPartitions=parts).withColumnRenamed("id", "step").mapInArrow(score, "step long, score double")
 
 
 def convex_clustering(points: DataFrame, edges: DataFrame, criterion: str = "silhouette") -> DataFrame:
-    """(sample_id, cluster, lambda, valid) of the best partition of the path."""
-
-    def run(ids, x, i, j, w):
-        labels, lam, ok = select(x, *homotopy(x, i, j, w), criterion)
-        return {"sample_id": pa.array(ids, pa.int64()), "cluster": pa.array(labels, pa.int32()), "lambda": pa.array([lam] * len(ids)), "valid": pa.array([ok] * len(ids))}
-
-    return _per_group(points, edges, run, "sample_id long, cluster int, lambda double, valid boolean")
+    """(sample_id, cluster, lambda, valid) of the best partition of the path, the first of equals; the last one if none may be chosen."""
+    held: list = []
+    path = homotopy_path(points, edges, held)
+    n = points.count()
+    span = first_valid(path, n)
+    if span:
+        scores = (davies_bouldin_steps if criterion == "davies_bouldin" else silhouette_steps)(points, path, *span)
+        step = scores.orderBy(F.desc("score"), "step").first()["step"]
+    else:
+        step = path.agg(F.max("step")).first()[0] or 0
+    lam = path.filter(F.col("step") == step).select("lambda").first()
+    labels = written(normalise.encode_sorted(labels_at(points, path, step), "label", "cluster"), "clusters")
+    dropped(*held)
+    return labels.select("sample_id", "cluster", F.lit(lam[0] if lam else 0.0).alias("lambda"), F.lit(bool(span)).alias("valid"))
+
+
+class _Block:
+    """The edges of a block's nodes, with dual values and momentum; an edge between two blocks is in both."""
+
+    def __init__(self, own: int, i, j, bi, bj, cap, dx):
+        self.own, self.cap, self.dx = own, cap, dx
+        self.nodes, place = np.unique(np.concatenate((i, j)), return_inverse=True)
+        self.i, self.j = place[: len(i)], place[len(i) :]
+        block = np.empty(len(self.nodes), int)
+        block[self.i], block[self.j] = bi, bj
+        self.inner = block == own
+        self.mine = bi == own  # edges counted here
+        self.send = {int(c): np.unique(np.concatenate((self.i[(bi == own) & (bj == c)], self.j[(bj == own) & (bi == c)]))) for c in set(bi) | set(bj) if c != own}
+        self.take = {int(c): np.flatnonzero(block == c) for c in self.send}
+        self.z, self.y, self.t, self.trace = np.zeros_like(dx), np.zeros_like(dx), 1.0, []
+        self.g = self.sums(self.y)
+
+    def sums(self, v: np.ndarray) -> np.ndarray:
+        """Dual values summed onto nodes; whole for the block's own ones."""
+        at = lambda ends: (ends[:, None] * v.shape[1] + np.arange(v.shape[1])).ravel()
+        size = len(self.nodes) * v.shape[1]
+        return (np.bincount(at(self.i), v.ravel(), size) - np.bincount(at(self.j), v.ravel(), size)).reshape(len(self.nodes), -1)
+
+    def advance(self, half: float, step: float) -> None:
+        new = np.clip(self.y + step * (self.dx - half * (self.g[self.i] - self.g[self.j])), -self.cap, self.cap)
+        t = (1 + np.sqrt(1 + 4 * self.t**2)) / 2
+        moved = new - self.z
+        self.trace.append((float((moved[self.mine] ** 2).sum()), float((self.z[self.mine] ** 2).sum())))
+        self.y = new + (self.t - 1) / t * moved
+        self.z, self.t = new, t
+        self.g = self.sums(self.y)
+
+    def rows(self) -> pa.Table:
+        out = [(self.own, -1, pickle.dumps(self)), *((c, self.own, self.g[at].tobytes()) for c, at in self.send.items())]
+        block, source, data = zip(*out)
+        return pa.table({"block": pa.array(block, pa.int32()), "source": pa.array(source, pa.int32()), "data": pa.array(data, pa.binary())})
+
+
+#: Edges of a block of nodes, about; and FISTA's rounds between two looks at the stopping rule.
+BLOCK_EDGES, ROUNDS = 20_000, 16
+_STATE = "block int, source int, data binary"
 
 
 def fista_solve(points: DataFrame, edges: DataFrame, lam: float, steps: int = 500, tol: float = 1e-7) -> DataFrame:
-    """(sample_id, u array<double>)."""
-
-    def run(ids, x, i, j, w):
-        return {"sample_id": pa.array(ids, pa.int64()), "u": pa.array(fista(x, i, j, w, lam, steps=steps, tol=tol).tolist(), pa.list_(pa.float64()))}
+    """(sample_id, u array<double>): the least (1/n) |X - U|^2 + lam sum w |u_i - u_j|_1, as ``fista`` gives it.
 
-    return _per_group(points, edges, run, "sample_id long, u array<double>")
+    Nodes are dealt to blocks by hash. A round is one exchange: each block takes the sums of its neighbours' border
+    nodes, moves the dual values of its edges and sends its own border on. ``ROUNDS`` rounds are one job, whose state is
+    written; the moves of all blocks are then added up round by round, and if the rule was met between two looks, the
+    job is done again up to that round. The step comes from the largest sum of two neighbours' degrees, a bound of the
+    graph's norm. A block holds all edges of its nodes, so one node's edges must fit a task.
+    """
+    spark = points.sparkSession
+    points = points.select("sample_id", "z")
+    edges = written(edges.select("i", "j", "w"), "edges")
+    n, count = points.count(), edges.count()
+    if not count or lam == 0:
+        dropped(edges)
+        return points.select("sample_id", F.transform("z", lambda v: v.cast("double")).alias("u"))
+    degree = edges.select(F.explode(F.array("i", "j")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("d"))
+    top = edges.join(degree.withColumnRenamed("v", "i").withColumnRenamed("d", "di"), "i").join(degree.withColumnRenamed("v", "j").withColumnRenamed("d", "dj"), "j").agg(F.max(F.col("di") + F.col("dj"))).first()[0]
+    half, step = n / 2, 1 / (n / 2 * top)
+    blocks = max(1, min(-(-count // BLOCK_EDGES), 4096)) if count > BLOCK_EDGES else min(count, spark.sparkContext.defaultParallelism)
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    ends = graph.difference(edges, points).select("i", "j", (F.lit(float(lam)) * F.col("w")).alias("cap"), "d", at("i").alias("bi"), at("j").alias("bj"))
+    dealt = ends.withColumn("block", F.explode(F.array_distinct(F.array("bi", "bj")))).repartition(blocks, "block")
+
+    def begin(table):
+        t = table.sort_by([("i", "ascending"), ("j", "ascending")])
+        i, j, bi, bj, cap = (t[c].to_numpy() for c in ("i", "j", "bi", "bj", "cap"))
+        d = np.array(t["d"].to_pylist(), float)
+        return _Block(t["block"][0].as_py(), i, j, bi, bj, cap[:, None], d).rows()
+
+    def go(table):
+        held = {s: v for s, v in zip(table["source"].to_pylist(), table["data"].to_pylist())}
+        b: _Block = pickle.loads(held[-1])
+        for c, where in b.take.items():
+            b.g[where] = np.frombuffer(held[c]).reshape(len(where), -1)
+        b.advance(half, step)
+        return b.rows()
+
+    def rounds(state: DataFrame, k: int) -> DataFrame:
+        for _ in range(k):
+            state = state.repartition(blocks, "block").groupBy("block").applyInArrow(go, _STATE)
+        return written(state, "fista")
+
+    def traces(batches):
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                trace = pickle.loads(data).trace
+                yield pa.record_batch([pa.array(range(len(trace)), pa.int32()), pa.array([m for m, _ in trace], pa.float64()), pa.array([z for _, z in trace], pa.float64())], ["k", "m", "z"])
+
+    state, done = written(dealt.groupBy("block").applyInArrow(begin, _STATE), "fista"), 0
+    while done < steps:
+        more = min(ROUNDS, steps - done)
+        new = rounds(state, more)
+        norms = new.filter("source = -1").select("data").mapInArrow(traces, "k int, m double, z double").filter(F.col("k") >= done).groupBy("k").agg(F.sum("m").alias("m"), F.sum("z").alias("z")).collect()  # ROUNDS rows
+        met = sorted(r["k"] for r in norms if np.sqrt(r["m"]) <= tol * (np.sqrt(r["z"]) + 1e-12))
+        if met and met[0] + 1 < done + more:
+            dropped(new)
+            new = rounds(state, met[0] + 1 - done)
+        dropped(state)
+        state, done = new, done + more
+        if met:
+            break
 
+    def finish(batches):
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                k: _Block = pickle.loads(data)
+                g = k.sums(k.z)[k.inner]
+                yield pa.record_batch([pa.array(k.nodes[k.inner]), pa.array(list(g), pa.list_(pa.float64()))], ["sample_id", "g"])
 
-def valid_partitions(path: DataFrame) -> DataFrame:
-    """(step, clusters, least) of the partitions that may be chosen."""
-    sizes = path.groupBy("step", "cluster").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.groupBy("step").agg(F.count(F.lit(1)).alias("clusters"), F.min("n").alias("least"), F.sum("n").alias("n")).filter("clusters >= 2 and clusters < n and least >= 2").drop("n")
+    sums = state.filter("source = -1").select("data").mapInArrow(finish, "sample_id long, g array<double>")
+    out = written(points.join(sums, "sample_id", "left").select("sample_id", F.when(F.col("g").isNull(), F.transform("z", lambda v: v.cast("double"))).otherwise(F.zip_with("z", "g", lambda x, g: x - half * g)).alias("u")), "u")
+    dropped(state, edges)
+    return out
 
 
 def kmeans(points: DataFrame, k: int, starts: int = 10, seed: int = 0) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from undula.operators.graph import euclidean, euclidean_pairs, symmetric
+from undula.operators.graph import euclidean, label_sums, symmetric
 
 
 def centroids(points: DataFrame, label: str = "label") -> DataFrame:
@@ -54,14 +54,21 @@ def cluster_sizes(points: DataFrame) -> DataFrame:
 
 
 def silhouette_samples(points: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """(sample_id, label, s): (b - a) / max(a, b), 0 for members alone in their cluster."""
-    d = symmetric(euclidean_pairs(points) if pairs is None else pairs)
-    of = points.select(F.col("sample_id").alias("i"), F.col("label").alias("li"))
-    to = points.select(F.col("sample_id").alias("j"), F.col("label").alias("lj"))
-    means = d.join(to, "j").groupBy("i", "lj").agg(F.avg("dist").alias("d"))
-    ab = means.join(of, "i").groupBy("i", "li").agg(F.max(F.when(F.col("li") == F.col("lj"), F.col("d"))).alias("a"), F.min(F.when(F.col("li") != F.col("lj"), F.col("d"))).alias("b"))
+    """(sample_id, label, s): (b - a) / max(a, b), 0 for members alone in their cluster.
+
+    Distances of vectors are summed by cluster within pairs of blocks, so a row for each point, cluster and block moves;
+    ``pairs`` (i, j, dist) may give other distances, of which each then goes to both its ends.
+    """
+    if pairs is None:
+        sums = label_sums(points)
+    else:
+        of, to = (points.select(F.col("sample_id").alias(c), F.col("label").alias(n)) for c, n in (("i", "li"), ("j", "lj")))
+        sums = symmetric(pairs).join(to, "j").join(of, "i").select("i", F.col("lj").alias("label"), (F.col("li") == F.col("lj")).alias("own"), F.col("dist").alias("sum"), F.lit(1).cast("long").alias("n"))
+        sums = sums.unionByName(of.select("i", F.col("li").alias("label"), F.lit(True).alias("own"), F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("n")))
+    each = sums.groupBy("i", "label", "own").agg(F.try_divide(F.sum("sum"), F.sum("n")).alias("d"))
+    ab = each.groupBy("i").agg(F.max(F.when(F.col("own"), F.col("label"))).alias("label"), F.max(F.when(F.col("own"), F.col("d"))).alias("a"), F.min(F.when(~F.col("own"), F.col("d"))).alias("b"))
     s = F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
-    return ab.select(F.col("i").alias("sample_id"), F.col("li").alias("label"), F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(s).alias("s"))
+    return ab.select(F.col("i").alias("sample_id"), "label", F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(s).alias("s"))
 
 
 def silhouette(points: DataFrame, pairs: DataFrame | None = None) -> DataFrame:

@@ -12,6 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from undula.sources.shared import dropped, written
 
 #: Points in a block of the pairwise join.
 BLOCK_POINTS = 256
@@ -21,45 +24,97 @@ def euclidean(a: str, b: str) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
 
 
-def block_pairs(df: DataFrame, key: str, columns: list[str], kernel: Callable[[list, list, bool], np.ndarray], n: int | None = None, block: int = BLOCK_POINTS, nearest: int | None = None) -> DataFrame:
-    """(i, j, dist) with i < j by a kernel over two blocks: ``kernel(left rows, right rows, same)`` gives a matrix.
+def over_blocks(df: DataFrame, key: str, columns: list[str], run: Callable[[list, list, bool], pa.Table], schema: str, n: int | None = None, block: int = BLOCK_POINTS) -> DataFrame:
+    """Rows of ``schema`` from ``run(left rows, right rows, same)`` over every pair of blocks, rows being dicts sorted by key.
 
-    A point is sent to the ``blocks`` pairs of blocks that hold its block; each pair is one group. With ``nearest``
-    a group gives, for each of its points, the rows (point, other, dist) of so many nearest others in the other block.
+    A point is sent to the ``blocks`` pairs of blocks that hold its block; each pair is one group.
     """
     n = df.count() if n is None else n
     blocks = max(1, -(-n // block))
-    kind = dict(df.dtypes)[key]
     b = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
     dealt = df.withColumn("__b", b).select(
         F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least(o, "__b").alias("x"), F.greatest(o, "__b").alias("y")))).alias("__g"), "__b", key, *columns
     )
 
-    def run(key_, table):
+    def each(key_, table):
         x, y = (k.as_py() for k in key_)
         rows = table.to_pylist()
         left = sorted((r for r in rows if r["__b"] == x), key=lambda r: r[key])
-        right = left if x == y else sorted((r for r in rows if r["__b"] == y), key=lambda r: r[key])
+        return run(left, left if x == y else sorted((r for r in rows if r["__b"] == y), key=lambda r: r[key]), x == y)
+
+    # few bytes can mean much work: a count of its own keeps the groups from being put into one task
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(blocks * (blocks + 1) // 2, 8 * spark.sparkContext.defaultParallelism))
+    dealt = dealt.select(F.col("__g.x").alias("__x"), F.col("__g.y").alias("__y"), "__b", key, *columns).repartition(parts, "__x", "__y")
+    return dealt.groupBy("__x", "__y").applyInArrow(each, schema)
+
+
+def block_pairs(df: DataFrame, key: str, columns: list[str], kernel: Callable[[list, list, bool], np.ndarray], n: int | None = None, block: int = BLOCK_POINTS, nearest: int | None = None) -> DataFrame:
+    """(i, j, dist) with i < j by a kernel over two blocks: ``kernel(left rows, right rows, same)`` gives a matrix.
+
+    With ``nearest`` a group gives, for each of its points, the rows (point, other, dist) of so many nearest others in
+    the other block.
+    """
+    kind = df.schema[key].dataType
+
+    def run(left, right, same):
+        own = to_arrow_type(kind)
         if not left or not right:
-            return pa.table({"i": pa.array([], table.schema.field(key).type), "j": pa.array([], table.schema.field(key).type), "dist": pa.array([], pa.float64())})
-        d = kernel([[r[c] for c in columns] for r in left], [[r[c] for c in columns] for r in right], x == y)
-        a, b_ = np.indices(d.shape)
-        keep = a < b_ if x == y else np.ones(d.shape, bool)
+            return pa.table({"i": pa.array([], own), "j": pa.array([], own), "dist": pa.array([], pa.float64())})
+        d = kernel([[r[c] for c in columns] for r in left], [[r[c] for c in columns] for r in right], same)
+        a, b = np.indices(d.shape)
+        keep = a < b if same else np.ones(d.shape, bool)
         ids_l, ids_r = np.array([r[key] for r in left]), np.array([r[key] for r in right])
         if nearest is not None:
-            if x == y:
+            if same:
                 d = np.where(keep, d, d.T)
                 np.fill_diagonal(d, np.inf)
-            i, j, dist = (np.concatenate(c) for c in zip(_nearest(d, ids_l, ids_r, nearest), *([_nearest(d.T, ids_r, ids_l, nearest)] if x != y else [])))
+            i, j, dist = (np.concatenate(c) for c in zip(_nearest(d, ids_l, ids_r, nearest), *([_nearest(d.T, ids_r, ids_l, nearest)] if not same else [])))
             return pa.table({"i": i, "j": j, "dist": dist})
-        i, j = ids_l[a[keep]], ids_r[b_[keep]]
+        i, j = ids_l[a[keep]], ids_r[b[keep]]
         return pa.table({"i": np.minimum(i, j), "j": np.maximum(i, j), "dist": d[keep]})
 
-    # few bytes can mean much work: a count of its own keeps the groups from being put into one task
-    spark = df.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(blocks * (blocks + 1) // 2, 8 * spark.sparkContext.defaultParallelism))
-    dealt = dealt.select(F.col("__g.x").alias("__x"), F.col("__g.y").alias("__y"), "__b", key, *columns).repartition(parts, "__x", "__y")
-    return dealt.groupBy("__x", "__y").applyInArrow(run, f"i {kind}, j {kind}, dist double")
+    return over_blocks(df, key, columns, run, f"i {kind.simpleString()}, j {kind.simpleString()}, dist double", n, block)
+
+
+def label_sums(points: DataFrame, label: str = "label", key: str = "sample_id", vector: str = "z") -> DataFrame:
+    """(i, label, own, sum, n): each point's distances to the members of each cluster, itself left out, summed by block.
+
+    Blocks send on a row for each point and cluster they hold, not for each pair; the rows of a point and cluster are
+    still to be added up. ``own`` marks the point's own cluster, for which there is always a row; members without a
+    label belong to none, and have no rows but that.
+    """
+    kinds = [points.schema[c].dataType for c in (key, label)]
+
+    def run(left, right, same):
+        parts: list[tuple] = []
+        if left and right:
+            d = _exact([[r[vector]] for r in left], [[r[vector]] for r in right], same)
+            for rows, others, m in [(left, right, d)] if same else [(left, right, d), (right, left, d.T)]:
+                codes: dict = {}
+                at = np.array([codes.setdefault(r[label], len(codes)) for r in others])
+                names = list(codes)
+                member = np.eye(len(names))[at]
+                sums, n = m @ member, np.tile(member.sum(0), (len(rows), 1))
+                own = np.array([codes.get(r[label], -1) for r in rows])
+                here = np.arange(len(rows))
+                if same:
+                    n[here, own] -= 1
+                for c, name in enumerate(names):
+                    if name is not None:
+                        parts.append(([r[key] for r in rows], [name] * len(rows), own == c, sums[:, c], n[:, c]))
+        if same:
+            lone = [r for r in left if r[label] is None]
+            parts.append(([r[key] for r in lone], [None] * len(lone), np.ones(len(lone), bool), np.zeros(len(lone)), np.zeros(len(lone))))
+        columns = list(zip(*parts)) if parts else [[], [], [], [], []]
+        flat = lambda k: np.concatenate(columns[k]) if parts else np.zeros(0)
+        ids, labels = ([v for part in columns[k] for v in part] for k in (0, 1))
+        return pa.table(
+            {"i": pa.array(ids, to_arrow_type(kinds[0])), "label": pa.array(labels, to_arrow_type(kinds[1])), "own": pa.array(flat(2).astype(bool)), "sum": pa.array(flat(3), pa.float64()), "n": pa.array(flat(4).astype(np.int64))}
+        )
+
+    rows = points.select(key, F.col(label).alias(label), vector)
+    return over_blocks(rows, key, [label, vector], run, f"i {kinds[0].simpleString()}, label {kinds[1].simpleString()}, own boolean, sum double, n long")
 
 
 def _nearest(d: np.ndarray, own: np.ndarray, other: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,6 +213,11 @@ def average_mth_distance(knn: DataFrame, max_m: int | None = None) -> DataFrame:
     return k.groupBy(F.col("rank").alias("m")).agg(F.avg("dist").alias("avg_dist"))
 
 
+def jumps(n: int) -> int:
+    """How many steps of the mean distance are compared."""
+    return max(2, n // 4)
+
+
 def largest_jump(curve: DataFrame, n: int) -> int:
     """The m behind the largest relative step of (m, avg_dist), among the first max(2, min(count - 1, n // 4)) steps."""
     rows = curve.orderBy("m").collect()
@@ -168,70 +228,181 @@ def largest_jump(curve: DataFrame, n: int) -> int:
     return int(rows[int(steps.argmax()) + 1]["m"])
 
 
-def components_by_m(knn: DataFrame, max_m: int | None = None) -> DataFrame:
-    """(m, components) of the undirected graph of the m nearest, for every m.
+#: Edges between components that one task may finish; above, rounds over the whole table contract them first.
+FEW_EDGES = 200_000
+_EDGE = "x long, y long, m double, a long, b long"
 
-    An edge is there from the lesser of its two ranks on. Within each block of the ranks only a spanning forest of
-    least ranks can matter, so tasks first reduce their edges to one (at most n - 1 edges each); the forests meet in
-    one forest, whose ranks count the components for all m at once.
-    """
-    spark = knn.sparkSession
-    k = knn if max_m is None else knn.filter(F.col("rank") <= max_m)
-    edges = k.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "rank").groupBy("a", "b").agg(F.min("rank").alias("m"))
 
-    def forest(rows):
-        up: dict = {}
+def _forest(rows: list[tuple]) -> tuple[list[tuple], dict[int, int]]:
+    """The edges (m, a, b, x, y) of a least spanning forest of the components x, y, and the least name that meets each."""
+    up: dict[int, int] = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
 
-        def find(x):
-            while up.setdefault(x, x) != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
+    out = []
+    for r in sorted(rows):
+        x, y = find(r[3]), find(r[4])
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            out.append(r)
+    return out, {x: find(x) for x in up}
 
-        out = []
-        for m, a, b in sorted(rows):
-            ra, rb = find(a), find(b)
-            if ra != rb:
-                up[rb] = ra
-                out.append((a, b, m))
-        return out
+
+def _lists(batches) -> list[tuple]:
+    return [r for b in batches for r in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 0, 1)))]
+
+
+def _reduced(edge: DataFrame) -> DataFrame:
+    """Each task's edges without those that close a circle within the task: they are in no least forest."""
 
     def run(batches):
         best: list = []
-        for batch in batches:
-            a, b, m = (c.to_pylist() for c in batch.columns)
-            best = forest([*((y[2], y[0], y[1]) for y in best), *zip(m, a, b)])
+        size = 0
+        for b in batches:
+            best += _lists([b])
+            if len(best) > max(2 * size, FEW_EDGES):  # as many new edges as old ones: each is sorted a few times only
+                best = _forest(best)[0]
+                size = len(best)
         if best:
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*best), (batch_type, batch_type, pa.int32()))], ["a", "b", "m"])
+            m, a, b, x, y = zip(*_forest(best)[0])
+            yield pa.record_batch([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(m, pa.float64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["x", "y", "m", "a", "b"])
 
-    batch_type = pa.int64()
-    e = edges.select(F.col("a").cast("long"), F.col("b").cast("long"), F.col("m").cast("int"))
-    tree, parts = e.mapInArrow(run, "a long, b long, m int"), 64
-    while parts:  # forests meet in fewer and fewer tasks; each holds n - 1 edges at most
-        tree, parts = tree.repartition(parts, F.spark_partition_id() % parts).mapInArrow(run, "a long, b long, m int"), parts // 8
-    n = k.select("i").distinct().count()
-    top = k.agg(F.max("rank")).first()[0] or 0
-    counts = tree.groupBy("m").agg(F.count(F.lit(1)).alias("joins"))
-    w = Window.orderBy("m").rowsBetween(Window.unboundedPreceding, 0)
-    grid = spark.range(1, top + 1).select(F.col("id").cast("int").alias("m"))
-    return grid.join(counts, "m", "left").select("m", (F.lit(n) - F.sum(F.coalesce("joins", F.lit(0))).over(w)).alias("components"))
+    return edge.mapInArrow(run, _EDGE)
 
 
-def components_of_points(points: DataFrame, key: str = "sample_id", vector: str = "z", first: int = 16) -> DataFrame:
-    """(m, components) for every m below the number of points.
+def _contracted(edge: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A Boruvka round over (x, y, m, a, b): (each component's least edge, (c, root) of the components it joins).
 
-    Ranks are looked at ``first`` at a time, then eight times as many, until there is one component: a larger m only
-    adds edges, so it stays one. Blocks send on that many neighbours a point, not all pairs.
+    Least edges by partial aggregation; (m, a, b) orders all edges, so picks make circles of two only. Roots come by
+    doubling: every step looks up the parent's parent, so their number is the logarithm of the longest chain.
     """
-    n, m = points.count(), first
+    ends = edge.select(F.explode(F.array(F.struct(F.col("x").alias("c"), F.col("y").alias("o")), F.struct(F.col("y").alias("c"), F.col("x").alias("o")))).alias("e"), "m", "a", "b")
+    pick = ends.select("e.c", F.struct("m", "a", "b", F.col("e.o").alias("o")).alias("p")).groupBy("c").agg(F.min("p").alias("p")).select("c", "p.*")
+    pick = written(pick, "picks")
+    back = pick.select(F.col("c").alias("o"), F.col("o").alias("oo"))
+    up = written(pick.join(back, "o").select("c", F.when((F.col("oo") == F.col("c")) & (F.col("c") < F.col("o")), F.col("c")).otherwise(F.col("o")).alias("root")), "roots")
     while True:
-        found = components_by_m(nearest_points(points, min(m, n - 1), key, vector)).collect() if n > 1 else []  # a row for each m so far
+        above = up.select(F.col("c").alias("root"), F.col("root").alias("top"))
+        more = written(up.join(above, "root").select("c", F.col("top").alias("root"), (F.col("root") != F.col("top")).alias("moved")), "roots")
+        still = more.filter("moved").isEmpty()
+        dropped(up)
+        up = more.select("c", "root")
+        up._undula_path = more._undula_path
+        if still:
+            return pick, up
+
+
+def spanning(edge: DataFrame, labels: bool = True, held: list | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """((a, b, m) of a least spanning forest of the edges (a, b, m), (sample_id, component) of their nodes).
+
+    Tasks drop edges that close a circle in their own part; while more than ``FEW_EDGES`` remain, Boruvka rounds halve
+    the components at least; what remains is one small task's work. A component is named by its least node. ``held`` gets
+    the written tables that both frames read.
+    """
+    held = [] if held is None else held
+    left = written(_reduced(edge.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("m").cast("double").alias("m"), "a", "b")), "edges")
+    picked: list[DataFrame] = []
+    name = None
+    while left.count() > FEW_EDGES:
+        pick, up = _contracted(left)
+        held.append(pick)
+        picked.append(pick.select("a", "b", "m").distinct())
+        if labels:
+            old = left.select(F.explode(F.array("x", "y")).alias("sample_id")).distinct().select("sample_id", F.col("sample_id").alias("c")) if name is None else name
+            new = written(old.join(up, "c", "left").select("sample_id", F.coalesce("root", "c").alias("c")), "names")
+            dropped(name)
+            name = new
+        x, y = (up.select(F.col("c").alias(c), F.col("root").alias(f"{c}r")) for c in ("x", "y"))
+        moved = left.join(x, "x", "left").join(y, "y", "left").select(F.coalesce("xr", "x").alias("x"), F.coalesce("yr", "y").alias("y"), "m", "a", "b").filter("x <> y")
+        shorter = written(_reduced(moved), "edges")
+        dropped(left, up)
+        left = shorter
+
+    def run(batches):
+        tree, root = _forest(_lists(batches))
+        rows = [(a, b, m, None) for m, a, b, _, _ in tree] + [(x, None, None, r) for x, r in root.items()]
+        if rows:
+            a, b, m, r = zip(*rows)
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(m, pa.float64()), pa.array(r, pa.int64())], ["a", "b", "m", "r"])
+
+    last = written(left.coalesce(1).mapInArrow(run, "a long, b long, m double, r long"), "forest")  # FEW_EDGES at most
+    dropped(left)
+    held += [last, name]
+    tree = last.filter("r is null").select("a", "b", "m")
+    for p in picked:
+        tree = tree.unionByName(p)
+    if not labels:
+        return tree, None
+    root = last.filter("r is not null").select(F.col("a").alias("c"), F.col("r").alias("root"))
+    if name is None:
+        return tree, root.select(F.col("c").alias("sample_id"), F.col("root").alias("component"))
+    whole = name.join(root, "c", "left").select("sample_id", F.coalesce("root", "c").alias("c"))
+    least = whole.groupBy("c").agg(F.min("sample_id").alias("component"))
+    return tree, whole.join(least, "c").select("sample_id", "component")
+
+
+def components(edge: DataFrame, held: list | None = None) -> DataFrame:
+    """(sample_id, component) of the nodes of the edges (i, j): the least node that can be reached."""
+    return spanning(edge.select(F.col("i").alias("a"), F.col("j").alias("b"), F.lit(0.0).alias("m")), True, held)[1]
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with ``name``: 1, 2, ... in the order of columns that no two rows share, written.
+
+    Rows are dealt by ranges and numbered within each; a row a range says how many come before it.
+    """
+    part = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+    dealt = written(part.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*order))), name)
+    sizes = dealt.groupBy("__p").agg(F.count(F.lit(1)).alias("__s"))  # a row a range
+    before = sizes.select("__p", F.coalesce(F.sum("__s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
+    out = dealt.join(F.broadcast(before), "__p").withColumn(name, (F.col("__b") + F.col("__n")).cast("long")).drop("__p", "__n", "__b")
+    out._undula_path = dealt._undula_path
+    return out
+
+
+def components_by_m(knn: DataFrame, max_m: int | None = None, held: list | None = None) -> DataFrame:
+    """(m, components) of the undirected graph of the m nearest, for every m.
+
+    An edge is there from the lesser of its two ranks on, so the ranks of a least spanning forest count the components
+    for all m at once.
+    """
+    spark = knn.sparkSession
+    k = knn if max_m is None else knn.filter(F.col("rank") <= max_m)
+    edge = k.select(F.least("i", "j").cast("long").alias("a"), F.greatest("i", "j").cast("long").alias("b"), "rank").groupBy("a", "b").agg(F.min("rank").alias("m"))
+    counts = spanning(edge, False, held)[0].groupBy(F.col("m").cast("int").alias("m")).agg(F.count(F.lit(1)).alias("joins"))
+    size = k.agg(F.count_distinct("i").alias("n"), F.max("rank").alias("top")).first()
+    w = Window.orderBy("m").rowsBetween(Window.unboundedPreceding, 0)  # a row a rank
+    grid = spark.range(1, (size["top"] or 0) + 1).select(F.col("id").cast("int").alias("m"))
+    return grid.join(counts, "m", "left").select("m", (F.lit(size["n"]) - F.sum(F.coalesce("joins", F.lit(0))).over(w)).alias("components"))
+
+
+def _widened(nearest: Callable[[int], DataFrame], n: int, first: int) -> list[tuple[int, int]]:
+    """(m, components) up to the first m with one component: ranks are looked at ``first`` at a time, then eight times as many."""
+    m = first
+    while True:
+        knn = written(nearest(min(m, n - 1)), "knn")
+        held = [knn]
+        found = components_by_m(knn, held=held).orderBy("m").collect()  # a row for each m so far
+        dropped(*held)
         if m >= n - 1 or found[-1].components == 1:
-            break
+            return [(r.m, r.components) for r in found]
         m *= 8
-    rows = [(r.m, r.components) for r in found]
-    least = points.sparkSession.createDataFrame(rows, "m int, components long")
-    return least.unionByName(points.sparkSession.range(len(rows) + 1, max(n, len(rows) + 1)).select(F.col("id").cast("int").alias("m"), F.lit(1).cast("long").alias("components")))
+
+
+def components_of_points(points: DataFrame, key: str = "sample_id", vector: str = "z", first: int = 16) -> DataFrame:
+    """(m, components) for every m below the number of points.
+
+    A larger m only adds edges, so once there is one component it stays one. Blocks send on so many neighbours a point,
+    not all pairs.
+    """
+    n, spark = points.count(), points.sparkSession
+    rows = _widened(lambda m: nearest_points(points, m, key, vector), n, first) if n > 1 else []
+    least = spark.createDataFrame(rows, "m int, components long")
+    return least.unionByName(spark.range(len(rows) + 1, max(n, len(rows) + 1)).select(F.col("id").cast("int").alias("m"), F.lit(1).cast("long").alias("components")))
 
 
 def first_connected(components: DataFrame) -> int:
@@ -240,16 +411,28 @@ def first_connected(components: DataFrame) -> int:
     return r.one if r.one is not None else r.last
 
 
-def optimal_m(pairs: DataFrame, method: str = "connectivity", max_m: int | None = None) -> int:
-    """connectivity: the first m with one component, else the last; avg_distance: behind the largest jump."""
+def optimal_m(pairs: DataFrame, method: str = "connectivity", max_m: int | None = None, first: int = 16) -> int:
+    """connectivity: the first m with one component, else the last; avg_distance: behind the largest jump.
+
+    Of each point's neighbours only the ranks that can matter are kept: widening ones until the graph is connected, or
+    the n // 4 first among whose means the jump is looked for.
+    """
+    n = pairs.select(F.explode(F.array("i", "j")).alias("i")).distinct().count()
+    most = n - 1 if max_m is None else min(max_m, n - 1)
     if method == "connectivity":
-        return first_connected(components_by_m(neighbours(pairs, max_m), max_m))
+        rows = _widened(lambda m: neighbours(pairs, min(m, most)), most + 1, first)
+        return next((m for m, c in rows if c == 1), rows[-1][0])
     if method == "avg_distance":
-        knn = neighbours(pairs)
-        return largest_jump(average_mth_distance(knn, max_m), knn.select("i").distinct().count())
+        return largest_jump(average_mth_distance(neighbours(pairs, min(most, jumps(n) + 1))), n)
     raise ValueError(f"unknown method {method!r}")
 
 
+def optimal_m_of_points(points: DataFrame, key: str = "sample_id", vector: str = "z") -> int:
+    """``optimal_m`` by the mean distance, of points: blocks send on the ranks among whose means the jump is looked for."""
+    n = points.count()
+    return largest_jump(average_mth_distance(nearest_points(points, min(n - 1, jumps(n) + 1), key, vector)), n)
+
+
 def capped_m(m: int, n: int) -> int:
     return max(5, min(m, n // 5))
 
@@ -273,11 +456,25 @@ def sparsity(edge: DataFrame, n: int) -> DataFrame:
     return edge.agg((2 * F.count(F.lit(1)) / (n * n)).alias("sparsity"))
 
 
-def class_distances(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(intra, inter): mean distances within and between classes of (sample_id, label)."""
-    a, b = labels.select(F.col("sample_id").alias("i"), F.col("label").alias("li")), labels.select(F.col("sample_id").alias("j"), F.col("label").alias("lj"))
-    same = F.col("li") == F.col("lj")
-    return pairs.join(a, "i").join(b, "j").agg(F.avg(F.when(same, F.col("dist"))).alias("intra"), F.avg(F.when(~same, F.col("dist"))).alias("inter"))
+def class_distances(points: DataFrame, label: str = "label", key: str = "sample_id", vector: str = "z") -> DataFrame:
+    """(intra, inter): mean distances within and between classes; a row of sums for each pair of blocks."""
+
+    def run(left, right, same):
+        sums = np.zeros(2), np.zeros(2, np.int64)
+        if left and right:
+            d = _exact([[r[vector]] for r in left], [[r[vector]] for r in right], same)
+            codes: dict = {None: -1}
+            a, b = (np.array([codes.setdefault(r[label], len(codes)) for r in side]) for side in (left, right))
+            known = (a[:, None] >= 0) & (b >= 0)
+            if same:
+                known &= np.arange(len(a))[:, None] < np.arange(len(b))
+            for k, among in enumerate((known & (a[:, None] == b), known & (a[:, None] != b))):
+                sums[0][k], sums[1][k] = d[among].sum(), among.sum()
+        return pa.table({"si": sums[0][:1], "ni": sums[1][:1], "sb": sums[0][1:], "nb": sums[1][1:]})
+
+    r = over_blocks(points.select(key, label, vector), key, [label, vector], run, "si double, ni long, sb double, nb long")
+    mean = lambda s, n: F.try_divide(F.sum(s), F.sum(n))
+    return r.agg(mean("si", "ni").alias("intra"), mean("sb", "nb").alias("inter"))
 
 
 def difference(edge: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -15,6 +13,7 @@ from undula.operators import autoencoder, baselines, cluster, distance, evaluate
 from undula.plans import runner, sql
 from undula.sources import curves as src
 from undula.sources import generators
+from undula.sources.shared import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -170,19 +169,13 @@ def wide_pivot(spark, d):
     return src.wide(_events(spark, d)).select("sample_id", *(F.round(n, 6).alias(n) for n in _WIDE))
 
 
-def _written(spark, name: str) -> str:
-    """A folder for files that a query writes and reads back: in the cluster's shared folder, else a temporary one."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    return f"{(where or 'file://' + tempfile.gettempdir()).rstrip('/')}/undula-{name}-{uuid.uuid4().hex}"
-
-
 #: Curves whose samples are numbered by the order of their ids, with a label.
 _NUMBERED = f"{P}, nu AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS i FROM (SELECT DISTINCT s FROM p))"
 
 
 @query("csv_round_trip", f"{_NUMBERED} SELECT i AS sample_id, f AS feature, t AS t_idx, round(v, 6) AS value, (s % 3)::varchar AS label FROM p JOIN nu USING (s)")
 def csv_round_trip(spark, d):
-    c, path = _events(spark, d), _written(spark, "csv")
+    c, path = _events(spark, d), new_path(spark, "csv")
     src.save_wide(c, c.select("sample_id", (F.col("sample_id") % 3).alias("label")).distinct(), path)
     back, labels = src.load_wide(spark, path, 5, STEPS)
     return _long(back).join(labels, "sample_id")
@@ -190,7 +183,7 @@ def csv_round_trip(spark, d):
 
 def _text_file(spark, name: str, lines: DataFrame) -> str:
     """``lines`` (n, value) as one text file, in the order of n."""
-    path = _written(spark, name)
+    path = new_path(spark, name)
     lines.orderBy("n").select("value").coalesce(1).write.text(path)
     return path
 
@@ -268,7 +261,8 @@ def knn(spark, d):
 
 @query("avg_mth_distance", f"{E} SELECT r AS m, round(avg(dist), 6) AS avg_dist FROM kn GROUP BY r")
 def avg_mth_distance(spark, d):
-    return graph.average_mth_distance(_knn(spark, d, None)).select("m", F.round("avg_dist", 6).alias("avg_dist"))
+    z = _nodes(spark, d)
+    return graph.average_mth_distance(graph.nearest_points(z, max(1, z.count() - 1))).select("m", F.round("avg_dist", 6).alias("avg_dist"))
 
 
 @query(
@@ -276,7 +270,7 @@ def avg_mth_distance(spark, d):
     f"{E}, c AS (SELECT r AS m, avg(dist) AS a FROM kn GROUP BY r), n AS (SELECT count(*) AS n FROM embeddings), s AS (SELECT m, (lead(a) OVER (ORDER BY m) - a) / (a + 1e-12) AS jump FROM c) SELECT m + 1 AS m FROM s, n WHERE jump IS NOT NULL AND m <= greatest(2, least(n.n - 2, n.n // 4)) ORDER BY jump DESC, m LIMIT 1",
 )
 def optimal_m_avg_distance(spark, d):
-    return spark.createDataFrame([(graph.optimal_m(_pairs(spark, d), "avg_distance"),)], "m int")
+    return spark.createDataFrame([(graph.optimal_m_of_points(_nodes(spark, d)),)], "m int")
 
 
 @query("similarity_neighbors", f"{E}, k AS (SELECT DISTINCT least(i, j) AS a, greatest(i, j) AS b, dist FROM kn WHERE r <= {M}) SELECT a AS i, b AS j, round(exp(-dist), 6) AS w FROM k UNION ALL SELECT b, a, round(exp(-dist), 6) FROM k")
@@ -301,7 +295,7 @@ def graph_sparsity(spark, d):
 
 @query("intra_inter", f"{E}, l AS (SELECT vec_id, label FROM embeddings) SELECT round(avg(CASE WHEN a.label = b.label THEN dist END), 6) AS intra, round(avg(CASE WHEN a.label <> b.label THEN dist END), 6) AS inter FROM d JOIN l a ON a.vec_id = d.i JOIN l b ON b.vec_id = d.j")
 def intra_inter(spark, d):
-    r = graph.class_distances(_pairs(spark, d), _nodes(spark, d).select("sample_id", "label"))
+    r = graph.class_distances(_nodes(spark, d))
     return r.select(F.round("intra", 6).alias("intra"), F.round("inter", 6).alias("inter"))
 
 
@@ -327,7 +321,8 @@ def optimal_m_connectivity(spark, d):
 
 @query("knn_default_m", f"{E}, c AS (SELECT r AS m, avg(dist) AS a FROM kn GROUP BY r), n AS (SELECT count(*) AS n FROM embeddings), s AS (SELECT m, (lead(a) OVER (ORDER BY m) - a) / (a + 1e-12) AS jump FROM c), o AS (SELECT m + 1 AS m FROM s, n WHERE jump IS NOT NULL AND m <= greatest(2, least(n.n - 2, n.n // 4)) ORDER BY jump DESC, s.m LIMIT 1) SELECT i, r AS rank, j, round(dist, 6) AS dist FROM kn, o WHERE r <= o.m")
 def knn_default_m(spark, d):
-    return graph.nearest_neighbours(_pairs(spark, d)).select("i", "rank", "j", F.round("dist", 6).alias("dist"))
+    z = _nodes(spark, d)
+    return graph.nearest_points(z, graph.optimal_m_of_points(z)).select("i", "rank", "j", F.round("dist", 6).alias("dist"))
 
 
 @query("matrix_check", "SELECT count(*) AS points FROM embeddings")
@@ -772,17 +767,19 @@ def gcv_wavelet(spark, d):
 def _groups(spark, d) -> tuple[DataFrame, DataFrame]:
     """Points and edges of the embeddings."""
     z = _nodes(spark, d)
-    return z, graph.edges(graph.neighbours(graph.euclidean_pairs(z), M))
+    return z, graph.edges(graph.nearest_points(z, M))
 
 
 @query("homotopy_path")
 def homotopy_path(spark, d):
-    return cluster.homotopy_path(*_groups(spark, d)).withColumn("lambda", F.round("lambda", 8))
+    path = cluster.homotopy_path(*_groups(spark, d))
+    return path.select("step", F.round("lambda", 8).alias("lambda"), "kept", "absorbed", "kept_size", "absorbed_size", "kept_since", "absorbed_since")
 
 
 @query("valid_partitions")
 def valid_partitions(spark, d):
-    return cluster.valid_partitions(cluster.homotopy_path(*_groups(spark, d)))
+    z, e = _groups(spark, d)
+    return cluster.valid_partitions(cluster.homotopy_path(z, e), z.count())
 
 
 @query("convex_clusters")
