@@ -203,3 +203,25 @@ def test_counts_of_odd_rows(spark, words, library):
     out = tokencount.counts(df, "id", "text", *words[:1], limit=2048, proof=words[1])
     assert sorted((tuple(r) for r in out.collect()), key=str) == sorted(((i, len((t or "").encode()), n, n > 2048) for i, t in rows for n in [library(t or "")]), key=str)
     assert tokencount.counts(df.filter("id = 9"), "id", "text", *words[:1], proof=words[1]).count() == 0
+
+
+# --- what stages leave ---------------------------------------------------------------------------------------------
+
+
+def test_near_dedup_with_clashing_columns(spark, sf):
+    from undula.llm import stages
+
+    rows = [(1, "a b c d e f g"), (1, "h i j k l m n"), (1, "h i j k l m n"), (2, "a b c d e f g")]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, __f0_0 int, __F1_0 int")
+    out = stages.near_dedup(spark, docs, sf)
+    assert out.columns == docs.columns and sorted(r.text[0] for r in out.collect()) == ["a", "h"]
+
+
+def test_the_pipeline_deletes_what_its_stages_made(spark, sf):
+    import corpus_pipeline
+    from undula.llm import _store
+
+    mark = _store.made()
+    out = corpus_pipeline.run(spark, sf)
+    left = [d for d in _store._MADE[mark:] if "undula-decontaminate-" in d._undula_path]
+    assert out.count() > 0 and len(left) == 1 and sum(d is not left[0] for d in _store._MADE[mark:]) <= 1

@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: What ``stash`` has written and nothing has deleted yet, in order.
+_MADE: list[DataFrame] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one only in local mode where it is unset (tests)."""
     sc = spark.sparkContext
@@ -26,6 +30,7 @@ def stash(df: DataFrame, name: str = "t") -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._undula_path = path
+    _MADE.append(out)
     return out
 
 
@@ -36,3 +41,16 @@ def drop_stash(df: DataFrame) -> None:
         jvm = df.sparkSession.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        _MADE[:] = [d for d in _MADE if d._undula_path != path]
+
+
+def made() -> int:
+    """How many written tables there are: a mark for ``drop_since``."""
+    return len(_MADE)
+
+
+def drop_since(mark: int, but: DataFrame | None = None) -> None:
+    """Delete what was written since the mark, once only ``but`` is read any more."""
+    for df in _MADE[mark:]:
+        if df is not but:
+            drop_stash(df)

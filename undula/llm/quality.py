@@ -6,7 +6,8 @@ labelled. Calibration is isotonic regression over the counts of labels in fixed
 
 Defined results: every text has a score; an empty or null text has statistics of 0; without labels, or with one class
 only, every score is the share of 1 (0.5 without labels); a label row whose id has no document teaches nothing; the id
-is never an input; a text of any length is measured in blocks; other columns are not read by ``measure`` and
+is never an input; documents that repeat an id and labels that repeat one teach once for each of their pairs, so two
+labels of one document count half each for its statistics; a text of any length is measured in blocks; other columns are not read by ``measure`` and
 ``scores``, so they cannot clash, and are kept as they are by ``keep``; an empty table gives an empty table.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from undula.llm._arrow import slices, utf8
-from undula.llm._store import stash
+from undula.llm._store import drop_stash, stash
 from undula.llm.shingles import BLOCK, word_blocks
 
 FEATURES = 256
@@ -153,6 +154,7 @@ def fit(stats: DataFrame, labels: DataFrame, key: str, label: str) -> Model:
     train = stash(stats.join(known, key).select("stats", "__y"), "train")
     moments = train.select(F.posexplode("stats").alias("j", "v"), "__y").groupBy("j").agg(F.avg("v"), F.stddev_pop("v"), F.avg("__y")).orderBy("j").collect()
     if not moments or not 0 < moments[0][3] < 1:
+        drop_stash(train)
         return Model(np.zeros(len(STATS)), np.ones(len(STATS)), np.empty(0), np.array([moments[0][3] if moments else 0.5]))
     mean, sd = np.array([r[1] for r in moments]), np.array([r[2] for r in moments])
     model = Model(mean, np.where(sd > 1e-9, sd, 1.0), np.zeros(FEATURES + 1), np.zeros(BINS))
@@ -186,6 +188,7 @@ def fit(stats: DataFrame, labels: DataFrame, key: str, label: str) -> Model:
         yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[0, at]), pa.array(total[1, at])], ["b", "n", "y"])
 
     counts = train.mapInArrow(binned, "b int, n double, y double").groupBy("b").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).collect()
+    drop_stash(train)
     total = np.zeros((2, BINS))
     for b, t, y in counts:
         total[:, b] = t, y

@@ -2,7 +2,9 @@
 
 Defined results: rows with a null doc_id are judged by their text where a stage needs no id, and pass the near-dedup
 stage as they are; rows that repeat a doc_id are one node of near-dedup, but rows of their own: one row of each of its
-texts (sets of shingles) that nothing with a lesser id holds stays; an empty table passes every stage as it is.
+texts (sets of shingles) that nothing with a lesser id holds stays; ties of equal rows go to any one of them, which are
+alike; texts of any length are judged whole, in blocks; further columns pass as they are, whatever their names; an empty
+table passes every stage as it is.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undula.llm import bpe, decontaminate, language, minhash, quality, toxicity
+from undula.llm._skew import bitmap, bucket, has_bit
 from undula.llm._store import stash
 from undula.llm.queries import _read, _vocabulary
 
@@ -23,7 +26,9 @@ LEAST_LANGUAGE = 0.15
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = _read(spark, sf_dir, "labels").filter(~toxicity.held_out("doc_id", 4, 2))
-    model = quality.fit(quality.measure(docs, "doc_id", "text"), labels, "doc_id", "quality")
+    # only documents that may be labelled are measured to learn from: a bitmap of their ids (1 MB) goes to the documents
+    some = docs.select("doc_id", "text").join(F.broadcast(bitmap(labels.select("doc_id"))), bucket("doc_id")).filter(has_bit("doc_id"))
+    model = quality.fit(quality.measure(some, "doc_id", "text"), labels, "doc_id", "quality")
     return quality.keep(docs, model, "text", LEAST_QUALITY)
 
 
@@ -34,14 +39,15 @@ def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = stash(minhash.near_duplicates(docs, "doc_id", "text", width=5, percent=80).filter("doc_id is not null"), "judged")
-    kept = judged.filter("kept").select("doc_id", F.col("f0").alias("__f0"), F.col("f1").alias("__f1"))
+    names = f0, f1 = [next(n for k in range(len(docs.columns) + 1) if (n := f"{c}_{k}") not in {x.lower() for x in docs.columns}) for c in ("__f0", "__f1")]
+    kept = judged.filter("kept").select("doc_id", F.col("f0").alias(f0), F.col("f1").alias(f1))
     again = stash(judged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "again")
     null = docs.filter(F.col("doc_id").isNull())
     if again.isEmpty():
         return docs.join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(null)
     once = docs.join(kept.join(again, "doc_id", "left_anti"), "doc_id", "left_semi").select(docs.columns)
-    rows = stash(minhash.with_prints(docs.join(again, "doc_id", "left_semi"), "text", 5, ("__f0", "__f1")), "rows")
-    rows = rows.join(kept.distinct(), ["doc_id", "__f0", "__f1"], "left_semi").dropDuplicates(["doc_id", "__f0", "__f1"])
+    rows = stash(minhash.with_prints(docs.join(again, "doc_id", "left_semi"), "text", 5, tuple(names)), "rows")
+    rows = rows.join(kept.distinct(), ["doc_id", *names], "left_semi").dropDuplicates(["doc_id", *names])
     return once.unionByName(rows.select(docs.columns)).unionByName(null)
 
 
