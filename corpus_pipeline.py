@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from undula.llm import stages
-from undula.llm._store import drop_stash, stash
+from undula.llm._store import drop_since, drop_stash, made, stash
 
 STAGES = [
     ("quality", stages.quality_filter),
@@ -20,10 +20,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each stage over ``documents``, written as Parquet and read again in between; what the next stage has read is deleted."""
+    """Each stage over ``documents``, written as Parquet and read again in between.
+
+    Once a stage's rows are written, the tables that it made on the way and the rows that it read are deleted.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        mark = made()
         kept = stash(stage(spark, docs, sf_dir), name)
+        drop_since(mark, kept)
         drop_stash(docs)
         docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
