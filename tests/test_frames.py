@@ -171,16 +171,25 @@ def test_experiment(spark):
     assert 1 <= row.n_pred <= 24 and row.n_true == 4 and r["log"].count() == 20
 
 
-def test_experiment_queries_run_the_whole_catalog_set(spark, sf, monkeypatch):
+def test_experiment_queries_run_all_event_curves_at_the_defaults(spark, sf, monkeypatch):
     from undula.plans import catalog
 
     seen = {}
-    row = spark.createDataFrame([("pendulum", 4, 1.0, 1.0, 4)], "dataset string, n_true int, ari double, ami double, n_pred int")
+    row = spark.createDataFrame([("given", 4, 1.0, 1.0, 4)], "dataset string, n_true int, ari double, ami double, n_pred int")
     study = spark.createDataFrame([(0, 1.0)], "trial int, value double")
-    monkeypatch.setattr(runner, "run_experiment", lambda _, name, **k: seen.update(k) or {"result": row, "release": lambda: None})
+    monkeypatch.setattr(runner, "run_experiment", lambda _, x, **k: seen.update(k, x=x.select("sample_id").distinct().count()) or {"result": row, "release": lambda: None})
     monkeypatch.setattr(runner, "optimize", lambda _, coefs, *a, **k: seen.update(k, n=coefs.select("sample_id").distinct().count()) or ({}, study))
     catalog.run_experiment(spark, sf), catalog.tune(spark, sf)
-    assert seen == {"n": generators.CATALOG["pendulum"][0]}
+    users = spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().count()
+    assert seen == {"x": users, "n": users}
+
+
+def test_every_query_reads_its_folder(spark, tmp_path):
+    from undula.plans import catalog
+
+    for name, run in catalog.QUERIES.items():
+        with pytest.raises(Exception):
+            run(spark, str(tmp_path)).count()
 
 
 def test_stream_of_points_equals_batch(spark, tmp_path):

@@ -555,26 +555,120 @@ def fista_solve(points: DataFrame, edges: DataFrame, lam: float, steps: int = 50
     return out
 
 
+#: Rows, those with the least hash, among which k-means looks for its first centres.
+FIRST_ROWS = 4096
+
+
+def first_centres(x: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k rows of ``x``, each drawn by its squared distance to the nearest one before."""
+    r = np.random.default_rng(seed)
+    at = [int(r.integers(len(x)))]
+    near = ((x - x[at[0]]) ** 2).sum(1)
+    while len(at) < k:
+        p = near / near.sum() if near.sum() > 0 else np.full(len(x), 1 / len(x))
+        at.append(int(r.choice(len(x), p=p)))
+        near = np.minimum(near, ((x - x[at[-1]]) ** 2).sum(1))
+    return x[at]
+
+
+def _assigned(z: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((centres**2).sum(1) - 2 * z @ centres.T).argmin(1)
+
+
+def lloyd(points: DataFrame, centres: list[np.ndarray], rounds: int = 300, tol: float = 1e-4) -> tuple[list[np.ndarray], list[float]]:
+    """(centres, costs) of all runs after Lloyd rounds from the given centres, one scan of (sample_id, z) a round for all.
+
+    Centres go out with the tasks (``MOST_BYTES`` at most); a task sends back sums by run and cluster, which meet in
+    ``treeReduce``. A run ends when its centres move by less than ``tol`` of the mean variance, or after ``rounds``. A
+    cluster that loses all its points keeps its centre.
+    """
+    if sum(c.nbytes for c in centres) > MOST_BYTES:
+        raise ValueError("too many centres of too many axes to send them to every task")
+    centres, costs = [np.array(c, float) for c in centres], [np.inf] * len(centres)
+    spread = points.select(F.posexplode("z").alias("k", "v")).groupBy("k").agg(F.var_pop("v").alias("v")).agg(F.avg("v")).first()[0] or 0.0
+
+    def scan(runs: list[int]) -> list[tuple]:
+        now = [centres[r] for r in runs]
+
+        def run(batches):
+            total = [[np.zeros_like(c), np.zeros(len(c)), 0.0] for c in now]
+            for b in batches:
+                if b.num_rows:
+                    z = np.asarray(b.column(0).flatten().to_numpy(zero_copy_only=False), float).reshape(b.num_rows, -1)
+                    for t, c in zip(total, now):
+                        at = _assigned(z, c)
+                        np.add.at(t[0], at, z)
+                        t[1] += np.bincount(at, minlength=len(c))
+                        t[2] += float(((z - c[at]) ** 2).sum())
+            yield pa.record_batch([pa.array([pickle.dumps(total)], pa.binary())], ["sums"])
+
+        add = lambda x, y: [[p + q for p, q in zip(a, b)] for a, b in zip(x, y)]
+        return points.select("z").mapInArrow(run, "sums binary").rdd.map(lambda r: pickle.loads(bytes(r[0]))).treeReduce(add, 3)
+
+    active = list(range(len(centres)))
+    for _ in range(rounds):
+        left = []
+        for r, (sums, n, cost) in zip(active, scan(active)):
+            new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres[r])
+            moved, centres[r], costs[r] = float(((new - centres[r]) ** 2).sum()), new, cost
+            if moved > tol * spread:
+                left.append(r)
+        active = left
+        if not active:
+            break
+    for r, (_, _, cost) in zip(range(len(centres)), scan(list(range(len(centres))))):
+        costs[r] = cost
+    return centres, costs
+
+
+def nearest_of(points: DataFrame, centres: list[np.ndarray], name: str = "clusters") -> DataFrame:
+    """``points`` with an array: the nearest centre's number for each of several sets of centres, the first of equals."""
+
+    def run(batches):
+        for b in batches:
+            z = np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), float).reshape(b.num_rows, -1)
+            at = np.stack([_assigned(z, c) for c in centres], 1).astype(np.int32)
+            yield pa.record_batch([*b.columns, pa.ListArray.from_arrays(pa.array(np.arange(0, at.size + 1, at.shape[1], dtype=np.int32)), pa.array(at.ravel()))], [*b.schema.names, name])
+
+    kind = points.schema["sample_id"].dataType.simpleString()
+    return points.select("sample_id", F.col("z").cast("array<double>").alias("z")).mapInArrow(run, f"sample_id {kind}, z array<double>, `{name}` array<int>")
+
+
+def kmeans_all(points: DataFrame, ks: list[int], starts: int = 10, seed: int = 0, rounds: int = 300) -> DataFrame:
+    """(sample_id, z, clusters array<int>): for every k the start with the least cost, all k and starts in the same scans."""
+    points = points.select("sample_id", F.col("z").cast("array<double>").alias("z"))
+    some = points.orderBy(F.xxhash64("sample_id"), "sample_id").limit(FIRST_ROWS).collect()
+    x = np.array([r["z"] for r in some])
+    runs = [(k, s) for k in ks for s in range(starts)]
+    centres, costs = lloyd(points, [first_centres(x, min(k, len(x)), seed + s) for k, s in runs], rounds)
+    best = [min((n for n, (own, _) in enumerate(runs) if own == k), key=lambda n: costs[n]) for k in ks]
+    return nearest_of(points, [centres[n] for n in best])
+
+
 def kmeans(points: DataFrame, k: int, starts: int = 10, seed: int = 0) -> DataFrame:
     """(sample_id, cluster): the start with the least cost of several."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    data = points.select("sample_id", array_to_vector("z").alias("features")).persist()
-    fits = [KMeans(k=k, seed=seed + s, maxIter=50).fit(data) for s in range(starts)]
-    best = min(fits, key=lambda f: f.summary.trainingCost)
-    data.unpersist()
-    return best.transform(data).select("sample_id", F.col("prediction").alias("cluster"))
-
-
-def kmeans_sweep(points: DataFrame, low: int, high: int, starts: int = 3) -> DataFrame:
-    """(k, silhouette) for k from low to high - 1, by exact silhouettes."""
-    from undula.operators import evaluate, graph
-
-    pairs = graph.euclidean_pairs(points).cache()
-    rows = []
-    for k in range(low, high):
-        labelled = points.select("sample_id", "z").join(kmeans(points, k, starts), "sample_id").withColumnRenamed("cluster", "label")
-        rows.append((k, evaluate.silhouette(labelled, pairs).first()[0]))
-    pairs.unpersist()
-    return points.sparkSession.createDataFrame(rows, "k int, silhouette double")
+    return kmeans_all(points, [k], starts, seed).select("sample_id", F.col("clusters")[0].alias("cluster"))
+
+
+def kmeans_sweep(points: DataFrame, low: int = 2, high: int = 10, starts: int = 10, labels: DataFrame | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """((k, clusters, silhouette[, ami, ari]) for k from low to high - 1, (sample_id, z, clusters) of them all).
+
+    Silhouettes of all k share the distances; ``labels`` (sample_id, label) give the other two, from one contingency
+    table by k.
+    """
+    from undula.operators import evaluate
+
+    spark = points.sparkSession
+    ks = list(range(low, max(low + 1, min(high, points.count()))))
+    all_ = written(kmeans_all(points, ks, starts, seed), "kmeans")
+    silhouette = {r["part"]: r["silhouette"] for r in evaluate.silhouettes_of(all_, "clusters").collect()}  # a row a k
+    each = all_.select("sample_id", F.posexplode("clusters").alias("part", "b"))
+    found = {r["part"]: r["n"] for r in each.groupBy("part").agg(F.count_distinct("b").alias("n")).collect()}
+    rows, schema = [(k, found[p], silhouette[p]) for p, k in enumerate(ks)], "k int, clusters long, silhouette double"
+    if labels is not None:
+        table = written(each.join(labels.select("sample_id", F.col("label").alias("a")), "sample_id").groupBy("part", "a", "b").agg(F.count(F.lit(1)).alias("n")), "contingency")
+        own = lambda p: table.filter(F.col("part") == p).select("a", "b", "n")
+        rows = [(*r, evaluate.mutual_information_of(own(p)).first()[0], evaluate.rand_of(own(p)).first()[0]) for p, r in enumerate(rows)]
+        schema += ", ami double, ari double"
+        dropped(table)
+    return spark.createDataFrame(rows, schema), all_

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from undula.operators.graph import euclidean, label_sums, symmetric
+from undula.sources.shared import written
 
 
 def centroids(points: DataFrame, label: str = "label") -> DataFrame:
@@ -65,16 +66,26 @@ def silhouette_samples(points: DataFrame, pairs: DataFrame | None = None) -> Dat
         of, to = (points.select(F.col("sample_id").alias(c), F.col("label").alias(n)) for c, n in (("i", "li"), ("j", "lj")))
         sums = symmetric(pairs).join(to, "j").join(of, "i").select("i", F.col("lj").alias("label"), (F.col("li") == F.col("lj")).alias("own"), F.col("dist").alias("sum"), F.lit(1).cast("long").alias("n"))
         sums = sums.unionByName(of.select("i", F.col("li").alias("label"), F.lit(True).alias("own"), F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("n")))
-    each = sums.groupBy("i", "label", "own").agg(F.try_divide(F.sum("sum"), F.sum("n")).alias("d"))
-    ab = each.groupBy("i").agg(F.max(F.when(F.col("own"), F.col("label"))).alias("label"), F.max(F.when(F.col("own"), F.col("d"))).alias("a"), F.min(F.when(~F.col("own"), F.col("d"))).alias("b"))
+    return _silhouettes(sums, "i").select(F.col("i").alias("sample_id"), "label", "s")
+
+
+def _silhouettes(sums: DataFrame, *by: str) -> DataFrame:
+    """(by, label, s) from sums of distances by cluster."""
+    each = sums.groupBy(*by, "label", "own").agg(F.try_divide(F.sum("sum"), F.sum("n")).alias("d"))
+    ab = each.groupBy(*by).agg(F.max(F.when(F.col("own"), F.col("label"))).alias("label"), F.max(F.when(F.col("own"), F.col("d"))).alias("a"), F.min(F.when(~F.col("own"), F.col("d"))).alias("b"))
     s = F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
-    return ab.select(F.col("i").alias("sample_id"), "label", F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(s).alias("s"))
+    return ab.select(*by, "label", F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(s).alias("s"))
 
 
 def silhouette(points: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     return silhouette_samples(points, pairs).agg(F.avg("s").alias("silhouette"))
 
 
+def silhouettes_of(points: DataFrame, labels: str) -> DataFrame:
+    """(part, silhouette) of the partitions whose labels are the entries of an array column; distances are taken once."""
+    return _silhouettes(label_sums(points, labels), "part", "i").groupBy("part").agg(F.avg("s").alias("silhouette"))
+
+
 def davies_bouldin(points: DataFrame) -> DataFrame:
     """(davies_bouldin): mean over clusters of the largest (S_i + S_j) / |c_i - c_j|."""
     c = centroid_vectors(points)
@@ -95,7 +106,11 @@ def _pairs_of(c):
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     """(ari) from the contingency table, whose size is classes x clusters; 1 where both are trivial."""
-    t = contingency(df, a, b)
+    return rand_of(contingency(df, a, b))
+
+
+def rand_of(t: DataFrame) -> DataFrame:
+    """``adjusted_rand`` from a contingency table (a, b, n)."""
     one = lambda name, by: t.groupBy(by).agg(F.sum("n").alias("s")).agg(F.sum(_pairs_of(F.col("s"))).alias(name))
     cells = t.agg(F.sum(_pairs_of(F.col("n"))).alias("c"), _pairs_of(F.sum("n")).alias("all"))
     r = cells.crossJoin(one("ra", "a")).crossJoin(one("rb", "b"))  # single rows
@@ -121,8 +136,13 @@ def adjusted_mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
     it with a probability of at most 2 exp(-72) (Hoeffding), which no double sum of logarithms up to ln n can show: the
     sum over k runs over that many whole numbers, away from the most likely one, in one row a pair of distinct class sizes.
     """
-    spark = df.sparkSession
-    t = contingency(df, a, b)
+    return mutual_information_of(contingency(df, a, b))
+
+
+def mutual_information_of(table: DataFrame) -> DataFrame:
+    """``adjusted_mutual_information`` from a contingency table (a, b, n), which is written: five sums read it."""
+    spark = table.sparkSession
+    t = written(table, "contingency")
     n = t.agg(F.sum("n")).first()[0] or 0
     if n == 0:
         return spark.createDataFrame([(1.0,)], "ami double")

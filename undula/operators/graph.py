@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType
 
 from undula.sources.shared import dropped, written
 
@@ -82,39 +83,44 @@ def label_sums(points: DataFrame, label: str = "label", key: str = "sample_id",
 
     Blocks send on a row for each point and cluster they hold, not for each pair; the rows of a point and cluster are
     still to be added up. ``own`` marks the point's own cluster, for which there is always a row; members without a
-    label belong to none, and have no rows but that.
+    label belong to none, and have no rows but that. If ``label`` is an array, its entries are labels of as many
+    partitions, which share the distances: rows then begin with ``part``, the place in the array.
     """
     kinds = [points.schema[c].dataType for c in (key, label)]
+    many = isinstance(kinds[1], ArrayType)
+    name_type = kinds[1].elementType if many else kinds[1]
 
     def run(left, right, same):
         parts: list[tuple] = []
+
+        def add(p, rows, names, own, sums, n):
+            parts.append((np.full(len(rows), p), [r[key] for r in rows], names, own, sums, n))
+
+        sides = []
         if left and right:
             d = _exact([[r[vector]] for r in left], [[r[vector]] for r in right], same)
-            for rows, others, m in [(left, right, d)] if same else [(left, right, d), (right, left, d.T)]:
+            sides = [(left, right, d)] if same else [(left, right, d), (right, left, d.T)]
+        for p in range(len(left[0][label]) if many and left else 1):
+            of = (lambda r, p=p: r[label][p]) if many else (lambda r: r[label])
+            for rows, others, m in sides:
                 codes: dict = {}
-                at = np.array([codes.setdefault(r[label], len(codes)) for r in others])
-                names = list(codes)
-                member = np.eye(len(names))[at]
+                at = np.array([codes.setdefault(of(r), len(codes)) for r in others])
+                member = np.eye(len(codes))[at]
                 sums, n = m @ member, np.tile(member.sum(0), (len(rows), 1))
-                own = np.array([codes.get(r[label], -1) for r in rows])
-                here = np.arange(len(rows))
+                own = np.array([codes.get(of(r), -1) for r in rows])
                 if same:
-                    n[here, own] -= 1
-                for c, name in enumerate(names):
+                    n[np.arange(len(rows)), own] -= 1
+                for name, c in codes.items():
                     if name is not None:
-                        parts.append(([r[key] for r in rows], [name] * len(rows), own == c, sums[:, c], n[:, c]))
-        if same:
-            lone = [r for r in left if r[label] is None]
-            parts.append(([r[key] for r in lone], [None] * len(lone), np.ones(len(lone), bool), np.zeros(len(lone)), np.zeros(len(lone))))
-        columns = list(zip(*parts)) if parts else [[], [], [], [], []]
-        flat = lambda k: np.concatenate(columns[k]) if parts else np.zeros(0)
-        ids, labels = ([v for part in columns[k] for v in part] for k in (0, 1))
-        return pa.table(
-            {"i": pa.array(ids, to_arrow_type(kinds[0])), "label": pa.array(labels, to_arrow_type(kinds[1])), "own": pa.array(flat(2).astype(bool)), "sum": pa.array(flat(3), pa.float64()), "n": pa.array(flat(4).astype(np.int64))}
-        )
-
-    rows = points.select(key, F.col(label).alias(label), vector)
-    return over_blocks(rows, key, [label, vector], run, f"i {kinds[0].simpleString()}, label {kinds[1].simpleString()}, own boolean, sum double, n long")
+                        add(p, rows, [name] * len(rows), own == c, sums[:, c], n[:, c])
+            lone = [r for r in left if of(r) is None] if same else []
+            add(p, lone, [None] * len(lone), np.ones(len(lone), bool), np.zeros(len(lone)), np.zeros(len(lone)))
+        part, ids, names, own, sums, n = zip(*parts)
+        table = {"i": pa.array([v for x in ids for v in x], to_arrow_type(kinds[0])), "label": pa.array([v for x in names for v in x], to_arrow_type(name_type)), "own": pa.array(np.concatenate(own).astype(bool)), "sum": pa.array(np.concatenate(sums), pa.float64()), "n": pa.array(np.concatenate(n).astype(np.int64))}
+        return pa.table({"part": pa.array(np.concatenate(part), pa.int32()), **table} if many else table)
+
+    schema = f"{'part int, ' if many else ''}i {kinds[0].simpleString()}, label {name_type.simpleString()}, own boolean, sum double, n long"
+    return over_blocks(points.select(key, label, vector), key, [label, vector], run, schema)
 
 
 def _nearest(d: np.ndarray, own: np.ndarray, other: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

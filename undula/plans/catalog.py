@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from undula.functions import manifolds, normalise
 from undula.operators import autoencoder, baselines, cluster, distance, evaluate, graph, smoothing
-from undula.plans import runner, sql
+from undula.plans import paths, runner, sql
 from undula.sources import curves as src
 from undula.sources import generators
-from undula.sources.shared import new_path
+from undula.sources.shared import dropped, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -197,12 +197,15 @@ def ts_round_trip(spark, d):
     return src.points(curves).join(labels, "sample_id").select(F.col("sample_id").alias("row_id"), "feature", "t_idx", F.round("value", 6).alias("value"), "label")
 
 
+#: A row of the file is a feature of a sample, in the order of (feature, sample).
 @query(
     "arff_round_trip",
-    f"{_NUMBERED}, q AS (SELECT *, min(v) OVER () AS lo, max(v) OVER () AS hi FROM p WHERE f = 0), la AS (SELECT s % 3 AS c, row_number() OVER (ORDER BY min(s)) - 1 AS label FROM nu GROUP BY 1) SELECT i + 3 AS row_id, t AS t_idx, round(coalesce((v - lo) / nullif(hi - lo, 0), 0.5) * 2 - 1, 6) AS value, label FROM q JOIN nu USING (s) JOIN la ON c = s % 3",
+    f"{_NUMBERED}, nn AS (SELECT count(*) AS n FROM nu), q AS (SELECT *, min(v) OVER () AS lo, max(v) OVER () AS hi FROM p), la AS (SELECT s % 3 AS c, row_number() OVER (ORDER BY min(s)) - 1 AS label FROM nu GROUP BY 1) SELECT f * n + i + 3 AS row_id, t AS t_idx, round(coalesce((v - lo) / nullif(hi - lo, 0), 0.5) * 2 - 1, 6) AS value, label FROM q JOIN nu USING (s) JOIN la ON c = s % 3, nn",
 )
 def arff_round_trip(spark, d):
-    rows = _events(spark, d).filter("feature = 0").select(F.col("sample_id").alias("n"), F.concat_ws(",", F.col("values").cast("array<string>"), F.concat(F.lit("u"), F.col("sample_id") % 3)).alias("value"))
+    rows = _events(spark, d)
+    most = rows.agg(F.max("sample_id")).first()[0]
+    rows = rows.select((F.col("feature") * (most + 1) + F.col("sample_id")).alias("n"), F.concat_ws(",", F.col("values").cast("array<string>"), F.concat(F.lit("u"), F.col("sample_id") % 3)).alias("value"))
     head = spark.createDataFrame([(-3, "@relation events"), (-2, "% a comment"), (-1, "@data")], "n long, value string")
     curves, labels = src.load_arff(spark, _text_file(spark, "arff", rows.unionByName(head)))
     return src.points(curves).join(labels, "sample_id").select(F.col("sample_id").alias("row_id"), "t_idx", F.round("value", 6).alias("value"), "label")
@@ -618,6 +621,11 @@ def bspline_projection(spark, d):
     return _arrays(smoothing.project(_events(spark, d), "bspline", 10), "c", 4)
 
 
+def _grid_of(spark, d) -> np.ndarray:
+    """The event curves' own grid on [0, 1]."""
+    return np.linspace(0, 1, _events(spark, d).agg(F.max(F.size("values"))).first()[0])
+
+
 def _basis(spark, phi: np.ndarray) -> DataFrame:
     return spark.createDataFrame([(t, k, round(float(v), 6) + 0.0) for t, row in enumerate(phi) for k, v in enumerate(row)], "t int, k int, v double")
 
@@ -625,34 +633,34 @@ def _basis(spark, phi: np.ndarray) -> DataFrame:
 _ONE = " SELECT t, k, round(v, 6) + 0.0 AS v FROM b"
 
 
-@query("bspline_basis", "WITH RECURSIVE " + sql.splines([9], 40) + _ONE)
+@query("bspline_basis", "WITH RECURSIVE " + sql.splines([9], STEPS) + _ONE)
 def bspline_basis(spark, d):
-    return _basis(spark, smoothing.bspline_design(np.linspace(0, 1, 40), 9))
+    return _basis(spark, smoothing.bspline_design(_grid_of(spark, d), 9))
 
 
-@query("fourier_basis_cos_sin", "WITH " + sql.fourier(4, 40) + _ONE)
+@query("fourier_basis_cos_sin", "WITH " + sql.fourier(4, STEPS) + _ONE)
 def fourier_basis_cos_sin(spark, d):
-    return _basis(spark, smoothing.fourier_design(np.linspace(0, 1, 40), 4))
+    return _basis(spark, smoothing.fourier_design(_grid_of(spark, d), 4))
 
 
-@query("fourier_basis_sin_cos", "WITH " + sql.fourier(4, 40, "sin") + _ONE)
+@query("fourier_basis_sin_cos", "WITH " + sql.fourier(4, STEPS, "sin") + _ONE)
 def fourier_basis_sin_cos(spark, d):
-    return _basis(spark, smoothing.fourier_basis(np.linspace(0, 1, 40), 9))
+    return _basis(spark, smoothing.fourier_basis(_grid_of(spark, d), 9))
 
 
-@query("legendre_basis", "WITH RECURSIVE " + sql.legendre(7, 40) + _ONE)
+@query("legendre_basis", "WITH RECURSIVE " + sql.legendre(7, STEPS) + _ONE)
 def legendre_basis(spark, d):
-    return _basis(spark, smoothing.orthogonal_basis("legendre", 7, 40))
+    return _basis(spark, smoothing.orthogonal_basis("legendre", 7, len(_grid_of(spark, d))))
 
 
-@query("half_wave_basis", "WITH b AS (SELECT t, k, CASE WHEN k = 0 THEN 1.0::double WHEN k % 2 = 1 THEN sqrt(2) * sin((k + 1) * pi() * t / 39) ELSE sqrt(2) * cos(k * pi() * t / 39) END AS v FROM (SELECT unnest(range(40)) AS t), (SELECT unnest(range(6)) AS k))" + _ONE)
+@query("half_wave_basis", f"WITH b AS (SELECT t, k, CASE WHEN k = 0 THEN 1.0::double WHEN k % 2 = 1 THEN sqrt(2) * sin((k + 1) * pi() * t / {STEPS - 1}) ELSE sqrt(2) * cos(k * pi() * t / {STEPS - 1}) END AS v FROM (SELECT unnest(range({STEPS})) AS t), (SELECT unnest(range(6)) AS k))" + _ONE)
 def half_wave_basis(spark, d):
-    return _basis(spark, smoothing.orthogonal_basis("fourier", 6, 40))
+    return _basis(spark, smoothing.orthogonal_basis("fourier", 6, len(_grid_of(spark, d))))
 
 
-@query("gram_matrix", "WITH RECURSIVE " + sql.splines([9], 40) + " SELECT x.k AS i, y.k AS j, round(sum(x.v * y.v) / 39, 8) AS v FROM b x JOIN b y USING (t) GROUP BY ALL")
+@query("gram_matrix", "WITH RECURSIVE " + sql.splines([9], STEPS) + f" SELECT x.k AS i, y.k AS j, round(sum(x.v * y.v) / {STEPS - 1}, 8) AS v FROM b x JOIN b y USING (t) GROUP BY ALL")
 def gram_matrix(spark, d):
-    g = smoothing.gram(smoothing.orthogonal_basis("bspline", 9, 40))
+    g = smoothing.gram(smoothing.orthogonal_basis("bspline", 9, len(_grid_of(spark, d))))
     return spark.createDataFrame([(i, j, round(float(v), 8)) for i, row in enumerate(g) for j, v in enumerate(row)], "i int, j int, v double")
 
 
@@ -770,24 +778,29 @@ def _groups(spark, d) -> tuple[DataFrame, DataFrame]:
     return z, graph.edges(graph.nearest_points(z, M))
 
 
+_EDGES = f"SELECT least(i, j) AS i, greatest(i, j) AS j, exp(-min(dist)) AS w FROM kn WHERE r <= {M} GROUP BY 1, 2"
+_LOG = f"{E.replace('WITH ', 'WITH RECURSIVE ', 1)}, {paths.merges(_EDGES)}"
+
+
+#: No SQL: the order of merges hangs on the last bits of sums once centres are close; what may be chosen from it does not.
 @query("homotopy_path")
 def homotopy_path(spark, d):
     path = cluster.homotopy_path(*_groups(spark, d))
     return path.select("step", F.round("lambda", 8).alias("lambda"), "kept", "absorbed", "kept_size", "absorbed_size", "kept_since", "absorbed_since")
 
 
-@query("valid_partitions")
+@query("valid_partitions", f"{_LOG}, {paths.VALID} SELECT step, clusters, least FROM vp")
 def valid_partitions(spark, d):
     z, e = _groups(spark, d)
     return cluster.valid_partitions(cluster.homotopy_path(z, e), z.count())
 
 
-@query("convex_clusters")
+@query("convex_clusters", f"{_LOG}, {paths.VALID}, {paths.CHOSEN} SELECT i AS sample_id, dense_rank() OVER (ORDER BY c) - 1 AS cluster, true AS valid FROM cl JOIN best USING (s)")
 def convex_clusters(spark, d):
     return cluster.convex_clustering(*_groups(spark, d)).select("sample_id", "cluster", "valid")
 
 
-@query("fista_solve")
+@query("fista_solve", f"{E.replace('WITH ', 'WITH RECURSIVE ', 1)}, {paths.dual_steps(_EDGES, 0.01)} SELECT sample_id, k, round(x, 5) AS x FROM u")
 def fista_solve(spark, d):
     u = cluster.fista_solve(*_groups(spark, d), 0.01)
     return u.select("sample_id", F.posexplode("u").alias("k", "x")).select("sample_id", "k", F.round("x", 5).alias("x"))
@@ -795,29 +808,39 @@ def fista_solve(spark, d):
 
 @query("kmeans")
 def kmeans(spark, d):
-    return cluster.kmeans(_nodes(spark, d), 10, starts=2)
-
-
-@query("kmeans_sweep")
-def kmeans_sweep(spark, d):
-    return cluster.kmeans_sweep(_nodes(spark, d), 9, 12, starts=1).withColumn("silhouette", F.round("silhouette", 5))
+    return cluster.kmeans(_nodes(spark, d), 10)
 
 
-@query("generate_catalog", "SELECT * FROM (VALUES ('hypersphere', 100, 3, 100, 2, 'sphere'), ('hyperbolic', 200, 2, 50, 2, 'poincare'), ('swiss_roll', 300, 2, 200, 4, NULL), ('lorenz', 100, 3, 100, 3, NULL), ('pendulum', 200, 2, 100, 4, NULL)) AS t(name, samples, features, steps, clusters, manifold)")
-def generate_catalog(spark, d):
-    return generators.catalog(spark)
+#: Lloyd rounds from the points of least id: assignments a by the centres c of each round.
+_LLOYD, _CENTRES = 6, 10
 
 
-def _generated(kind: str):
-    def run(spark, d):
-        g = generators.generate(spark, kind)
-        return g.select("sample_id", "label", "feature", F.posexplode("values").alias("t_idx", "value")).withColumn("value", F.round("value", 6))
+@query(
+    "lloyd_rounds",
+    f"""WITH RECURSIVE x AS (SELECT vec_id AS i, embedding::double[] AS z FROM embeddings),
+ro(q, i, z, a) AS (
+SELECT 0, i, z, NULL::bigint FROM x UNION ALL
+(WITH ce AS (SELECT row_number() OVER (ORDER BY i) - 1 AS c, z FROM ro WHERE a IS NULL ORDER BY i LIMIT {_CENTRES}),
+me AS (SELECT a AS c, k, avg(v) AS v FROM (SELECT a, unnest(range(len(z))) AS k, unnest(z) AS v FROM ro WHERE a IS NOT NULL) GROUP BY 1, 2),
+al AS (SELECT * FROM ce UNION ALL SELECT c, list(v ORDER BY k) FROM me GROUP BY c),
+di AS (SELECT ro.q, ro.i, any_value(ro.z) AS z, arg_min(al.c, list_sum(list_transform(list_zip(ro.z, al.z), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS a FROM ro, al WHERE ro.q < {_LLOYD} GROUP BY ro.q, ro.i)
+SELECT q + 1, i, z, a FROM di))
+SELECT i AS sample_id, a AS cluster FROM ro WHERE q = {_LLOYD}""",
+)
+def lloyd_rounds(spark, d):
+    z = _nodes(spark, d)
+    first = np.array([r["z"] for r in z.orderBy("sample_id").limit(_CENTRES).collect()], float)
+    centres, _ = cluster.lloyd(z, [first], rounds=_LLOYD - 1, tol=-1.0)
+    return cluster.nearest_of(z, centres).select("sample_id", F.col("clusters")[0].cast("long").alias("cluster"))
 
-    return run
 
+@query("kmeans_sweep")
+def kmeans_sweep(spark, d):
+    z = _nodes(spark, d)
+    sweep, all_ = cluster.kmeans_sweep(z, labels=z.select("sample_id", "label"))
+    dropped(all_)
+    return sweep.select("k", "clusters", *(F.round(c, 5).alias(c) for c in ("silhouette", "ami", "ari")))
 
-for _name in generators.CATALOG:
-    QUERIES[f"generate_{_name}"] = _generated(_name)
 
 #: Starts of paths, made from the suppliers' keys.
 _START = {
@@ -969,19 +992,34 @@ def network_losses(spark, d):
     return out.select(*(F.round(k, 6).alias(k) for k in out.columns))
 
 
-@query("model_summary", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {int(np.prod(v))})" for k, v in _WEIGHTS.items() if not k.endswith((".mean", ".var"))) + ") AS t(name, weights)")
+@query(
+    "model_summary",
+    "WITH f AS (SELECT count(DISTINCT event_type) AS f FROM events) SELECT name, weights FROM (VALUES "
+    + ", ".join(f"('{k}', {f'{v[0]} * 5 * (SELECT f FROM f)' if k == 'wfn' else f'4 * 7 * (SELECT f FROM f)' if k == 'wfn3' else int(np.prod(v))})" for k, v in _WEIGHTS.items() if not k.endswith((".mean", ".var")))
+    + ") AS t(name, weights)",
+)
 def model_summary(spark, d):
-    return spark.createDataFrame([(k, n) for k, _, n in _network().summary()], "name string, weights int")
+    """The weights of the network for the event curves: as many input and output functions as they have features."""
+    x, grid = _events(spark, d), _grid_of(spark, d)
+    net = autoencoder.Network(x.select("feature").distinct().count(), _NET["layers"], smoothing.fourier_design(grid, 3).T, smoothing.fourier_design(grid, 2).T)
+    return spark.createDataFrame([(k, n) for k, _, n in net.summary()], "name string, weights int")
+
+
+def _coefs_and_edges(spark, d, m: int):
+    """Coefficients of the event curves, their basis, and the edges of their warping distances."""
+    x = _events(spark, d)
+    c, basis = smoothing.smoothing_features(normalise.rescale(x), 8, 40)
+    return c, basis, graph.edges(graph.neighbours(distance.pairwise(x, "fastdtw"), m))
 
 
 @query("train_encode")
 def train_encode(spark, d):
-    """A small network trained on the event curves; its codes."""
-    c, basis = smoothing.smoothing_features(normalise.rescale(_events(spark, d)), 8, 40)
-    e = graph.edges(graph.neighbours(distance.pairwise(_events(spark, d), "fastdtw"), 5))
+    """A network trained on the event curves, with partitions refreshed after pretraining; its codes."""
+    c, basis, e = _coefs_and_edges(spark, d, 5)
     _, x, edges = runner.gathered(c, e)
-    rows = runner.train_trials(spark, x, edges, basis, basis, [{"lambda_c": 0.0, "latent": 3}], 4, 4).collect()
-    net = runner.loaded(runner.network(x.shape[1], basis, basis, {"lambda_c": 0.0, "latent": 3}), rows)
+    trial = {"latent": 3}
+    rows = runner.train_trials(spark, x, edges, basis, basis, [trial], 60, 20).collect()
+    net = runner.loaded(runner.network(x.shape[1], basis, basis, trial), rows)
     return autoencoder.encode(c, net).select("sample_id", F.posexplode("z").alias("k", "x")).select("sample_id", "k", F.round("x", 4).alias("x"))
 
 
@@ -993,24 +1031,37 @@ def last_losses(spark, d):
 
 @query("run_experiment")
 def run_experiment(spark, d):
-    r = runner.run_experiment(spark, "pendulum")
+    """A whole run over the event curves, whose labels are remainders of their ids, at the operator's defaults."""
+    x = _events(spark, d).withColumn("label", F.col("sample_id") % 4)
+    r = runner.run_experiment(spark, x)
     r["release"]()  # the row is there already
     return r["result"].select("dataset", "n_true", F.round("ari", 4).alias("ari"), F.round("ami", 4).alias("ami"), "n_pred")
 
 
 @query("tune")
 def tune(spark, d):
-    g = generators.generate(spark, "pendulum")
-    c, basis = smoothing.smoothing_features(normalise.rescale(g), 8, 40)
-    e = graph.edges(graph.neighbours(distance.pairwise(g, "fastdtw"), 4))
+    c, basis, e = _coefs_and_edges(spark, d, 4)
     return runner.optimize(spark, c, e, basis, basis)[1].select("trial", F.round("value", 5).alias("value"))
 
 
+def _baseline(kind: str):
+    def run(spark, d):
+        x = _events(spark, d)
+        found, sweep = baselines.baseline(x, kind, x.select("sample_id", (F.col("sample_id") % 3).alias("label")).distinct())
+        return sweep.select("k", "clusters", *(F.round(c, 5).alias(c) for c in ("silhouette", "ami", "ari")))
+
+    return run
+
+
+for _kind in ("linear", "network"):
+    query(f"baseline_{_kind}_sweep")(_baseline(_kind))
+
+
 @query("baseline_linear")
 def baseline_linear(spark, d):
-    return baselines.fit_embed(_events(spark, d), "linear", epochs=5).select("sample_id", F.posexplode("z").alias("k", "x")).select("sample_id", "k", F.round("x", 4).alias("x"))
+    return baselines.fit_embed(_events(spark, d), "linear").select("sample_id", F.posexplode("z").alias("k", "x")).select("sample_id", "k", F.round("x", 4).alias("x"))
 
 
 @query("baseline_network")
 def baseline_network(spark, d):
-    return baselines.fit_embed(_events(spark, d), "network", epochs=5).select("sample_id", F.posexplode("z").alias("k", "x")).select("sample_id", "k", F.round("x", 4).alias("x"))
+    return baselines.fit_embed(_events(spark, d), "network").select("sample_id", F.posexplode("z").alias("k", "x")).select("sample_id", "k", F.round("x", 4).alias("x"))
