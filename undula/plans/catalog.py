@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from undula.functions import manifolds, normalise
-from undula.operators import autoencoder, baselines, cluster, distance, evaluate, graph, smoothing
+from undula.operators import autoencoder, baselines, cluster, distance, evaluate, graph, nearest, smoothing
 from undula.plans import paths, runner, sql
 from undula.sources import curves as src
 from undula.sources import generators
@@ -262,6 +262,11 @@ def knn(spark, d):
     return _knn(spark, d).select("i", "rank", "j", F.round("dist", 6).alias("dist"))
 
 
+@query("knn_pivots", f"{E} SELECT i, r AS rank, j, round(dist, 6) AS dist FROM kn WHERE r <= {M}")
+def knn_pivots(spark, d):
+    return nearest.by_pivots(_nodes(spark, d), M).select("i", "rank", "j", F.round("dist", 6).alias("dist"))
+
+
 @query("avg_mth_distance", f"{E} SELECT r AS m, round(avg(dist), 6) AS avg_dist FROM kn GROUP BY r")
 def avg_mth_distance(spark, d):
     z = _nodes(spark, d)
@@ -561,7 +566,7 @@ def elastic_pair(spark, d):
 
 @query("curve_neighbours", f"{_warped(distance.default_band(STEPS))}, kn AS (SELECT i, j, dist, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS rank FROM (SELECT * FROM dt UNION ALL SELECT j, i, dist FROM dt)) SELECT i, rank, j, round(dist, 5) AS dist FROM kn WHERE rank <= {M}")
 def curve_neighbours(spark, d):
-    return graph.neighbours(distance.pairwise(_events(spark, d), "fastdtw"), M).select("i", "rank", "j", F.round("dist", 5).alias("dist"))
+    return nearest.of_curves(_events(spark, d), M, block=64).select("i", "rank", "j", F.round("dist", 5).alias("dist"))
 
 
 @query("extremes", f"{_warped(distance.default_band(STEPS))}, ex AS (SELECT 'similar' AS which, unnest([i, j]) AS s FROM (SELECT i, j FROM dt ORDER BY dt.dist, i, j LIMIT 1) UNION ALL SELECT 'different', unnest([i, j]) FROM (SELECT i, j FROM dt ORDER BY dt.dist DESC, i, j LIMIT 1)) SELECT which, s AS sample_id, f AS feature, t AS t_idx, round(v, 6) AS value FROM ex JOIN p USING (s)")
