@@ -134,6 +134,37 @@ def second_stage(curves: DataFrame, m: int, grid: int) -> DataFrame:
     return evaluate(bspline_coefficients(curves, m), bspline_design(np.linspace(0, 1, grid), m))
 
 
+def spline_at(c: str, x: str) -> Column:
+    """The clamped uniform cubic B-spline with the coefficients ``c`` at ``x`` in [0, 1], by de Boor's steps; null outside."""
+    spans = F.size(c) - 3
+    at = F.col(x) * spans
+    span = F.greatest(F.lit(0), F.least(F.floor(at).cast("int"), spans - 1))
+    knot = lambda j: F.greatest(F.lit(0), F.least(span + j, spans))
+    d = [F.element_at(c, span + j + 1) for j in range(4)]
+    for r in range(1, 4):
+        for j in range(3, r - 1, -1):
+            low, high = knot(j - 3), knot(j + 1 - r)
+            share = (at - low) / (high - low)
+            d[j] = (1 - share) * d[j - 1] + share * d[j]
+    return F.when(F.col(x).between(0, 1), d[3])
+
+
+def series_at(c: str, x: str) -> Column:
+    """The Fourier series with the coefficients a0, a1, b1, ... at ``x``, of period 1."""
+    each = F.transform(c, lambda v, k: F.when(k == 0, v).when(k % 2 == 1, v * F.cos(np.pi * (k + 1) * F.col(x))).otherwise(v * F.sin(np.pi * k * F.col(x))))
+    return F.aggregate(each, F.lit(0.0), lambda a, v: a + v)
+
+
+def fits_at(coefs: DataFrame, places: DataFrame, kind: str = "bspline", out: str = "fit") -> DataFrame:
+    """``places`` (sample_id, feature, x, ...) with the fitted curve's value at x of each row, null where there is no curve.
+
+    Every row may ask at a place of its own. Each curve is one row of coefficients, so a sample with many places is dealt
+    as a skewed join deals it.
+    """
+    value = (spline_at if kind == "bspline" else series_at)("c", "x")
+    return places.join(coefs.select("sample_id", "feature", "c"), ["sample_id", "feature"], "left").select(*places.columns, value.alias(out))
+
+
 def fit_of_each_label(curves: DataFrame, fits: DataFrame, labels: DataFrame) -> DataFrame:
     """(label, sample_id, feature, values, fit) of the first sample of each label (sample_id, label)."""
     first = labels.groupBy("label").agg(F.min("sample_id").alias("sample_id"))

@@ -611,6 +611,39 @@ def bspline_coefs(spark, d):
     return _arrays(smoothing.bspline_coefficients(_events(spark, d), 10), "c", 4)
 
 
+#: Where each event lies on its curve: the share of the table's days that has passed.
+_PLACES = f"pl AS (SELECT event_id AS t, user_id AS s, f, date_diff('microsecond', d0.d::timestamp, ts) / (86400e6::double * {STEPS}) AS x FROM events JOIN ty USING (event_type), d0)"
+
+
+def _places(spark, d) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    types = e.select("event_type").distinct().withColumn("feature", (F.dense_rank().over(Window.orderBy("event_type")) - 1).cast("int"))  # a row a type
+    day = e.agg(F.min(F.to_date("ts")).cast("timestamp").alias("d0"))
+    passed = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros("d0")) / (86400e6 * len(_grid_of(spark, d)))
+    return e.join(F.broadcast(types), "event_type").crossJoin(F.broadcast(day)).select("event_id", F.col("user_id").alias("sample_id"), "feature", passed.alias("x"))  # one row
+
+
+@query("spline_at_events", _recursive(sql.splines([10], STEPS), sql.projector(), sql.COEFFICIENTS, _PLACES, sql.splines([10], STEPS, "e", "(SELECT t, x FROM pl)")) + " SELECT pl.t AS event_id, round(sum(c * e.v), 5) AS fit FROM pl JOIN e USING (t) JOIN co ON co.s = pl.s AND co.f = pl.f AND co.k = e.k GROUP BY pl.t")
+def spline_at_events(spark, d):
+    """The fitted curve of each event's user and type at the event's own time."""
+    fit = smoothing.fits_at(smoothing.bspline_coefficients(_events(spark, d), 10), _places(spark, d))
+    return fit.select("event_id", F.round("fit", 5).alias("fit"))
+
+
+@query(
+    "fourier_at_events",
+    f"{P}, fc AS (SELECT s, f, avg(v) AS a0, {', '.join(f'2 * avg(v * cos(2 * pi() * {k} * t / {STEPS})) AS a{k}, 2 * avg(v * sin(2 * pi() * {k} * t / {STEPS})) AS b{k}' for k in (1, 2, 3))} FROM p GROUP BY s, f), {_PLACES} SELECT t AS event_id, round(a0{''.join(f' + a{k} * cos(2 * pi() * {k} * x) + b{k} * sin(2 * pi() * {k} * x)' for k in (1, 2, 3))}, 5) AS fit FROM pl JOIN fc USING (s, f)",
+)
+def fourier_at_events(spark, d):
+    fit = smoothing.fits_at(smoothing.fourier_coefficients(_events(spark, d), 3), _places(spark, d), "fourier")
+    return fit.select("event_id", F.round("fit", 5).alias("fit"))
+
+
+@query("smoothing_features_wavelet")
+def smoothing_features_wavelet(spark, d):
+    return _arrays(smoothing.smoothing_features(_events(spark, d), 8, 40, "wavelet")[0], "c", 4)
+
+
 @query("bspline_penalized", _recursive(sql.splines([12], STEPS), sql.projector("(SELECT 12 AS n, 0.3::double AS lam)", sql.DIFFERENCES), sql.COEFFICIENTS) + _COEFS)
 def bspline_penalized(spark, d):
     return _arrays(smoothing.bspline_coefficients(_events(spark, d), 12, 0.3), "c", 4)

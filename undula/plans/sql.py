@@ -14,12 +14,16 @@ def _knot(i: str) -> str:
     return f"greatest(0.0::double, least(1.0::double, ({i} - 3) / (n - 3)::double))"
 
 
-def splines(terms: Iterable[int], steps: int, name: str = "b") -> str:
-    """name(n, t, k, v): n clamped uniform cubic B-splines on ``steps`` points of [0, 1], by the Cox-de Boor recurrence."""
+def splines(terms: Iterable[int], steps: int, name: str = "b", places: str | None = None) -> str:
+    """name(n, t, k, v): n clamped uniform cubic B-splines on ``steps`` points of [0, 1], by the Cox-de Boor recurrence.
+
+    ``places`` is a table (t, x) of other points.
+    """
     share = lambda top, low, x: f"CASE WHEN {_knot(top)} > {_knot(low)} THEN {x} / ({_knot(top)} - {_knot(low)}) ELSE 0 END"
+    grid = places or f"(SELECT t, t / {steps - 1}.0::double AS x FROM (SELECT unnest(range({steps})) AS t))"
     return f"""{name}0(d, n, t, x, k, v) AS (
-SELECT 0, n, t, t / {steps - 1}.0::double, k, CASE WHEN (t < {steps - 1} AND t / {steps - 1}.0::double >= {_knot('k')} AND t / {steps - 1}.0::double < {_knot('(k + 1)')}) OR (t = {steps - 1} AND k = n - 1) THEN 1.0::double ELSE 0 END
-FROM (SELECT unnest({list(terms)}) AS n), (SELECT unnest(range({steps})) AS t), (SELECT unnest(range({max(terms) + 3})) AS k) WHERE k < n + 3
+SELECT 0, n, t, x, k, CASE WHEN (x < 1 AND x >= {_knot('k')} AND x < {_knot('(k + 1)')}) OR (x >= 1 AND k = n - 1) THEN 1.0::double ELSE 0 END
+FROM (SELECT unnest({list(terms)}) AS n), {grid}, (SELECT unnest(range({max(terms) + 3})) AS k) WHERE k < n + 3
 UNION ALL
 SELECT d + 1, n, t, x, k, {share('(k + d + 1)', 'k', f"(x - {_knot('k')})")} * v + {share('(k + d + 2)', '(k + 1)', f"({_knot('(k + d + 2)')} - x)")} * u
 FROM (SELECT *, lead(v) OVER (PARTITION BY n, t ORDER BY k) AS u FROM {name}0) WHERE d < 3 AND u IS NOT NULL),
