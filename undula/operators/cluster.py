@@ -62,7 +62,7 @@ def merges(x: np.ndarray, i: np.ndarray, j: np.ndarray, w: np.ndarray, directed:
     """(pull strength, kept, absorbed) of each merge: a cluster is named by its least member. ``of`` is the number of all points.
 
     Affinities of clusters are kept as sorted arrays of edges and merged along with the clusters; differences of
-    centres move along lines between two merges, so they are stepped, not gathered. ``directed`` (i, j) restricts, between two clusters, to the listed
+    centres move along lines between two merges, so they are stepped, not gathered, in arrays that stay. ``directed`` (i, j) restricts, between two clusters, to the listed
     neighbours of the smaller one, the first of equals; without it every edge counts.
     """
     n = len(x) if of is None else of
@@ -75,55 +75,67 @@ def merges(x: np.ndarray, i: np.ndarray, j: np.ndarray, w: np.ndarray, directed:
         inside = set(large)
         return sum(weight.get((min(a, b), max(a, b)), 0.0) for a in small for b in inside if (a, b) in directed)
 
-    center, size = np.array(x, float), np.ones(len(x))
-    active, axes = np.ones(len(x), bool), np.arange(x.shape[1])
-    lam, log = 0.0, []
-    k, v = np.array(sorted(table)).reshape(-1, 2).T
+    center, size, log, lam = np.array(x, float), np.ones(len(x)), [], 0.0
+    active, move = np.ones(len(x), bool), np.empty_like(center)
+    k, v = np.array(sorted(table)).reshape(-1, 2).T.copy()
     aff = np.array([table[p] for p in zip(k.tolist(), v.tolist())])
-    d0 = center[k] - center[v]
-    while active.sum() > 1 and len(k):
+    d0, count = center[k] - center[v], len(k)
+    db, other = np.empty_like(d0), np.empty_like(d0)
+    while active.sum() > 1 and count:
+        kk, vv, d, db_, other_ = k[:count], v[:count], d0[:count], db[:count], other[:count]
         if directed is not None:
-            now = np.array([listed(*p) for p in zip(k.tolist(), v.tolist())])
+            now = np.array([listed(*p) for p in zip(kk.tolist(), vv.tolist())])
             pulls = now > 0
         else:
-            now, pulls = aff, np.ones(len(k), bool)
+            now, pulls = aff[:count], np.ones(count, bool)
         if not pulls.any():
             break
-        length = np.linalg.norm(d0, axis=1)
-        pull = d0 * np.where(pulls & (length > 1e-12), now / np.maximum(length, 1e-12), 0)[:, None]
-        at = lambda ends: (ends[:, None] * len(axes) + axes).ravel()
-        move = (np.bincount(at(v), pull.ravel(), center.size) - np.bincount(at(k), pull.ravel(), center.size)).reshape(center.shape)
+        square = np.einsum("ij,ij->i", d, d)
+        length = np.sqrt(square)
+        np.multiply(d, np.where(pulls & (length > 1e-12), now / np.maximum(length, 1e-12), 0)[:, None], out=db_)
+        move[:] = 0
+        for ends, sign in ((kk, -1.0), (vv, 1.0)):
+            order = np.argsort(ends, kind="stable")
+            np.take(db_, order, axis=0, out=other_, mode="clip")
+            sorted_ = ends[order]
+            first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
+            move[sorted_[first]] += sign * np.add.reduceat(other_, first, axis=0)
         move *= (n / (2 * size))[:, None]
-        db = move[k] - move[v]
-        den = (db * db).sum(1)
-        tau = np.where(pulls & (den >= 1e-18), -(d0 * db).sum(1) / np.maximum(den, 1e-18), -1)
+        np.take(move, kk, axis=0, out=db_, mode="clip")
+        np.take(move, vv, axis=0, out=other_, mode="clip")
+        db_ -= other_
+        den, num = np.einsum("ij,ij->i", db_, db_), np.einsum("ij,ij->i", d, db_)
+        tau = np.where(pulls & (den >= 1e-18), -num / np.maximum(den, 1e-18), -1)
         ok = tau > 1e-12
-        exact = ok.copy()
-        exact[ok] = np.linalg.norm(d0[ok] + tau[ok, None] * db[ok], axis=1) < 1e-6 * (length[ok] + 1e-9)
+        exact = ok & (np.sqrt(np.maximum(square - num * num / np.maximum(den, 1e-18), 0)) < 1e-6 * (length + 1e-9))
         among = np.flatnonzero(exact if exact.any() else ok)
         if not len(among):
             break
-        hit = among[np.argmin(tau[among])]
-        lam += float(tau[hit])
-        center[active] += tau[hit] * move[active]
-        d0 += tau[hit] * db
-        a, b = int(k[hit]), int(v[hit])
+        least = among[tau[among] == tau[among].min()]
+        hit = least[np.lexsort((vv[least], kk[least]))[0]]
+        step, a, b = float(tau[hit]), int(kk[hit]), int(vv[hit])
+        lam += step
+        center[active] += step * move[active]
+        db_ *= step
+        d += db_
         center[a] = (size[a] * center[a] + size[b] * center[b]) / (size[a] + size[b])
         size[a] += size[b]
         members[a] = members[a] + members.pop(b)
         active[b] = False
-        # the edges of both become edges of ``a``, sums where both had one, in their place by (lesser, greater) end
-        touched = (k == a) | (v == a) | (k == b) | (v == b)
-        ends = np.where((k[touched] == a) | (k[touched] == b), v[touched], k[touched])
-        inner = (ends == a) | (ends == b)
-        others, place = np.unique(ends[~inner], return_inverse=True)
+        # the edges of both become edges of ``a``, sums where both had one, in the places of those they replace
+        touched = np.flatnonzero((kk == a) | (vv == a) | (kk == b) | (vv == b))
+        far = np.where((kk[touched] == a) | (kk[touched] == b), vv[touched], kk[touched])
+        inner = (far == a) | (far == b)
+        others, place = np.unique(far[~inner], return_inverse=True)
         sums = np.bincount(place, aff[touched][~inner], len(others))
-        lo, hi = np.minimum(a, others), np.maximum(a, others)
-        rest = ~touched
-        k, v, aff = np.concatenate((k[rest], lo)), np.concatenate((v[rest], hi)), np.concatenate((aff[rest], sums))
-        d0 = np.concatenate((d0[rest], center[lo] - center[hi]))
-        order = np.lexsort((v, k))
-        k, v, aff, d0 = k[order], v[order], aff[order], d0[order]
+        put, free = touched[: len(others)], touched[len(others) :]
+        k[put], v[put], aff[put] = np.minimum(a, others), np.maximum(a, others), sums
+        d0[put] = center[k[put]] - center[v[put]]
+        last = count - len(free)
+        empty, full = free[free < last], np.setdiff1d(np.arange(last, count), free)
+        for c in (k, v, aff, d0):
+            c[empty] = c[full]
+        count = last
         log.append((lam, a, b))
     lams, kept, absorbed = zip(*log) if log else ((), (), ())
     return np.array(lams, float), np.array(kept, int), np.array(absorbed, int)

@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from undula.operators.graph import euclidean, label_sums, symmetric
-from undula.sources.shared import written
 
 
 def centroids(points: DataFrame, label: str = "label") -> DataFrame:
@@ -136,14 +135,13 @@ def adjusted_mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
     it with a probability of at most 2 exp(-72) (Hoeffding), which no double sum of logarithms up to ln n can show: the
     sum over k runs over that many whole numbers, away from the most likely one, in one row a pair of distinct class sizes.
     """
-    return mutual_information_of(contingency(df, a, b))
+    return mutual_information_of(contingency(df, a, b), df.count())
 
 
-def mutual_information_of(table: DataFrame) -> DataFrame:
-    """``adjusted_mutual_information`` from a contingency table (a, b, n), which is written: five sums read it."""
-    spark = table.sparkSession
-    t = written(table, "contingency")
-    n = t.agg(F.sum("n")).first()[0] or 0
+def mutual_information_of(t: DataFrame, n: int | None = None) -> DataFrame:
+    """``adjusted_mutual_information`` from a contingency table (a, b, n) of n rows, which five sums read."""
+    spark = t.sparkSession
+    n = (t.agg(F.sum("n")).first()[0] or 0) if n is None else n
     if n == 0:
         return spark.createDataFrame([(1.0,)], "ami double")
     rows = t.groupBy("a").agg(F.sum("n").alias("ai"))

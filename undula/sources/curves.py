@@ -16,25 +16,23 @@ def from_events(spark: SparkSession, sf_dir: str, days: int | None = None) -> Da
 
     The grid runs from the first event's day to the last one's, or over ``days``, beyond which an event is an error.
 
-    One shuffle: cells are summed by (user, type, day) with partial sums, then gathered into one map a user,
-    whose size types x days bounds. Types are coded in sorted order from the small set of distinct names.
+    Types and span are one row, from one pass; cells are numbered (type, day), summed by (user, cell) with partial sums,
+    then gathered into one map a user, whose size types x days bounds. Types are coded in sorted order.
     """
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", "ts", "value")
-    types = events.select("event_type").distinct().agg(F.array_sort(F.collect_list("event_type")).alias("types"), F.lit(1).alias("one"))
     last = F.lit(days) if days is not None else F.date_diff(F.max(F.to_date("ts")), F.min(F.to_date("ts"))) + 1
-    first = events.agg(F.min(F.to_date("ts")).alias("d0"), last.alias("days"))
-    cells = (
-        events.crossJoin(F.broadcast(first))  # one row
-        .select(F.col("user_id").alias("sample_id"), "event_type", within(F.date_diff(F.to_date("ts"), "d0"), F.col("days")).alias("t_idx"), "value")
-        .groupBy("sample_id", "event_type", "t_idx")
-        .agg(F.sum("value").alias("value"))
-    )
-    users = cells.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "event_type", "t_idx"), "value"))).alias("cells"))
-    grid = F.sequence(F.lit(0), F.col("days") - 1)
-    return (
-        users.crossJoin(F.broadcast(types.crossJoin(first.select("days"))))  # one row
-        .select("sample_id", F.posexplode(F.transform("types", lambda name: F.transform(grid, lambda t: F.coalesce(F.try_element_at("cells", F.concat_ws("|", name, t.cast("string"))), F.lit(0.0))))).alias("feature", "values"))
-    )
+    head = events.agg(F.array_sort(F.collect_set("event_type")).alias("names"), F.min(F.to_date("ts")).alias("d0"), last.alias("steps"))
+    cell = (F.array_position("names", F.col("event_type")).cast("int") - 1) * F.col("steps") + within(F.date_diff(F.to_date("ts"), "d0"), F.col("steps"))
+    return _dense(events, head, "user_id", cell, F.col("value"))
+
+
+def _dense(rows: DataFrame, head: DataFrame, key: str, cell: Column, value: Column) -> DataFrame:
+    """(sample_id, feature, values) from the sums of ``value`` by cell; ``head`` is one row (names, steps, ...), cells are features x steps."""
+    one = F.broadcast(head)  # one row
+    sums = rows.crossJoin(one).select(F.col(key).alias("sample_id"), cell.alias("cell"), value.alias("value")).filter("cell is not null").groupBy("sample_id", "cell").agg(F.sum("value").alias("value"))
+    maps = sums.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("cell", "value"))).alias("cells")).crossJoin(F.broadcast(head.select("names", "steps")))
+    filled = lambda f: F.transform(F.sequence(f * F.col("steps"), (f + 1) * F.col("steps") - 1), lambda c: F.coalesce(F.try_element_at("cells", c), F.lit(0.0)))
+    return maps.select("sample_id", F.posexplode(F.transform("names", lambda _, f: filled(f))).alias("feature", "values"))
 
 
 def from_lineitem(spark: SparkSession, sf_dir: str, months: int | None = None) -> DataFrame:
@@ -43,22 +41,11 @@ def from_lineitem(spark: SparkSession, sf_dir: str, months: int | None = None) -
     The grid runs from the first month of the table to the last one, or over ``months``, beyond which a row is an error.
     """
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_returnflag", "l_shipdate", "l_extendedprice", "l_discount")
-    flags = li.select("l_returnflag").distinct().agg(F.array_sort(F.collect_list("l_returnflag")).alias("flags"))
     month = F.year("l_shipdate") * 12 + F.month("l_shipdate")
     last = F.lit(months) if months is not None else F.max(month) - F.min(month) + 1
-    span = li.agg(F.min(month).alias("m0"), last.alias("months"))
-    cells = (
-        li.crossJoin(F.broadcast(span))  # one row
-        .select(F.col("l_suppkey").alias("sample_id"), "l_returnflag", within(month - F.col("m0"), F.col("months")).alias("t_idx"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v"))
-        .groupBy("sample_id", "l_returnflag", "t_idx")
-        .agg(F.sum("v").alias("value"))
-    )
-    suppliers = cells.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "l_returnflag", "t_idx"), "value"))).alias("cells"))
-    grid = F.sequence(F.lit(0), F.col("months") - 1)
-    return (
-        suppliers.crossJoin(F.broadcast(flags.crossJoin(span.select("months"))))  # one row
-        .select("sample_id", F.posexplode(F.transform("flags", lambda name: F.transform(grid, lambda t: F.coalesce(F.try_element_at("cells", F.concat_ws("|", name, t.cast("string"))), F.lit(0.0))))).alias("feature", "values"))
-    )
+    head = li.agg(F.array_sort(F.collect_set("l_returnflag")).alias("names"), F.min(month).alias("m0"), last.alias("steps"))
+    cell = (F.array_position("names", F.col("l_returnflag")).cast("int") - 1) * F.col("steps") + within(month - F.col("m0"), F.col("steps"))
+    return _dense(li, head, "l_suppkey", cell, F.col("l_extendedprice") * (1 - F.col("l_discount")))
 
 
 def points(curves: DataFrame) -> DataFrame:
