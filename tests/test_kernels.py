@@ -80,7 +80,7 @@ def test_two_passes_are_never_below_the_full_search():
     base = bumps(160, 0)
     for x in (bumps(160, 0.5), bumps(160, -0.4), bumps(160, 0.2, 0.1)):
         full, fast = distance.elastic(base[None], x[None])[0], distance.elastic_fast(base[None], x[None])[0]
-        assert full <= fast + 1e-12 <= 1.1 * full + 1e-6
+        assert full <= fast + 1e-12  # how far above: tests/test_fixtures.py
 
 
 def slow_dtw(a, b, lo=None, hi=None):
