@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from undula.operators.graph import euclidean, label_sums, symmetric
 
 
+#: Centroids that go to every task.
+MOST_CENTROIDS = 100_000
+
+
 def centroids(points: DataFrame, label: str = "label") -> DataFrame:
     """(label, k, c): means by dimension; rows meet as partial sums."""
     return points.select(F.col(label).alias("label"), F.posexplode("z").alias("k", "v")).groupBy("label", "k").agg(F.avg("v").alias("c"))
@@ -39,7 +43,9 @@ def clustering_loss(points: DataFrame, cached: DataFrame | None = None, mean: Da
 
 
 def nearest_centroid(points: DataFrame, cents: DataFrame) -> DataFrame:
-    """(sample_id, label): the nearest of few cached centroids, packed into one row."""
+    """(sample_id, label): the nearest of the given centroids, at most ``MOST_CENTROIDS``, packed into one row."""
+    if cents.limit(MOST_CENTROIDS + 1).count() > MOST_CENTROIDS:
+        raise ValueError("too many centroids to send them to every task")
     packed = cents.agg(F.collect_list(F.struct("label", "c")).alias("cs"))
     near = F.array_min(F.transform("cs", lambda c: F.struct(_square_of("z", c["c"]).alias("d"), c["label"].alias("label"))))
     return points.crossJoin(F.broadcast(packed)).select("sample_id", near["label"].alias("label"))  # one row
