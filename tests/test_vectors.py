@@ -66,3 +66,19 @@ def test_vectors_that_are_no_numbers(spark):
     low = min((d[i, j], i, j) for i in range(12) for j in range(i + 1, 12) if 4 not in (i, j))
     got = graph.extreme_of_points(p).first()
     assert (got.dist, got.i, got.j) == low
+
+
+def test_means_by_rank_and_class_order_without_rows_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "STRIPES", 3)
+    x = _odd(37)
+    p = _points(spark, x, ["b", "a", "c"] * 12 + ["b"])
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    want = np.sort(d, axis=1)[:, :-1].mean(0)
+    for most in (None, 5):
+        got = {q.m: q.avg_dist for q in graph.mean_by_rank(p, most).collect()}
+        assert sorted(got) == list(range(1, (most or 36) + 1)) and np.allclose([got[m] for m in sorted(got)], want[: most or 36])
+    assert graph.optimal_m_of_points(p) == graph.optimal_m(graph.euclidean_pairs(p), "avg_distance")
+    pairs = graph.reorder_by_class(graph.euclidean_pairs(p), p.select("sample_id", "label"))
+    key = lambda f: sorted((q.row, q.col, round(q.dist, 6)) for q in f.collect())
+    assert key(graph.points_by_class(p)) == key(pairs)
