@@ -55,3 +55,19 @@ def test_extremes_meet_all_pairs_once(spark, monkeypatch):
     assert got["similar"] == (0, 24, 0.0)
     shown = graph.curves_of(distance.extreme_pairs(c), c).select("which", "sample_id").distinct().collect()
     assert {(q.which, q.sample_id) for q in shown} == {(w, s) for w, v in got.items() for s in v[:2]}
+
+
+@pytest.mark.parametrize("m", [2, 5])
+def test_copies_are_neighbours_without_being_warped(spark, m):
+    from undula.operators import graph, nearest
+
+    r = np.random.default_rng(m)
+    made = r.normal(size=(12, 2, 16)).cumsum(2)
+    of = np.concatenate([np.arange(12), [3] * 7, [4] * 2, [5]])
+    ids = r.permutation(len(of)) * 2
+    c = _curves(spark, made[of], ids)
+    got = {(q.i, q["rank"]): (q.j, round(q.dist, 9)) for q in nearest.of_curves(c, m, block=4).collect()}
+    want = {(q.i, q["rank"]): (q.j, round(q.dist, 9)) for q in graph.neighbours(distance.pairwise(c, "fastdtw"), m).collect()}
+    assert got == want
+    warped = nearest._candidates(distance.distinct(distance.prepared(c, "fastdtw")).select("rep", "x").withColumnRenamed("rep", "sample_id"), m, None, 4).agg({"warped": "sum"}).first()[0]
+    assert warped <= 12 * 11 // 2
