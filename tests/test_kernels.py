@@ -249,3 +249,30 @@ def test_network_learns():
     losses = train(net, x, (i, j, np.ones(len(i))), 40, 0.05, 8, pretrain=40)
     assert losses[-1] < losses[0]
     assert net.encode(x).shape == (20, 3) and net.reconstruct(x).shape == (20, 2, 36)
+
+
+@pytest.mark.parametrize("few", [0, 1 << 17])
+def test_sums_by_end_are_those_of_reduceat(monkeypatch, few):
+    monkeypatch.setattr(cluster, "FEW_ENTRIES", few)
+    monkeypatch.setattr(cluster, "AT_ONCE", 32)
+    r = np.random.default_rng(8)
+    ends = np.concatenate((r.integers(0, 150, 400), np.full(300, 7), np.full(9, 160), np.full(8, 161), [199]))
+    rows, move = r.normal(size=(len(ends), 5)), r.normal(size=(200, 5))
+    order = np.argsort(ends, kind="stable")
+    first = np.flatnonzero(np.diff(ends[order], prepend=-1))
+    for add in (np.add, np.subtract):
+        want = move.copy()
+        want[ends[order][first]] = add(want[ends[order][first]], np.add.reduceat(rows[order], first, axis=0))
+        got = move.copy()
+        cluster._add_ends(rows, ends, got, add, np.empty((2, 32, 5)))
+        assert (got == want).all()
+
+
+def test_path_does_not_hang_on_how_sums_are_taken(monkeypatch):
+    x = heaps(5, (40, 30, 20))
+    e = knn_edges(x, 6)
+    want = cluster.merges(x, *e)
+    monkeypatch.setattr(cluster, "FEW_ENTRIES", 0)
+    monkeypatch.setattr(cluster, "AT_ONCE", 16)
+    got = cluster.merges(x, *e)
+    assert len(want[0]) > 0 and all((a == b).all() for a, b in zip(got, want))
