@@ -82,3 +82,15 @@ def test_means_by_rank_and_class_order_without_rows_of_pairs(spark, monkeypatch)
     pairs = graph.reorder_by_class(graph.euclidean_pairs(p), p.select("sample_id", "label"))
     key = lambda f: sorted((q.row, q.col, round(q.dist, 6)) for q in f.collect())
     assert key(graph.points_by_class(p)) == key(pairs)
+
+
+def test_few_candidates_lie_within_the_bounds(spark, monkeypatch):
+    """Parts grow with m and n: some m x n / part others are within a point's bound, where parts of 2,048 left many more."""
+    n, m = 24_000, 96
+    x = np.random.default_rng(4).normal(size=(n, 3))
+    points = spark.createDataFrame(list(enumerate(x.tolist())), "sample_id long, z array<double>")
+    rows = graph._bounded(graph._flat(points, "sample_id", "z"), m, n, "sample_id", "z").select("sample_id", "bound").collect()
+    assert sorted(r.sample_id for r in rows) == list(range(n))
+    some = [r for r in rows if r.sample_id % 200 == 0]
+    within = [int((((x - x[r.sample_id]) ** 2).sum(1) <= r.bound).sum()) for r in some]
+    assert min(within) > m and np.mean(within) < 4 * m
