@@ -20,6 +20,27 @@ def test_blocks_equal_pairs(t, band):
     assert np.allclose(distance.dtw_block(a, b, radius).ravel(), distance.dtw(a[u].transpose(0, 2, 1), b[v].transpose(0, 2, 1), radius), atol=1e-12)
 
 
+@pytest.mark.parametrize("t,radius,least", [(30, 2, 16), (31, 1, 4), (64, 2, 16), (40, 3, 5), (16, 1, 16), (9, 1, 2)])
+def test_resolutions_of_blocks_equal_pairs(t, radius, least):
+    """Windows by blocks are those of each pair, bit for bit, with equal ways (levels and copies) and values that are no numbers."""
+    r = np.random.default_rng(t)
+    a, b = r.normal(size=(6, 3, t)).cumsum(2), r.normal(size=(8, 3, t)).cumsum(2)
+    a[0], a[1, :, 3:], b[0], b[1, :, : t // 2], b[2], b[3, 1, t // 2] = 0, 1, 0, 1, a[2], np.nan
+    u, v = (k.ravel() for k in np.indices((6, 8)))
+    want = distance.fast_dtw(a[u].transpose(0, 2, 1), b[v].transpose(0, 2, 1), radius, least)[0]
+    assert np.array_equal(distance.fast_dtw_block(a, b, radius, least).ravel(), want, equal_nan=True)
+
+
+def test_ultrafast_of_short_curves_goes_by_blocks(monkeypatch):
+    """No pair of a tile is warped by itself."""
+    r = np.random.default_rng(2)
+    p, q = r.normal(size=(2, 5, 2, 30)).cumsum(3)
+    u, v = (k.ravel() for k in np.indices((5, 5)))
+    want = distance.aligned(p[u], q[v], "ultrafast").reshape(5, 5)
+    monkeypatch.setattr(distance, "aligned", None)
+    assert np.array_equal(distance._kernel("ultrafast", None, 2)(p, q), want)
+
+
 @pytest.mark.parametrize("metric", distance.METRICS)
 def test_copies_take_part_in_all_pairs(spark, monkeypatch, metric):
     """Copies lie on both sides of other curves; each pair's lesser id is held, and no curve is warped more than once."""
